@@ -13,6 +13,7 @@ from .mixing import pareto_mix
 from .secret_scan import secret_scan
 from .shared import table
 from .simhash_dedup import simhash_dedup
+from .suffix_dedup import suffix_dedup
 from .topk_search import topk_search
 from .toxicity import toxicity
 
@@ -44,6 +45,10 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search(table(spark, sf_dir, "embeddings"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_html_extract": op5_html_extract,
     "op6_topk_search": op6_topk_search,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
