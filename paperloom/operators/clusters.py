@@ -52,5 +52,5 @@ def repeated_positions(marks: DataFrame, pages: DataFrame, tolerance: float = 4.
     centres = centres.select("doc", "nth", median.alias("centre"))
     near = centres.join(marks, "doc").filter(F.abs(F.col("y") - F.col("centre")) <= tolerance)
     counted = near.groupBy("doc", "nth", "centre").agg(F.countDistinct("page").alias("n"), F.avg("strength").alias("strength"))
-    found = counted.join(pages, "doc").filter(F.col("n") >= F.col("threshold"))
+    found = counted.join(pages.select("doc", "sampled", "threshold"), "doc").filter(F.col("n") >= F.col("threshold"))
     return found.select("doc", F.col("centre").alias("y"), (F.col("n") / F.col("sampled")).alias("support"), "strength")

@@ -77,14 +77,14 @@ def audit(plans: DataFrame, source_words: DataFrame, output_words: DataFrame, ou
 
     plans: page_plan rows with doc, page, vertical_rects, protected_text_rects,
     protected_visual_rects and crop (null: none). output_pages: (doc, page,
-    width, height). facts: (doc, page) with what decoders reported: text_ok,
+    width, height). facts: (doc, page) with what decoders reported:
     unsafe_image_cleanup, ocr_checked, ocr_error, ocr_unsafe, output_ocr_error,
     output_ocr_hits, render_size_ok, render_error, body_pixels, body_change, region_change,
     logo_left, logo_template, logo_error, source_text_error, position_error. bands: (doc, footer_top,
     footer_confidence).
     """
     c = F.col
-    pages = plans.join(facts, ["doc", "page"], "left").join(output_pages.withColumnsRenamed({"width": "out_width", "height": "out_height"}), ["doc", "page"], "left").join(bands.select("doc", c("footer_top").alias("band_footer"), c("footer_confidence").alias("band_confidence")), "doc", "left")
+    pages = plans.join(facts.drop("text_ok"), ["doc", "page"], "left").join(output_pages.withColumnsRenamed({"width": "out_width", "height": "out_height"}), ["doc", "page"], "left").join(bands.select("doc", c("footer_top").alias("band_footer"), c("footer_confidence").alias("band_confidence")), "doc", "left")
     yes = lambda x: F.coalesce(x, F.lit(False))
     designed = c("page_strategy").isin(*DESIGNED)
     protected = F.concat(c("protected_text_rects"), c("protected_visual_rects"))
