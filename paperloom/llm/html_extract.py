@@ -194,7 +194,7 @@ class Model:
         return "\n".join(b.text for b, y in zip(found, self.viterbi(found)) if y)
 
 
-def train(pages: Sequence[tuple[Sequence[Block], Sequence[int]]], rounds: int = 150, l2: float = 0.02, rate: float = 0.1) -> Model:
+def train(pages: Sequence[tuple[Sequence[Block], Sequence[int]]], rounds: int = 200, l2: float = 0.005, rate: float = 0.1) -> Model:
     """Maximum likelihood with an l2 penalty by Adam; forward and backward run
     over all pages at once, padded to the longest."""
     pages = [p for p in pages if p[0]]

@@ -9,7 +9,7 @@ import random
 
 from .html_extract import Block, blocks
 
-PAGES = 400
+PAGES = 600
 # Syllables of made-up words.
 SYLLABLES = "ba ce di fo gu ha je ki lo mu na pe qui ro su ta ve wi xo ya zé ön ça ñe ül".split()
 # Class words that pages give to their parts.
@@ -69,7 +69,7 @@ class _Maker:
         return text
 
     def advert(self) -> str:
-        text = self.r.choice((self.words(2, 12), self.prose()))
+        text = self.r.choice((self.words(1, 3).capitalize(), self.words(2, 12), self.prose()))
         inner = self.bare(text) if self.r.random() < 0.5 else self.leaf(0, "p", text)
         return self.box("div div section aside", AD, inner, 0)
 
@@ -113,17 +113,17 @@ class _Maker:
         inner = self.leaf(1, self.r.choice(("h1", "h1", "h2")), self.words(3, 14)) if self.r.random() < 0.9 else ""
         for _ in range(self.r.randint(1, 9)):
             kind = self.r.random()
-            if kind < 0.75:
+            if kind < 0.68:
                 self.labels.append(1)
                 text = self.prose()
                 inner += self.r.choice((f"<p>{text}</p>", f"<p>{text}</p>", f"<p><b>{text}<br></p>", f"<p>{text}", f"<div>{text}</div>"))
-            elif kind < 0.82:
+            elif kind < 0.74:
                 inner += self.leaf(1, "h2", self.words(1, 6))
-            elif kind < 0.88:
+            elif kind < 0.79:
                 inner += "<ul>" + "".join(self.leaf(1, "li", self.words(2, 14)) for _ in range(self.r.randint(1, 4))) + "</ul>"
-            elif kind < 0.92:
+            elif kind < 0.82:
                 inner += self.leaf(1, self.r.choice(("blockquote", "pre", "figcaption")), self.prose())
-            elif kind < 0.94:
+            elif kind < 0.84:
                 inner += "<table><tr>" + self.leaf(1, "td", self.words(1, 3)) + self.leaf(1, "td", self.words(1, 3)) + "</tr></table>"
             else:
                 inner += self.r.choice((self.advert, self.side, self.notice, self.form))()
