@@ -33,10 +33,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Table
+from .shared import Table, written
 
 W = 200
-GRAM = 48
+GRAM = 64
 CLASSES = (38, 10, 3, 1)  # windows of one class start within so many bytes
 SHARD_CONTEXTS = 256  # different contexts of a key that one shard takes
 PIECE = 1 << 18  # bytes worked on at a time
@@ -364,13 +364,13 @@ def _emit_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield spans(waiting.reset_index(drop=True))
 
 
-def _settled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows all of whose key's contexts are equal, rows whose key has several
-    contexts), of keys that occur twice. Counts combine before the shuffle; the
-    join back may split a frequent key."""
+def _repeated_keys(rows: DataFrame) -> DataFrame:
+    """(rows' columns, equal) of keys that occur twice; equal: all contexts of
+    the key are equal. Counts combine before the shuffle, and are written, so
+    that the join stands on two exchanges and may split a frequent key."""
     keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("lo"), F.max("code").alias("hi")).filter("n > 1")
-    met = Table(rows.join(keys.select("key", (F.col("lo") == F.col("hi")).alias("equal")), "key"), "anchors").df
-    return met.filter("equal").drop("equal"), met.filter("NOT equal").drop("equal")
+    keys = written(keys.select("key", (F.col("lo") == F.col("hi")).alias("equal")), "keys")
+    return rows.join(keys, "key")
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -412,28 +412,34 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("doc_id"), raw.alias("raw"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-1)).cast("long").alias("id1"), F.xxhash64("raw", F.col("doc_id").isNull()).alias("id2"), "raw")
     long = rows.filter(F.octet_length("raw") >= W).select("id1", "id2", "raw")
-    equal, mixed = _settled(long.mapInPandas(_emit_anchors, _ANCHORS))
-    found = [equal.select(*_SPAN_COLUMNS)]
-    listed = mixed.groupBy("id1", "id2").agg(F.collect_set(F.struct("first", "last", "at")).alias("spans"))
+    anchored = Table(_repeated_keys(long.mapInPandas(_emit_anchors, _ANCHORS)), "anchors")
+    found = [written(anchored.df.filter("equal").select(*_SPAN_COLUMNS), "spans")]
+    listed = anchored.df.filter("NOT equal").groupBy("id1", "id2").agg(F.collect_set(F.struct("first", "last", "at")).alias("spans"))
     # a row that is repeated whole meets its list as often as it is repeated
     contexts = long.join(listed, ["id1", "id2"]).mapInPandas(_cut_classes(CLASSES[0]), _CONTEXTS)
+    done_with = [anchored]
     for finer in (*CLASSES[1:], None):
-        contexts = Table(contexts, "contexts").df
-        each = contexts.groupBy("key", "code").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("id1", "id2", "first", "last", "at", "context")])
-        each = Table(each, "distinct").df
+        level = Table(contexts, "contexts")
+        for table in done_with:
+            table.drop()
+        each = level.df.groupBy("key", "code").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("id1", "id2", "first", "last", "at", "context")])
+        distinct = Table(each, "distinct")
+        each, done_with = distinct.df, [level, distinct]
         # equal contexts repeat each other's windows
         twice = each.filter("n > 1").select("key", "code")
-        found.append(contexts.drop("context").join(twice, ["key", "code"]).select(*_SPAN_COLUMNS))
+        found.append(written(level.df.drop("context").join(twice, ["key", "code"]).select(*_SPAN_COLUMNS), "spans"))
         if finer is None:  # one window a class: equal keys are equal contexts
             break
-        keys = Table(each.groupBy("key").agg(F.count(F.lit(1)).alias("d")).filter("d > 1"), "keys").df
+        keys = written(each.groupBy("key").agg(F.count(F.lit(1)).alias("d")).filter("d > 1"), "keys")
         few = each.join(keys.filter(F.col("d") <= SHARD_CONTEXTS).select("key"), "key", "left_semi").select("id1", "id2", "key", "first", "context")
         sharded = few.repartition("key").sortWithinPartitions("key")
-        found.append(Table(sharded.mapInPandas(_emit_spans, _SPANS), "spans").df)
+        found.append(written(sharded.mapInPandas(_emit_spans, _SPANS), "spans"))
         many = keys.filter(F.col("d") > SHARD_CONTEXTS)
         if many.isEmpty():
             break
         contexts = each.join(many.select("key"), "key", "left_semi").mapInPandas(_split_classes(finer), _CONTEXTS)
+    for table in done_with:
+        table.drop()
     spans = reduce(DataFrame.unionByName, found)
     listed = spans.groupBy("id1", "id2").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     done = rows.join(listed, ["id1", "id2"], "left").select("doc_id", "raw", "spans").mapInPandas(_cut, _RESULT)
