@@ -1,12 +1,16 @@
-"""Byte-level BPE encoding and decoding in Spark's higher-order functions.
+"""Byte-level BPE encoding and decoding: merges in Spark's higher-order functions.
 
 A word (a match of the splitting pattern) is an array of bytes; a fold merges
 the adjacent pair of the lowest rank, leftmost first, until no pair has a rank.
 Ranks are a literal: an array of buckets by crc32, so a look-up costs the same
-at any vocabulary size. The most frequent distinct words of the corpus, a
-bounded number, are folded once and become a second literal; any other word is
-folded where it occurs, so the bound never changes a result. Decoding looks up
-the bytes of each id and concatenates them.
+at any vocabulary size.
+
+The most frequent distinct words of the corpus, a bounded number, are folded
+once and travel to the workers as a table. A document's other distinct words
+are folded by the same expression in its own row, so the bound changes the
+time and never the result, and no text is shuffled. Around the fold, Arrow
+functions split texts and put the words' ids in order; decoding looks up the
+bytes of each id and concatenates them.
 """
 
 from __future__ import annotations
@@ -14,18 +18,21 @@ from __future__ import annotations
 import base64
 import json
 import zlib
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import text_or_empty, written
 
 BUCKETS = 1 << 16
-COMMON_WORDS = 1 << 16  # bound of the literal of words encoded once
+COMMON_WORDS = 1 << 19  # bound of the table of words encoded once, about 30 MB
 NO_RANK = 2**31 - 1
 _ENTRY = "struct<k:binary,r:int,h:string>"
-_WORD = "struct<w:string,i:string,d:string>"
 
 
 def _buckets(entries: list[tuple[bytes, dict]], n: int) -> list[list[dict]]:
@@ -104,37 +111,58 @@ class Codec:
         return _let(word.cast("binary"), fold)
 
     def _encoded(self, word: Column, literal: Column) -> Column:
-        """struct(w, i: hex of the ids, d: hex of the decoded bytes)."""
+        """Hex of a word's ids, little-endian and 32 bits each."""
         found = lambda parts: F.transform(parts, lambda p: _find(literal["ranks"], p, "k"))
 
-        def out(entries: Column) -> Column:
-            ids = F.array_join(F.transform(entries, lambda e: e["h"]), "")
-            decoded = F.array_join(F.transform(entries, lambda e: F.get(literal["pieces"], e["r"])), "")
-            return F.struct(word.alias("w"), ids.alias("i"), decoded.alias("d"))
-
+        out = lambda entries: F.array_join(F.transform(entries, lambda e: e["h"]), "")
         whole = _find(literal["ranks"], word.cast("binary"), "k")
         # tokens that are words need no merges
         return _let(whole, lambda e: F.when(e.isNotNull(), out(F.array(e))).otherwise(_let(found(self._merged(word, literal["ranks"])), out)))
 
-    def encode_words(self, words: DataFrame) -> DataFrame:
-        """words: (word), distinct. Adds word_code: struct(w, i, d)."""
-        return words.withColumn("code", _let(self.literal, lambda lit: self._encoded(F.col("word"), lit)))
-
-    def encode_texts(self, words: Column, common: list[dict]) -> Column:
-        """array of struct(w, i, d) for an array of words."""
-        buckets = _buckets([(e["w"].encode(), e) for e in common], BUCKETS)
-        table = F.from_json(F.lit(json.dumps({"common": buckets}, separators=(",", ":"))), f"common array<array<{_WORD}>>")
-
-        def of(both: Column) -> Column:
-            return F.transform(words, lambda w: F.coalesce(_find(both["t"]["common"], w, "w"), self._encoded(w, both["l"])))
-
-        return _let(F.struct(self.literal.alias("l"), table.alias("t")), of)
+    def encode_words(self, words: Column) -> Column:
+        """Hex of the ids of each of an array of words."""
+        return _let(self.literal, lambda lit: F.transform(words, lambda w: self._encoded(w, lit)))
 
     def decode(self, ids: Column) -> Column:
         """Bytes of an array of ids; ids outside the vocabulary add none."""
         return _let(self.literal, lambda lit: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(lit["pieces"], i)), "")))
 
 
+class Table:
+    """What workers need besides the fold: the pattern, the common words' ids
+    (as an Arrow stream, which each worker opens once) and the bytes of every id."""
+
+    def __init__(self, pattern: str, stream: bytes, ranks: dict[bytes, int]):
+        self.pattern, self.stream = pattern, stream
+        self.pieces = [b""] * (max(ranks.values()) + 1)
+        for k, r in ranks.items():
+            self.pieces[r] = k
+
+    @cached_property
+    def codes(self) -> dict[str, bytes]:
+        with pa.ipc.open_stream(self.stream) as found:
+            return {w: c for batch in found for w, c in zip(batch["word"].to_pylist(), batch["code"].to_pylist())}
+
+    @cached_property
+    def _find(self):
+        return regex.compile(self.pattern).findall
+
+    def words(self, text: str) -> list[str]:
+        return self._find(text)
+
+    def others(self, text: str) -> list[str]:
+        """The distinct words that are not common, in order."""
+        return [w for w in dict.fromkeys(self.words(text)) if w not in self.codes]
+
+    def ids(self, text: str, others: list[str], codes: list[str]) -> bytes:
+        own = dict(zip(others, map(bytes.fromhex, codes)))
+        common = self.codes.get
+        return b"".join([common(w) or own[w] for w in self.words(text)])
+
+    def decoded(self, ids: bytes) -> bytes:
+        return b"".join([self.pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
+
+
 def bpe(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", common_words: int = COMMON_WORDS) -> DataFrame:
     """One row for each row of docs: id_col, n_tokens, ids (little-endian
     unsigned 32-bit integers), decoded (the bytes that the ids stand for).
@@ -145,14 +173,33 @@ def bpe(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", t
     square of its own length. The rank file is read on the driver.
     """
     codec = Codec(rank_path)
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     # (?U): white space of all of Unicode, as the pattern's own engine has it
-    words = F.regexp_extract_all(text_or_empty(text_col), F.lit("(?U)" + pattern), F.lit(0))
-    rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("words"))
-    counted = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = F.regexp_extract_all("text", F.lit("(?U)" + pattern), F.lit(0))
+    counted = rows.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     top = written(counted.orderBy(F.desc("n"), "word").limit(common_words).select("word"), "words")
-    common = [r["code"].asDict() for r in codec.encode_words(top.repartition(docs.sparkSession.sparkContext.defaultParallelism)).select("code").collect()]
-    coded = rows.select("doc_id", codec.encode_texts(F.col("words"), common).alias("coded"))
-    ids = F.array_join(F.transform("coded", lambda x: x["i"]), "")
-    decoded = F.array_join(F.transform("coded", lambda x: x["d"]), "")
-    joined = coded.select("doc_id", ids.alias("i"), decoded.alias("d"))
-    return joined.select(F.col("doc_id").alias(id_col), (F.length("i") / 8).cast("bigint").alias("n_tokens"), F.unhex("i").alias("ids"), F.unhex("d").alias("decoded"))
+    dealt = top.repartition(spark.sparkContext.defaultParallelism * 4)
+    coded = dealt.select("word", F.unhex(codec.encode_words(F.array("word"))[0]).alias("code")).toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, coded.schema) as out:
+        out.write_table(coded)
+    sent = spark.sparkContext.broadcast(Table(pattern, sink.getvalue().to_pybytes(), codec.ranks))
+    del coded, sink
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sent.value.others(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.string()))], names=["doc_id", "text", "others"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [sent.value.ids(*row) for row in zip(*(b.column(c).to_pylist() for c in ("text", "others", "code")))]
+            columns = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(sent.value.decoded, ids), pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids", "decoded"])
+
+    split = rows.mapInArrow(others, f"doc_id {kind}, text string, others array<string>")
+    coded = split.withColumn("code", codec.encode_words(F.col("others")))
+    found = coded.mapInArrow(joined, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
+    return found.withColumnRenamed("doc_id", id_col)
