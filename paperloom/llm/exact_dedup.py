@@ -48,6 +48,7 @@ def _named(rows: DataFrame, keys: Callable[[], Column], bucket: Callable[[Column
     ordinals = _crowded(pairs)
     if ordinals is None:
         return rows.withColumn("names", F.transform(keys(), lambda k: F.struct(bucket(k).alias("a"), F.lit(0).alias("o"))).cast(f"array<{NAME}>"))
+    rows = written(rows, "rows")  # read twice below, with the same row numbers
     at = rows.select("rid", F.posexplode(keys()).alias("pos", "key")).withColumn("bucket", bucket(F.col("key")))
     name = F.struct("pos", F.col("bucket").alias("a"), F.coalesce("ordinal", F.lit(0)).alias("o"))
     found = at.join(ordinals, ["bucket", "key"], "left").groupBy("rid").agg(F.array_sort(F.collect_list(name)).alias("found"))
@@ -105,7 +106,8 @@ def exact_dedup(
     identity = ["n_bytes", "a", "o"]
     named = named.select("rid", "doc_id", "text_sha256", "n_bytes", F.col("names")[0]["a"].alias("a"), F.col("names")[0]["o"].alias("o"))
     groups = named.groupBy(*identity).agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return named.join(groups, identity).select(
+    # written first, so that the join stands on two exchanges and a large group may be split
+    return named.join(written(groups, "groups"), identity).select(
         F.col("doc_id").alias(id_col),
         F.col("best.doc_id").alias("keep_id"),
         "group_size",
