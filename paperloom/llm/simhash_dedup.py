@@ -3,9 +3,14 @@
 Fingerprints that differ in at most 4 of 64 bits are linked. Cut into 3
 segments (fewer than the 5 that would force an equal one), such a pair has a
 segment that differs in at most one bit. Each distinct fingerprint is indexed
-under every segment with one bit as a wildcard (64 signatures); a segment that
-differs in one bit or none shares a signature, so an equality join finds every
-linked pair, and the bits verify it.
+under every segment as it is and with each of its bits as a wildcard.
+
+A segment alone has few values, so buckets of unrelated fingerprints would grow
+with the square of the corpus. The other bits tell them apart: if the segment is
+equal, they hold at most 4 differences, and one of 5 pieces is equal; if it
+differs in one bit, they hold at most 3, and one of 4 pieces is. A signature is
+a segment variant with one such piece, over 30 bits. An equality join finds
+every linked pair, and the bits verify it.
 
 Groups of near copies make full buckets. Chains come first: within a bucket
 each fingerprint is compared with its neighbour and with the first. Pairs are
@@ -15,7 +20,7 @@ does not emit its square.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -62,25 +67,36 @@ def _fingerprints(words: int):
     return F.pandas_udf(of, "long")
 
 
-def signatures(fp: Column) -> Column:
-    """One long for each of the 64 one-wildcard segment variants."""
+def signature_masks(most_bits: int = MOST_BITS) -> list[int]:
+    """The bits that each signature keeps of a fingerprint."""
+
+    def pieces(bits: list[int], n: int) -> Iterator[int]:
+        for i in range(n):
+            yield sum(1 << b for b in bits[i * len(bits) // n : (i + 1) * len(bits) // n])
+
+    out = []
+    for low, n in SEGMENTS:
+        segment = ((1 << n) - 1) << low
+        rest = [b for b in range(64) if not segment >> b & 1]
+        out += [segment | p for p in pieces(rest, most_bits + 1)]
+        out += [segment & ~(1 << b) | p for b in range(low, low + n) for p in pieces(rest, max(1, most_bits))]
+    return out
 
-    def variants() -> Iterable[Column]:
-        for low, bits in SEGMENTS:
-            value = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-            for bit in range(bits):
-                yield F.lit((low + bit) << 22).cast("long").bitwiseOR(value.bitwiseAND(F.lit(((1 << bits) - 1) & ~(1 << bit)).cast("long")))
 
-    return F.array(*variants())
+def signatures(fp: Column, most_bits: int = MOST_BITS) -> Column:
+    """One long for each signature: a hash of its number and the bits it keeps.
+    (Hashes that meet by chance only add pairs to verify.)"""
+    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in signature_masks(most_bits)])
+    return F.transform(masks, lambda m, i: F.xxhash64(i, fp.bitwiseAND(m)))
 
 
 def near_links(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """prints: (fp), distinct. Returns links (u, v) whose components are those
-    of all pairs that differ in at most most_bits (4 at most) bits."""
-    if not 0 <= most_bits <= 4:
-        raise ValueError("three segments find pairs of up to 4 differing bits")
+    of all pairs that differ in at most most_bits (5 at most) bits."""
+    if not 0 <= most_bits <= 5:
+        raise ValueError("three segments find pairs of up to 5 differing bits")
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= most_bits
-    sigs = prints.select(F.explode(signatures(F.col("fp"))).alias("sig"), "fp")
+    sigs = prints.select(F.explode(signatures(F.col("fp"), most_bits)).alias("sig"), "fp")
     bucket = Window.partitionBy("sig").orderBy("fp")
     chained = sigs.select("sig", "fp", F.lag("fp").over(bucket).alias("prev"), F.lead("fp").over(bucket).alias("next"), F.first("fp").over(bucket).alias("head"))
     full = Table(chained.filter(F.col("prev").isNotNull() | F.col("next").isNotNull()).drop("next"), "buckets").df
