@@ -56,3 +56,39 @@ def test_stages_do_what_they_say(spark, tmp_path):
         assert r["n_tokens"] == len(encoding.encode_ordinary(text[r["doc_id"]]))
         assert r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest()
     assert cp.run(spark, str(tmp_path)).count() == sum(mix.values())
+
+
+def _jaccard(a, b, words=5):
+    def of(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+
+    a, b = of(a), of(b)
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_stage_equals_brute_force_jaccard(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    line = " ".join(word() for _ in range(12))
+    rows = []
+    for i in range(0, 90, 3):
+        w = [word() for _ in range(r.choice((3, 40, 90, 200)))]
+        for k in range(3):
+            copy = list(w)
+            for _ in range(r.randint(0, 1 + len(w) // 45) if k else 0):
+                copy[r.randrange(len(w))] = word()
+            rows.append((i + k, " ".join(copy) + (" " + line if i % 2 else ""), "aa", "s", 1))
+    rows += [(90, None, "aa", "s", 0), (91, " ", "aa", "s", 0), (92, rows[5][1].upper(), "aa", "s", 1)]
+    r.shuffle(rows)
+    label, far = {x[0]: x[0] for x in rows}, 0
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and _jaccard(a[1], b[1]) >= 0.8:
+                far += (fingerprint(a[1] or "") ^ fingerprint(b[1] or "")).bit_count() > 4
+                least, most = sorted((label[a[0]], label[b[0]]))
+                label = {i: least if x == most else x for i, x in label.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = cp.near_dedup_stage(spark, docs, "").collect()
+    assert sorted(x["doc_id"] for x in got) == sorted(set(label.values()))
+    assert far > 10 and len(set(label.values())) < 80
