@@ -70,6 +70,7 @@ def pareto_mix(
     share: float = SHARE,
     most: int = MOST_COPIES,
     bins: int = BINS,
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row for each row of docs: id_col, source_col, size, source_size,
     target, copies, taken.
@@ -79,9 +80,11 @@ def pareto_mix(
     copies between 0 and most. Documents without words take none. Equal ranks
     (repeated ids) are ordered by size; repeated rows count one by one. An
     empty table gives an empty result, a corpus without words targets of 0.
+    row_col names a unique, written number of each row, which is then returned
+    as well.
     """
     size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("bigint")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    rows = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("rid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
     rows = Table(rows, "sizes").df
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sizes, weights, share, most)
@@ -121,6 +124,7 @@ def pareto_mix(
     picked = told.join(chosen.unionByName(last).withColumn("hit", F.lit(1)), "rid", "left")
     copies = F.when(F.col("size") > 0, F.least(F.lit(most).cast("bigint"), F.col("sure") + F.when(extra, 1).otherwise(0))).otherwise(F.lit(0).cast("bigint"))
     return picked.withColumn("copies", copies).select(
+        *([F.col("rid").alias(row_col)] if row_col else []),
         F.col("doc_id").alias(id_col),
         F.col("source").alias(source_col),
         "size",

@@ -92,3 +92,24 @@ def test_near_dedup_stage_equals_brute_force_jaccard(spark):
     got = cp.near_dedup_stage(spark, docs, "").collect()
     assert sorted(x["doc_id"] for x in got) == sorted(set(label.values()))
     assert far > 10 and len(set(label.values())) < 80
+
+
+def test_stages_decide_by_row_where_ids_repeat_or_are_null(spark, tmp_path):
+    r = random.Random(6)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(4)) for _ in range(n))
+    a, b, c, d = (text(60) for _ in range(4))
+    rows = [(None, a), (None, a + " more"), (5, b), (5, c), (1, c + " more"), (None, d), (7, d + " more")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows, source: spark.createDataFrame([(i, t, "aa", source, len(t)) for i, t in rows], schema).repartition(3)
+    got = sorted((x["text"] for x in cp.near_dedup_stage(spark, frame(rows, "s"), "").collect()))
+    assert got in (sorted([x, b, c + " more", d + " more"]) for x in (a, a + " more"))
+    rows = [(r.choice([1, 2, 3, None]), text(n)) for n in range(1, 60)]
+    docs = frame(rows, "s0").unionByName(frame([(i, t + " z") for i, t in rows], "s1")).unionByName(frame([(9, text(900))], "s2"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    want = collections.Counter()
+    for x in cp.pareto_mix(docs).collect():
+        want[x["doc_id"], x["source"], x["size"]] += x["copies"]
+    got = collections.Counter((x["doc_id"], x["source"], len(x["text"].split())) for x in cp.mixing_stage(spark, docs, "").collect())
+    assert got == +want
+    assert len({n for (i, s, _), n in want.items() if i == 1 and s == "s0"}) > 1 or len({n for (i, s, _), n in want.items() if i == 1 and s == "s1"}) > 1
