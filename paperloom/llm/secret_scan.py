@@ -11,6 +11,8 @@ two questions.
 * Could ordinary writing look as uniform? Its chi-squared statistic is about
   noncentral, with a noncentrality that grows with the run's length, which
   gives a p-value that accounts for length: short runs cannot reach small ones.
+  Digits and hex digits are compared with ordinary numbers (dates, counters,
+  ids), which favour few symbols, for ordinary letters tell nothing of them.
 
 The false-discovery rate over the second p-values is held by Benjamini and
 Hochberg's step-up rule in strata of encoding and length, over all documents.
@@ -53,6 +55,7 @@ ENCODINGS = (
 LEAST_LENGTH = 20  # below this no run can be told from ordinary writing
 CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST_LENGTH},}}"
 LETTER_CONCENTRATION = 0.065  # sum of squared letter shares in ordinary writing
+NUMBER_CONCENTRATION = {"decimal": 0.25, "hex": 0.2, "hex_upper": 0.2}  # the same of digits in ordinary numbers
 ALPHA = 0.001  # a run is not random if the battery's p-value is below
 FDR = 0.01
 BINS_PER_DECADE, MOST_BIN = 20, 600
@@ -111,7 +114,9 @@ def normal_cdf(z: Column) -> Column:
 
 
 def _battery(run: Column) -> Column:
-    """struct(enc, n, bin, random) of a run; null where no alphabet covers it."""
+    """struct(enc, size, bin, tested_bin, random) of a run; null where no
+    alphabet covers it. bin is of the p-value against letters, tested_bin of the
+    one that the step-up rule takes."""
     enc = reduce(lambda rest, e: F.when(run.rlike(e[1]), F.lit(e[0])).otherwise(rest), reversed(ENCODINGS), F.lit(None).cast("string"))
     alphabet = reduce(lambda rest, e: F.when(run.rlike(e[1]), F.lit(e[2])).otherwise(rest), reversed(ENCODINGS), F.lit(None).cast("string"))
     first = F.struct(run.alias("t"), enc.alias("enc"), alphabet.alias("alphabet"))
@@ -135,11 +140,16 @@ def _battery(run: Column) -> Column:
         df, n = x["k"] - 1, x["n"]
         z_chi = (F.cbrt(x["chi2"] / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
         total = F.pow(F.greatest(z_chi, F.lit(0.0)), F.lit(2.0)) + x["zr"] * x["zr"] + x["zs"] * x["zs"]
-        far = n * F.greatest(x["k"] * LETTER_CONCENTRATION - 1, F.lit(0.0))
-        p = normal_cdf((x["chi2"] - (df + far)) / F.sqrt(2 * (df + 2 * far)))
-        place = F.least(F.lit(MOST_BIN), F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * BINS_PER_DECADE)).cast("int")
+
+        def place(concentration: float) -> Column:
+            far = n * F.greatest(x["k"] * concentration - 1, F.lit(0.0))
+            p = normal_cdf((x["chi2"] - (df + far)) / F.sqrt(2 * (df + 2 * far)))
+            return F.least(F.lit(MOST_BIN), F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * BINS_PER_DECADE)).cast("int")
+
+        letters = place(LETTER_CONCENTRATION)
+        tested = reduce(lambda rest, e: F.when(x["enc"] == e[0], place(e[1])).otherwise(rest), NUMBER_CONCENTRATION.items(), letters)
         size = reduce(lambda rest, i: F.when(n < LENGTH_EDGES[i], F.lit(i)).otherwise(rest), reversed(range(len(LENGTH_EDGES))), F.lit(len(LENGTH_EDGES)))
-        return F.struct(x["enc"].alias("enc"), size.alias("size"), place.alias("bin"), (total <= BATTERY_LIMIT).alias("random"))
+        return F.struct(x["enc"].alias("enc"), size.alias("size"), letters.alias("bin"), tested.alias("tested_bin"), (total <= BATTERY_LIMIT).alias("random"))
 
     out = first
     for f in (index, stats, verdict):  # one-element arrays bind each step's values once
@@ -176,7 +186,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seen = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *[c.alias(k) for k, c in base], runs.alias("runs"))
     seen = seen.select("rid", "doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k, _ in base], _spans([(k, F.col(k)) for k, _ in base]).alias("base"), F.filter("runs", lambda x: x["b"]["enc"].isNotNull() & x["b"]["random"]).alias("runs"), F.transform("runs", lambda x: x["b"]).alias("tested"))
     seen = Table(seen, "secrets").df
-    least = _thresholds(seen.select(F.explode("tested").alias("t")).select("t.*").filter(F.col("enc").isNotNull()), fdr)
+    least = _thresholds(seen.select(F.explode("tested").alias("t")).select("t.enc", "t.size", F.col("t.tested_bin").alias("bin")).filter(F.col("enc").isNotNull()), fdr)
     # a bounded lookup (63 strata), so it may be a map that travels with each task
     table = least.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "enc", "size"), "least"))).alias("t"))
     limits = {k: v for k, v in (table.first()[0] or {}).items()}
@@ -185,7 +195,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def added(x: Column) -> Column:
         key = F.concat_ws(":", x["b"]["enc"], x["b"]["size"].cast("string"))
         clear = ~F.exists("base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
-        return F.coalesce((x["b"]["bin"] >= lookup[key]) & clear, F.lit(False))
+        return F.coalesce((x["b"]["tested_bin"] >= lookup[key]) & clear, F.lit(False))
 
     extra = F.transform(F.filter("runs", added), lambda x: F.struct(x["s"].alias("s"), F.lit(len(base)).alias("k"), x["e"].alias("e"), F.lit("random").alias("kind"))).cast(f"array<{_SPAN}>")
     return seen.withColumn("extra", extra).select(

@@ -219,3 +219,18 @@ def test_viterbi_equals_brute_force():
 
     best = max(itertools.product((0, 1), repeat=len(page)), key=score)
     assert math.isclose(score(tuple(model.viterbi(page))), score(best)) and struct.calcsize("<I") == 4
+
+
+def test_random_digits_and_hex_digits_are_reported(spark):
+    r = random.Random(8)
+    run = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    planted = [("0123456789ABCDEF", n) for n in (32, 40, 64)] + [("0123456789abcdef", n) for n in (20, 23)] + [("0123456789", 21), ("0123456789", 23)]
+    rows = [(k, "see " + run(*planted[k % len(planted)]) + " there") for k in range(20 * len(planted))]
+    date = lambda: f"{r.randint(1995, 2026)}{r.randint(1, 12):02d}{r.randint(1, 28):02d}"
+    plain = [date() + date() + "120000", "10011002100310041005", str(r.randint(1, 10**8)).zfill(22), "7" * 20, "00FF" * 10]
+    rows += [(1000 + k, f"see {t} there") for k, t in enumerate(plain)]
+    got = {x["doc_id"]: x["n_random"] for x in ss.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, p in enumerate(planted):
+        found = sum(got[k] for k in range(i, 20 * len(planted), len(planted)))
+        assert found >= (12 if p[0] == "0123456789" else 16), (p, found)
+    assert all(got[1000 + k] == 0 for k in range(len(plain)))
