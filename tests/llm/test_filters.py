@@ -234,3 +234,20 @@ def test_random_digits_and_hex_digits_are_reported(spark):
         found = sum(got[k] for k in range(i, 20 * len(planted), len(planted)))
         assert found >= (12 if p[0] == "0123456789" else 16), (p, found)
     assert all(got[1000 + k] == 0 for k in range(len(plain)))
+
+
+def test_sampling_of_a_class_does_not_move_the_decision(spark):
+    r = random.Random(5)
+    rows = []
+    for i in range(3000):
+        bad = i % 10 == 0
+        words = [r.choice(("tree", "house", "river", "stone")) for _ in range(8)]
+        if r.random() < (0.8 if bad else 0.2):
+            words.append("darn")
+        rows.append((i, " ".join(words), int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").cache()
+    texts = ["tree darn house", "river stone"]
+    whole, part = (tx.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), most) for most in (5000, 300))
+    logit = lambda m, t: math.log(m.score(t) / (1 - m.score(t)))
+    assert all(abs(logit(whole, t) - logit(part, t)) < 0.6 for t in texts)
+    assert sum(whole.score(t) >= 0.5 for _, t, y in rows if not y) == sum(part.score(t) >= 0.5 for _, t, y in rows if not y)
