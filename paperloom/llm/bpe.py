@@ -5,32 +5,45 @@ the adjacent pair of the lowest rank, leftmost first, until no pair has a rank.
 Ranks are a literal: an array of buckets by crc32, so a look-up costs the same
 at any vocabulary size.
 
-The most frequent distinct words of the corpus, a bounded number, are folded
-once and travel to the workers as a table. A document's other distinct words
-are folded by the same expression in its own row, so the bound changes the
-time and never the result, and no text is shuffled. Around the fold, Arrow
-functions split texts and put the words' ids in order; decoding looks up the
-bytes of each id and concatenates them.
+Each distinct word of the corpus is folded once, whatever its frequency:
+
+1. An Arrow function splits texts once and packs documents into chunks of a
+   bounded number of bytes: a chunk is its distinct words, and its documents as
+   numbers of words, compressed. Chunks are all that is kept of the texts.
+2. (chunk, number, word) rows meet by word - a word has one row a chunk, however
+   often it occurs - and the first of each word folds it for the others.
+3. The codes go back to their chunks, where documents become ids by array
+   look-ups, and ids become the pieces of bytes that they stand for.
+
+Words of more than LONG bytes, whose fold would take the square of their
+length, are merged by the same rule with a heap, inside their chunk.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
-from .shared import text_or_empty, written
+from .shared import text_or_empty
 
 BUCKETS = 1 << 16
-COMMON_WORDS = 1 << 19  # bound of the table of words encoded once, about 30 MB
+CHUNK_BYTES = 1 << 24  # text of a chunk, unless one document has more
+ROWS = 1 << 15  # rows of an Arrow batch of words
+LONG = 256  # bytes of the longest word that is folded
 NO_RANK = 2**31 - 1
 _ENTRY = "struct<k:binary,r:int,h:string>"
 
@@ -66,11 +79,11 @@ class Codec:
         self.path, self.ranks = path, read_ranks(path)
         entries = [(k, {"k": base64.b64encode(k).decode(), "r": r, "h": r.to_bytes(4, "little").hex()}) for k, r in self.ranks.items()]
         size = max(self.ranks.values()) + 1
-        pieces = [None] * size
+        self.pieces = [b""] * size
         for k, r in self.ranks.items():
-            pieces[r] = k.hex()
+            self.pieces[r] = k
         schema = f"ranks array<array<{_ENTRY}>>, pieces array<string>"
-        self.literal = F.from_json(F.lit(json.dumps({"ranks": _buckets(entries, BUCKETS), "pieces": pieces}, separators=(",", ":"))), schema)
+        self.literal = F.from_json(F.lit(json.dumps({"ranks": _buckets(entries, BUCKETS), "pieces": [k.hex() for k in self.pieces]}, separators=(",", ":"))), schema)
 
     @staticmethod
     def _merged(word: Column, ranks: Column) -> Column:
@@ -119,87 +132,184 @@ class Codec:
         # tokens that are words need no merges
         return _let(whole, lambda e: F.when(e.isNotNull(), out(F.array(e))).otherwise(_let(found(self._merged(word, literal["ranks"])), out)))
 
-    def encode_words(self, words: Column) -> Column:
-        """Hex of the ids of each of an array of words."""
-        return _let(self.literal, lambda lit: F.transform(words, lambda w: self._encoded(w, lit)))
+    def encode(self, word: Column) -> Column:
+        """Ids of a word, little-endian and 32 bits each."""
+        return F.unhex(_let(self.literal, lambda lit: self._encoded(word, lit)))
 
     def decode(self, ids: Column) -> Column:
         """Bytes of an array of ids; ids outside the vocabulary add none."""
         return _let(self.literal, lambda lit: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(lit["pieces"], i)), "")))
 
 
-class Table:
-    """What workers need besides the fold: the pattern, the common words' ids
-    (as an Arrow stream, which each worker opens once) and the bytes of every id."""
-
-    def __init__(self, pattern: str, stream: bytes, ranks: dict[bytes, int]):
-        self.pattern, self.stream = pattern, stream
-        self.pieces = [b""] * (max(ranks.values()) + 1)
-        for k, r in ranks.items():
-            self.pieces[r] = k
-
-    @cached_property
-    def codes(self) -> dict[str, bytes]:
-        with pa.ipc.open_stream(self.stream) as found:
-            return {w: c for batch in found for w, c in zip(batch["word"].to_pylist(), batch["code"].to_pylist())}
-
-    @cached_property
-    def _find(self):
-        return regex.compile(self.pattern).findall
-
-    def words(self, text: str) -> list[str]:
-        return self._find(text)
-
-    def others(self, text: str) -> list[str]:
-        """The distinct words that are not common, in order."""
-        return [w for w in dict.fromkeys(self.words(text)) if w not in self.codes]
-
-    def ids(self, text: str, others: list[str], codes: list[str]) -> bytes:
-        own = dict(zip(others, map(bytes.fromhex, codes)))
-        common = self.codes.get
-        return b"".join([common(w) or own[w] for w in self.words(text)])
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> bytes:
+    """Ids of a word by the rule of the fold, in n log n: pairs wait in a heap
+    by (rank, place); parts are linked to their neighbours."""
+    n = len(word)
+    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j < n and (rank := ranks.get(word[i : end[j]])) is not None:
+            heapq.heappush(heap, (rank, i, end[j]))
+
+    for i in range(n):
+        offer(i)
+    while heap:
+        _, i, to = heapq.heappop(heap)
+        j = after[i] if end[i] else n
+        if j >= n or end[j] != to:  # one of the parts is another by now
+            continue
+        end[i], after[i], end[j] = to, after[j], 0
+        if after[j] < n:
+            before[after[j]] = i
+        offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    out, i = array("I"), 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = after[i]
+    return np.array(out, "<u4").tobytes()
+
+
+class Chunk:
+    """Documents as numbers of the chunk's distinct words."""
+
+    def __init__(self):
+        self.ids: list = []
+        self.sizes: list[int] = []
+        self.symbols = array("I")
+        self.bytes = 0
+        self.index = _Numbers()
+
+    def add(self, doc_id, text: str, words: list[str]) -> None:
+        self.ids.append(doc_id)
+        self.sizes.append(len(words))
+        self.symbols.extend(map(self.index.__getitem__, words))
+        self.bytes += len(text)
+
+    def packed(self, kind: pa.DataType, ranks: dict[bytes, int]) -> bytes:
+        """An Arrow stream of one row. Frequent words get small numbers, and the
+        numbers' bytes are laid out by place, so that they compress."""
+        symbols = np.frombuffer(self.symbols, np.uint32)
+        order = np.argsort(-np.bincount(symbols, minlength=len(self.index)), kind="stable")
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        planes = np.ascontiguousarray(place[symbols].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+        words = list(self.index)
+        words = [words[i] for i in order.tolist()]
+        short = [w if len(w) <= LONG // 4 or len(w.encode()) <= LONG else None for w in words]
+        long = [merge_long(w.encode(), ranks) for w, s in zip(words, short) if s is None]
+        row = {"ids": pa.array([self.ids], pa.list_(kind)), "sizes": pa.array([self.sizes], pa.list_(pa.int64())), "planes": pa.array([planes], pa.large_binary()), "words": pa.array([short], pa.list_(pa.string())), "long": pa.array([long], pa.list_(pa.binary()))}
+        batch, sink = pa.record_batch(row), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        return sink.getvalue().to_pybytes()
+
+
+class _Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _unpacked(payload) -> dict[str, pa.Array]:
+    """Each column's one value, as an array (planes: as bytes)."""
+    with pa.ipc.open_stream(payload) as stream:
+        batch = stream.read_next_batch()
+    return {name: column[0].as_py() if name == "planes" else column.flatten() for name, column in zip(batch.schema.names, batch.columns)}
+
+
+_CHUNKS = "chunk long, payload binary"
+
+
+def _split(pattern: str, kind: pa.DataType, ranks: dict[bytes, int], most: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, n, chunk = regex.compile(pattern).findall, 0, Chunk()
+        first = TaskContext.get().partitionId() << 32
+
+        def row() -> pa.RecordBatch:
+            return pa.record_batch({"chunk": pa.array([first + n], pa.int64()), "payload": pa.array([chunk.packed(kind, ranks)], pa.binary())})
 
-    def decoded(self, ids: bytes) -> bytes:
-        return b"".join([self.pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
-
-
-def bpe(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", common_words: int = COMMON_WORDS) -> DataFrame:
+        for b in batches:
+            for doc_id, text in zip(b.column("doc_id"), b.column("text")):
+                text = text.as_py()
+                chunk.add(doc_id.as_py(), text, find(text))
+                if chunk.bytes >= most:
+                    yield row()
+                    n, chunk = n + 1, Chunk()
+        if chunk.ids:
+            yield row()
+
+    return of
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks -> (chunk, number, word) of the words that are to be folded."""
+    for b in batches:
+        for chunk, payload in zip(b.column("chunk").to_pylist(), b.column("payload")):
+            words = _unpacked(payload.as_buffer())["words"]
+            for at in range(0, len(words), ROWS):
+                some = words.slice(at, ROWS)
+                numbers = pa.array(np.arange(at, at + len(some), dtype=np.int32))
+                yield pa.record_batch({"chunk": pa.array(np.full(len(some), chunk)), "number": numbers, "word": some}).filter(some.is_valid())
+
+
+def _joined(kind: pa.DataType, pieces: list[bytes], per_batch: int):
+    def of(chunks: pa.Table, codes: pa.Table) -> pa.Table:
+        schema = pa.schema([("doc_id", kind), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
+        out = []
+        for payload in chunks.column("payload"):
+            got = _unpacked(payload.as_buffer())
+            code: list[bytes | None] = [None] * len(got["words"])
+            for number, c in zip(codes.column("number").to_pylist(), codes.column("code").to_pylist()):
+                code[number] = c
+            for number, c in zip(np.flatnonzero(~got["words"].is_valid().to_numpy(False)).tolist(), got["long"].to_pylist()):
+                code[number] = c
+            lengths = np.fromiter((len(c) // 4 for c in code), np.int64, len(code))
+            starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(code), "<u4")
+            symbols = np.ascontiguousarray(np.frombuffer(got["planes"], np.uint8).reshape(4, -1).T).view("<u4").ravel()
+            ends = np.cumsum(got["sizes"].to_numpy())
+            rows, held = [], 0
+            for i, (end, size) in enumerate(zip(ends.tolist(), got["sizes"].to_pylist())):
+                s = symbols[end - size : end]
+                n = lengths[s]
+                upto = np.cumsum(n)
+                ids = flat[np.repeat(starts[s] - upto + n, n) + np.arange(upto[-1] if size else 0)]
+                rows.append((len(ids), ids.tobytes(), b"".join([pieces[k] for k in ids.tolist()])))
+                held += 4 * len(ids)
+                if held >= per_batch or i + 1 == len(ends):
+                    columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types[1:])]
+                    out.append(pa.RecordBatch.from_arrays([got["ids"].slice(i + 1 - len(rows), len(rows)), *columns], schema=schema))
+                    rows, held = [], 0
+        return pa.Table.from_batches(out, schema)
+
+    return of
+
+
+def bpe(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row for each row of docs: id_col, n_tokens, ids (little-endian
     unsigned 32-bit integers), decoded (the bytes that the ids stand for).
 
     Null and empty texts have no tokens. Special tokens are not treated as
     such. Repeated rows get equal rows; an empty table gives an empty result;
-    other columns are ignored. A word is merged in time that grows with the
-    square of its own length. The rank file is read on the driver.
+    other columns are ignored, whatever their names. Texts may be as long as a
+    row of Spark holds; a word of any length is merged in n log n. The rank
+    file is read on the driver. chunk_bytes changes time and memory only.
     """
     codec = Codec(rank_path)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    # (?U): white space of all of Unicode, as the pattern's own engine has it
-    words = F.regexp_extract_all("text", F.lit("(?U)" + pattern), F.lit(0))
-    counted = rows.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = written(counted.orderBy(F.desc("n"), "word").limit(common_words).select("word"), "words")
-    dealt = top.repartition(spark.sparkContext.defaultParallelism * 4)
-    coded = dealt.select("word", F.unhex(codec.encode_words(F.array("word"))[0]).alias("code")).toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, coded.schema) as out:
-        out.write_table(coded)
-    sent = spark.sparkContext.broadcast(Table(pattern, sink.getvalue().to_pybytes(), codec.ranks))
-    del coded, sink
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [sent.value.others(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.string()))], names=["doc_id", "text", "others"])
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [sent.value.ids(*row) for row in zip(*(b.column(c).to_pylist() for c in ("text", "others", "code")))]
-            columns = [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(sent.value.decoded, ids), pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids", "decoded"])
-
-    split = rows.mapInArrow(others, f"doc_id {kind}, text string, others array<string>")
-    coded = split.withColumn("code", codec.encode_words(F.col("others")))
-    found = coded.mapInArrow(joined, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
+    kind = to_arrow_type(rows.schema["doc_id"].dataType)
+    ranks, pieces = spark.sparkContext.broadcast(codec.ranks), spark.sparkContext.broadcast(codec.pieces)
+    # both uses below read the same exchange, so texts are split once
+    chunks = rows.mapInArrow(lambda batches: _split(pattern, kind, ranks.value, chunk_bytes)(batches), _CHUNKS).repartition("chunk")
+    words = chunks.mapInArrow(_words, "chunk long, number int, word string")
+    first = Window.partitionBy("word").orderBy("chunk")
+    folded = words.withColumn("nth", F.row_number().over(first)).withColumn("folded", F.when(F.col("nth") == 1, codec.encode(F.col("word"))))
+    codes = folded.select("chunk", "number", F.first("folded").over(first).alias("code"))
+    join = lambda left, right: _joined(kind, pieces.value, 1 << 22)(left, right)
+    schema = rows.select("doc_id").schema.add("n_tokens", "long").add("ids", "binary").add("decoded", "binary")
+    found = chunks.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(join, schema)
     return found.withColumnRenamed("doc_id", id_col)

@@ -9,7 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from paperloom.llm import topk_search as ts
-from paperloom.llm.bpe import Codec, bpe, read_ranks
+from paperloom.llm.bpe import Codec, bpe, merge_long, read_ranks
 from paperloom.llm.mixing import pareto_mix, targets
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -101,10 +101,10 @@ def _encoding():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
 
 
-@pytest.mark.parametrize("common", [1, 1000])
-def test_bpe_equals_the_library_and_round_trips(spark, common):
+@pytest.mark.parametrize("chunk_bytes", [1, 40, 1 << 24])
+def test_bpe_equals_the_library_and_round_trips(spark, chunk_bytes):
     rows = [(i, t, [1]) for i, t in enumerate(TEXTS)] + [(2, TEXTS[2], [1]), (None, "x y", [1])]
-    got = bpe(spark.createDataFrame(rows, "doc_id long, text string, ids array<int>"), RANKS, P.PATTERN, common_words=common).collect()
+    got = bpe(spark.createDataFrame(rows, "doc_id long, text string, ids array<int>"), RANKS, P.PATTERN, chunk_bytes=chunk_bytes).collect()
     assert len(got) == len(rows)
     for r in got:
         text = "x y" if r["doc_id"] is None else TEXTS[r["doc_id"]] or ""
@@ -117,3 +117,17 @@ def test_bpe_of_nothing_and_decoding(spark):
     assert bpe(spark.createDataFrame([], "doc_id long, text string"), RANKS, P.PATTERN).count() == 0
     ids = _encoding().encode_ordinary("Grüße, world")
     assert bytes(spark.range(1).select(Codec(RANKS).decode(F.array(*map(F.lit, ids))).alias("x")).first()["x"]).decode() == "Grüße, world"
+
+
+def test_bpe_of_long_words_and_texts(spark):
+    r = random.Random(4)
+    ranks = read_ranks(RANKS)
+    for n in (1, 2, 60, 300, 4000):
+        word = "".join(r.choice("aeiouthnrsé") for _ in range(n))
+        ids = _encoding().encode_ordinary(word)
+        assert merge_long(word.encode(), ranks) == struct.pack(f"<{len(ids)}I", *ids)
+    texts = ["".join(r.choice("aeiouthnrsé") for _ in range(100_000)), "many words of it, " * 60_000]
+    got = bpe(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS, P.PATTERN).collect()
+    for row in got:
+        ids = _encoding().encode_ordinary(texts[row["doc_id"]])
+        assert bytes(row["ids"]) == struct.pack(f"<{len(ids)}I", *ids) and bytes(row["decoded"]) == texts[row["doc_id"]].encode()
