@@ -32,6 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +42,9 @@ from pyspark.sql.window import Window
 from .shared import text_or_empty
 
 BUCKETS = 1 << 16
-CHUNK_BYTES = 1 << 24  # text of a chunk, unless one document has more
+CHUNK_BYTES = 1 << 25  # text of a chunk, unless one document has more
 ROWS = 1 << 15  # rows of an Arrow batch of words
+HELD_ROWS = 1 << 20  # codes that a worker sorts by chunk at a time
 LONG = 256  # bytes of the longest word that is folded
 NO_RANK = 2**31 - 1
 _ENTRY = "struct<k:binary,r:int,h:string>"
@@ -173,6 +175,27 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> bytes:
     return np.array(out, "<u4").tobytes()
 
 
+def _pack(*parts: bytes) -> bytes:
+    sizes = np.array([len(parts), *map(len, parts)], "<u8").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([sizes, *parts]))
+
+
+def _unpack(packed) -> list[memoryview]:
+    data = memoryview(zstandard.ZstdDecompressor().decompress(packed))
+    n = int.from_bytes(data[:8], "little")
+    ends = np.cumsum(np.frombuffer(data, "<u8", n + 1)[1:].astype(np.int64)) + 8 * (n + 1)
+    return [data[b:e] for b, e in zip([8 * (n + 1), *ends[:-1].tolist()], ends.tolist())]
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit numbers with their bytes laid out by place, so that they compress."""
+    return b"".join([((values >> np.uint32(8 * k)) & np.uint32(255)).astype(np.uint8).tobytes() for k in range(4)])
+
+
+def _numbers(planes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 class Chunk:
     """Documents as numbers of the chunk's distinct words."""
 
@@ -190,22 +213,22 @@ class Chunk:
         self.bytes += len(text)
 
     def packed(self, kind: pa.DataType, ranks: dict[bytes, int]) -> bytes:
-        """An Arrow stream of one row. Frequent words get small numbers, and the
-        numbers' bytes are laid out by place, so that they compress."""
+        """Frequent words get small numbers. Words that are too long to be
+        folded are merged here and have length 0."""
         symbols = np.frombuffer(self.symbols, np.uint32)
         order = np.argsort(-np.bincount(symbols, minlength=len(self.index)), kind="stable")
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
-        planes = np.ascontiguousarray(place[symbols].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
         words = list(self.index)
-        words = [words[i] for i in order.tolist()]
-        short = [w if len(w) <= LONG // 4 or len(w.encode()) <= LONG else None for w in words]
-        long = [merge_long(w.encode(), ranks) for w, s in zip(words, short) if s is None]
-        row = {"ids": pa.array([self.ids], pa.list_(kind)), "sizes": pa.array([self.sizes], pa.list_(pa.int64())), "planes": pa.array([planes], pa.large_binary()), "words": pa.array([short], pa.list_(pa.string())), "long": pa.array([long], pa.list_(pa.binary()))}
-        batch, sink = pa.record_batch(row), pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_batch(batch)
-        return sink.getvalue().to_pybytes()
+        words = [words[i].encode() for i in order.tolist()]
+        lengths = np.fromiter(map(len, words), np.uint32, len(words))
+        long = np.flatnonzero(lengths > LONG).tolist()
+        codes = [merge_long(words[i], ranks) for i in long]
+        for i in long:
+            words[i], lengths[i] = b"", 0
+        ids = pa.record_batch({"id": pa.array(self.ids, kind)}).serialize().to_pybytes()
+        sizes = np.array(self.sizes, np.int64).tobytes()
+        return _pack(ids, sizes, _planes(place[symbols]), _planes(lengths), b"".join(words), np.array(list(map(len, codes)), np.int64).tobytes(), b"".join(codes))
 
 
 class _Numbers(dict):
@@ -214,13 +237,6 @@ class _Numbers(dict):
         return n
 
 
-def _unpacked(payload) -> dict[str, pa.Array]:
-    """Each column's one value, as an array (planes: as bytes)."""
-    with pa.ipc.open_stream(payload) as stream:
-        batch = stream.read_next_batch()
-    return {name: column[0].as_py() if name == "planes" else column.flatten() for name, column in zip(batch.schema.names, batch.columns)}
-
-
 _CHUNKS = "chunk long, payload binary"
 
 
@@ -249,11 +265,63 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks -> (chunk, number, word) of the words that are to be folded."""
     for b in batches:
         for chunk, payload in zip(b.column("chunk").to_pylist(), b.column("payload")):
-            words = _unpacked(payload.as_buffer())["words"]
-            for at in range(0, len(words), ROWS):
-                some = words.slice(at, ROWS)
-                numbers = pa.array(np.arange(at, at + len(some), dtype=np.int32))
-                yield pa.record_batch({"chunk": pa.array(np.full(len(some), chunk)), "number": numbers, "word": some}).filter(some.is_valid())
+            _, _, _, lengths, letters, _, _ = _unpack(payload.as_buffer())
+            lengths = _numbers(lengths)
+            numbers = np.flatnonzero(lengths).astype(np.int32)
+            ends = np.cumsum(lengths[numbers], dtype=np.int64)
+            for at in range(0, len(numbers), ROWS):
+                some = ends[at : at + ROWS]
+                begin = int(ends[at - 1]) if at else 0
+                offsets = np.concatenate([[0], some - begin]).astype(np.int32)
+                word = pa.StringArray.from_buffers(len(some), pa.py_buffer(offsets), pa.py_buffer(letters[begin : int(some[-1])]))
+                yield pa.record_batch({"chunk": pa.array(np.full(len(some), chunk)), "number": pa.array(numbers[at : at + ROWS]), "word": word})
+
+
+def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, number, code) -> (chunk, packed numbers, lengths and ids), a bounded number of rows at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def packed() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        chunk, number = rows.column("chunk").to_numpy(), rows.column("number").to_numpy()
+        order = np.lexsort((number, chunk))
+        rows, chunk, number = rows.take(pa.array(order)), chunk[order], number[order].astype(np.uint32)
+        code = rows.column("code").combine_chunks()
+        offsets = np.frombuffer(code.buffers()[1], np.int32)[code.offset : code.offset + len(code) + 1]
+        ids = np.frombuffer(code.buffers()[2], "<u4")
+        cuts = np.flatnonzero(np.diff(chunk)) + 1
+        out = []
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(chunk)]):
+            steps = np.diff(number[a:b], prepend=np.uint32(0))
+            out.append((int(chunk[a]), _pack(_planes(steps), _planes((np.diff(offsets[a : b + 1]) // 4).astype(np.uint32)), _planes(ids[offsets[a] // 4 : offsets[b] // 4]))))
+        return pa.record_batch({"chunk": pa.array([x[0] for x in out], pa.int64()), "codes": pa.array([x[1] for x in out], pa.binary())})
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= HELD_ROWS:
+            yield packed()
+            held = []
+    if sum(x.num_rows for x in held):
+        yield packed()
+
+
+def _coded(got: list[memoryview], packs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first id, number of ids) of each of a chunk's words, and the ids."""
+    lengths = _numbers(got[3])
+    sizes = np.zeros(len(lengths), np.int64)
+    long = np.flatnonzero(lengths == 0)
+    sizes[long] = np.frombuffer(got[5], np.int64) // 4
+    parts = [(long, np.frombuffer(got[6], "<u4"))]
+    for pack in packs:
+        steps, n, ids = map(_numbers, _unpack(pack))
+        number = np.cumsum(steps, dtype=np.int64)
+        sizes[number] = n
+        parts.append((number, ids))
+    starts, at = np.zeros(len(lengths), np.int64), 0
+    for number, ids in parts:
+        starts[number] = at + np.cumsum(sizes[number]) - sizes[number]
+        at += len(ids)
+    return starts, sizes, np.concatenate([ids for _, ids in parts])
 
 
 def _joined(kind: pa.DataType, pieces: list[bytes], per_batch: int):
@@ -261,27 +329,22 @@ def _joined(kind: pa.DataType, pieces: list[bytes], per_batch: int):
         schema = pa.schema([("doc_id", kind), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
         out = []
         for payload in chunks.column("payload"):
-            got = _unpacked(payload.as_buffer())
-            code: list[bytes | None] = [None] * len(got["words"])
-            for number, c in zip(codes.column("number").to_pylist(), codes.column("code").to_pylist()):
-                code[number] = c
-            for number, c in zip(np.flatnonzero(~got["words"].is_valid().to_numpy(False)).tolist(), got["long"].to_pylist()):
-                code[number] = c
-            lengths = np.fromiter((len(c) // 4 for c in code), np.int64, len(code))
-            starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(code), "<u4")
-            symbols = np.ascontiguousarray(np.frombuffer(got["planes"], np.uint8).reshape(4, -1).T).view("<u4").ravel()
-            ends = np.cumsum(got["sizes"].to_numpy())
-            rows, held = [], 0
-            for i, (end, size) in enumerate(zip(ends.tolist(), got["sizes"].to_pylist())):
-                s = symbols[end - size : end]
+            got = _unpack(payload.as_buffer())
+            starts, lengths, flat = _coded(got, [c.as_buffer() for c in codes.column("codes")])
+            symbols, sizes = _numbers(got[2]), np.frombuffer(got[1], np.int64)
+            doc_ids = pa.ipc.read_record_batch(pa.py_buffer(got[0]), pa.schema([("id", kind)])).column(0)
+            rows, held, end = [], 0, 0
+            for i, size in enumerate(sizes.tolist()):
+                s = symbols[end : end + size]
+                end += size
                 n = lengths[s]
                 upto = np.cumsum(n)
                 ids = flat[np.repeat(starts[s] - upto + n, n) + np.arange(upto[-1] if size else 0)]
                 rows.append((len(ids), ids.tobytes(), b"".join([pieces[k] for k in ids.tolist()])))
                 held += 4 * len(ids)
-                if held >= per_batch or i + 1 == len(ends):
+                if held >= per_batch or i + 1 == len(sizes):
                     columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types[1:])]
-                    out.append(pa.RecordBatch.from_arrays([got["ids"].slice(i + 1 - len(rows), len(rows)), *columns], schema=schema))
+                    out.append(pa.RecordBatch.from_arrays([doc_ids.slice(i + 1 - len(rows), len(rows)), *columns], schema=schema))
                     rows, held = [], 0
         return pa.Table.from_batches(out, schema)
 
@@ -308,7 +371,7 @@ def bpe(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", t
     words = chunks.mapInArrow(_words, "chunk long, number int, word string")
     first = Window.partitionBy("word").orderBy("chunk")
     folded = words.withColumn("nth", F.row_number().over(first)).withColumn("folded", F.when(F.col("nth") == 1, codec.encode(F.col("word"))))
-    codes = folded.select("chunk", "number", F.first("folded").over(first).alias("code"))
+    codes = folded.select("chunk", "number", F.first("folded").over(first).alias("code")).mapInArrow(_by_chunk, "chunk long, codes binary")
     join = lambda left, right: _joined(kind, pieces.value, 1 << 22)(left, right)
     schema = rows.select("doc_id").schema.add("n_tokens", "long").add("ids", "binary").add("decoded", "binary")
     found = chunks.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(join, schema)
