@@ -7,7 +7,7 @@ A string of W bytes that starts at two places is found in three steps.
    at the same offset. Consecutive windows with one anchor form its context.
    Every window of the corpus is in exactly one context.
 2. Anchors that occur once are done with. If all contexts of an anchor are
-   equal (two 64-bit hashes), all of their windows repeat. Otherwise the windows
+   equal, all of their windows repeat. Otherwise the windows
    are cut into classes by their distance to the anchor, and the bytes that all
    windows of a class share (most of W) become a finer key. A gram that is
    frequent because it sits in a short common line falls apart here. Equal
@@ -16,10 +16,11 @@ A string of W bytes that starts at two places is found in three steps.
    shard sorts the suffixes of its contexts by Larsson and Sadakane's
    refinement, gets common prefixes by Kasai's rule, and shards that hold
    contexts of one key look their suffixes up in each other by binary search.
-   Keys with more different contexts than a shard should get are cut into
-   smaller classes first, down to single windows if need be.
+   Keys with very many different contexts are cut into smaller classes first,
+   down to single windows if need be.
 
-Whole contexts are compared by 128 bits of hash; partly equal ones byte by byte.
+Whole contexts are equal if 128 bits of a cryptographic hash (BLAKE2b) are;
+partly equal ones are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -38,9 +39,10 @@ from .shared import Table, written
 W = 200
 GRAM = 64
 CLASSES = (38, 10, 3, 1)  # windows of one class start within so many bytes
-SHARD_CONTEXTS = 256  # different contexts of a key that one shard takes
+MOST_CONTEXTS = 1024  # different contexts of a key that are compared as they are
 PIECE = 1 << 18  # bytes worked on at a time
-SHARD_BYTES = 1 << 21  # text of one suffix array
+SHARD_BYTES = 1 << 17  # text of one suffix array
+SEARCHED = 1 << 12  # windows looked up at a time
 _B = np.uint64(0x9E3779B97F4A7C15)
 _C = np.uint64(0xD6E8FEB86659FD93)
 
@@ -127,9 +129,14 @@ def _pieces(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield at, data[at : at + PIECE + W - 1]
 
 
-_ANCHORS = "id1 long, id2 long, key long, code long, first int, last int, at int"
+_ANCHORS = "id1 long, id2 long, key long, code long, code2 long, first int, last int, at int"
 _CONTEXTS = _ANCHORS + ", context binary"
-_NAMES = ["id1", "id2", "key", "code", "first", "last", "at"]
+_NAMES = ["id1", "id2", "key", "code", "code2", "first", "last", "at"]
+
+
+def _digest(context: bytes, at: int) -> bytes:
+    """128 bits of a cryptographic hash of a context and where its anchor is."""
+    return hashlib.blake2b(context, digest_size=16, salt=at.to_bytes(2, "little")).digest()
 
 
 def _emit_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,16 +148,21 @@ def _emit_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if not len(pos):
                     continue
                 key = _mix(span_hashes(prefix_hashes(data, _B), powers(len(data)), pos, pos + GRAM))
-                code = _mix(span_hashes(prefix_hashes(data, _C), powers(len(data), _C), first, last + W) + ((last - first) * 1024 + pos - first).astype(np.uint64))
+                piece, ends, offsets = data.tobytes(), (last + W).tolist(), (pos - first).tolist()
+                code = np.frombuffer(b"".join([_digest(piece[a:b], o) for a, b, o in zip(first.tolist(), ends, offsets)]), np.int64).reshape(-1, 2)
                 ids = np.empty((2, len(pos)), np.int64)
                 ids[0], ids[1] = id1, id2
-                parts.append((ids[0], ids[1], key.view(np.int64), code.view(np.int64), first + at, last + at, pos + at))
+                parts.append((ids[0], ids[1], key.view(np.int64), code[:, 0], code[:, 1], first + at, last + at, pos + at))
         if parts:
             yield pd.DataFrame({k: np.concatenate(v) for k, v in zip(_NAMES, zip(*parts))})
 
 
+def _words(digest: bytes) -> list[int]:
+    return [int.from_bytes(digest[i : i + 8], "little", signed=True) for i in range(0, len(digest), 8)]
+
+
 def _word(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+    return _words(hashlib.blake2b(data, digest_size=8).digest())[0]
 
 
 def classes(first: int, last: int, at: int, size: int) -> Iterator[tuple[int, int, int]]:
@@ -164,7 +176,7 @@ def _by_class(id1: int, id2: int, first: int, last: int, at: int, context: bytes
         # the bytes that all windows of the class have, whether or not this context has them all
         shared = context[at - size * j - first : at - size * j - size + 1 + W - first]
         part = context[a - first : b - first + W]
-        yield id1, id2, _word(shared + j.to_bytes(2, "little")), _word(part + (at - a).to_bytes(2, "little")), a, b, at, part
+        yield id1, id2, _word(shared + j.to_bytes(2, "little")), *_words(_digest(part, at - a)), a, b, at, part
 
 
 def _cut_classes(size: int):
@@ -197,10 +209,10 @@ def _split_classes(size: int):
     return of
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of symbols 0..256 in the order of their first `depth` symbols at
-    least, by Larsson and Sadakane's refinement: ranks start from 7 symbols and
-    double the sorted prefix; only groups not yet told apart are sorted again."""
+def suffix_array(data: np.ndarray) -> np.ndarray:
+    """Suffixes of symbols 0..256 in order, by Larsson and Sadakane's refinement:
+    ranks start from 7 symbols and double the sorted prefix until all differ;
+    only groups not yet told apart are sorted again."""
     n, h = len(data), 7
     padded = np.concatenate([data.astype(np.int64), np.zeros(h, np.int64)])
     key = np.zeros(n, np.int64)
@@ -212,7 +224,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     rank = np.empty(n, np.int64)
     rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
     slots = np.arange(n)
-    while h < depth:
+    while True:
         # places of groups with several suffixes, among those still looked at
         group = rank[order[slots]]
         alone = np.concatenate([[True], group[1:] != group[:-1]]) & np.concatenate([group[1:] != group[:-1], [True]]) if len(group) else np.zeros(0, bool)
@@ -270,7 +282,7 @@ class Shard:
         data = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int16) + 1
         data[self.begin + self.lengths] = 0
         self.data, self.raw = data, contexts
-        self.order = suffix_array(data, W)
+        self.order = suffix_array(data)
         self.lcp = common_prefixes(data, self.order, W)
         # separators are equal symbols, but a window has none
         self.of = np.repeat(np.arange(len(contexts)), self.lengths + 1)
@@ -282,17 +294,31 @@ class Shard:
         out[self.order] = long | np.append(long[1:], False)
         return out
 
-    def holds(self, window: bytes) -> bool:
-        """Binary search among the sorted suffixes."""
-        key = np.frombuffer(window, np.uint8).astype(np.int16) + 1
-        lo, hi = 0, len(self.order)
-        while lo < hi:
+    def holds(self, windows: np.ndarray) -> np.ndarray:
+        """Which of the windows (rows of W symbols) start a suffix: binary search
+        among the sorted suffixes, for all windows side by side."""
+        padded = np.concatenate([self.data, np.zeros(W, self.data.dtype)])
+        along, lo, hi = np.arange(W), np.zeros(len(windows), np.int64), np.full(len(windows), len(self.order))
+        while (lo < hi).any():
             mid = (lo + hi) // 2
-            s = self.data[self.order[mid] : self.order[mid] + W]
-            differ = np.flatnonzero(s != key[: len(s)])
-            less = s[differ[0]] < key[differ[0]] if len(differ) else len(s) < W
-            lo, hi = (mid + 1, hi) if less else (lo, mid)
-        return lo < len(self.order) and np.array_equal(self.data[self.order[lo] : self.order[lo] + W], key)
+            got = padded[self.order[np.minimum(mid, len(self.order) - 1)][:, None] + along]
+            at = (got != windows).argmax(axis=1)[:, None]
+            less = (np.take_along_axis(got, at, 1) < np.take_along_axis(windows, at, 1)).ravel() & (lo < hi)
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, np.minimum(hi, mid))
+        inside = lo < len(self.order)
+        got = padded[self.order[np.where(inside, lo, 0)][:, None] + along]
+        return inside & (got == windows).all(axis=1)
+
+
+def _search(shard: Shard, context: bytes, mask: np.ndarray) -> None:
+    """Marks the windows of a context, not marked yet, that a shard holds."""
+    if not len(mask):
+        return
+    symbols = np.lib.stride_tricks.sliding_window_view(np.frombuffer(context, np.uint8).astype(np.int16) + 1, W)
+    open_at = np.flatnonzero(~mask)
+    for at in range(0, len(open_at), SEARCHED):
+        some = open_at[at : at + SEARCHED]
+        mask[some] = shard.holds(symbols[some])
 
 
 def shard_windows(keys: list[int], contexts: list[bytes], most: int = SHARD_BYTES) -> list[np.ndarray]:
@@ -317,19 +343,14 @@ def shard_windows(keys: list[int], contexts: list[bytes], most: int = SHARD_BYTE
         for k in range(a, b):
             if not previous or keys[k] != keys[a]:
                 break
-            for t in np.flatnonzero(~masks[k - a]).tolist():
-                window = contexts[k][t : t + W]
-                for r, s in previous:
-                    if s.holds(window):
-                        masks[k - a][t] = True
+            for _, s in previous:
+                _search(s, contexts[k], masks[k - a])
         out += masks
         for r, s in previous:  # and the other way round
             for k in reversed(r):
                 if keys[k] != keys[a]:
                     break
-                for t in np.flatnonzero(~out[k]).tolist():
-                    if shard.holds(contexts[k][t : t + W]):
-                        out[k][t] = True
+                _search(shard, contexts[k], out[k])
         previous.append((range(a, b), shard))
     return out
 
@@ -367,9 +388,10 @@ def _emit_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _repeated_keys(rows: DataFrame) -> DataFrame:
     """(rows' columns, equal) of keys that occur twice; equal: all contexts of
     the key are equal. Counts combine before the shuffle, and are written, so
-    that the join stands on two exchanges and may split a frequent key."""
-    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("lo"), F.max("code").alias("hi")).filter("n > 1")
-    keys = written(keys.select("key", (F.col("lo") == F.col("hi")).alias("equal")), "keys")
+    that the join stands on two exchanges and may split a frequent key. rows is
+    read twice and comes from a table."""
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("code", "code2") for f in (F.min, F.max)]).filter("n > 1")
+    keys = written(keys.select("key", ((F.col("min_code") == F.col("max_code")) & (F.col("min_code2") == F.col("max_code2"))).alias("equal")), "keys")
     return rows.join(keys, "key")
 
 
@@ -412,7 +434,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("doc_id"), raw.alias("raw"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-1)).cast("long").alias("id1"), F.xxhash64("raw", F.col("doc_id").isNull()).alias("id2"), "raw")
     long = rows.filter(F.octet_length("raw") >= W).select("id1", "id2", "raw")
-    anchored = Table(_repeated_keys(long.mapInPandas(_emit_anchors, _ANCHORS)), "anchors")
+    every = Table(long.mapInPandas(_emit_anchors, _ANCHORS), "every")
+    anchored = Table(_repeated_keys(every.df), "anchors")
+    every.drop()
     found = [written(anchored.df.filter("equal").select(*_SPAN_COLUMNS), "spans")]
     listed = anchored.df.filter("NOT equal").groupBy("id1", "id2").agg(F.collect_set(F.struct("first", "last", "at")).alias("spans"))
     # a row that is repeated whole meets its list as often as it is repeated
@@ -422,19 +446,19 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         level = Table(contexts, "contexts")
         for table in done_with:
             table.drop()
-        each = level.df.groupBy("key", "code").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("id1", "id2", "first", "last", "at", "context")])
+        each = level.df.groupBy("key", "code", "code2").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("id1", "id2", "first", "last", "at", "context")])
         distinct = Table(each, "distinct")
         each, done_with = distinct.df, [level, distinct]
         # equal contexts repeat each other's windows
-        twice = each.filter("n > 1").select("key", "code")
-        found.append(written(level.df.drop("context").join(twice, ["key", "code"]).select(*_SPAN_COLUMNS), "spans"))
+        twice = each.filter("n > 1").select("key", "code", "code2")
+        found.append(written(level.df.drop("context").join(twice, ["key", "code", "code2"]).select(*_SPAN_COLUMNS), "spans"))
         if finer is None:  # one window a class: equal keys are equal contexts
             break
         keys = written(each.groupBy("key").agg(F.count(F.lit(1)).alias("d")).filter("d > 1"), "keys")
-        few = each.join(keys.filter(F.col("d") <= SHARD_CONTEXTS).select("key"), "key", "left_semi").select("id1", "id2", "key", "first", "context")
+        few = each.join(keys.filter(F.col("d") <= MOST_CONTEXTS).select("key"), "key", "left_semi").select("id1", "id2", "key", "first", "context")
         sharded = few.repartition("key").sortWithinPartitions("key")
         found.append(written(sharded.mapInPandas(_emit_spans, _SPANS), "spans"))
-        many = keys.filter(F.col("d") > SHARD_CONTEXTS)
+        many = keys.filter(F.col("d") > MOST_CONTEXTS)
         if many.isEmpty():
             break
         contexts = each.join(many.select("key"), "key", "left_semi").mapInPandas(_split_classes(finer), _CONTEXTS)
