@@ -30,7 +30,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,10 +117,6 @@ def _rightmost(h: np.ndarray, low: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
-def _as_bytes(value) -> np.ndarray:
-    return np.frombuffer(bytes(value), np.uint8)
-
-
 def _pieces(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Overlapping pieces whose windows together are all windows. Windows cut
     from their context by a border make a context of their own, which is no
@@ -139,30 +135,28 @@ def _digest(context: bytes, at: int) -> bytes:
     return hashlib.blake2b(context, digest_size=16, salt=at.to_bytes(2, "little")).digest()
 
 
-def _emit_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+def _batch(columns: list, contexts: list[bytes] | None = None) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 3
+    arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+    if contexts is None:
+        return pa.RecordBatch.from_arrays(arrays, _NAMES)
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(contexts, pa.binary())], [*_NAMES, "context"])
+
+
+def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         parts = []
-        for id1, id2, raw in zip(pdf["id1"], pdf["id2"], pdf["raw"]):
-            for at, data in _pieces(_as_bytes(raw)):
+        for id1, id2, raw in zip(batch["id1"].to_pylist(), batch["id2"].to_pylist(), batch["raw"]):
+            for at, data in _pieces(np.frombuffer(raw.as_buffer(), np.uint8)):
                 pos, first, last = anchors(data)
                 if not len(pos):
                     continue
                 key = _mix(span_hashes(prefix_hashes(data, _B), powers(len(data)), pos, pos + GRAM))
                 piece, ends, offsets = data.tobytes(), (last + W).tolist(), (pos - first).tolist()
                 code = np.frombuffer(b"".join([_digest(piece[a:b], o) for a, b, o in zip(first.tolist(), ends, offsets)]), np.int64).reshape(-1, 2)
-                ids = np.empty((2, len(pos)), np.int64)
-                ids[0], ids[1] = id1, id2
-                parts.append((ids[0], ids[1], key.view(np.int64), code[:, 0], code[:, 1], first + at, last + at, pos + at))
+                parts.append((np.full(len(pos), id1), np.full(len(pos), id2), key.view(np.int64), code[:, 0], code[:, 1], first + at, last + at, pos + at))
         if parts:
-            yield pd.DataFrame({k: np.concatenate(v) for k, v in zip(_NAMES, zip(*parts))})
-
-
-def _words(digest: bytes) -> list[int]:
-    return [int.from_bytes(digest[i : i + 8], "little", signed=True) for i in range(0, len(digest), 8)]
-
-
-def _word(data: bytes) -> int:
-    return _words(hashlib.blake2b(data, digest_size=8).digest())[0]
+            yield _batch([np.concatenate(c) for c in zip(*parts)])
 
 
 def classes(first: int, last: int, at: int, size: int) -> Iterator[tuple[int, int, int]]:
@@ -171,26 +165,60 @@ def classes(first: int, last: int, at: int, size: int) -> Iterator[tuple[int, in
         yield j, max(first, at - size * j - size + 1), min(last, at - size * j)
 
 
-def _by_class(id1: int, id2: int, first: int, last: int, at: int, context: bytes, size: int) -> Iterator[tuple]:
-    for j, a, b in classes(first, last, at, size):
-        # the bytes that all windows of the class have, whether or not this context has them all
-        shared = context[at - size * j - first : at - size * j - size + 1 + W - first]
-        part = context[a - first : b - first + W]
-        yield id1, id2, _word(shared + j.to_bytes(2, "little")), *_words(_digest(part, at - a)), a, b, at, part
+def shared_bytes(size: int) -> int:
+    """How many bytes all windows of a class of this size have."""
+    return W - size + 1
+
+
+class _Classes:
+    """Contexts cut into classes, as columns."""
+
+    def __init__(self, size: int):
+        self.size, self.own, self.keys, self.codes = size, [], [], []
+        self.first, self.last, self.at, self.contexts = [], [], [], []
+
+    def add(self, row: int, first: int, last: int, at: int, context: bytes) -> None:
+        """context: the bytes of the windows first..last."""
+        shared = shared_bytes(self.size)
+        for j, a, b in classes(first, last, at, self.size):
+            begin = at - self.size * j - first
+            part = context[a - first : b - first + W]
+            self.own.append(row)
+            self.keys.append(hashlib.blake2b(context[begin : begin + shared], digest_size=8, salt=j.to_bytes(2, "little")).digest())
+            self.codes.append(_digest(part, at - a))
+            self.first.append(a)
+            self.last.append(b)
+            self.at.append(at)
+            self.contexts.append(part)
+
+    def batch(self, id1: np.ndarray, id2: np.ndarray) -> pa.RecordBatch:
+        code = np.frombuffer(b"".join(self.codes), np.int64).reshape(-1, 2)
+        own = np.array(self.own, np.int64)
+        return _batch([id1[own], id2[own], np.frombuffer(b"".join(self.keys), np.int64), code[:, 0], code[:, 1], self.first, self.last, self.at], self.contexts)
+
+
+def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return batch["id1"].to_numpy(False), batch["id2"].to_numpy(False)
+
+
+def _lists(column: pa.ListArray, *names: str) -> Iterator[list[tuple]]:
+    """Each row's list of structs as tuples; empty for null."""
+    flat = list(zip(*(column.values.field(n).to_pylist() for n in names)))
+    for begin, end, fine in zip(column.offsets.to_pylist(), column.offsets.to_pylist()[1:], column.is_valid().to_pylist()):
+        yield flat[begin:end] if fine else []
 
 
 def _cut_classes(size: int):
     """Rows of a document with its unresolved contexts -> contexts by class."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for id1, id2, raw, spans in zip(pdf["id1"], pdf["id2"], pdf["raw"], pdf["spans"]):
-                raw = bytes(raw)
-                for s in spans:
-                    out += _by_class(id1, id2, s["first"], s["last"], s["at"], raw[s["first"] : s["last"] + W], size)
-            if out:
-                yield pd.DataFrame(out, columns=[*_NAMES, "context"])
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = _Classes(size)
+            for i, (raw, spans) in enumerate(zip(batch["raw"], _lists(batch["spans"], "first", "last", "at"))):
+                raw = raw.as_py()
+                for first, last, at in spans:
+                    out.add(i, first, last, at, raw[first : last + W])
+            yield out.batch(*_ids(batch))
 
     return of
 
@@ -198,26 +226,28 @@ def _cut_classes(size: int):
 def _split_classes(size: int):
     """Contexts -> contexts by smaller classes."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for id1, id2, first, last, at, context in pdf[["id1", "id2", "first", "last", "at", "context"]].itertuples(index=False):
-                out += _by_class(id1, id2, first, last, at, bytes(context), size)
-            if out:
-                yield pd.DataFrame(out, columns=[*_NAMES, "context"])
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = _Classes(size)
+            for i, row in enumerate(zip(*(batch[c].to_pylist() for c in ("first", "last", "at", "context")))):
+                out.add(i, *row)
+            yield out.batch(*_ids(batch))
 
     return of
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Suffixes of symbols 0..256 in order, by Larsson and Sadakane's refinement:
-    ranks start from 7 symbols and double the sorted prefix until all differ;
-    only groups not yet told apart are sorted again."""
-    n, h = len(data), 7
+    """Suffixes of whole numbers from 0 in order, by Larsson and Sadakane's
+    refinement: ranks start from as many symbols as fit 62 bits and double the
+    sorted prefix until all differ; only groups not yet told apart are sorted
+    again."""
+    n = len(data)
+    bits = int(data.max(initial=1)).bit_length()
+    h = 62 // bits
     padded = np.concatenate([data.astype(np.int64), np.zeros(h, np.int64)])
     key = np.zeros(n, np.int64)
     for i in range(h):
-        key = key * 257 + padded[i : i + n]
+        key = key << bits | padded[i : i + n]
     order = np.argsort(key, kind="stable")
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]]) if n else np.zeros(0, bool)
     starts = np.flatnonzero(new)
@@ -274,31 +304,45 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
 
 class Shard:
     """Contexts joined by separators (symbol 0; bytes are 1 to 256), with their
-    suffixes in order. Suffixes that run over a separator match no window."""
+    suffixes in order. Suffixes that run over a separator match no window.
+
+    All contexts may have `shared` bytes, from middles on, that every window
+    contains. They become one symbol, the same for the same bytes, so windows
+    are as much shorter, and equal as before."""
 
-    def __init__(self, contexts: list[bytes]):
+    def __init__(self, contexts: list[bytes], middles: list[int] | None = None, shared: int = 1, symbols: dict[bytes, int] | None = None):
+        self.w = W - shared + 1
         self.lengths = np.array([len(c) for c in contexts])
         self.begin = np.concatenate([[0], np.cumsum(self.lengths + 1)])[:-1]
-        data = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int16) + 1
+        data = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int32) + 1
         data[self.begin + self.lengths] = 0
-        self.data, self.raw = data, contexts
+        if middles is not None and shared > 1:
+            at = self.begin + np.array(middles)
+            data[at] = [symbols.setdefault(c[m : m + shared], 257 + len(symbols)) for c, m in zip(contexts, middles)]
+            edges = np.zeros(len(data) + 1, np.int8)
+            edges[at + 1], edges[at + shared] = 1, -1
+            data = data[np.cumsum(edges[:-1]) == 0]
+            self.lengths = self.lengths - shared + 1
+            self.begin = np.concatenate([[0], np.cumsum(self.lengths + 1)])[:-1]
+        self.data = data
         self.order = suffix_array(data)
-        self.lcp = common_prefixes(data, self.order, W)
-        # separators are equal symbols, but a window has none
-        self.of = np.repeat(np.arange(len(contexts)), self.lengths + 1)
+        self.lcp = common_prefixes(data, self.order, self.w)
 
-    def repeated(self) -> np.ndarray:
-        """By text position: does a window start here that starts elsewhere in the shard."""
-        long = self.lcp >= W
-        out = np.zeros(len(self.data), bool)
-        out[self.order] = long | np.append(long[1:], False)
-        return out
+    def context(self, k: int) -> np.ndarray:
+        return self.data[self.begin[k] : self.begin[k] + self.lengths[k]]
+
+    def masks(self) -> list[np.ndarray]:
+        """For each context a mask of its windows that occur elsewhere in the shard."""
+        long = self.lcp >= self.w
+        hit = np.zeros(len(self.data), bool)
+        hit[self.order] = long | np.append(long[1:], False)
+        return [hit[s : s + max(0, n - self.w + 1)].copy() for s, n in zip(self.begin.tolist(), self.lengths.tolist())]
 
     def holds(self, windows: np.ndarray) -> np.ndarray:
-        """Which of the windows (rows of W symbols) start a suffix: binary search
+        """Which of the windows (rows of w symbols) start a suffix: binary search
         among the sorted suffixes, for all windows side by side."""
-        padded = np.concatenate([self.data, np.zeros(W, self.data.dtype)])
-        along, lo, hi = np.arange(W), np.zeros(len(windows), np.int64), np.full(len(windows), len(self.order))
+        padded = np.concatenate([self.data, np.zeros(self.w, self.data.dtype)])
+        along, lo, hi = np.arange(self.w), np.zeros(len(windows), np.int64), np.full(len(windows), len(self.order))
         while (lo < hi).any():
             mid = (lo + hi) // 2
             got = padded[self.order[np.minimum(mid, len(self.order) - 1)][:, None] + along]
@@ -309,48 +353,47 @@ class Shard:
         got = padded[self.order[np.where(inside, lo, 0)][:, None] + along]
         return inside & (got == windows).all(axis=1)
 
-
-def _search(shard: Shard, context: bytes, mask: np.ndarray) -> None:
-    """Marks the windows of a context, not marked yet, that a shard holds."""
-    if not len(mask):
-        return
-    symbols = np.lib.stride_tricks.sliding_window_view(np.frombuffer(context, np.uint8).astype(np.int16) + 1, W)
-    open_at = np.flatnonzero(~mask)
-    for at in range(0, len(open_at), SEARCHED):
-        some = open_at[at : at + SEARCHED]
-        mask[some] = shard.holds(symbols[some])
+    def search(self, context: np.ndarray, mask: np.ndarray) -> None:
+        """Marks the windows of a context, not marked yet, that this shard holds."""
+        if not len(mask):
+            return
+        windows, open_at = np.lib.stride_tricks.sliding_window_view(context, self.w), np.flatnonzero(~mask)
+        for at in range(0, len(open_at), SEARCHED):
+            some = open_at[at : at + SEARCHED]
+            mask[some] = self.holds(windows[some])
 
 
-def shard_windows(keys: list[int], contexts: list[bytes], most: int = SHARD_BYTES) -> list[np.ndarray]:
+def shard_windows(keys: list[int], contexts: list[bytes], middles: list[int] | None = None, shared: int = 1, most: int = SHARD_BYTES) -> list[np.ndarray]:
     """For each context a mask of its windows that occur elsewhere: in another
     context (of the same key, for equal windows have equal keys) or again in
     itself. Contexts come sorted by key and fill shards of bounded size."""
     cuts, filled = [0], 0
     for i, c in enumerate(contexts):
-        if filled and filled + len(c) > most:
+        own = len(c) - shared + 2
+        if filled and filled + own > most:
             cuts.append(i)
             filled = 0
-        filled += len(c) + 1
+        filled += own
     cuts.append(len(contexts))
     out: list[np.ndarray] = []
+    symbols: dict[bytes, int] = {}
     previous: list[tuple[range, Shard]] = []
     for a, b in zip(cuts, cuts[1:]):
-        shard = Shard(contexts[a:b])
-        hit = shard.repeated()
-        masks = [hit[s : s + max(0, n - W + 1)].copy() for s, n in zip(shard.begin.tolist(), shard.lengths.tolist())]
+        shard = Shard(contexts[a:b], middles and middles[a:b], shared, symbols)
+        masks = shard.masks()
         # shards before this one matter only where they hold contexts of its first key
         previous = [(r, s) for r, s in previous if keys[r[-1]] == keys[a]]
         for k in range(a, b):
             if not previous or keys[k] != keys[a]:
                 break
             for _, s in previous:
-                _search(s, contexts[k], masks[k - a])
+                s.search(shard.context(k - a), masks[k - a])
         out += masks
         for r, s in previous:  # and the other way round
             for k in reversed(r):
                 if keys[k] != keys[a]:
                     break
-                _search(shard, contexts[k], out[k])
+                shard.search(s.context(k - r[0]), out[k])
         previous.append((range(a, b), shard))
     return out
 
@@ -359,30 +402,43 @@ _SPANS = "id1 long, id2 long, first int, last int"
 _SPAN_COLUMNS = ("id1", "id2", "first", "last")
 
 
-def _emit_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _emit_spans(size: int):
     """Sorted rows of a partition -> runs of repeated windows. Rows of one key
     may continue in the next batch, so the last key waits."""
+    shared = shared_bytes(size)
+
+    def spans(rows: pa.Table) -> pa.RecordBatch:
+        first, at = rows["first"].to_numpy(), rows["at"].to_numpy()
+        middles = at - size * ((at - first) // size) - first
+        masks = shard_windows(rows["key"].to_pylist(), rows["context"].to_pylist(), middles.tolist(), shared)
+        sizes = np.array([len(m) for m in masks])
+        ends = np.cumsum(sizes + 1) - 1  # a gap after each context
+        hit = np.zeros(int(ends[-1]) + 2, np.int8)
+        for end, mask in zip(ends.tolist(), masks):
+            hit[1 + end - len(mask) : 1 + end] = mask
+        edges = np.diff(hit)
+        starts, stops = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
+        row = np.searchsorted(ends, starts)
+        shift = first[row] - (ends[row] - sizes[row])
+        id1, id2 = rows["id1"].to_numpy()[row], rows["id2"].to_numpy()[row]
+        return pa.RecordBatch.from_arrays([pa.array(id1), pa.array(id2), pa.array((starts + shift).astype(np.int32)), pa.array((stops + shift).astype(np.int32))], list(_SPAN_COLUMNS))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch["key"].to_numpy(False)
+            rest = len(key) - int((key == key[-1]).sum())  # rows of one key are together
+            if rest or (waiting and waiting[-1]["key"][-1].as_py() != int(key[0])):
+                done = pa.Table.from_batches([*waiting, batch.slice(0, rest)])
+                waiting = []
+                yield spans(done)
+            waiting.append(batch.slice(rest))
+        if waiting:
+            yield spans(pa.Table.from_batches(waiting))
 
-    def spans(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        masks = shard_windows(rows["key"].tolist(), [bytes(c) for c in rows["context"]])
-        for id1, id2, first, mask in zip(rows["id1"], rows["id2"], rows["first"], masks):
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-            out += [(id1, id2, first + a, first + b - 1) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
-        return pd.DataFrame(out, columns=["id1", "id2", "first", "last"])
-
-    waiting = None
-    for pdf in batches:
-        if waiting is not None:
-            pdf = pd.concat([waiting, pdf], ignore_index=True)
-        if not len(pdf):
-            continue
-        rest = pdf["key"] == pdf["key"].iloc[-1]
-        waiting = pdf[rest]
-        if not rest.all():
-            yield spans(pdf[~rest].reset_index(drop=True))
-    if waiting is not None and len(waiting):
-        yield spans(waiting.reset_index(drop=True))
+    return of
 
 
 def _repeated_keys(rows: DataFrame) -> DataFrame:
@@ -395,16 +451,13 @@ def _repeated_keys(rows: DataFrame) -> DataFrame:
     return rows.join(keys, "key")
 
 
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-
-
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         out = []
-        for doc_id, raw, spans in zip(pdf["doc_id"], pdf["raw"], pdf["spans"]):
-            raw, kept, at, n = bytes(raw), hashlib.sha256(), 0, 0
+        for raw, spans in zip(batch["raw"], _lists(batch["spans"], "first", "last")):
+            raw, kept, at, n = memoryview(raw.as_buffer()), hashlib.sha256(), 0, 0
             runs: list[list[int]] = []
-            for first, last in sorted((s["first"], s["last"]) for s in (spans if spans is not None else ())):
+            for first, last in sorted(spans):
                 if runs and first <= runs[-1][1]:
                     runs[-1][1] = max(runs[-1][1], last + W)
                 else:
@@ -413,10 +466,9 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 kept.update(raw[at:s])
                 at, n = e, n + e - s
             kept.update(raw[at:])
-            out.append((doc_id, len(raw), n, len(runs), kept.hexdigest()))
-        result = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-        result["doc_id"] = result["doc_id"].astype("Int64")
-        yield result
+            out.append((len(raw), n, len(runs), kept.hexdigest()))
+        columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -426,23 +478,24 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Removed is every byte covered by a 200-byte string that also starts
     somewhere else in the corpus, the same document included; all copies go.
     Null text counts as empty; texts under 200 bytes lose nothing; repeated
-    rows are copies of each other, whatever their ids. An empty table gives an
-    empty result; other columns are ignored.
+    rows are copies of each other, whatever their ids. Texts of any length are
+    looked at in bounded pieces. An empty table gives an empty result; other
+    columns are ignored, whatever their names.
     """
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     # rows equal in id and text have equal results, so these two name a row well enough
     rows = docs.select(F.col(id_col).alias("doc_id"), raw.alias("raw"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-1)).cast("long").alias("id1"), F.xxhash64("raw", F.col("doc_id").isNull()).alias("id2"), "raw")
     long = rows.filter(F.octet_length("raw") >= W).select("id1", "id2", "raw")
-    every = Table(long.mapInPandas(_emit_anchors, _ANCHORS), "every")
+    every = Table(long.mapInArrow(_emit_anchors, _ANCHORS), "every")
     anchored = Table(_repeated_keys(every.df), "anchors")
     every.drop()
     found = [written(anchored.df.filter("equal").select(*_SPAN_COLUMNS), "spans")]
     listed = anchored.df.filter("NOT equal").groupBy("id1", "id2").agg(F.collect_set(F.struct("first", "last", "at")).alias("spans"))
     # a row that is repeated whole meets its list as often as it is repeated
-    contexts = long.join(listed, ["id1", "id2"]).mapInPandas(_cut_classes(CLASSES[0]), _CONTEXTS)
+    contexts = long.join(listed, ["id1", "id2"]).mapInArrow(_cut_classes(CLASSES[0]), _CONTEXTS)
     done_with = [anchored]
-    for finer in (*CLASSES[1:], None):
+    for size, finer in zip(CLASSES, (*CLASSES[1:], None)):
         level = Table(contexts, "contexts")
         for table in done_with:
             table.drop()
@@ -455,16 +508,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if finer is None:  # one window a class: equal keys are equal contexts
             break
         keys = written(each.groupBy("key").agg(F.count(F.lit(1)).alias("d")).filter("d > 1"), "keys")
-        few = each.join(keys.filter(F.col("d") <= MOST_CONTEXTS).select("key"), "key", "left_semi").select("id1", "id2", "key", "first", "context")
+        few = each.join(keys.filter(F.col("d") <= MOST_CONTEXTS).select("key"), "key", "left_semi").select("id1", "id2", "key", "first", "at", "context")
         sharded = few.repartition("key").sortWithinPartitions("key")
-        found.append(written(sharded.mapInPandas(_emit_spans, _SPANS), "spans"))
+        found.append(written(sharded.mapInArrow(_emit_spans(size), _SPANS), "spans"))
         many = keys.filter(F.col("d") > MOST_CONTEXTS)
         if many.isEmpty():
             break
-        contexts = each.join(many.select("key"), "key", "left_semi").mapInPandas(_split_classes(finer), _CONTEXTS)
+        contexts = each.join(many.select("key"), "key", "left_semi").mapInArrow(_split_classes(finer), _CONTEXTS)
     for table in done_with:
         table.drop()
     spans = reduce(DataFrame.unionByName, found)
     listed = spans.groupBy("id1", "id2").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    done = rows.join(listed, ["id1", "id2"], "left").select("doc_id", "raw", "spans").mapInPandas(_cut, _RESULT)
+    result = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    done = rows.join(listed, ["id1", "id2"], "left").select("doc_id", "raw", "spans").mapInArrow(_cut, result)
     return done.withColumnRenamed("doc_id", id_col)
