@@ -12,12 +12,15 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where that is unset (single-machine sessions only)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the
+    context's checkpoint folder. Where neither is set, a temporary folder serves
+    sessions that run on one machine; a cluster gets an error."""
     global _own_dir
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark._jsc.sc().getCheckpointDir().getOrElse(None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="paperloom-")
     return _own_dir
@@ -25,20 +28,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Table:
     """A DataFrame written to the shared folder: its lineage is cut, and lost
-    executors lose nothing of it."""
+    executors lose nothing of it. Results are lazy, so a table that one of them
+    reads cannot go before it; what is not dropped goes with the driver."""
 
     def __init__(self, df: DataFrame, label: str):
         spark = df.sparkSession
         self.spark, self.path = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         schema = df.schema
         df.write.parquet(self.path)
+        files, path = self._place()
+        files.deleteOnExit(path)
         self.df = spark.read.schema(schema).parquet(self.path)
 
+    def _place(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
+
     def drop(self) -> None:
         """Deletes the files, once nothing reads them any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        files, path = self._place()
+        files.delete(path, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
