@@ -1,15 +1,19 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Each source has a target in words. Whole copies that the target covers are
-allocated with certainty; what is left is a fixed-size sample: documents are
-ranked by random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), and
-taken in that order up to the target. u is a hash of the id, so reruns agree.
-One more document of those not taken is added if its size fits what is still
-missing better than nothing does.
+allocated with certainty. What is left is a sample of fixed size, in words, with
+unequal inclusion odds: a document is included with a probability proportional
+to its size, p = min(1, scale * size), and the source's scale makes the expected
+words the target. Documents with p = 1 are taken first. The others are ranked
+by random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), and taken in
+that order up to the target. u is a hash of the id, so reruns agree. One more
+document of those not taken is added if its size fits what is still missing
+better than nothing does.
 
 Ranks are never computed by a window over a source, which may hold a third of
-all rows: a histogram of words by rank bin finds the bin in which a source
-reaches its target, and only that bin's documents are put in order.
+all rows: a histogram of words by rank finds the bin in which a source reaches
+its target, that bin is divided again while it holds many documents, and only
+the last bin's documents are put in order.
 """
 
 from __future__ import annotations
@@ -26,7 +30,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_COPIES = 2
-BINS = 1024
+BITS = 10  # a histogram has 2**BITS bins
+LEVELS = 5  # and is divided as often at most
+EDGE_ROWS = 100_000  # or until a source's last bin holds no more documents
 
 
 def uniform(key: Column) -> Column:
@@ -61,6 +67,41 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     return rows.withColumn("target", F.least(F.col("cap").cast("double"), level_now * F.col("weight"))).select("source", "source_size", "target")
 
 
+def inclusion(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """rows: (source, size); goal: (source, rest). (source, scale): the p of
+    documents is min(1, scale * size), and adds up to rest in words. The largest
+    documents are certain as long as their p would be over 1. Sizes are counted
+    first, so a source costs a row for each of its different sizes."""
+    counted = rows.filter("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("c"))
+    whole = lambda x: x.cast("decimal(38,0)")
+    down = Window.partitionBy("source").orderBy(F.desc("size"))
+    certain = F.coalesce(F.sum(whole(F.col("size") * F.col("c"))).over(down.rowsBetween(Window.unboundedPreceding, -1)).cast("double"), F.lit(0.0))
+    squares = F.sum(whole(F.col("size")) * whole(F.col("size") * F.col("c"))).over(down.rowsBetween(0, Window.unboundedFollowing)).cast("double")
+    by_size = counted.join(goal.select(F.col("source").alias("_s"), "rest"), F.col("source").eqNullSafe(F.col("_s"))).withColumn("scale", (F.col("rest") - certain) / squares)
+    return by_size.filter(F.col("scale") * F.col("size") <= 1).groupBy("source").agg(F.max_by("scale", "size").alias("scale"))
+
+
+def _edges(ranked: DataFrame, edge_rows: int, bits: int = BITS) -> tuple[DataFrame, Column]:
+    """(source, edge, below) of the bin in which each source reaches its rest,
+    and the bin that a row of ranked belongs to."""
+    edges, level = None, 0
+    while True:
+        level += 1
+        bin_ = F.floor(F.col("t") * float(2 ** (bits * level)))
+        part, below = ranked, F.lit(0)
+        if edges is not None:
+            outer = edges.select(F.col("source").alias("_s"), F.col("edge").alias("_edge"), F.col("below").alias("_below"))
+            part = ranked.join(outer, F.col("source").eqNullSafe(F.col("_s")) & (F.floor(F.col("t") * float(2 ** (bits * (level - 1)))) == F.col("_edge")))
+            below = F.col("_below")
+        words = part.groupBy("source", bin_.alias("bin")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.max("rest").alias("rest"), F.max(below).alias("_under"))
+        up = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        reach = words.withColumn("below", F.col("_under") + F.coalesce(F.sum("words").over(up), F.lit(0)))
+        crossed = reach.filter((F.col("below") <= F.col("rest")) & (F.col("below") + F.col("words") > F.col("rest")))
+        edges = Table(crossed.groupBy("source").agg(F.min("bin").alias("edge"), F.min_by("below", "bin").alias("below"), F.min_by("n", "bin").alias("n")), "edges").df
+        if level == LEVELS or (edges.agg(F.max("n")).first()[0] or 0) <= edge_rows:
+            return edges.drop("n"), bin_
+
+
 def pareto_mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -69,19 +110,20 @@ def pareto_mix(
     weights: Sequence[int] = WEIGHTS,
     share: float = SHARE,
     most: int = MOST_COPIES,
-    bins: int = BINS,
+    edge_rows: int = EDGE_ROWS,
     row_col: str | None = None,
 ) -> DataFrame:
     """One row for each row of docs: id_col, source_col, size, source_size,
     target, copies, taken.
 
-    size is the number of words (null text: 0). Sources are ordered by code
-    point, null last, and weigh 5, 2, 1, repeating. taken = copies * size, with
-    copies between 0 and most. Documents without words take none. Equal ranks
-    (repeated ids) are ordered by size; repeated rows count one by one. An
-    empty table gives an empty result, a corpus without words targets of 0.
-    row_col names a unique, written number of each row, which is then returned
-    as well.
+    size is the number of words (null text: 0), of texts of any length. Sources
+    are ordered by code point, null last, and weigh 5, 2, 1, repeating. taken =
+    copies * size, with copies between 0 and most. Documents without words take
+    none. Equal ranks (repeated ids and sizes) are ordered by id, size and row;
+    repeated rows count one by one. An empty table gives an empty result, a
+    corpus without words targets of 0. Other columns are ignored, whatever their
+    names. edge_rows changes time and never the result. row_col names a unique,
+    written number of each row, which is then returned as well.
     """
     size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("bigint")
     rows = docs.select((F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("rid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
@@ -91,23 +133,21 @@ def pareto_mix(
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     sure = F.least(F.lit(most), F.floor(ratio)).cast("bigint")
     goal = goal.withColumn("sure", sure).withColumn("rest", F.col("target") - F.col("sure") * F.col("source_size"))
-    goal = goal.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0)))
     goal = Table(goal, "targets").df
+    scales = inclusion(rows, goal).withColumnRenamed("source", "_s")
+    goal = Table(goal.join(scales, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "scales").df
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
 
-    # rank: random odds over inclusion odds; bin: the same rank on a scale from 0 to 1
     u = uniform(F.col("doc_id"))
     odds = lambda x: x / (1 - x)
-    rank = F.when(F.col("p") <= 0, F.lit(float("inf"))).when(F.col("p") >= 1, F.lit(0.0)).otherwise(odds(u) / odds(F.col("p")))
-    ranked = rows.join(goal, same(rows, goal), "left").select("rid", "doc_id", rows["source"], "size", "source_size", "target", "sure", "rest", rank.alias("rank"), F.least(F.lit(bins - 1), F.floor(u * bins)).cast("int").alias("bin"))
-    # within a source p is one number, so the order by u is the order by rank
-    words = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
-    up = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    reach = words.withColumn("below", F.coalesce(F.sum("words").over(up), F.lit(0)))
-    edge = reach.filter((F.col("below") <= F.col("rest")) & (F.col("below") + F.col("words") > F.col("rest"))).groupBy("source").agg(F.min("bin").alias("edge"), F.min_by("below", "bin").alias("below"))
-    edge = Table(edge, "edges").df
-    told = ranked.join(edge.withColumnRenamed("source", "edge_source"), F.col("source").eqNullSafe(F.col("edge_source")), "left").drop("edge_source")
-    told = Table(told, "ranked").df
+    p = F.least(F.lit(1.0), F.coalesce("scale", F.lit(0.0)) * F.col("size"))
+    rank = F.when(F.col("p") <= 0, F.lit(float("inf"))).when(F.col("p") >= 1, F.lit(-1.0)).otherwise(odds(u) / odds(F.col("p")))
+    # t: the rank on a scale from 0 to 1, and -1 for certain documents
+    t = F.when(F.col("rank") < 0, F.lit(-1.0)).when(F.col("rank") == float("inf"), F.lit(1.0)).otherwise(F.col("rank") / (1 + F.col("rank")))
+    ranked = rows.join(goal, same(rows, goal), "left").select("rid", "doc_id", rows["source"], "size", "source_size", "target", "sure", "rest", p.alias("p"))
+    ranked = Table(ranked.withColumn("rank", rank).withColumn("t", t).drop("p"), "ranked").df
+    edge, bin_ = _edges(ranked.filter("size > 0"), edge_rows)
+    told = ranked.join(edge.withColumnRenamed("source", "edge_source"), F.col("source").eqNullSafe(F.col("edge_source")), "left").drop("edge_source").withColumn("bin", bin_)
     inside = told.filter((F.col("bin") == F.col("edge")) & (F.col("size") > 0))
     order = Window.partitionBy("source").orderBy("rank", "doc_id", "size", "rid")
     inside = inside.withColumn("upto", F.col("below") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))

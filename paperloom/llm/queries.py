@@ -105,11 +105,22 @@ WITH sized AS (
 ), rests AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(2, floor(target / source_size))::BIGINT ELSE 0 END AS sure
   FROM goals
+), counted AS (
+  SELECT s.source, s.size, count(*) AS c, any_value(g.target - g.sure * g.source_size) AS rest
+  FROM sized s JOIN rests g ON s.source IS NOT DISTINCT FROM g.source WHERE s.size > 0 GROUP BY s.source, s.size
+), scaled AS (
+  SELECT source, size, (rest - coalesce(sum(size * c) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+         / (sum(size * size * c) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS scale
+  FROM counted
+), scales AS (
+  SELECT source, arg_max(scale, size) AS scale FROM scaled WHERE scale * size <= 1 GROUP BY source
+), chances AS (
+  SELECT s.doc_id, s.source, s.size, g.source_size, g.target, g.sure, g.target - g.sure * g.source_size AS rest, s.u, least(1.0::DOUBLE, coalesce(k.scale, 0::DOUBLE) * s.size) AS p
+  FROM sized s JOIN rests g ON s.source IS NOT DISTINCT FROM g.source LEFT JOIN scales k ON s.source IS NOT DISTINCT FROM k.source
 ), ranked AS (
-  SELECT s.doc_id, s.source, s.size, g.source_size, g.target, g.sure, g.target - g.sure * g.source_size AS rest, s.u
-  FROM sized s JOIN rests g ON s.source IS NOT DISTINCT FROM g.source
+  SELECT *, CASE WHEN p <= 0 THEN 'inf'::DOUBLE WHEN p >= 1 THEN -1 ELSE (u / (1 - u)) / (p / (1 - p)) END::DOUBLE AS rank FROM chances
 ), upto AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS upto
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS upto
   FROM ranked
 ), got AS (
   SELECT *, upto <= rest AND rest > 0 AS hit,
@@ -117,7 +128,7 @@ WITH sized AS (
   FROM upto
 ), last AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN NOT hit AND size > 0 AND abs(size - (rest - got)) < rest - got THEN 0 ELSE 1 END,
-                               abs(size - (rest - got)), u, doc_id) AS nth,
+                               abs(size - (rest - got)), rank, doc_id) AS nth,
          NOT hit AND size > 0 AND abs(size - (rest - got)) < rest - got AS fits
   FROM got
 )
