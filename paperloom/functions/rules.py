@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -168,12 +169,24 @@ def subject_of_words(words: Column) -> Column:
     return first_of([(F.arrays_overlap(words, F.array(*[F.lit(a) for a in names])), subject) for subject, names in SUBJECT_ALIASES.items()])
 
 
+def _science_rules() -> Column:
+    """The chapters as a table in one literal: array of struct(k, c, s)."""
+    rows = [{"k": k, "c": name, "s": subject} for k, chapters in SCIENCE_CHAPTERS.items() for name, subject in chapters]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<k:string,c:string,s:string>>")
+
+
 def science_subject(class_name: Column, chapter: Column) -> Column:
     """The chapter's subject: the same name, else the first that contains it or
     that it contains."""
-    exact = [((class_name == k) & (chapter == name), s) for k, rows in SCIENCE_CHAPTERS.items() for name, s in rows]
-    near = [((class_name == k) & (F.contains(chapter, F.lit(name)) | F.contains(F.lit(name), chapter)), s) for k, rows in SCIENCE_CHAPTERS.items() for name, s in rows]
-    return F.coalesce(first_of(exact), first_of(near))
+
+    def first(x: Column) -> Column:
+        of_class = F.filter(x["rules"], lambda r: r["k"] == x["class"])
+        same = F.filter(of_class, lambda r: r["c"] == x["chapter"])
+        near = F.filter(of_class, lambda r: F.contains(x["chapter"], r["c"]) | F.contains(r["c"], x["chapter"]))
+        return F.get(F.concat(same, near), 0)["s"]
+
+    # bound once a row
+    return F.get(F.transform(F.array(F.struct(_science_rules().alias("rules"), class_name.alias("class"), chapter.alias("chapter"))), first), 0)
 
 
 def exclusion_reason(folders: Column, stem: Column) -> Column:

@@ -117,3 +117,9 @@ def path_parts(c: Column) -> Column:
 
 def file_stem(c: Column) -> Column:
     return F.regexp_replace(F.element_at(path_parts(c), -1), r"(?<=.)\.[^.]*$", "")
+
+
+def half_even(c: Column, digits: int = 0) -> Column:
+    """Rounded to some digits, halves to the even neighbour. What counts as a
+    half is told from the shortest decimal form of the number."""
+    return F.bround(c, digits)

@@ -18,22 +18,24 @@ def gap_clusters(df: DataFrame, keys: Sequence[str], at: str, gap: Column, tie:
 
 
 def mean_linkage(values: Column, tolerance: float) -> Column:
-    """Clusters of an array of doubles, array of struct(lo, hi, n, total,
-    members): a value, in rising order, joins the last cluster if it lies within
-    `tolerance` of that cluster's mean."""
-    cluster = "struct<lo:double,hi:double,n:bigint,total:double,members:array<double>>"
-    start = F.array().cast(f"array<{cluster}>")
-
-    def new(v: Column) -> Column:
-        return F.struct(v.alias("lo"), v.alias("hi"), F.lit(1).cast("bigint").alias("n"), v.alias("total"), F.array(v).alias("members"))
+    """Clusters of an array of doubles, array of struct(lo, hi, n, total, begin):
+    a value, in rising order, joins the last cluster if it lies within
+    `tolerance` of that cluster's mean. Clusters are runs of the sorted values
+    from place `begin` on, so none of them carries its members."""
+    cluster = "struct<lo:double,hi:double,n:bigint,total:double,begin:bigint>"
+    none = F.lit(None).cast(cluster)
+    start = F.struct(F.array().cast(f"array<{cluster}>").alias("done"), none.alias("now"))
 
     def step(acc: Column, v: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.struct(last["lo"].alias("lo"), v.alias("hi"), (last["n"] + 1).alias("n"), (last["total"] + v).alias("total"), F.concat(last["members"], F.array(v)).alias("members"))
-        joins = (F.size(acc) > 0) & (F.abs(v - last["total"] / last["n"]) <= tolerance)
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(new(v))))
+        now = acc["now"]
+        joins = F.coalesce(F.abs(v - now["total"] / now["n"]) <= tolerance, F.lit(False))
+        grown = F.struct(now["lo"].alias("lo"), v.alias("hi"), (now["n"] + 1).alias("n"), (now["total"] + v).alias("total"), now["begin"].alias("begin"))
+        new = F.struct(v.alias("lo"), v.alias("hi"), F.lit(1).cast("bigint").alias("n"), v.alias("total"), F.coalesce(now["begin"] + now["n"], F.lit(0).cast("bigint")).alias("begin"))
+        done = F.when(joins | now.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(now)))
+        return F.struct(done.alias("done"), F.when(joins, grown).otherwise(new).alias("now"))
 
-    return F.aggregate(F.array_sort(F.filter(values, lambda v: v.isNotNull())), start, step)
+    finish = lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"])))
+    return F.aggregate(F.array_sort(F.filter(values, lambda v: v.isNotNull())), start, step, finish)
 
 
 def repeated_positions(marks: DataFrame, pages: DataFrame, tolerance: float = 4.0) -> DataFrame:
@@ -45,8 +47,10 @@ def repeated_positions(marks: DataFrame, pages: DataFrame, tolerance: float = 4.
     clustered in one row; support counts marks of all clusters again."""
     strength = F.col("strength") if "strength" in marks.columns else F.lit(1.0)
     marks = marks.select("doc", "page", F.col("y").cast("double").alias("y"), strength.alias("strength"))
-    centres = marks.groupBy("doc").agg(F.collect_list("y").alias("ys")).select("doc", F.posexplode(mean_linkage(F.col("ys"), tolerance)).alias("nth", "c"))
-    members = F.col("c.members")
+    sorted_ys = marks.groupBy("doc").agg(F.array_sort(F.collect_list("y")).alias("ys"))
+    centres = sorted_ys.select("doc", "ys", F.posexplode(mean_linkage(F.col("ys"), tolerance)).alias("nth", "c"))
+    centres = centres.select("doc", "nth", F.slice("ys", (F.col("c.begin") + 1).cast("int"), F.col("c.n").cast("int")).alias("members"))
+    members = F.col("members")
     half = F.floor(F.size(members) / 2).cast("int")
     median = F.when(F.size(members) % 2 == 1, F.get(members, half)).otherwise((F.get(members, half - 1) + F.get(members, half)) / 2)
     centres = centres.select("doc", "nth", median.alias("centre"))

@@ -44,6 +44,27 @@ def dominant_bucket(df: DataFrame, keys: Sequence[str], value: str, position: Co
     return best.select(*keys, "b.bucket", "b.n", "b.median")
 
 
+BUCKET, WHITE_SHARE, LEAST_SHARE, LEAST_PIXELS = 8, 0.55, 0.08, 3
+
+
+def local_background(pixels: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
+    """pixels: (keys, position, r, g, b) -> (keys, r, g, b), 0 to 1, the colour a
+    region stands on. White if most pixels are nearly so; else the medians by
+    channel of the coarse colour with most pixels (ties: seen first); else, if
+    that is a small share, the medians of all."""
+    c, rgb = F.col, ("r", "g", "b")
+    bucket = [F.floor(c(x) / BUCKET).alias(f"_{x}") for x in rgb]
+    medians = [F.median(x).alias(x) for x in rgb]
+    coarse = pixels.groupBy(*keys, *bucket).agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("first"), *medians)
+    best = coarse.groupBy(*keys).agg(F.max_by(F.struct("n", *rgb), F.struct("n", F.negative("first"))).alias("best"))
+    whiteish = (c("r") > 240) & (c("g") > 240) & (c("b") > 240)
+    whole = pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), share_where(whiteish).alias("white"), *medians)
+    joined = whole.join(best, list(keys))
+    clear = (c("best.n") / c("n") >= LEAST_SHARE) & (c("best.n") >= LEAST_PIXELS)
+    pick = lambda x: F.when(c("white") >= WHITE_SHARE, 1.0).when(clear, c(f"best.{x}") / 255).otherwise(c(x) / 255)
+    return joined.select(*keys, *[pick(x).alias(x) for x in rgb])
+
+
 def multiset_retention(source: DataFrame, output: DataFrame, keys: Sequence[str], token: str = "token") -> DataFrame:
     """Share of a source's tokens that the output still has, as multisets: the
     sum of the lesser counts over the source's total. Groups without source
@@ -75,3 +96,30 @@ def peak_of_sums(samples: DataFrame, run: str, at: str, process: str, memory: st
     memory_at = samples.groupBy(run, at).agg(F.sum(memory).alias("m")).groupBy(run).agg(F.max("m").alias("peak"))
     cpu_of = samples.groupBy(run, process).agg(F.max(cpu).alias("c")).groupBy(run).agg(F.sum("c").alias("cpu"))
     return memory_at.join(cpu_of, run)
+
+
+def rect_bounds(rects: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The least rectangle around those of each group."""
+    return rects.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+def distinct_members(df: DataFrame, keys: Sequence[str], array: str) -> DataFrame:
+    """The sorted union of each group's arrays. Members are made distinct before
+    they are gathered, so a group costs what its result does."""
+    members = df.select(*keys, F.explode(array).alias("_m")).distinct()
+    return members.groupBy(*keys).agg(F.sort_array(F.collect_list("_m")).alias(array))
+
+
+def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of one side only, with the side they are on; null equals null."""
+    left, right = a.distinct(), b.select(*a.columns).distinct()
+    side = lambda df, name: df.withColumn("side", F.lit(name))
+    both = side(left, "left").unionByName(side(right, "right"))
+    return both.groupBy(*a.columns).agg(F.count(F.lit(1)).alias("_n"), F.first("side").alias("side")).filter("_n = 1").drop("_n")
+
+
+def multiset_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that both sides have, with the lesser of their counts. Counts combine
+    before the shuffle, where the set operation would replicate rows."""
+    counted = lambda df, name: df.groupBy(*a.columns).agg(F.count(F.lit(1)).alias(name))
+    return counted(a, "_a").join(counted(b, "_b"), a.columns).select(*a.columns, F.least("_a", "_b").alias("n"))

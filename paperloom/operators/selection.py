@@ -99,6 +99,15 @@ def review_pages(pages: DataFrame, issues: DataFrame, budget: int = BUDGET) -> D
     return rows.withColumn("_taken", taken).filter(F.col("_take") | ((F.col("_taken") < budget) & F.array_contains(slots, F.col("page").cast("long")))).select("doc", "page")
 
 
+def first_paths(files: DataFrame, limit: int = 0) -> DataFrame:
+    """(nth, path, ...): files in the order of their paths' parts, the first
+    `limit` of them (0: all, which is one sort of the whole). The limit comes
+    after whatever filters files went through."""
+    order = F.split(F.col("path"), "/")
+    ordered = files.orderBy(order).limit(limit) if limit else files
+    return ordered.select(F.row_number().over(Window.orderBy(order)).cast("long").alias("nth"), "*")
+
+
 def zero_filled(df: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Counts of df for every pair of two small lists of keys, 0 where there are
     none. Both lists are distinct values of a dimension."""

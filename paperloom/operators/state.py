@@ -6,7 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
+from pyspark.sql.window import Window
+
+#: Statuses of a job, and the steps between them. A job that ended may be started again.
+STATUSES = ("discovered", "pending", "running", "analyzed", "completed", "cached", "excluded", "unclassified", "qa_failed", "failed", "cancelled", "interrupted")
+STEPS = {
+    None: STATUSES,
+    "discovered": ("pending", "excluded", "unclassified", "cached", "cancelled"),
+    "pending": ("running", "cached", "cancelled", "interrupted"),
+    "running": ("running", "analyzed", "completed", "qa_failed", "failed", "cancelled", "interrupted"),
+    "analyzed": ("running", "completed", "qa_failed", "failed", "cancelled", "interrupted"),
+}
 RETRIED = ("failed", "qa_failed", "cancelled", "interrupted")
 FAILED = ("failed", "qa_failed")
 
@@ -48,6 +58,49 @@ def to_retry(sources: DataFrame, jobs: DataFrame, key: str) -> DataFrame:
     return sources.join(jobs.filter(F.col("status").isin(*RETRIED)).select(key), key, "left_semi")
 
 
+def wrong_steps(events: DataFrame, key: str, sequence: Sequence[str]) -> DataFrame:
+    """Events whose status is unknown or cannot follow the one before. A window
+    over one job's events, which are as many as its attempts."""
+    before = F.lag("status").over(Window.partitionBy(key).orderBy(*sequence))
+    ended = ("pending", "running", "discovered", "cached", "excluded", "unclassified")
+    allowed = lambda was: F.array(*[F.lit(x) for x in was])
+    steps = F.when(F.col("before").isNull(), allowed(STEPS[None]))
+    for was, then in STEPS.items():
+        if was:
+            steps = steps.when(F.col("before") == was, allowed(then))
+    fine = F.array_contains(steps.otherwise(allowed(ended)), F.col("status"))
+    return events.withColumn("before", before).filter(~F.coalesce(fine, F.lit(False)))
+
+
+def after_retries(attempts: DataFrame, key: str, retries: int) -> DataFrame:
+    """attempts: (key, attempt from 0, status) -> (key, attempts, status, again).
+    Only `failed` is tried again, `retries` times at most; a failed audit never
+    is. What was logged beyond the attempt that ended a job does not count."""
+    inside = attempts.filter(F.col("attempt") <= retries)
+    ends = F.when(F.col("status") != "failed", F.col("attempt"))
+    told = inside.groupBy(key).agg(F.min(ends).alias("_end"), F.min_by("status", ends).alias("_status"), F.max("attempt").alias("_last"))
+    made = F.coalesce("_end", "_last") + 1
+    again = F.col("_end").isNull() & (F.col("_last") < retries)
+    return told.select(key, made.cast("long").alias("attempts"), F.coalesce("_status", F.lit("failed")).alias("status"), again.alias("again"))
+
+
+def matrix_status(fixtures: DataFrame, before: DataFrame, after: DataFrame, results: DataFrame) -> DataFrame:
+    """fixtures, before and after: (source_id, sha256); results: (source_id,
+    status). (source_id, status, preserved): source_changed if the bytes are not
+    the fixture's, source_modified if the run changed them."""
+    hashed = lambda df, name: df.select("source_id", F.col("sha256").alias(name))
+    rows = hashed(fixtures, "_want").join(hashed(before, "_before"), "source_id", "left").join(hashed(after, "_after"), "source_id", "left").join(results.select("source_id", F.col("status").alias("_status")), "source_id", "left")
+    same = F.col("_before").eqNullSafe(F.col("_want"))
+    kept = F.col("_after").eqNullSafe(F.col("_before"))
+    status = F.when(~same, "source_changed").when(~kept, "source_modified").otherwise(F.col("_status"))
+    return rows.select("source_id", status.alias("status"), F.when(same, kept).alias("preserved"))
+
+
+def matrix_passed(records: DataFrame) -> DataFrame:
+    done = F.coalesce(F.bool_and(F.coalesce(F.col("status") == "completed", F.lit(False))), F.lit(False))
+    return records.agg(done.alias("passed"), F.count(F.lit(1)).alias("n"))
+
+
 def snapshot(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 

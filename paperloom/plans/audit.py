@@ -139,15 +139,22 @@ def document_issues(sources: DataFrame) -> DataFrame:
     return failed.unionByName(_issue(rows, F.col("opened") & (F.col("source_pages") != F.col("output_pages")), "PAGE_COUNT_CHANGED", "fatal"))
 
 
-def report(pages: DataFrame, issues: DataFrame, kept: DataFrame) -> DataFrame:
-    """pages: (doc, page, page_strategy); kept: (doc, page, retention) -> one row
-    a document: passed, pages, mean retention of pages with words (null: none),
-    issue counts and pages by strategy."""
+def report(pages: DataFrame, issues: DataFrame, kept: DataFrame, shifts: DataFrame | None = None, changes: DataFrame | None = None) -> DataFrame:
+    """pages: (doc, page, page_strategy); kept: (doc, page, retention); shifts:
+    (doc, page, shift, checks); changes: (doc, page, change) -> one row a
+    document: passed, pages, mean retention of pages with words (null: none),
+    largest shift and its checks, largest share of changed pixels (0 without
+    any), issue counts and pages by strategy."""
     bad = issues.groupBy("doc").agg(F.bool_or(F.col("severity").isin("error", "fatal")).alias("bad"), F.count(F.lit(1)).alias("issues"))
     means = kept.groupBy("doc").agg(F.avg("retention").alias("average_retention"), F.count(F.lit(1)).alias("retention_pages"))
     by = pages.groupBy("doc", "page_strategy").agg(F.count(F.lit(1)).alias("n")).groupBy("doc").agg(F.sum("n").alias("pages"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("page_strategy", "n")))).alias("strategies"))
     out = by.join(bad, "doc", "left").join(means, "doc", "left")
-    return out.select("doc", (~F.coalesce(F.col("bad"), F.lit(False))).alias("passed"), "pages", "average_retention", F.coalesce("retention_pages", F.lit(0)).alias("retention_pages"), F.coalesce("issues", F.lit(0)).alias("issues"), "strategies")
+    none = pages.select("doc").limit(0)
+    moved = shifts.groupBy("doc").agg(F.max("shift").alias("max_shift"), F.sum("checks").alias("shift_checks")) if shifts is not None else none.withColumns({"max_shift": F.lit(None).cast("double"), "shift_checks": F.lit(None).cast("long")})
+    changed = changes.groupBy("doc").agg(F.max("change").alias("max_change")) if changes is not None else none.withColumn("max_change", F.lit(None).cast("double"))
+    out = out.join(moved, "doc", "left").join(changed, "doc", "left")
+    zero = lambda x, v: F.coalesce(x, F.lit(v)).alias(x)
+    return out.select("doc", (~F.coalesce(F.col("bad"), F.lit(False))).alias("passed"), "pages", "average_retention", zero("retention_pages", 0), zero("max_shift", 0.0), zero("shift_checks", 0), zero("max_change", 0.0), zero("issues", 0), "strategies")
 
 
 def pixel_change(pixels: DataFrame, keys: list[str], tolerance: int = PIXEL_TOLERANCE) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from .functions import geometry as g
 from .functions import rules, text
-from .operators import clusters, matching, rects, regions, repeats, rollups, selection, state
+from .operators import clusters, intervals, matching, rects, regions, repeats, rollups, selection, state
 from .plans import audit, classify, page_plan
 from .sources.tables import table
 
@@ -383,9 +383,7 @@ SELECT a.event_id AS left_id, b.event_id AS right_id FROM i a JOIN i b ON a.user
 def interval_overlap(spark: SparkSession, d: str) -> DataFrame:
     s = F.unix_micros(F.col("ts").cast("timestamp"))
     i = table(spark, d, "events").select("event_id", "user_id", s.alias("s"), (s + F.round(F.col("value") * 60000000).cast("long")).alias("e"))
-    a, b = i.alias("a"), i.alias("b")
-    met = a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.event_id") < F.col("b.event_id")) & (F.col("a.s") < F.col("b.e")) & (F.col("b.s") < F.col("a.e")))
-    return met.select(F.col("a.event_id").alias("left_id"), F.col("b.event_id").alias("right_id"))
+    return intervals.overlapping_pairs(i, "user_id", "event_id", "s", "e", 3_600_000_000)
 
 
 @query(r"""
@@ -588,31 +586,40 @@ def near_rect_merge(spark: SparkSession, d: str) -> DataFrame:
     return rects.merged_rects(boxes)
 
 
-@query()
+_WHOLE, _CUTS = "0, 0, l_quantity, 40", (("l_quantity - 20", "l_tax * 300 - 5", "l_quantity - 8", "l_tax * 300 + 12"), ("5", "l_linenumber * 3", "9 + l_discount * 200", "60"))
+
+
+def _cut_sql(source: str, k: int) -> str:
+    """What is left of the rectangles of a view without the k-th cut, in pieces."""
+    x0, y0, x1, y1 = (f"({c})::DOUBLE" for c in _CUTS[k])
+    meets = f"greatest(x0, {x0}) < least(x1, {x1}) AND greatest(y0, {y0}) < least(y1, {y1})"
+    top, bottom, left, right = f"greatest(y0, {y0})", f"least(y1, {y1})", f"greatest(x0, {x0})", f"least(x1, {x1})"
+    keep = "SELECT l_orderkey, l_linenumber, l_quantity, l_tax, l_discount, n * 5 + {4} AS n, {0} AS x0, {1} AS y0, {2} AS x1, {3} AS y1 FROM " + source
+    parts = [keep.format("x0", "y0", "x1", "y1", 0) + f" WHERE NOT ({meets})"]
+    for i, box in enumerate((("x0", "y0", "x1", top), ("x0", bottom, "x1", "y1"), ("x0", top, left, bottom), (right, top, "x1", bottom))):
+        parts.append(keep.format(*box, i + 1) + f" WHERE {meets}")
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE x1 - x0 > 0.1::DOUBLE AND y1 - y0 > 0.1::DOUBLE"
+
+
+@query(f"""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity, l_tax, l_discount, 0 AS n, 0::DOUBLE AS x0, 0::DOUBLE AS y0, l_quantity AS x1, 40::DOUBLE AS y1 FROM lineitem WHERE l_quantity > 0),
+one AS ({_cut_sql('r', 0)}), two AS ({_cut_sql('one', 1)})
+SELECT l_orderkey, l_linenumber, x0, y0, x1, y1 FROM two
+""")
 def rect_subtraction(spark: SparkSession, d: str) -> DataFrame:
-    q = F.col("l_quantity")
-    whole = g.rect(F.lit(0.0), F.lit(0.0), q, F.lit(40.0))
-    cut = F.array(g.rect(F.lit(-5.0), F.lit(-5.0), F.lit(10.0), F.col("l_tax") * 500))
-    pieces = g.subtract(whole, cut, least=0.0)
-    area = F.aggregate(F.transform(pieces, g.area), F.lit(0.0), lambda a, x: a + x)
-    return table(spark, d, "lineitem").filter("l_linenumber <= 2").select("l_orderkey", "l_linenumber", F.round(area, 6).alias("area"))
-
-
-ORACLE_SQL["rect_subtraction"] = """
-SELECT l_orderkey, l_linenumber,
-       round((greatest(0, l_quantity - 10) * 40 + least(10, l_quantity) * greatest(0, 40 - l_tax * 500))::DOUBLE, 6) AS area
-FROM lineitem WHERE l_linenumber <= 2
-"""
+    cuts = F.array(*[g.rect(*[F.expr(c) for c in cut]) for cut in _CUTS])
+    pieces = g.subtract(g.rect(F.lit(0.0), F.lit(0.0), F.col("l_quantity"), F.lit(40.0)), cuts)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.explode(pieces).alias("p")).select("l_orderkey", "l_linenumber", "p.*")
 
 
 @query("""
-WITH a AS (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 1), b AS (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 2)
-SELECT l_partkey, l_suppkey FROM a INTERSECT ALL SELECT l_partkey, l_suppkey FROM b
+WITH a AS (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber % 2 = 1), b AS (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber % 2 = 0)
+SELECT l_partkey, l_suppkey, least(x.n, y.n) AS n FROM (SELECT l_partkey, l_suppkey, count(*) AS n FROM a GROUP BY ALL) x JOIN (SELECT l_partkey, l_suppkey, count(*) AS n FROM b GROUP BY ALL) y USING (l_partkey, l_suppkey)
 """)
 def multiset_intersection(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem")
-    of = lambda n: lines.filter(F.col("l_linenumber") == n).select("l_partkey", "l_suppkey")
-    return of(1).intersectAll(of(2))
+    of = lambda odd: lines.filter(F.col("l_linenumber") % 2 == odd).select("l_partkey", "l_suppkey")
+    return rollups.multiset_intersection(of(1), of(0))
 
 
 @query("""
@@ -638,14 +645,32 @@ def shares_and_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_suppkey").agg(rollups.share_where(F.col("l_quantity") < 25).alias("dark"), rollups.all_and_some(F.col("l_quantity") <= 50).alias("passed"), rollups.none_of(F.col("l_returnflag") == "X").alias("clean"))
 
 
+_CHAPTERS = ("Measurement and Motion", "Heat", "Sound", "Motion", "Air", "friend and foe", "Unheard of")
+_PATH = f"""CASE doc_id % 4 WHEN 0 THEN 'Class ' || (6 + doc_id % 5) WHEN 1 THEN (6 + doc_id % 5) || 'th class' WHEN 2 THEN 'std_' || (6 + doc_id % 5) ELSE 'Class 7/grade-' || (6 + doc_id % 5) END || '/'
+ || CASE doc_id % 6 WHEN 0 THEN 'maths' WHEN 1 THEN 'Phy' WHEN 2 THEN 'bio' WHEN 3 THEN 'Science' WHEN 4 THEN 'Unsorted' ELSE 'misc' END || '/' || (doc_id % 20) || ' '
+ || CASE doc_id % 7 {' '.join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CHAPTERS))} END || '/' || CASE doc_id % 5 WHEN 0 THEN 'Race solutions' WHEN 1 THEN 'Sheet' WHEN 2 THEN 'Chem notes' WHEN 3 THEN 'Chapter-test' ELSE 'year planner' END || ' ' || doc_id || '.pdf'"""
+_SCIENCE = ", ".join(f"({n}, '{k}', '{c}', '{s}')" for n, (k, c, s) in enumerate((k, c, s) for k, rows in rules.SCIENCE_CHAPTERS.items() for c, s in rows))
+
+
 @query(f"""
-WITH paths AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Class ' || (6 + doc_id % 5) ELSE (6 + doc_id % 5) || 'th class' END || '/' || CASE doc_id % 3 WHEN 0 THEN 'maths' WHEN 1 THEN 'phy' ELSE 'bio' END || '/' || (doc_id % 20) || ' Topic ' || source AS folder FROM documents)
-SELECT doc_id, (6 + doc_id % 5)::VARCHAR AS class_name, CASE doc_id % 3 WHEN 0 THEN 'mathematics' WHEN 1 THEN 'physics' ELSE 'biology' END AS subject,
-       regexp_extract(folder, 'Topic .*$') AS chapter, (doc_id % 20)::VARCHAR AS chapter_number, CASE doc_id % 2 WHEN 0 THEN 'DPP' ELSE 'NOTES' END AS material_type FROM paths
+WITH science(n, k, c, s) AS (VALUES {_SCIENCE}), paths AS (SELECT doc_id, {_PATH} AS path FROM documents),
+parts AS (SELECT *, (6 + doc_id % 5)::VARCHAR AS class, {_norm("string_split(path, '/')[-2]")} AS folder, regexp_replace({_norm("string_split(path, '/')[-2]")}, '^[0-9]+ ', '') AS plain FROM paths),
+found AS (
+  SELECT p.*, coalesce((SELECT min_by(s, n) FROM science WHERE k = class AND c = plain), (SELECT min_by(s, n) FROM science WHERE k = class AND (contains(plain, c) OR contains(c, plain)))) AS science FROM parts p
+), told AS (
+  SELECT *, CASE WHEN doc_id % 5 = 2 THEN 'chemistry' ELSE CASE doc_id % 6 WHEN 0 THEN 'mathematics' WHEN 1 THEN 'physics' WHEN 2 THEN 'biology' WHEN 3 THEN science END END AS subject_found,
+    string_split(path, '/')[-2] AS chapter_folder, CASE doc_id % 5 WHEN 0 THEN 'DPP' WHEN 3 THEN 'CHAPTER TEST' ELSE 'NOTES' END AS material, doc_id % 6 = 4 AS unsorted, doc_id % 6 = 4 AND doc_id % 16 = 12 AS reviewed FROM found
+), known AS (
+  SELECT *, CASE WHEN reviewed THEN 'biology' WHEN NOT unsorted THEN subject_found END AS subject FROM told
+)
+SELECT doc_id, CASE WHEN subject IS NOT NULL THEN class END AS class_name, subject, CASE WHEN subject IS NULL THEN NULL WHEN reviewed THEN 'Checked' ELSE regexp_extract(chapter_folder, '^[0-9]+ (.*)$', 1) END AS chapter,
+  CASE WHEN subject IS NOT NULL AND NOT reviewed THEN (doc_id % 20)::VARCHAR END AS chapter_number, CASE WHEN subject IS NULL THEN NULL WHEN reviewed THEN 'TEST' ELSE material END AS material_type,
+  CASE WHEN doc_id % 5 = 4 THEN 'administrative plan/schedule file' END AS exclusion
+FROM known
 """)
 def path_classification(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("doc_id")
-    number = (6 + i % 5).cast("string")
-    path = F.concat_ws("/", F.when(i % 4 == 0, F.concat(F.lit("Class "), number)).otherwise(F.concat(number, F.lit("th class"))), F.element_at(F.array(F.lit("maths"), F.lit("phy"), F.lit("bio")), (i % 3 + 1).cast("int")), F.concat((i % 20).cast("string"), F.lit(" Topic "), F.col("source")), F.when(i % 2 == 0, F.lit("Race solutions.pdf")).otherwise(F.lit("Sheet.pdf")))
-    docs = table(spark, d, "documents").select("doc_id", path.alias("path"), F.lit("").alias("first_page"))
-    return classify.classify(docs).select("doc_id", "class_name", "subject", "chapter", "chapter_number", "material_type")
+    docs = table(spark, d, "documents").selectExpr("doc_id", f"{_PATH} AS path", "CASE WHEN doc_id % 16 = 4 THEN 'nothing of it' ELSE 'Checked by hand: page' END AS first_page")
+    # records of unsorted documents: half of them are right, the others name an anchor or a class that is not there
+    class_name = F.when(F.col("doc_id") % 8 == 4, (6 + F.col("doc_id") % 5).cast("string")).otherwise(F.lit("11"))
+    reviewed = docs.filter("doc_id % 6 = 4").select("path", class_name.alias("class_name"), F.lit("biology").alias("subject"), F.lit("Checked").alias("chapter"), F.lit(None).cast("string").alias("chapter_number"), F.lit("TEST").alias("material_type"), F.array(F.lit("by hand")).alias("anchors"))
+    return classify.classify(docs, reviewed=reviewed).select("doc_id", "class_name", "subject", "chapter", "chapter_number", "material_type", "exclusion")
