@@ -361,3 +361,70 @@ def first_in_path_order(spark: SparkSession, d: str) -> DataFrame:
     folder = F.when(F.col("p_partkey") % 3 == 0, F.lit("a/")).otherwise(F.lit("a b/"))
     paths = table(spark, d, "part").select(F.concat(folder, "p_brand", F.lit("/"), "p_name", F.lit(" "), F.col("p_partkey").cast("string"), F.lit(".pdf")).alias("path"))
     return selection.first_paths(paths.filter(F.contains(F.lower("path"), F.lit("bolt"))), 50)
+
+
+#: Bands: text, rules and strips that repeat at about the same place on a document's pages.
+PAGED = ["CAST(floor(o_orderkey / 5) AS BIGINT) AS doc", "o_orderkey % 5 + 1 AS page", "CAST(842 AS DOUBLE) AS height", "o_custkey AS c", "o_orderkey AS k"]
+BLOCK_KINDS = (
+    ("c % 3 > 0", "'ACME, class ' || k", "20 + c % 3", "30 + c % 7"),
+    ("c % 4 = 1", "'Small print ' || page", "60 + c % 50", "70 + c % 50"),
+    ("c % 7 > 1", "'Page ' || page", "815 + c % 5", "825 + c % 5"),
+    ("true", "'Text number ' || k || ' of ' || CASE c % 3 WHEN 0 THEN 'one' WHEN 1 THEN 'two' ELSE 'three' END", "300", "310"),
+)
+RULE_KINDS = (("c % 5 > 1", "46 + c % 4", "true"), ("c % 2 = 0", "150 + c % 3", "true"), ("c % 3 = 1", "800 + c % 4", "false"))
+STRIP = ("c % 2 = 1", "790 + c % 6", "CAST(c % 8 AS DOUBLE) / 8")
+
+
+def _kinds(kinds: tuple, names: tuple[str, ...]) -> list[str]:
+    cast = lambda v, n: f"CAST({v} AS DOUBLE) AS {n}" if n.startswith("y") else f"{v} AS {n}"
+    return [", ".join(["doc", "page", *[cast(v, n) for v, n in zip(kind[1:], names)]]) + f" FROM paged WHERE {kind[0]}" for kind in kinds]
+
+
+_BLOCKS, _RULES, _STRIPS = _kinds(BLOCK_KINDS, ("text", "y0", "y1")), _kinds(RULE_KINDS, ("y", "top")), _kinds((STRIP,), ("y", "strength"))
+_NUMBERED = [b.replace("doc, page,", f"doc, page, {n} AS nth,", 1) for n, b in enumerate(_BLOCKS)]
+
+
+@query(f"""WITH paged AS ({_sql(PAGED, 'orders')}), docs AS (SELECT doc, min(page) AS first, count(DISTINCT page) AS n FROM paged GROUP BY doc),
+known AS (SELECT *, CASE WHEN n >= 4 THEN n - 1 ELSE n END AS sampled FROM docs), limits AS (SELECT *, greatest(CASE WHEN sampled >= 2 THEN 2 ELSE 1 END, ceil(sampled * 0.45::DOUBLE)) AS threshold FROM known WHERE n > 1),
+chosen AS (SELECT p.doc, p.page, height FROM paged p JOIN limits USING (doc) WHERE n < 4 OR p.page <> first),
+blocks AS (SELECT {' UNION ALL SELECT '.join(_NUMBERED)}), rules AS (SELECT {' UNION ALL SELECT '.join(_RULES)}), strips AS (SELECT {_STRIPS[0]}),
+signed AS (SELECT b.*, height, {_SIGNATURE} AS sig FROM blocks b JOIN chosen USING (doc, page)),
+zones AS (SELECT doc, 'h' AS zone, sig, page, y1 AS y, nth FROM signed WHERE y1 <= height * 0.22::DOUBLE AND length(sig) >= 3 UNION ALL SELECT doc, 'f', sig, page, y0, nth FROM signed WHERE y0 >= height * 0.82::DOUBLE AND length(sig) >= 3),
+sigs AS (SELECT z.doc, zone, sig, count(DISTINCT page) / any_value(sampled) AS support, list(y) AS ys, median(y) AS middle, min((page, nth)) AS seen FROM zones z JOIN limits USING (doc) GROUP BY z.doc, zone, sig HAVING count(DISTINCT page) >= any_value(threshold)),
+-- the derived lines lie in groups further apart than the tolerance, so a group is a cluster
+marks AS (SELECT doc, page, y, CASE WHEN NOT top THEN 'bottom' WHEN y < 100 THEN 'top1' ELSE 'top2' END AS kind, 1::DOUBLE AS strength FROM rules UNION ALL SELECT doc, page, y, 'strip', strength FROM strips),
+clusters AS (SELECT m.doc, kind, median(y) AS y, count(DISTINCT m.page) / any_value(sampled) AS support, avg(strength) AS strength FROM marks m JOIN chosen c ON c.doc = m.doc AND c.page = m.page JOIN limits l ON l.doc = m.doc GROUP BY m.doc, kind HAVING count(DISTINCT m.page) >= any_value(threshold)),
+tops AS (SELECT doc, coalesce(max(y) FILTER (support >= 0.6::DOUBLE), max(y)) AS y, max(support) AS support FROM clusters WHERE kind IN ('top1', 'top2') GROUP BY doc),
+bottoms AS (SELECT doc, min(y) AS y, max(support) AS support FROM clusters WHERE kind = 'bottom' GROUP BY doc), visuals AS (SELECT doc, min(y) AS y, max(support) AS support FROM clusters WHERE kind = 'strip' AND strength >= 0.5::DOUBLE GROUP BY doc),
+kept AS (SELECT s.* FROM sigs s LEFT JOIN tops t USING (doc) WHERE zone = 'f' OR t.y IS NULL OR middle <= t.y + 10),
+texts AS (SELECT doc, zone, max(support) AS support, string_agg(sig, '|' ORDER BY seen, sig) AS names FROM kept GROUP BY doc, zone), middles AS (SELECT doc, zone, median(y) AS y FROM (SELECT doc, zone, unnest(ys) AS y FROM kept) GROUP BY doc, zone)
+SELECT d.doc, greatest(0, hm.y + 4, t.y + 2)::DOUBLE AS header_bottom, least(fm.y - 3, b.y - 2, v.y)::DOUBLE AS footer_top, least(0.99::DOUBLE, greatest(0, h.support, t.support))::DOUBLE AS header_confidence,
+  least(0.99::DOUBLE, greatest(0, f.support, b.support, v.support))::DOUBLE AS footer_confidence, coalesce(h.names, '') AS header_signatures, coalesce(f.names, '') AS footer_signatures
+FROM known d LEFT JOIN texts h ON h.doc = d.doc AND h.zone = 'h' LEFT JOIN texts f ON f.doc = d.doc AND f.zone = 'f' LEFT JOIN middles hm ON hm.doc = d.doc AND hm.zone = 'h' LEFT JOIN middles fm ON fm.doc = d.doc AND fm.zone = 'f'
+  LEFT JOIN tops t ON t.doc = d.doc LEFT JOIN bottoms b ON b.doc = d.doc LEFT JOIN visuals v ON v.doc = d.doc
+""")
+def band_detection(spark: SparkSession, d: str) -> DataFrame:
+    paged = table(spark, d, "orders").selectExpr(*PAGED)
+
+    def of(kinds: list[str]) -> DataFrame:
+        found = None
+        for kind in kinds:
+            columns, where = kind.split(" FROM paged WHERE ")
+            part = paged.filter(where).selectExpr(*[c.strip() for c in columns.split(", ", 2)[:2]], *_columns(columns.split(", ", 2)[2]))
+            found = part if found is None else found.unionByName(part)
+        return found
+
+    found = bands.detect_bands(paged.select("doc", "page", "height"), of(_NUMBERED), of(_RULES), of(_STRIPS))
+    return found.withColumns({c: F.array_join(c, "|") for c in ("header_signatures", "footer_signatures")})
+
+
+def _columns(listed: str) -> list[str]:
+    """Columns of a select list; commas inside quotes and parentheses do not part them."""
+    out, depth, quoted, begin = [], 0, False, 0
+    for i, c in enumerate(listed):
+        quoted ^= c == "'"
+        depth += 0 if quoted else (c == "(") - (c == ")")
+        if c == "," and not quoted and not depth:
+            out.append(listed[begin:i].strip())
+            begin = i + 1
+    return [*out, listed[begin:].strip()]

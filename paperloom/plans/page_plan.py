@@ -89,7 +89,7 @@ def plan_pages(pages: DataFrame, layout: Layout = Layout()) -> DataFrame:
     rows = rows.withColumn("cleanup", cleanup_bottom(c("header_bottom"), c("legacy_bottom"), c("first_y"), layout))
     targets = layout.first_page_cleanup_targets
     target = F.element_at(F.create_map(*[F.lit(x) for k, v in targets.items() for x in (k, float(v))]), c("material_type")) if targets else F.lit(None).cast("double")
-    fallback = F.when(c("first_y").isNull(), target).otherwise(F.least(target, c("first_y") - gap))
+    fallback = F.when(c("first_y").isNull() | target.isNull(), target).otherwise(F.least(target, c("first_y") - gap))  # least() skips nulls
     used = (c("page") == 1) & ~has_legacy & fallback.isNotNull() & (fallback > c("cleanup") + 2) & (fallback >= layout.header_min_height)
     rows = rows.withColumn("_used", F.coalesce(used, F.lit(False)))
     rows = rows.withColumn("_safe", c("_used") | (c("cleanup") >= layout.header_min_height))

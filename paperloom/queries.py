@@ -421,7 +421,18 @@ def coverage_keys(spark: SparkSession, d: str) -> DataFrame:
     return selection.coverage_keys(_documents_as_sources(spark, d)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE keys AS ({_KEYS_SQL}), sets AS (
+  SELECT ks, min(struct_pack(pages := n_chars, id := source_id)) AS best FROM (SELECT source_id, list_sort(list(key)) AS ks FROM keys GROUP BY source_id) JOIN documents ON doc_id = source_id GROUP BY ks
+), walk AS (
+  SELECT -1 AS step, NULL::BIGINT AS source_id, []::VARCHAR[] AS covers, []::VARCHAR[] AS done
+  UNION ALL
+  SELECT step + 1, best.id, fresh, list_concat(done, fresh) FROM (
+    SELECT *, row_number() OVER (ORDER BY len(fresh) DESC, best.pages, best.id) AS nth FROM (SELECT step, done, best, list_filter(ks, lambda k: NOT list_contains(done, k)) AS fresh FROM walk CROSS JOIN sets)
+  ) WHERE nth = 1 AND len(fresh) > 0
+)
+SELECT step, source_id, covers FROM walk WHERE step >= 0
+""")
 def greedy_set_cover(spark: SparkSession, d: str) -> DataFrame:
     sources = _documents_as_sources(spark, d)
     pages = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.col("n_chars").alias("page_count"))
@@ -521,18 +532,78 @@ def _full_pages(spark: SparkSession, d: str) -> DataFrame:
     })
 
 
-@query()
+_TYPES_SQL = "[" + ", ".join(_sql_text(m) for m in rules.DOCUMENT_TYPES) + "]"
+_TARGET_SQL = "CASE material_type " + " ".join(f"WHEN {_sql_text(k)} THEN {v}" for k, v in page_plan.Layout().first_page_cleanup_targets.items()) + " END"
+_PLAN_TEMPLATE = "CASE " + " ".join(f"WHEN material_type IN ({', '.join(map(_sql_text, v))}) THEN {_sql_text(k)}" for k, v in rules.HEADER_TEMPLATES.items()) + " ELSE 'notes' END"
+#: The page plan, step by step, over the derived pages.
+_PLANS = f"""
+WITH raw AS ({_PAGE_SQL}), p AS (
+  SELECT *, o_orderkey AS k, 1 + o_orderkey % 4 AS page, ['standard', 'standard', 'designed', 'dark', 'blank'][o_orderkey % 5 + 1] AS page_type, {_TYPES_SQL}[o_orderkey % 11 + 1] AS material_type,
+    o_orderkey % 3 = 0 AS legacy, o_orderkey % 7 = 0 AS sided, o_orderkey % 17 <> 0 AS text_ok, o_orderkey % 19 = 0 AS image_only, CASE WHEN o_orderkey % 3 = 0 THEN legacy_bottom + 6 ELSE 0 END::DOUBLE AS mark FROM raw
+), wanted AS (
+  SELECT *, least(greatest(54, header_bottom, mark), 150)::DOUBLE AS wanted, {_TARGET_SQL}::DOUBLE AS target FROM p
+), limited AS (
+  SELECT *, CASE WHEN first_y IS NULL THEN wanted ELSE least(wanted, greatest(0, first_y - 7)) END AS first_cleanup, CASE WHEN target IS NULL OR first_y IS NULL THEN target ELSE least(target, first_y - 7) END AS fallback FROM wanted
+), fell AS (
+  SELECT *, coalesce(page = 1 AND NOT legacy AND fallback > first_cleanup + 2 AND fallback >= 42, false) AS used FROM limited
+), cleaned AS (
+  SELECT *, greatest(0, CASE WHEN used THEN fallback ELSE first_cleanup END)::DOUBLE AS cleanup, used OR first_cleanup >= 42 AS room FROM fell
+), shown AS (
+  SELECT *, CASE WHEN room THEN least(cleanup, 76) ELSE 0 END::DOUBLE AS visible, room AND text_ok AS safe, page_type = 'standard' AS standard,
+    CASE WHEN band_top IS NOT NULL AND footer_confidence >= 0.55 AND 842 - band_top > 0 AND 842 - band_top <= 60 AND (last_y IS NULL OR last_y <= band_top - 7) THEN band_top
+         WHEN band_top IS NOT NULL AND footer_confidence >= 0.55 AND band_top >= 816 THEN least(band_top, 824) ELSE 824 END::DOUBLE AS foot FROM cleaned
+), footed AS (
+  SELECT *, CASE WHEN standard AND text_ok AND (last_y IS NULL OR last_y <= foot - 7) THEN foot END AS footer_y, greatest(header_bottom, mark) AS old_top, CASE WHEN band_top IS NULL THEN 0 ELSE greatest(0, 842 - band_top) END::DOUBLE AS old_bottom FROM shown
+), cropped AS (
+  SELECT *, CASE WHEN NOT standard THEN 0 WHEN first_y IS NULL THEN old_top ELSE least(old_top, greatest(0, first_y - 7)) END::DOUBLE AS crop_top,
+    CASE WHEN NOT standard THEN 0 WHEN last_y IS NULL THEN old_bottom ELSE least(old_bottom, greatest(0, 842 - last_y - 7)) END::DOUBLE AS crop_bottom FROM footed
+), plans AS (
+  SELECT *, CASE WHEN page_type = 'blank' THEN 'leave_untouched' WHEN NOT standard AND legacy THEN 'designed_page_logo_only' WHEN NOT standard THEN 'designed_page_preserve'
+      WHEN safe AND (used OR (page = 1 AND cleanup > visible + 8)) THEN 'first_page_large_logo_replacement' WHEN safe THEN 'standard_header_footer_replacement' WHEN legacy OR sided THEN 'legacy_only_cleanup' ELSE 'leave_untouched' END AS page_strategy,
+    CASE WHEN page_type = 'blank' THEN 'preserve' WHEN NOT standard THEN CASE WHEN legacy THEN 'replace_logo_only' ELSE 'preserve' END WHEN safe THEN 'overlay' WHEN legacy THEN 'replace_logo_only' WHEN sided THEN 'overlay' ELSE 'preserve' END AS strategy,
+    CASE WHEN standard AND safe THEN {_PLAN_TEMPLATE} ELSE 'none' END AS header_template, CASE WHEN standard AND safe THEN visible END AS header_y,
+    coalesce(standard AND text_ok AND NOT image_only AND safe AND header_confidence >= 0.72 AND crop_top > 0 AND crop_top + 0.1::DOUBLE >= old_top AND (first_y IS NULL OR crop_top <= first_y - 7 + 0.1::DOUBLE)
+      AND (band_top IS NULL OR footer_confidence >= 0.65) AND (band_top IS NULL OR last_y IS NULL OR last_y + 7 <= band_top), false) AS crop_is_safe,
+    CASE WHEN page_type = 'blank' THEN 1 WHEN NOT standard THEN CASE WHEN legacy THEN 0.97 WHEN k % 2 = 0 THEN 0.92 ELSE 0.78 END
+      ELSE least(0.99::DOUBLE, greatest(0.5::DOUBLE, 0.78::DOUBLE * 0.52::DOUBLE + greatest(header_confidence, 0.35::DOUBLE) * 0.28::DOUBLE + CASE WHEN safe THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN legacy THEN 0.05::DOUBLE ELSE 0 END)) END::DOUBLE AS confidence,
+    standard AND safe AS clears FROM cropped
+)"""
+
+
+@query(f"""{_PLANS}
+SELECT o_orderkey, page_strategy, strategy, header_template, confidence, cleanup, header_y, footer_y, crop_top, crop_bottom, crop_is_safe, CASE WHEN clears THEN 1 + legacy::INT ELSE 0 END AS n_cleanup,
+  (legacy AND NOT clears AND strategy <> 'replace_logo_only')::INT AS n_logos, strategy = 'replace_logo_only' AS replaces_logo FROM plans
+""")
 def page_plans(spark: SparkSession, d: str) -> DataFrame:
-    return page_plan.plan_pages(_full_pages(spark, d)).select("o_orderkey", "page_strategy", "strategy", "header_template", "confidence", "cleanup", "crop_is_safe", F.size("cleanup_rects").alias("n_cleanup"), F.size("additional_logo_rects").alias("n_logos"))
+    c = F.col
+    plans = page_plan.plan_pages(_full_pages(spark, d))
+    return plans.select("o_orderkey", "page_strategy", "strategy", "header_template", "confidence", "cleanup", c("header_rect.y1").alias("header_y"), c("footer_rect.y0").alias("footer_y"), "crop_top", "crop_bottom", F.coalesce("crop_is_safe", F.lit(False)).alias("crop_is_safe"), F.size("cleanup_rects").alias("n_cleanup"), F.size("additional_logo_rects").alias("n_logos"), c("logo_replace_rect").isNotNull().alias("replaces_logo"))
 
 
-@query()
-def geometry_issues(spark: SparkSession, d: str) -> DataFrame:
+def _planned(spark: SparkSession, d: str) -> DataFrame:
+    """Plans of the derived pages, with one protected block on each."""
     plans = page_plan.plan_pages(_full_pages(spark, d)).withColumnRenamed("o_orderkey", "doc")
     body = F.array(g.rect(F.lit(50.0), F.coalesce("first_y", F.lit(60.0)), F.lit(500.0), F.coalesce("last_y", F.lit(800.0)))).cast(g.RECTS)
     kind = f"struct<clip:{g.RECT},scale:double,dx:double,dy:double>"
-    plans = plans.withColumns({"protected_text_rects": body, "protected_visual_rects": g.no_rects(), "crop": F.lit(None).cast(kind)})
-    return audit.geometry_issues(plans).groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return plans.withColumns({"protected_text_rects": body, "protected_visual_rects": g.no_rects(), "crop": F.lit(None).cast(kind)})
+
+
+#: What of a plan's rectangles meets the protected block (50, top, 500, bottom).
+_COLLISIONS = f"""{_PLANS}, blocks AS (
+  SELECT *, coalesce(first_y, 60) AS top, coalesce(last_y, 800) AS bottom FROM plans
+), hits AS (
+  SELECT *, coalesce(header_y > top, false) AS header_hit, coalesce(footer_y < bottom, false) AS footer_hit,
+    (clears AND cleanup > top) OR (legacy AND mark > top AND bottom > 5) AS clean_hit FROM blocks
+)"""
+
+
+@query(f"""{_COLLISIONS}
+SELECT 'HEADER_BODY_COLLISION_PLAN' AS code, 'fatal' AS severity, count(*) AS n FROM hits WHERE header_hit HAVING count(*) > 0
+UNION ALL SELECT 'FOOTER_BODY_COLLISION_PLAN', 'fatal', count(*) FROM hits WHERE footer_hit HAVING count(*) > 0
+UNION ALL SELECT 'CLEANUP_BODY_COLLISION_PLAN', 'fatal', count(*) FROM hits WHERE clean_hit HAVING count(*) > 0
+""")
+def geometry_issues(spark: SparkSession, d: str) -> DataFrame:
+    return audit.geometry_issues(_planned(spark, d)).groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
@@ -575,15 +646,66 @@ def _turn_words(spark: SparkSession, d: str, shift: int) -> DataFrame:
     return turns.select(F.col("conv_id").cast("string").alias("doc"), F.col("turn").alias("page"), "token", g.rect(x, F.lit(0.0), x + 1, F.lit(1.0)).alias("box"))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE tokens AS (
+  SELECT conv_id, turn, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS x FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[A-Za-z0-9]+') AS t FROM conversations)
+), sides AS (
+  SELECT conv_id, turn, token, list(x::DOUBLE ORDER BY x) AS xs FROM tokens GROUP BY ALL
+), walk AS (
+  SELECT a.conv_id, a.turn, token, a.xs AS s, b.xs AS free, 1 AS i, 0::DOUBLE AS worst FROM sides a JOIN (SELECT conv_id, turn - 1 AS turn, token, xs FROM sides) b USING (conv_id, turn, token)
+  UNION ALL
+  SELECT conv_id, turn, token, s, list_filter(free, lambda x: x <> pick), i + 1, greatest(worst, abs(pick - s[i]))
+  FROM (SELECT *, list_sort(list_transform(free, lambda x: struct_pack(d := abs(x - s[i]), x := x)))[1].x AS pick FROM walk WHERE i <= len(s) AND len(free) > 0)
+), ends AS (SELECT conv_id, turn, token, max(i) - 1 AS checks, max(worst) AS worst FROM walk GROUP BY ALL)
+SELECT conv_id::VARCHAR AS doc, turn AS page, max(worst) AS shift, sum(checks)::BIGINT AS checks FROM ends GROUP BY ALL
+""")
 def position_shift(spark: SparkSession, d: str) -> DataFrame:
     return matching.position_shifts(_turn_words(spark, d, 0), _turn_words(spark, d, 1))
 
 
-@query()
+_MERGED = "CAST(l_suppkey AS STRING) AS doc, CAST(l_linenumber AS BIGINT) AS page, l_quantity * 12 AS x0, l_discount * 9000 AS y0, l_quantity * 12 + 30 AS x1, l_discount * 9000 + 8 AS y1"
+_NEAR = "greatest(e.x0 - 5, r.x0) < least(e.x1 + 5, r.x1) AND greatest(e.y0 - 5, r.y0) < least(e.y1 + 5, r.y1)"
+
+
+def _merge_sql(step: str) -> str:
+    """Rectangles of a page, one after the other, against the groups so far."""
+    return f"""
+WITH RECURSIVE boxes AS (SELECT {_MERGED.replace("AS STRING", "AS VARCHAR")} FROM lineitem), pages AS (
+  SELECT doc, page, list(struct_pack(x0 := x0, y0 := y0, x1 := x1, y1 := y1) ORDER BY y0, x0, x1, y1) AS rs FROM boxes GROUP BY ALL
+), walk AS (
+  SELECT doc, page, rs, 2 AS i, [rs[1]] AS groups FROM pages
+  UNION ALL
+  SELECT doc, page, rs, i + 1, groups FROM ({step})
+), ends AS (SELECT doc, page, groups FROM walk WHERE i > len(rs))
+SELECT doc, page, generate_subscripts(groups, 1) - 1 AS nth, unnest(groups, recursive := true) FROM ends
+"""
+
+
+_JOINED = "struct_pack(x0 := least(e.x0, r.x0), y0 := least(e.y0, r.y0), x1 := greatest(e.x1, r.x1), y1 := greatest(e.y1, r.y1))"
+_FIRST = f"""
+SELECT doc, page, rs, i, CASE WHEN spot IS NULL THEN list_append(groups, r) ELSE list_transform(groups, lambda e, j: CASE WHEN j = spot THEN {_JOINED} ELSE e END) END AS groups
+FROM (SELECT *, rs[i] AS r, list_position(list_transform(groups, lambda e: {_NEAR.replace("r.", "rs[i].")}), true) AS spot FROM walk WHERE i <= len(rs))
+"""
+_ALL = f"""
+SELECT doc, page, rs, i, list_append(list_filter(groups, lambda e: NOT ({_NEAR})), struct_pack(
+  x0 := least(r.x0, list_min(list_transform(close, lambda e: e.x0))), y0 := least(r.y0, list_min(list_transform(close, lambda e: e.y0))),
+  x1 := greatest(r.x1, list_max(list_transform(close, lambda e: e.x1))), y1 := greatest(r.y1, list_max(list_transform(close, lambda e: e.y1))))) AS groups
+FROM (SELECT *, rs[i] AS r, list_filter(groups, lambda e: {_NEAR.replace("r.", "rs[i].")}) AS close FROM walk WHERE i <= len(rs))
+"""
+
+
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").selectExpr(*_MERGED.split(", "))
+
+
+@query(_merge_sql(_FIRST))
 def near_rect_merge(spark: SparkSession, d: str) -> DataFrame:
-    boxes = table(spark, d, "lineitem").selectExpr("CAST(l_suppkey AS STRING) AS doc", "CAST(l_linenumber AS BIGINT) AS page", "l_quantity * 12 AS x0", "l_discount * 9000 AS y0", "l_quantity * 12 + 30 AS x1", "l_discount * 9000 + 8 AS y1")
-    return rects.merged_rects(boxes)
+    return rects.merged_rects(_boxes(spark, d))
+
+
+@query(_merge_sql(_ALL))
+def near_rect_absorb(spark: SparkSession, d: str) -> DataFrame:
+    return rects.merged_rects(_boxes(spark, d), absorb=True)
 
 
 _WHOLE, _CUTS = "0, 0, l_quantity, 40", (("l_quantity - 20", "l_tax * 300 - 5", "l_quantity - 8", "l_tax * 300 + 12"), ("5", "l_linenumber * 3", "9 + l_discount * 200", "60"))
