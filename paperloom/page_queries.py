@@ -13,7 +13,7 @@ from .functions import geometry as g
 from .functions import text
 from .operators import regions, rollups, selection, state
 from .plans import bands, content, page_plan
-from .queries import _norm, query
+from .queries import _norm, query, split_columns
 from .sources.tables import table
 
 _DOC, _PAGE = "CAST(floor(l_orderkey / 5) AS BIGINT) AS doc", "l_orderkey % 5 + 1 AS page"
@@ -268,7 +268,7 @@ _ATTEMPTS = "o_custkey AS job, row_number() OVER (PARTITION BY o_custkey ORDER B
 SELECT job, coalesce(e, l) + 1 AS attempts, coalesce(s, 'failed') AS status, e IS NULL AND l < 3 AS again FROM ends
 """)
 def retry_policy(spark: SparkSession, d: str) -> DataFrame:
-    attempts = table(spark, d, "orders").selectExpr(*_ATTEMPTS.split(", ", 1)[:1], *[_ATTEMPTS.split(", ", 1)[1].split(", CASE")[0], "CASE" + _ATTEMPTS.split(", CASE")[1]])
+    attempts = table(spark, d, "orders").selectExpr(*split_columns(_ATTEMPTS))
     return state.after_retries(attempts, "job", 3)
 
 
@@ -280,8 +280,7 @@ SELECT job, event_id, status, before FROM b WHERE status = 'lost' OR (before = '
   OR (before = 'running' AND status NOT IN ('running', 'completed', 'failed'))
 """)
 def wrong_steps(spark: SparkSession, d: str) -> DataFrame:
-    first, rest = _STEPS.split(", CASE")
-    events = table(spark, d, "events").selectExpr(*first.split(", "), "CASE" + rest, "ts")
+    events = table(spark, d, "events").selectExpr(*split_columns(_STEPS), "ts")
     return state.wrong_steps(events, "job", ["ts", "event_id"]).select("job", "event_id", "status", "before")
 
 
@@ -410,21 +409,10 @@ def band_detection(spark: SparkSession, d: str) -> DataFrame:
         found = None
         for kind in kinds:
             columns, where = kind.split(" FROM paged WHERE ")
-            part = paged.filter(where).selectExpr(*[c.strip() for c in columns.split(", ", 2)[:2]], *_columns(columns.split(", ", 2)[2]))
+            part = paged.filter(where).selectExpr(*split_columns(columns))
             found = part if found is None else found.unionByName(part)
         return found
 
     found = bands.detect_bands(paged.select("doc", "page", "height"), of(_NUMBERED), of(_RULES), of(_STRIPS))
     return found.withColumns({c: F.array_join(c, "|") for c in ("header_signatures", "footer_signatures")})
 
-
-def _columns(listed: str) -> list[str]:
-    """Columns of a select list; commas inside quotes and parentheses do not part them."""
-    out, depth, quoted, begin = [], 0, False, 0
-    for i, c in enumerate(listed):
-        quoted ^= c == "'"
-        depth += 0 if quoted else (c == "(") - (c == ")")
-        if c == "," and not quoted and not depth:
-            out.append(listed[begin:i].strip())
-            begin = i + 1
-    return [*out, listed[begin:].strip()]

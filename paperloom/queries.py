@@ -10,6 +10,7 @@ from .functions import geometry as g
 from .functions import rules, text
 from .operators import clusters, intervals, matching, rects, regions, repeats, rollups, selection, state
 from .plans import audit, classify, page_plan
+from .sources import manifests
 from .sources.tables import table
 
 QUERIES: dict = {}
@@ -29,6 +30,18 @@ def query(sql: str | None = None):
 NORM = r"trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 
 
+def split_columns(listed: str) -> list[str]:
+    """Columns of a select list; commas inside quotes and parentheses do not part them."""
+    out, depth, quoted, begin = [], 0, False, 0
+    for i, c in enumerate(listed):
+        quoted ^= c == "'"
+        depth += 0 if quoted else (c == "(") - (c == ")")
+        if c == "," and not quoted and not depth:
+            out.append(listed[begin:i].strip())
+            begin = i + 1
+    return [*out, listed[begin:].strip()]
+
+
 def _norm(c: str) -> str:
     return NORM.format(c)
 
@@ -606,6 +619,95 @@ def geometry_issues(spark: SparkSession, d: str) -> DataFrame:
     return audit.geometry_issues(_planned(spark, d)).groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+_FACTS = (
+    "o_orderkey AS doc, 1 + o_orderkey % 4 AS page, o_orderkey % 37 = 0 AS unsafe_image_cleanup, o_orderkey % 2 = 0 AS ocr_checked, CASE WHEN o_orderkey % 41 = 0 THEN 'none' END AS ocr_error, o_orderkey % 43 = 0 AS ocr_unsafe, "
+    "CASE WHEN o_orderkey % 47 = 0 THEN 'none' END AS output_ocr_error, o_orderkey % 5 AS output_ocr_hits, o_orderkey % 53 <> 0 AS render_size_ok, CASE WHEN o_orderkey % 59 = 0 THEN 'failed' END AS render_error, o_orderkey % 61 AS body_pixels, "
+    "CAST(o_orderkey % 100 AS DOUBLE) / 100000 AS body_change, CAST(o_orderkey % 50 AS DOUBLE) / 1000 AS region_change, o_orderkey % 100 AS logo_left, o_orderkey % 200 AS logo_template, CASE WHEN o_orderkey % 67 = 0 THEN 'failed' END AS logo_error, "
+    "CASE WHEN o_orderkey % 71 = 0 THEN 'failed' END AS source_text_error, CASE WHEN o_orderkey % 73 = 0 THEN 'failed' END AS position_error"
+)
+_WORD = "l_orderkey AS doc, 1 + l_orderkey % 4 AS page, {0} AS x0, {1} AS y0, {0} + 30 AS x1, {1} + 8 AS y1, {2} AS text, l_suppkey AS s"
+_BODY = _WORD.format("60.0 + l_linenumber * 40", "250 + l_quantity", "'W' || l_partkey || 's' || l_suppkey || 'n' || l_linenumber")
+_HEAD = _WORD.format("300.0 + l_linenumber * 30", "10 + l_tax", "'h' || l_partkey || ' acme'")
+_MOVED = _WORD.format("60.0 + l_linenumber * 40 + CASE WHEN l_suppkey % 19 = 0 THEN 3 ELSE 0 END", "250 + l_quantity", "'w' || l_partkey || 'S' || l_suppkey || 'n' || l_linenumber")
+_BRAND = _WORD.format("400.0 + l_linenumber", "400 + l_quantity", "'ACME Press'")
+_SIDE = _WORD.format("5.0 + l_linenumber", "500 + l_quantity", "'Small Print'")
+_AUDITED = f"""{_COLLISIONS}, facts AS (SELECT {_FACTS} FROM orders), resized AS (SELECT o_orderkey AS doc, o_orderkey % 31 = 0 AS resized FROM orders),
+pages AS (
+  SELECT h.*, f.* EXCLUDE (doc, page), resized, starts_with(page_strategy, 'designed') AS designed, band_top IS NOT NULL AND footer_confidence >= 0.65 AND page_type <> 'blank' AND NOT starts_with(page_strategy, 'designed') AND footer_y IS NULL AS no_footer
+  FROM hits h JOIN facts f ON f.doc = k JOIN resized r ON r.doc = k
+), before AS (
+  SELECT doc, lower(text) AS token FROM (SELECT {_BODY} FROM lineitem)
+  UNION ALL SELECT w.doc, regexp_extract(w.text, '^(h[0-9]+)', 1) FROM (SELECT {_HEAD} FROM lineitem) w JOIN pages p ON p.k = w.doc WHERE NOT p.clears
+), after AS (
+  SELECT doc, lower(text) AS token FROM (SELECT {_MOVED} FROM lineitem) WHERE s % 17 <> 0
+), kept AS (
+  SELECT a.doc, sum(least(a.n, coalesce(b.n, 0)))::DOUBLE / sum(a.n) AS retention FROM (SELECT doc, token, count(*) AS n FROM before GROUP BY ALL) a
+  LEFT JOIN (SELECT doc, token, count(*) AS n FROM after GROUP BY ALL) b ON a.doc = b.doc AND a.token = b.token GROUP BY a.doc
+), moved AS (SELECT DISTINCT l_orderkey AS doc FROM lineitem WHERE l_suppkey % 19 = 0 AND l_suppkey % 17 <> 0),
+issues AS (
+""" + " UNION ALL ".join(
+    f"SELECT k AS doc, '{code}' AS code, {level if level.startswith('CASE') else _sql_text(level)} AS severity FROM pages WHERE coalesce({condition}, false)"
+    for condition, code, level in (
+        ("header_hit", "HEADER_BODY_COLLISION_PLAN", "fatal"),
+        ("footer_hit", "FOOTER_BODY_COLLISION_PLAN", "fatal"),
+        ("clean_hit", "CLEANUP_BODY_COLLISION_PLAN", "fatal"),
+        ("unsafe_image_cleanup", "UNSAFE_SHARED_IMAGE_CLEANUP", "error"),
+        ("ocr_checked AND ocr_error IS NOT NULL", "RASTER_OCR_UNAVAILABLE", "error"),
+        ("ocr_checked AND ocr_unsafe", "RASTER_BRAND_UNSAFE_GEOMETRY", "error"),
+        ("ocr_checked AND output_ocr_error IS NOT NULL", "RASTER_OCR_UNAVAILABLE", "error"),
+        ("ocr_checked AND output_ocr_error IS NULL AND output_ocr_hits > 0", "RASTER_LEGACY_TEXT_REMAINS", "error"),
+        ("NOT text_ok", "TEXT_EXTRACTION_FAILED", "error"),
+        ("source_text_error IS NOT NULL", "TEXT_EXTRACTION_FAILED", "error"),
+        ("designed AND header_template <> 'none'", "GENERIC_HEADER_ON_DESIGNED_PAGE", "fatal"),
+        ("no_footer", "REPEATED_FOOTER_NOT_REPLACED", "CASE WHEN bottom > band_top THEN 'warning' ELSE 'error' END"),
+        ("resized", "PAGE_SIZE_CHANGED", "fatal"),
+        ("NOT render_size_ok", "RENDER_SIZE_MISMATCH", "fatal"),
+        ("body_pixels = 0", "NO_BODY_REGION_VERIFIED", "error"),
+        ("body_change > 0.0005::DOUBLE", "BODY_RENDER_CHANGED", "error"),
+        ("region_change > 0.01::DOUBLE", "DIAGRAM_RENDER_CHANGED", "error"),
+        ("render_error IS NOT NULL", "RENDER_VERIFICATION_FAILED", "error"),
+        ("logo_template >= 24 AND logo_left >= 24 AND logo_left::DOUBLE / logo_template > 0.08::DOUBLE", "RASTER_LEGACY_LOGO_REMAINS", "error"),
+        ("logo_error IS NOT NULL", "RASTER_LOGO_CHECK_FAILED", "error"),
+        ("position_error IS NOT NULL", "BODY_POSITION_CHECK_FAILED", "error"),
+        ("k IN (SELECT doc FROM kept WHERE retention < 0.985::DOUBLE)", "BODY_TEXT_LOSS", "error"),
+        ("page_type <> 'blank' AND k NOT IN (SELECT doc FROM kept)", "BODY_TEXT_UNAVAILABLE", "info"),
+        ("k IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey % 23 = 0)", "LEGACY_TEXT_REMAINS", "error"),
+        ("k IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey % 29 = 0)", "VERTICAL_LEGACY_TEXT_REMAINS", "warning"),
+        ("k IN (SELECT doc FROM moved)", "BODY_POSITION_SHIFT", "error"),
+    )
+) + ")"
+
+
+def _audited(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """(plans, source words, output words, output pages, facts, bands) of the derived pages."""
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    select = lambda df, columns: df.selectExpr(*split_columns(columns))
+    before = select(lines, _BODY).unionByName(select(lines, _HEAD))
+    after = select(lines, _MOVED).filter("s % 17 <> 0").unionByName(select(lines, _BRAND).filter("s % 23 = 0")).unionByName(select(lines, _SIDE).filter("s % 29 = 0"))
+    sizes = orders.selectExpr("o_orderkey AS doc", "1 + o_orderkey % 4 AS page", "CASE WHEN o_orderkey % 31 = 0 THEN 596.0D ELSE 595.0D END AS width", "842.0D AS height")
+    bands = _page_numbers(spark, d).select(F.col("o_orderkey").alias("doc"), F.col("band_top").alias("footer_top"), "footer_confidence")
+    return _planned(spark, d), before, after, sizes, select(orders, _FACTS), bands
+
+
+@query(f"{_AUDITED} SELECT code, severity, count(*) AS n FROM issues GROUP BY ALL")
+def audit_issues(spark: SparkSession, d: str) -> DataFrame:
+    return audit.audit(*_audited(spark, d), ["acme"], ["small print"]).groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""{_AUDITED}
+SELECT k AS doc, coalesce(NOT bad, true) AS passed, 1::BIGINT AS pages, retention AS average_retention, (retention IS NOT NULL)::BIGINT AS retention_pages, CASE WHEN body_change > region_change THEN body_change ELSE region_change END AS max_change,
+  coalesce(i.n, 0)::BIGINT AS issues, page_strategy || ':1' AS strategies
+FROM pages LEFT JOIN kept ON kept.doc = k LEFT JOIN (SELECT doc, count(*) AS n, bool_or(severity IN ('error', 'fatal')) AS bad FROM issues GROUP BY doc) i ON i.doc = k
+""")
+def audit_report(spark: SparkSession, d: str) -> DataFrame:
+    plans, before, after, _, facts, _ = parts = _audited(spark, d)
+    kept = rollups.multiset_retention(audit.body_words(before, plans, ["acme"]), audit.body_words(after, plans, ["acme"], output=True), ["doc", "page"])
+    changes = facts.select("doc", "page", F.greatest("body_change", "region_change").alias("change"))
+    told = audit.report(plans.select("doc", "page", "page_strategy"), audit.audit(*parts, ["acme"], ["small print"]), kept, changes=changes)
+    counts = F.array_join(F.transform(F.map_entries("strategies"), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), ",")
+    return told.withColumn("strategies", counts).drop("max_shift", "shift_checks")
+
+
 @query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def json_field_totals(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
@@ -630,14 +732,26 @@ def exclusion_rule(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", rules.exclusion_reason(folders, stem).alias("reason"))
 
 
-@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
-def structural_semi_join(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+def _selection(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The labelled documents as a selection: some name other bytes, some a document that is not there, some no hash."""
+    sources = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), text.content_hash(F.col("text")).alias("sha256"))
+    i = F.col("source_id")
+    wanted = table(spark, d, "labels").select(F.col("doc_id").alias("source_id")).join(sources, "source_id", "left")
+    sha = F.when(i % 7 == 0, F.lit("0")).when(i % 5 != 0, F.col("sha256"))
+    return sources, wanted.select(F.when(i % 11 == 0, -1 - i).otherwise(i).alias("source_id"), sha.alias("sha256"))
 
 
-@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def structural_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+@query("SELECT doc_id AS source_id, sha256(text) AS sha256 FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE doc_id % 11 <> 0)")
+def selected_sources(spark: SparkSession, d: str) -> DataFrame:
+    return manifests.selected(*_selection(spark, d))[0]
+
+
+@query("""
+SELECT CASE WHEN doc_id % 11 = 0 THEN -1 - doc_id ELSE doc_id END AS source_id FROM labels
+WHERE doc_id % 11 = 0 OR doc_id NOT IN (SELECT doc_id FROM documents) OR doc_id % 7 = 0
+""")
+def selection_errors(spark: SparkSession, d: str) -> DataFrame:
+    return manifests.selected(*_selection(spark, d))[1]
 
 
 def _turn_words(spark: SparkSession, d: str, shift: int) -> DataFrame:
