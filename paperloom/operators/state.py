@@ -49,6 +49,22 @@ def current_state(events: DataFrame, key: str, sequence: Sequence[str], merged:
     return events.groupBy(key).agg(*latest, F.count_if(attempt).alias("attempts"), F.max(order).alias("last"))
 
 
+def kept_state(events: DataFrame, key: str, sequence: Sequence[str], merged: Sequence[str], attempt: Column) -> DataFrame:
+    """current_state with what a later fold needs: beside each merged column,
+    as _at_<column>, where in the log its value was."""
+    order = F.struct(*sequence)
+    where = [F.max(F.when(F.col(c).isNotNull(), order)).alias(f"_at_{c}") for c in merged]
+    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in merged]
+    return events.groupBy(key).agg(*latest, *where, F.count_if(attempt).alias("attempts"), F.max(order).alias("last"))
+
+
+def folded(state: DataFrame, more: DataFrame, key: str, merged: Sequence[str]) -> DataFrame:
+    """Two kept states of separate parts of a log as one, whatever their order."""
+    both = state.unionByName(more)
+    latest = [F.max_by(c, f"_at_{c}").alias(c) for c in merged]
+    return both.groupBy(key).agg(*latest, *[F.max(f"_at_{c}").alias(f"_at_{c}") for c in merged], F.sum("attempts").alias("attempts"), F.max("last").alias("last"))
+
+
 def recovered(jobs: DataFrame) -> DataFrame:
     """After a crash, whatever was running is interrupted."""
     return jobs.withColumn("status", F.when(F.col("status") == "running", "interrupted").otherwise(F.col("status")))

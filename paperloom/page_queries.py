@@ -14,6 +14,7 @@ from .functions import text
 from .operators import regions, rollups, selection, state
 from .plans import bands, content, page_plan
 from .queries import _norm, query, split_columns
+from .sources import profiles
 from .sources.tables import table
 
 _DOC, _PAGE = "CAST(floor(l_orderkey / 5) AS BIGINT) AS doc", "l_orderkey % 5 + 1 AS page"
@@ -416,3 +417,19 @@ def band_detection(spark: SparkSession, d: str) -> DataFrame:
     found = bands.detect_bands(paged.select("doc", "page", "height"), of(_NUMBERED), of(_RULES), of(_STRIPS))
     return found.withColumns({c: F.array_join(c, "|") for c in ("header_signatures", "footer_signatures")})
 
+
+
+_LEAVES = """c_custkey, CASE c_custkey % 9 WHEN 0 THEN 'layout.header_height' WHEN 1 THEN 'layout.dark_page_threshold' WHEN 2 THEN 'colors.navy' WHEN 3 THEN 'qa.text_is_error' WHEN 4 THEN 'qa.min_body_ratio'
+ WHEN 5 THEN 'legacy.raster_logo_digests.3' WHEN 6 THEN 'id' WHEN 7 THEN 'legacy.terms' ELSE 'other.value' END AS path, CASE c_custkey % 4 WHEN 0 THEN 'number' WHEN 1 THEN 'text' WHEN 2 THEN 'flag' ELSE 'list' END AS kind,
+ CASE c_custkey % 5 WHEN 0 THEN '#00ff' || (10 + c_custkey % 90) WHEN 1 THEN repeat('0a', 16) WHEN 2 THEN ' ' ELSE c_name END AS text, c_acctbal / CASE WHEN c_custkey % 2 = 0 THEN 5 ELSE 10000 END AS number"""
+
+
+@query(f"""WITH l AS (SELECT {_LEAVES} FROM customer), r AS (
+  SELECT *, CASE path WHEN 'layout.header_height' THEN 'number' WHEN 'layout.dark_page_threshold' THEN 'number' WHEN 'colors.navy' THEN 'colour' WHEN 'qa.text_is_error' THEN 'flag' WHEN 'qa.min_body_ratio' THEN 'number'
+    WHEN 'legacy.raster_logo_digests.3' THEN 'digest' WHEN 'id' THEN 'text' WHEN 'legacy.terms' THEN 'list' END AS rule, CASE WHEN path IN ('layout.dark_page_threshold', 'qa.min_body_ratio') THEN 1 ELSE 1000 END AS most FROM l
+)
+SELECT c_custkey, path, rule, CASE rule WHEN 'number' THEN kind = 'number' AND number BETWEEN 0 AND most WHEN 'colour' THEN kind = 'text' AND regexp_matches(text, '^#?[0-9a-fA-F]{{6}}$') WHEN 'flag' THEN kind = 'flag'
+  WHEN 'digest' THEN kind = 'text' AND regexp_matches(text, '^[0-9a-f]{{32}}$') WHEN 'text' THEN kind = 'text' AND trim(text) <> '' WHEN 'list' THEN kind = 'list' AND number BETWEEN 1 AND 1000 ELSE true END AS ok FROM r
+""")
+def profile_rules(spark: SparkSession, d: str) -> DataFrame:
+    return profiles.checked(table(spark, d, "customer").selectExpr(*split_columns(_LEAVES))).select("c_custkey", "path", "rule", "ok")

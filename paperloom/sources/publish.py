@@ -38,3 +38,17 @@ def publish(df: DataFrame, target: str, valid: Callable[[DataFrame], bool] = lam
 
 def append_events(events: DataFrame, journal: str) -> None:
     events.write.mode("append").parquet(journal)
+
+
+def batches(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of complete batches below a folder, in order."""
+    fs, path = _fs(spark, folder)
+    if not fs.exists(path):
+        return []
+    names = [str(s.getPath().getName()) for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
+
+
+def drop(spark: SparkSession, target: str) -> None:
+    fs, path = _fs(spark, target)
+    fs.delete(path, True)

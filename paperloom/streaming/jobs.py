@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.state import current_state
-from ..sources.publish import publish
+from ..operators.state import folded, kept_state
+from ..sources.publish import batches, drop, publish
 
 
 def state_updates(events: DataFrame, key: str, at: str, status: str) -> DataFrame:
@@ -20,13 +20,25 @@ def state_updates(events: DataFrame, key: str, at: str, status: str) -> DataFram
 
 
 def follow(events: DataFrame, journal: str, state: str, checkpoint: str, key: str, sequence: Sequence[str], merged: Sequence[str]) -> StreamingQuery:
-    """Appends each batch to a journal, by batch number so that a replay after a
-    failure replaces what it wrote, and publishes the fold of the whole journal."""
+    """Appends each batch to a journal, by batch number, and folds it into the
+    last state, so a batch costs what it brings and the keys it finds, never the
+    whole journal. States are kept by batch number too: a replay after a failure
+    folds into the state before it, and replaces what it wrote. `state` is
+    published anew after each batch."""
+    running = F.col("status") == "running"
+    kept = f"{state.rstrip('/')}.batches"
 
     def batch(df: DataFrame, epoch: int) -> None:
+        spark = df.sparkSession
         df.write.mode("overwrite").parquet(f"{journal}/batch={epoch}")
-        told = df.sparkSession.read.parquet(journal)
-        publish(current_state(told, key, sequence, merged, F.col("status") == "running"), state)
+        new = kept_state(spark.read.schema(df.schema).parquet(f"{journal}/batch={epoch}"), key, sequence, merged, running)
+        done = [e for e in batches(spark, kept) if e < epoch]
+        now = folded(spark.read.schema(new.schema).parquet(f"{kept}/batch={max(done)}"), new, key, merged) if done else new
+        now.write.mode("overwrite").parquet(f"{kept}/batch={epoch}")
+        whole = spark.read.schema(new.schema).parquet(f"{kept}/batch={epoch}")
+        publish(whole.drop(*[f"_at_{c}" for c in merged]), state)
+        for old in done[:-1] if len(done) > 1 else []:
+            drop(spark, f"{kept}/batch={old}")
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import rollups, state
-from paperloom.sources import library, manifests, publish
+from paperloom.sources import library, manifests, profiles, publish
 from paperloom.streaming import jobs
 
 
@@ -84,17 +84,33 @@ def test_selections(spark, tmp_path):
 
 
 def test_profile_rules(tmp_path):
-    good = {"school": {"short_name": "S", "line2": "L"}, "assets": {"logo": "l.png"}, "colors": dict.fromkeys(manifests.COLOURS, "#00ff00")}
-    assert manifests.profile_errors(good) == []
+    good = {"school": {"short_name": "S", "line2": "L"}, "assets": {"logo": "l.png"}, "colors": dict.fromkeys(profiles.COLOURS, "#00ff00")}
+    assert profiles.profile_errors(good) == []
     bad = [{"layout": {"header_height": float("inf")}}, {"layout": {"header_min_height": 60}}, {"layout": {"allow_rebuild_crop": 1}}, {"legacy": {"terms": []}}, {"legacy": {"raster_logo_digests": ["xyz"]}}, {"legacy": {"logo_min_width": 9, "logo_max_width": 3}}, {"legacy": {"designed_logo_fallback_ratio": [0.5, 0, 0.2, 1]}}, {"qa": {"min_body_text_retention": 2}}, {"colors": {}}]
     for part in bad:
-        assert manifests.profile_errors(good | part), part
+        assert profiles.profile_errors(good | part), part
     f = tmp_path / "p.json"
     manifests.write_json(good, str(f))
-    assert manifests.load_profile(str(f)) == good
+    with pytest.raises(ValueError, match="colors.navy is missing"):
+        manifests.write_json(good | {"colors": {}}, str(tmp_path / "q.json"))
+        profiles.load_profile(str(tmp_path / "q.json"))
+    assert profiles.load_profile(str(f)) == good
     assert manifests.settings_fingerprint(good, {"l": b"1"}) != manifests.settings_fingerprint(good, {"l": b"2"})
 
 
+def test_profile_rules_over_many_profiles(spark):
+    good = {"school": {"short_name": "S", "line2": "L"}, "assets": {"logo": "l.png"}, "colors": dict.fromkeys(profiles.COLOURS, "#00ff00"), "layout": {"header_height": 54, "dark_page_threshold": 0.4}}
+    bad = {"a": {"layout": {"header_height": 2000, "dark_page_threshold": 3}}, "b": {"qa": {"x_is_error": 1, "min_ratio": 0.5}}, "c": {"legacy": {"terms": [], "raster_logo_digests": ["x", "0" * 32]}}, "d": {"colors": {"navy": 7}}, "e": {"school": {"short_name": " ", "line2": "y"}}, "f": {"legacy": {"designed_logo_fallback_ratio": [0, 0, 1]}}}
+    rows = profiles.checked(profiles.leaf_rows(spark, {"good": good} | {k: good | v for k, v in bad.items()})).filter("NOT ok").collect()
+    wrong = {}
+    for r in rows:
+        wrong.setdefault(r["profile"], set()).add(r["path"])
+    assert wrong == {"a": {"layout.header_height", "layout.dark_page_threshold"}, "b": {"qa.x_is_error"}, "c": {"legacy.terms", "legacy.raster_logo_digests.0"}, "d": {"colors.navy"}, "e": {"school.short_name"}, "f": {"legacy.designed_logo_fallback_ratio"}}
+    for name, paths in wrong.items():
+        told = [m.split(" ")[0] for m in profiles.profile_errors(good | bad[name]) if " must be " in m]
+        assert set(told) == paths
+
+
 def test_publish_keeps_the_old_table_if_the_check_fails(spark, tmp_path):
     target = str(tmp_path / "t")
     publish.publish(spark.range(3), target)
@@ -113,8 +129,16 @@ def test_streamed_states_equal_the_batch_fold(spark, tmp_path):
         spark.createDataFrame(batch, schema).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         jobs.follow(stream, str(tmp_path / "journal"), str(tmp_path / "state"), str(tmp_path / "cp"), "job", ["sequence"], ["status", "message"]).awaitTermination(60)
-    got = {r["job"]: (r["status"], r["attempts"]) for r in spark.read.parquet(str(tmp_path / "state")).collect()}
-    assert got == {"j": ("failed", 1), "k": ("running", 1)}
+    got = {r["job"]: (r["status"], r["message"], r["attempts"]) for r in spark.read.parquet(str(tmp_path / "state")).collect()}
+    assert got == {"j": ("failed", "boom", 1), "k": ("running", None, 1)}
+    for late in ([("j", 0, "running", "first")], [("k", 3, "completed", None)], [("j", 4, "running", None)]):
+        spark.createDataFrame(late, schema).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        jobs.follow(stream, str(tmp_path / "journal"), str(tmp_path / "state"), str(tmp_path / "cp"), "job", ["sequence"], ["status", "message"]).awaitTermination(60)
+    got = {r["job"]: (r["status"], r["message"], r["attempts"]) for r in spark.read.parquet(str(tmp_path / "state")).collect()}
+    assert got == {"j": ("running", "boom", 3), "k": ("completed", None, 1)}
+    whole = state.current_state(spark.read.parquet(source), "job", ["sequence"], ["status", "message"], F.col("status") == "running")
+    assert got == {r["job"]: (r["status"], r["message"], r["attempts"]) for r in whole.collect()}
 
 
 def test_markdown_and_json(spark):
