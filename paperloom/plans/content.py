@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions.text import norm, repeat_signature
 from ..operators.clusters import gap_clusters
+from ..operators.rects import merged_rects
+from .page_plan import Layout, page_type, plan_pages
 
 PAGE = ["doc", "page"]
 BOX = ["x0", "y0", "x1", "y1"]
@@ -239,3 +241,68 @@ def protected_visual(drawings: DataFrame, images: DataFrame, pages: DataFrame, f
     covered = F.exists(out, lambda x: g.contains(x, c("r")))
     dropped = reduce(lambda a, b: a | b, [F.coalesce(k, F.lit(False)) for k in (footer, c("drawn") & (background | header | F.coalesce(artwork, F.lit(False)) | covered))])
     return rows.filter(~dropped).select(*PAGE, F.explode(g.subtract(c("r"), out)).alias("r")).select(*PAGE, "r.*")
+
+
+#: Where the mark of a designed page is if nothing gives it away, in parts of width and height.
+DESIGNED_MARK = (0.004, 0.008, 0.18, 0.082)
+
+
+def _merged(rects: DataFrame, absorb: bool) -> DataFrame:
+    kinds = dict(rects.dtypes)
+    found = merged_rects(rects.select(F.col("doc").cast("string"), F.col("page").cast("long"), *BOX), absorb)
+    return found.select(F.col("doc").cast(kinds["doc"]), F.col("page").cast(kinds["page"]), *BOX)
+
+
+def plan_elements(
+    pages: DataFrame,
+    facts: DataFrame,
+    bands: DataFrame,
+    lines: DataFrame,
+    blocks: DataFrame,
+    drawings: DataFrame,
+    images: DataFrame,
+    digests: DataFrame,
+    terms: Sequence[str],
+    side_terms: Sequence[str],
+    layout: Layout = Layout(),
+    words: DataFrame | None = None,
+) -> DataFrame:
+    """The plan of every page from its elements: marks and margin text are
+    found, content is bounded, pages are typed and planned.
+
+    pages: (doc, page, width, height[, dark_ratio, text_ok, image_only]); facts
+    have type_confidence; words tell where the terms are (default: lines).
+    Beside plan_pages' columns, a row has protected_text_rects and
+    protected_visual_rects, which the audit reads.
+    """
+    c = F.col
+    given = {"dark_ratio": F.lit(0.0), "text_ok": F.lit(True), "image_only": F.lit(False)}
+    pages = pages.withColumns({k: v for k, v in given.items() if k not in pages.columns})
+    hits = term_hits(lines if words is None else words, pages, terms)
+    marks = verified_marks(images, digests, pages)
+    searched = _merged(expanded_hits(hits, blocks, drawings, images, pages, terms), absorb=False)
+    legacy = _merged(searched.unionByName(marks.filter("NOT in_footer").drop("in_footer")), absorb=True)
+    footer = _merged(marks.filter("in_footer").drop("in_footer"), absorb=True)
+    vertical = margin_text(blocks, pages, side_terms, 68.0)
+    excluded = legacy.unionByName(footer).unionByName(vertical)
+    text = protected_text(academic_lines(lines, pages, facts, bands, terms), excluded)
+    visual = protected_visual(drawings, images, pages, facts, bands, excluded, layout.first_page_cleanup_targets)
+    held = {"legacy_rects": legacy, "footer_legacy_rects": footer, "vertical_rects": vertical, "protected_text_rects": text, "protected_visual_rects": visual}
+    rows = pages.join(facts, "doc").join(bands.withColumnRenamed("footer_top", "band_top"), "doc")
+    for name, rects in held.items():
+        rows = rows.join(_regions(rects, name), PAGE, "left").withColumn(name, F.coalesce(name, g.no_rects()))
+    plain = lines.join(facts.select("doc", norm(c("chapter")).alias("_chapter")), "doc").groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n_lines"), F.bool_or((c("_chapter") != "") & F.contains(norm(c("text")), c("_chapter"))).alias("title_on_page"))
+    drawn = drawings.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n_drawings"))
+    shown = images.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n_images"), F.max(g.area(box())).alias("largest"))
+    header = structural_headers(blocks, pages, facts, bands, terms).withColumn("structural_header", F.lit(True))
+    for more in (bounds(text.unionByName(visual)), plain, drawn, shown, header, title_metrics(blocks, pages, facts)):
+        rows = rows.join(more, PAGE, "left")
+    zero = {x: F.coalesce(x, F.lit(0)) for x in ("n_lines", "n_drawings", "n_images")}
+    rows = rows.withColumns(zero | {x: F.coalesce(x, F.lit(False)) for x in ("title_on_page", "structural_header")})
+    rows = rows.withColumn("large_image_ratio", F.coalesce("largest", F.lit(0.0)) / F.greatest(c("width") * c("height"), F.lit(1.0)))
+    rows = rows.withColumn("blank", (c("n_lines") == 0) & (c("n_drawings") == 0) & (c("n_images") == 0))
+    rows = rows.withColumn("page_type", page_type(layout)).withColumn("opener", (c("page_type") == "designed") & (c("material_type") != "KEY POINTS"))
+    fallback = F.array(g.rect(*[c(side) * part for side, part in zip(("width", "height", "width", "height"), DESIGNED_MARK)])).cast(g.RECTS)
+    unmarked = (c("page_type") == "designed") & (c("material_type") == "KEY POINTS") & ~c("opener") & (F.size("legacy_rects") == 0)
+    rows = rows.withColumn("legacy_rects", F.when(unmarked, fallback).otherwise(c("legacy_rects")))
+    return plan_pages(rows.drop("largest", "n_lines", "title_on_page"), layout)
