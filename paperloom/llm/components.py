@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from .shared import Table
 
 
-def _star(both: DataFrame, keep) -> DataFrame:
-    """both: (u, v), v a neighbour of u. Links the kept neighbours, and u where
-    small, to the least of u and its neighbours. Minima combine before the
-    shuffle and meet the edges in a join, so no neighbourhood is collected."""
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    return both.join(least, "u").filter(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _least(both: DataFrame) -> Table:
+    """both: (u, v), v a neighbour of u -> (u, m), the least of u and its
+    neighbours. Minima combine before the shuffle, so no neighbourhood is
+    collected; they are written, so that the join with the edges stands on two
+    exchanges and the edges of a node with very many may be split."""
+    return Table(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
     are not listed. Each round is written to the shared folder; rounds grow
     with the logarithm of the longest chain."""
     lo, hi = F.least("u", "v"), F.greatest("u", "v")
-    now = Table(edges.filter(F.col("u") != F.col("v")).select(hi.alias("u"), lo.alias("v")).distinct(), "edges")
+    apart = F.col("u") != F.col("v")
+    now = Table(edges.filter(apart).select(hi.alias("u"), lo.alias("v")).distinct(), "edges")
     mark = None
     while True:
         e = now.df
@@ -30,9 +31,16 @@ def components(edges: DataFrame) -> DataFrame:
         if sign == mark or sign[0] == 0:
             return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         mark = sign
+        # large star: neighbours above u go to the least of u's neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, F.col("v") > F.col("u")).filter(F.col("u") != F.col("v")).distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        small = _star(down, F.lit(True)).unionByName(down.groupBy("u").agg(F.min("v").alias("v")))
-        before, now = now, Table(small.filter(F.col("u") != F.col("v")).distinct(), "edges")
-        before.drop()
+        least = _least(both)
+        large = both.join(least.df, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter(apart)
+        down = Table(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "down")
+        for old in (least, now):
+            old.drop()
+        # small star: u and its neighbours, all below it, go to the least of them
+        least = _least(down.df)
+        small = down.df.join(least.df, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.df.select("u", F.col("m").alias("v")))
+        now = Table(small.filter(apart).distinct(), "edges")
+        for old in (least, down):
+            old.drop()

@@ -14,8 +14,8 @@ every linked pair, and the bits verify it.
 
 Groups of near copies make full buckets. Chains come first: within a bucket
 each fingerprint is compared with its neighbour and with the first. Pairs are
-joined only between different components of those chains, so a large group
-does not emit its square.
+joined only between different components of those chains, and one link is kept
+for two of them, so a large group does not emit its square.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .shared import Table, text_or_empty
+from .shared import Table, bounded_batches, text_or_empty
 
 SHINGLE_WORDS = 4
 MOST_BITS = 4
@@ -96,7 +96,10 @@ def near_links(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     if not 0 <= most_bits <= 5:
         raise ValueError("three segments find pairs of up to 5 differing bits")
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= most_bits
-    sigs = prints.select(F.explode(signatures(F.col("fp"), most_bits)).alias("sig"), "fp")
+    # 271 signatures each: their fingerprints, few and small, are dealt to all cores first
+    cores = prints.sparkSession.sparkContext.defaultParallelism
+    dealt = prints.repartition(max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * cores), "fp")
+    sigs = dealt.select(F.explode(signatures(F.col("fp"), most_bits)).alias("sig"), "fp")
     bucket = Window.partitionBy("sig").orderBy("fp")
     chained = sigs.select("sig", "fp", F.lag("fp").over(bucket).alias("prev"), F.lead("fp").over(bucket).alias("next"), F.first("fp").over(bucket).alias("head"))
     full = Table(chained.filter(F.col("prev").isNotNull() | F.col("next").isNotNull()).drop("next"), "buckets").df
@@ -109,7 +112,9 @@ def near_links(prints: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     sides = Table(labelled.join(mixed, "sig", "left_semi"), "mixed").df
     a, b = sides.alias("a"), sides.alias("b")
     cross = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.label") < F.col("b.label")) & near(F.col("a.fp"), F.col("b.fp")))
-    return links.unionByName(cross.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct())
+    # one link joins two components, however many pairs of theirs are near; the least combines before the shuffle
+    joined = cross.groupBy("a.label", "b.label").agg(F.min(F.struct(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))).alias("link"))
+    return links.unionByName(joined.select("link.u", "link.v"))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, most_bits: int = MOST_BITS) -> DataFrame:
@@ -119,8 +124,10 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null text counts as empty; texts without words have fingerprint zero, which
     links like any other. Equal fingerprints are linked. Repeated rows get equal
     rows; null ids take part but are the component's id only if it has no other.
-    An empty table gives an empty result.
+    An empty table gives an empty result; other columns are ignored, whatever
+    their names. Texts of any length are hashed in bounded pieces.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), _fingerprints(words)(text_or_empty(text_col)).alias("fp"))
     rows = Table(rows, "fingerprints").df
     prints = Table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints").df
