@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import bounded_batches, text_or_empty
 
 FEATURES = 1 << 14
 
@@ -30,8 +30,11 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never text of the page.
-DROPPED = ("script", "style", "noscript", "template", "textarea", "select", "iframe", "object", "svg", "math", "head", "title", "canvas", "audio", "video")
+#: Elements whose content is never text of the page. The first kind takes all up
+#: to its end tag, or to the end of the page; of the second, what has no end tag
+#: is only a tag. (A head needs no rule: all that may be in it goes by these.)
+DROPPED = ("script", "style", "noscript", "template", "textarea", "iframe", "title")
+DROPPED_WITH_END = ("select", "object", "svg", "math", "canvas", "audio", "video")
 #: An open element of the key ends where one of the values starts.
 P_ENDERS = BLOCK - frozenset("option optgroup legend caption body html tbody td tfoot th thead tr li dd dt".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -39,11 +42,12 @@ SCOPES = frozenset("table ul ol dl select body html".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<drop>" + "|".join(DROPPED) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=drop)\s*>|\Z)"
+    r"|<(?P<drop>" + "|".join(DROPPED) + r")(?![\w:-])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=drop)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)|<[a-z][^>]*(?:>|\Z)|[^<]+|<",
     re.I | re.S,
 )
+_END_OF = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in DROPPED_WITH_END}
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
@@ -85,8 +89,9 @@ def blocks(page: str) -> list[Block]:
         links -= sum(t == "a" for t, _ in stack[at:])
         del stack[at:]
 
-    for m in _TOKEN.finditer(page):
-        tag = m["tag"]
+    at_char, endless = 0, set()
+    while m := _TOKEN.match(page, at_char):
+        at_char, tag = m.end(), m["tag"]
         if tag is None:
             piece = m[0]
             if piece[0] != "<" or piece == "<":
@@ -97,6 +102,13 @@ def blocks(page: str) -> list[Block]:
                 flush()
             continue
         tag = tag.lower()
+        if tag in _END_OF:
+            if not m["end"] and not m["attrs"].endswith("/") and tag not in endless:
+                if end := _END_OF[tag].search(page, at_char):
+                    at_char = end.end()
+                else:
+                    endless.add(tag)
+            continue
         if tag in VOID or m["attrs"].endswith("/") and tag not in BLOCK:
             if tag in BLOCK:
                 flush()
@@ -112,6 +124,8 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
+            if tag == "body":  # a head may be left open
+                close(next((i for i, (t, _) in enumerate(stack) if t == "head"), len(stack)))
             if tag in P_ENDERS:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p":
@@ -257,6 +271,7 @@ def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     equal rows; other columns are ignored. A page is worked on by itself, so
     memory is bounded by the longest page.
     """
+    bounded_batches(pages.sparkSession)
     rows = pages.select(id_col, url_col, text_or_empty(html_col).alias("html"))
     sent = pages.sparkSession.sparkContext.broadcast(model or default_model())  # 2**14 weights
 

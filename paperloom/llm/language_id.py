@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 from .ftrl import Ftrl, softmax, temperature
 from .mixing import uniform
-from .shared import held_out
+from .shared import bounded_batches, held_out
 
 BITS = 16
 SIZES = 3
 SCALE = 100.0
 MOST_PER_LANGUAGE = 1500  # bound of the sample that weights are fitted on
+MOST_CHARS = 1 << 16  # characters of the longest text that weights are fitted on
 EPOCHS = 4
 PIECE = 1 << 20  # characters worked on at a time
 UNKNOWN = "und"
@@ -117,9 +118,13 @@ def _document_frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
     yield pd.DataFrame({"gram": at, "df": total[at]})
 
 
-def train(labelled: DataFrame, most: int = MOST_PER_LANGUAGE, epochs: int = EPOCHS) -> Model:
+def train(labelled: DataFrame, most: int = MOST_PER_LANGUAGE, epochs: int = EPOCHS, most_chars: int = MOST_CHARS) -> Model:
     """labelled: (doc_id, text, lang), no nulls in text and lang. Languages are
-    the values of lang; most bounds the sample of each that is fitted on."""
+    the values of lang. Weights are fitted on whole texts of at most most_chars
+    characters: about `most` of each language, drawn by a hash of the id, the
+    least text of each (id, language). A language without texts that short is
+    learned from document frequencies alone."""
+    bounded_batches(labelled.sparkSession)
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
@@ -129,7 +134,8 @@ def train(labelled: DataFrame, most: int = MOST_PER_LANGUAGE, epochs: int = EPOC
     df[frequencies["gram"]] = frequencies["df"]
     idf = np.log((1 + sum(counts.values())) / (1 + df)) + 1
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, most / counts[k]))])
-    sample = labelled.filter(uniform(F.col("doc_id")) < share[F.col("lang")]).limit(2 * most * len(languages)).toPandas()
+    drawn = labelled.filter((uniform(F.col("doc_id")) < share[F.col("lang")]) & (F.length("text") <= most_chars))
+    sample = drawn.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toPandas()
     sample = sample.sort_values(["doc_id", "text"], kind="stable")
     rows = [features(t, idf) for t in sample["text"]]
     labels = [languages.index(k) for k in sample["lang"]]
@@ -143,6 +149,7 @@ def train(labelled: DataFrame, most: int = MOST_PER_LANGUAGE, epochs: int = EPOC
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs plus lang_pred and score (replacing columns of these names)."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**16 rows x languages
     schema = "lang_pred string, score double"
 
@@ -162,7 +169,9 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     language. Null texts and texts without a letter are `und` with score 0; so
     is everything when nothing is labelled. score is the calibrated probability
     of lang_pred; equal scores go to the first language in order. Repeated rows
-    get equal answers; an empty table gives an empty result.
+    get equal answers. Texts of any length are looked at in bounded pieces. An
+    empty table gives an empty result; other columns are ignored, whatever their
+    names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     labelled = rows.filter(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull())

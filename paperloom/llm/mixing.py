@@ -56,10 +56,10 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     # capped first: those with the least room for their weight; ties are equal in effect
     order = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    onwards = order.rowsBetween(0, Window.unboundedFollowing)
     whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     total = F.sum("source_size").over(whole).cast("double") * share
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0)).cast("double")) / F.sum("weight").over(onwards)
+    onwards = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0))
+    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0)).cast("double")) / onwards
     rows = rows.withColumn("level", level)
     # the first source that its level does not fill sets the level of all after it
     open_level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source", "level"))).over(whole)["level"]
@@ -74,9 +74,10 @@ def inclusion(rows: DataFrame, goal: DataFrame) -> DataFrame:
     first, so a source costs a row for each of its different sizes."""
     counted = rows.filter("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("c"))
     whole = lambda x: x.cast("decimal(38,0)")
-    down = Window.partitionBy("source").orderBy(F.desc("size"))
-    certain = F.coalesce(F.sum(whole(F.col("size") * F.col("c"))).over(down.rowsBetween(Window.unboundedPreceding, -1)).cast("double"), F.lit(0.0))
-    squares = F.sum(whole(F.col("size")) * whole(F.col("size") * F.col("c"))).over(down.rowsBetween(0, Window.unboundedFollowing)).cast("double")
+    upto = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    words = whole(F.col("size") * F.col("c"))
+    certain = (F.sum(words).over(Window.partitionBy("source")) - F.sum(words).over(upto)).cast("double")
+    squares = F.sum(whole(F.col("size")) * words).over(upto).cast("double")
     by_size = counted.join(goal.select(F.col("source").alias("_s"), "rest"), F.col("source").eqNullSafe(F.col("_s"))).withColumn("scale", (F.col("rest") - certain) / squares)
     return by_size.filter(F.col("scale") * F.col("size") <= 1).groupBy("source").agg(F.max_by("scale", "size").alias("scale"))
 

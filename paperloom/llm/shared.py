@@ -26,6 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+def bounded_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Batches that travel to Python hold whole texts here, so their bytes are
+    bounded, beside their rows; a session that has set a bound keeps it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(key):
+        spark.conf.set(key, most)
+
+
 class Table:
     """A DataFrame written to the shared folder: its lineage is cut, and lost
     executors lose nothing of it. Results are lazy, so a table that one of them

@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import Table
+from .shared import Table, bounded_batches
 
 SCALE = 64
 K = 20
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 128
-LARGEST = 2**24  # quantised components saturate here, so that sums fit 63 bits
+LARGEST = 2.0**62  # quantised components from here on are an error: they are no whole numbers of 64 bits
 WORD = 64
 
 
@@ -38,7 +38,7 @@ def build_block(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
     order = np.argsort(ids, kind="stable")
     ids, values = ids[order], values[order]
     least = values.min(axis=0) if values.shape[1] else np.zeros(0, np.int64)
-    above = (values - least).astype(np.uint64)
+    above = values.astype(np.uint64) - least.astype(np.uint64)  # modulo 2**64, so it is right at any range
     bits = max(1, int(above.max()).bit_length()) if above.size else 1
     words = -(-len(ids) // WORD)
     out = np.zeros((values.shape[1] * bits, words * 8), np.uint8)
@@ -108,6 +108,17 @@ def top_rows(score: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([_positions(sure), _positions(tied)[: k - n_sure]])
 
 
+def _values(score: np.ndarray, at: np.ndarray, offset: int) -> np.ndarray:
+    """The scores of rows; an error if one is beyond 64 bits."""
+    whole = np.int64 if len(score) < 62 and abs(offset) < 2**62 else object
+    got = np.full(len(at), offset, whole)
+    for p, s in enumerate(score):
+        got += ((s[at // WORD] >> (at % WORD).astype(np.uint64)) & np.uint64(1)).astype(whole) * (1 << p)
+    if whole is object and any(not -(2**63) <= int(x) < 2**63 for x in got):
+        raise OverflowError("a score does not fit 64 bits")
+    return got.astype(np.int64)
+
+
 def _index(pdf: pd.DataFrame) -> pd.DataFrame:
     values = np.array(pdf["q"].tolist(), np.int64).reshape(len(pdf), -1)
     ids, least, bits, slices = build_block(pdf["vec_id"].to_numpy(np.int64), values)
@@ -139,10 +150,7 @@ def _search(k: int):
                     for own in range(*np.searchsorted(ids, [qid, qid + 1]).tolist()):
                         allowed[own // WORD] &= ~(np.uint64(1) << np.uint64(own % WORD))
                     at = top_rows(score, allowed, k)
-                    got = np.zeros(len(at), np.int64)
-                    for p, s in enumerate(score):
-                        got += (((s[at // WORD] >> (at % WORD).astype(np.uint64)) & np.uint64(1)).astype(np.int64)) << p
-                    out.append(pd.DataFrame({"rid": rid, "query_id": qid, "vec_id": ids[at], "score": got + offset}))
+                    out.append(pd.DataFrame({"rid": rid, "query_id": qid, "vec_id": ids[at], "score": _values(score, at, offset)}))
                 if out:
                     yield pd.concat(out)
 
@@ -157,11 +165,16 @@ def topk_search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     null, infinite or NaN component; vectors are compared within one length
     (empty ones score 0). Rows that share the query's id are its own. Fewer
     than k others give all of them; ties go to the smaller id. Repeated query
-    rows give one list each. Components beyond 2**24 saturate.
+    rows give one list each. An empty table gives an empty result; other columns
+    are ignored, whatever their names. Scores are exact whole numbers; a
+    quantised component of 2**62 or more, or a score among the best that does
+    not fit 64 bits, is an error.
     """
+    bounded_batches(vectors.sparkSession)
     x = F.col("v")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    whole = F.transform(x, lambda c: F.greatest(F.lit(-float(LARGEST)), F.least(F.lit(float(LARGEST)), F.floor(c.cast("double") * scale).cast("double"))).cast("long"))
+    large = F.raise_error(F.lit("a component is too large for exact scores")).cast("long")
+    whole = F.transform(x, lambda c: F.when(F.abs(c.cast("double") * scale) < LARGEST, F.floor(c.cast("double") * scale).cast("long")).otherwise(large))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).filter(F.col("vec_id").isNotNull() & x.isNotNull() & fine)
     rows = rows.select(F.monotonically_increasing_id().alias("rid"), "vec_id", F.size("v").alias("dim"), whole.alias("q"))
     rows = Table(rows, "vectors").df
