@@ -136,7 +136,7 @@ def _passages():
 
 @pytest.mark.parametrize("few", [256, 2])
 def test_suffix_dedup_equals_brute_force(spark, monkeypatch, few):
-    monkeypatch.setattr(sd, "SHARD_CONTEXTS", few)
+    monkeypatch.setattr(sd, "MOST_CONTEXTS", few)
     rows = _passages()
     assert sorted(map(tuple, sd.suffix_dedup(docs(spark, rows)).collect()), key=str) == _brute(rows)
 
@@ -144,9 +144,9 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, few):
 def test_suffix_arrays_and_prefixes():
     r = np.random.default_rng(0)
     for n in (0, 1, 5, 300, 900):
-        d = r.integers(1, 4, n).astype(np.int16)
-        order = sd.suffix_array(d, 50)
-        assert [d[i : i + 50].tolist() for i in order] == sorted(d[i : i + 50].tolist() for i in range(n))
+        d = r.integers(1, (4, 3000)[n % 2], n).astype(np.int32)
+        order = sd.suffix_array(d)
+        assert [d[i:].tolist() for i in order] == sorted(d[i:].tolist() for i in range(n))
         lcp = sd.common_prefixes(d, order, 50)
         for k in range(1, n):
             a, b = d[order[k - 1] :][:50].tolist(), d[order[k] :][:50].tolist()
@@ -163,6 +163,41 @@ def test_shards_find_each_others_windows():
     assert all((a == b).all() for a, b in zip(whole, parts)) and sum(map(sum, whole)) >= 99
 
 
+def test_shards_of_near_copies_equal_brute_force():
+    for seed in range(24):
+        r = random.Random(seed)
+        base = bytes(r.choice((b"ab", b"abcdefgh", b"a")[seed % 3]) for _ in range(r.randint(200, 420)))
+        contexts = []
+        for _ in range(r.randint(2, 30)):
+            c = bytearray(base[r.randint(0, 60) : len(base) - r.randint(0, 40)])
+            for _ in range(r.randint(0, 2)):
+                if c:
+                    c[r.randrange(len(c))] = r.choice(b"abz")
+            contexts.append(bytes(c + c[: r.choice((0, 0, 300))]))
+        count = collections.Counter(c[i : i + sd.W] for c in contexts for i in range(len(c) - sd.W + 1))
+        for most in (1 << 17, 900):
+            for c, mask in zip(contexts, sd.shard_windows([5] * len(contexts), contexts, most=most)):
+                assert mask.tolist() == [count[c[i : i + sd.W]] > 1 for i in range(len(c) - sd.W + 1)]
+
+
+@pytest.mark.parametrize("size", sd.CLASSES)
+def test_shared_bytes_as_one_symbol_change_nothing(size):
+    r, shared = random.Random(size), sd.shared_bytes(size)
+    for seed in range(6):
+        middle = [bytes(r.choice(b"ab") for _ in range(shared)) for _ in range(2)]
+        keys, contexts, middles = [], [], []
+        for k in range(40):
+            left, right = r.randint(0, size - 1), r.randint(0, size - 1)
+            if left + right < size - 1:
+                left = size - 1 - right
+            keys.append(k // 20)
+            contexts.append(bytes(r.choice(b"ab") for _ in range(left)) + middle[k // 20] + bytes(r.choice(b"ab") for _ in range(right)))
+            middles.append(left)
+        plain = sd.shard_windows(keys, contexts)
+        for most in (1 << 17, 60):
+            assert all((a == b).all() for a, b in zip(plain, sd.shard_windows(keys, contexts, middles, shared, most)))
+
+
 def test_every_window_has_one_anchor():
     r = np.random.default_rng(2)
     for data in (r.integers(97, 100, 1500).astype(np.uint8), np.full(500, 97, np.uint8), r.integers(0, 256, 199).astype(np.uint8)):

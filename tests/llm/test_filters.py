@@ -1,8 +1,11 @@
+import collections
 import hashlib
+import itertools
 import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -55,7 +58,10 @@ def test_base_secrets_equal_python(spark):
     assert ss.secret_scan(df.limit(0)).count() == 0
 
 
-def _battery(run, k, alphabet):
+def _battery(run, enc):
+    """The plain form: (battery statistic, p-value against letters, p-value tested)."""
+    alphabet = next(a for name, _, a in ss.ENCODINGS if name == enc)
+    k = len(alphabet)
     v = [alphabet.index(c) for c in run]
     n, mid = len(v), (k - 1) / 2
     chi2 = sum(run.count(c) ** 2 for c in set(run)) * k / n - n
@@ -64,20 +70,72 @@ def _battery(run, k, alphabet):
     z_lag = sum((a - mid) * (b - mid) for a, b in zip(v, v[1:])) / ((n - 1) * (k * k - 1) / 12) * math.sqrt(n - 1)
     df = k - 1
     z_chi = ((chi2 / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
-    far = n * max(k * ss.LETTER_CONCENTRATION - 1, 0)
-    p = 0.5 * math.erfc(-((chi2 - df - far) / math.sqrt(2 * (df + 2 * far))) / math.sqrt(2))
-    return max(z_chi, 0) ** 2 + z_runs**2 + z_lag**2, p
+    out = []
+    for concentration in (ss.LETTER_CONCENTRATION, ss.NUMBER_CONCENTRATION.get(enc, ss.LETTER_CONCENTRATION)):
+        far = n * max(k * concentration - 1, 0)
+        p = 0.5 * math.erfc(-((chi2 - df - far) / math.sqrt(2 * (df + 2 * far))) / math.sqrt(2))
+        t = -math.log(max(p, 1e-300)) - sum(math.log(max(math.erf(abs(z) / math.sqrt(2)), 1e-300)) for z in (z_runs, z_lag)) / 4
+        out.append(min(1.0, 16 / 9 * math.exp(-t) - math.exp(-4 * t) * (7 / 9 + 4 / 3 * t)))
+    return max(z_chi, 0) ** 2 + z_runs**2 + z_lag**2, *out
 
 
 @pytest.mark.parametrize(("run", "enc"), [(HEX40, "hex"), ("zK8pQ2vX9mL4tR7wB1nY6cJ3", "base62"), ("z" * 30, "base36"), ("getElementByIdentifierNow", "base62"), ("MZXW6YTBOI2345672AAQ", "base32")])
 def test_battery_equals_python(spark, run, enc):
     b = spark.createDataFrame([(run,)], "t string").select(ss._battery(F.col("t")).alias("b")).first()["b"]
-    alphabet = next(a for name, _, a in ss.ENCODINGS if name == enc)
-    total, p = _battery(run, len(alphabet), alphabet)
+    total, p, _ = _battery(run, enc)
     assert b["enc"] == enc and b["random"] == (total <= ss.BATTERY_LIMIT)
     assert abs(b["bin"] - min(ss.MOST_BIN, math.floor(-math.log10(max(p, 1e-30)) * ss.BINS_PER_DECADE))) <= 1
 
 
+def test_combined_p_values_are_uniform_under_the_null(spark):
+    r = np.random.default_rng(0)
+    rows = spark.createDataFrame(r.random((20_000, 3)).tolist(), "p double, q double, r double")
+    got = np.sort([x["c"] for x in rows.select(ss.combined(F.col("p"), F.col("q"), F.col("r")).alias("c")).collect()])
+    assert np.abs(got - (np.arange(20_000) + 0.5) / 20_000).max() < 0.015
+
+
+def test_random_spans_of_a_corpus_equal_the_plain_version(spark):
+    r = random.Random(11)
+    word = lambda a, n: "".join(r.choice(a) for _ in range(n))
+    rows = []
+    for i in range(150):
+        parts = [word("etaoinshrdlu", r.randint(3, 30)) for _ in range(8)]
+        for a in ("0123456789", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "001122", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+            if r.random() < 0.3:
+                parts.append(word(a, r.randint(16, 70)))
+        if r.random() < 0.2:
+            parts.append("token=" + word("abcdef0123456789", 40))
+        r.shuffle(parts)
+        rows.append((i, "🙂 " + " ".join(parts)))
+    runs = []  # (doc, start, end, stratum, bin, random)
+    for i, text in rows:
+        for m in re.finditer(ss.CANDIDATE, text):
+            enc = next((name for name, p, _ in ss.ENCODINGS if re.search(p, m[0])), None)
+            if enc:
+                total, _, p = _battery(m[0], enc)
+                size = next((k for k, e in enumerate(ss.LENGTH_EDGES) if len(m[0]) < e), len(ss.LENGTH_EDGES))
+                runs.append((i, m.start(), m.end(), (enc, size), min(ss.MOST_BIN, math.floor(-math.log10(max(p, 1e-30)) * ss.BINS_PER_DECADE)), total <= ss.BATTERY_LIMIT))
+    cut = {}
+    for stratum in {x[3] for x in runs}:
+        p = sorted(10 ** (-x[4] / ss.BINS_PER_DECADE) for x in runs if x[3] == stratum)
+        cut[stratum] = max((x for k, x in enumerate(p, 1) if x <= ss.FDR * k / len(p)), default=-1)
+    want = {i: _base(t) for i, t in rows}
+    base = {i: list(v) for i, v in want.items()}
+    for i, a, b, stratum, bin_, fine in runs:
+        if fine and 10 ** (-bin_ / ss.BINS_PER_DECADE) <= cut[stratum] and not any(x[0] < b and a < x[2] for x in base[i]):
+            want[i].append((a, 3, b, "random"))
+    got = ss.secret_scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {x["doc_id"]: x["spans"] for x in got} == {i: ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(v)) for i, v in want.items()}
+    assert sum(x["n_random"] for x in got) > 50
+
+
+def test_many_matches_and_long_texts(spark):
+    text = "password=longenough1 " * 20_000
+    got = ss.secret_scan(spark.createDataFrame([(1, text), (2, "é" * 1_200_000 + HEX40)], "doc_id long, text string")).collect()
+    want = {1: _base(text), 2: _base("é" * 1_200_000 + HEX40)}
+    assert all(x["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in want[x["doc_id"]]).encode()).hexdigest() for x in got)
+
+
 def test_step_up_rule_equals_benjamini_hochberg(spark):
     r = random.Random(1)
     bins = [r.choice((0, 1, 2, 40, 60, 80, 100)) for _ in range(200)]
@@ -158,6 +216,37 @@ def _toxic(n=240):
     return rows, marks
 
 
+def test_decoding_equals_enumeration():
+    r = random.Random(0)
+    words = collections.Counter({"".join(r.choice("abcdefghilmnoprstué") for _ in range(r.randint(3, 8))): r.randint(1, 9) for _ in range(300)})
+    model = tx.CharModel(words)
+
+    def best(units):
+        found = []
+        for way in itertools.product(*units):
+            for letters in itertools.product(*(model.letters if c == "?" else [c] for c, _ in way)):
+                word, state, score = "".join(letters), tx._END * 2, -sum(cost for _, cost in way)
+                for c in word:
+                    score, state = score + model.log(state, c), state[1] + c
+                found.append((score + model.log(state, tx._END), word))
+        return max(found)
+
+    for _ in range(60):
+        word = r.choice(sorted(words))[:5]
+        stars = iter("**")
+        token = "".join(r.choice((c, c, next(stars, c), "1", "3", c * 3, c + "-", "ж")) for c in word)
+        assert tx.viterbi(tx.lattice(token), model) == best(tx.lattice(token))[1]
+
+
+def test_long_tokens_take_time_in_proportion():
+    model = tx.CharModel(collections.Counter(["some", "words", "idiot"]))
+    began = time.perf_counter()
+    for token in ("a" + "*" * 100_000 + "b", "id" + "*!" * 50_000 + "t", "i" * 200_000, "!" * 100_000 + "a"):
+        tx.restore(token, model)
+    assert time.perf_counter() - began < 5
+    assert tx.restore("id" + "*" * 40 + "ot", model) == tx.restore("id" + "*" * 4000 + "ot", model)
+
+
 def test_toxicity(spark):
     rows, marks = _toxic()
     more = [(900, None), (901, ""), (902, rows[4][1].replace("idiot", "1d10t").replace("moron", "m.o.r.o.n").replace("clown", "c l o w n")), (None, "moron idiot"), (0, rows[1][1])]

@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import random
 import struct
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import topk_search as ts
 from paperloom.llm.bpe import Codec, bpe, merge_long, read_ranks
-from paperloom.llm.mixing import pareto_mix, targets
+from paperloom.llm.mixing import inclusion, pareto_mix, targets
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -49,17 +50,50 @@ def test_mix_comes_near_its_targets_and_repeats_itself(spark):
         assert 0 <= x["taken"] <= 2 * x["size"] and x["taken"] == x["copies"] * x["size"]
         words[x["source"]] += x["taken"]
         goal[x["source"]] = x["target"]
-    assert all(abs(words[s] - goal[s]) <= 10 for s in goal)
+    assert all(abs(words[s] - goal[s]) <= 30 for s in goal)  # half of the longest
     assert pareto_mix(df.limit(0)).count() == 0
 
 
 def test_mix_bins_do_not_change_the_sample(spark):
     rows = [(i, "w " * (1 + i % 9), "a" if i % 3 else "b") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    one, many = (sorted((r["doc_id"], r["copies"]) for r in pareto_mix(df, bins=b).collect()) for b in (1, 1024))
+    one, many = (sorted((r["doc_id"], r["copies"]) for r in pareto_mix(df, edge_rows=n).collect()) for n in (1, 1000))
     assert one == many
 
 
+def test_inclusion_is_proportional_to_size_and_decides_the_order(spark):
+    r = random.Random(2)
+    sizes = [r.choice((1, 2, 3, 10, 40, 90, 400)) for _ in range(300)]
+    rest = 0.4 * sum(sizes)
+    rows = spark.createDataFrame([("s", x) for x in sizes], "source string, size long")
+    scale = inclusion(rows, spark.createDataFrame([("s", rest)], "source string, rest double")).first()["scale"]
+    assert abs(sum(min(1.0, scale * x) * x for x in sizes) - rest) < 1e-6 * rest
+    # the plain form: p by bisection, ranks, and the prefix that fits
+    low, high = 0.0, 1.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(1.0, mid * x) * x for x in sizes) < rest else (low, mid)
+    assert abs(low - scale) < 1e-9
+    rows = [(i, "w " * x, "s") for i, x in enumerate(sizes)] + [(1000 + i, "w " * 30, f"t{i}") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    took = [x for x in pareto_mix(df, weights=(1, 300, 300)).collect() if x["source"] == "s"]
+    assert {x["copies"] for x in took} == {0, 1}
+    share = lambda low, high: sum(x["copies"] for x in took if low <= x["size"] <= high) / sum(low <= x["size"] <= high for x in took)
+    goal = took[0]["target"]
+    scale = inclusion(spark.createDataFrame([("s", x) for x in sizes], "source string, size long"), spark.createDataFrame([("s", goal)], "source string, rest double")).first()["scale"]
+    odds = lambda x: x / (1 - x)
+    u = lambda i: (int(hashlib.md5(str(i).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    rank = lambda x: -1 if scale * x["size"] >= 1 else odds(u(x["doc_id"])) / odds(scale * x["size"])
+    words, want = 0, set()
+    for x in sorted(took, key=lambda x: (rank(x), x["doc_id"])):
+        words += x["size"]
+        if words > goal:
+            break
+        want.add(x["doc_id"])
+    assert want <= {x["doc_id"] for x in took if x["copies"]} and sum(x["copies"] for x in took) <= len(want) + 1
+    assert share(400, 400) > share(1, 10)
+
+
 def _top(rows, k, every):
     rows = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     whole = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v in rows]
@@ -84,6 +118,21 @@ def test_topk_equals_brute_force(spark):
     assert ts.topk_search(df.limit(0)).count() == 0
 
 
+def test_topk_of_large_components_is_exact(spark):
+    r = random.Random(8)
+    rows = [(i, [r.choice((-1, 1)) * 2.0 ** r.randint(0, 24) * r.random() for _ in range(3)]) for i in range(60)]
+    got = ts.topk_search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=10).collect()
+    assert collections.Counter(map(tuple, got)) == _top(rows, 20, 10)
+    values = np.array([[2**61, -(2**61)], [-(2**61), 2**61], [5, 7], [-3, 0]])
+    ids, least, bits, slices = ts.build_block(np.arange(4), values)
+    score, offset = ts.score_slices(np.array([1, 1]), least, bits, slices, ~slices)
+    assert ts._values(score, np.arange(4), offset).tolist() == [0, 0, 12, -3]
+    score, offset = ts.score_slices(np.array([9, 0]), least, bits, slices, ~slices)
+    assert ts._values(score, np.array([2, 3]), offset).tolist() == [45, -27]
+    with pytest.raises(OverflowError):
+        ts._values(score, np.arange(2), offset)
+
+
 def test_slices_add_up_to_scores():
     r = np.random.default_rng(0)
     values = r.integers(-70, 70, (130, 5))
