@@ -35,13 +35,27 @@ def order_statistic(df: DataFrame, keys: Sequence[str], value: str, share: float
     return ranked.filter((F.col("upto") >= place) & (F.col("upto") - F.col("c") < place)).select(*keys, F.col(value).alias("statistic"), "n")
 
 
+def medians(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """The exact median of each group, the mean of the middle two where their
+    number is even. As in order_statistic, values are counted before they meet,
+    and a group is a sorted run of its distinct values, which may spill."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_c").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumn("_n", F.sum("_c").over(group)).withColumn("_upto", upto)
+    at = lambda place: F.min(F.when(F.col("_upto") >= place, F.col(value).cast("double")))
+    low, high = at(F.floor((F.col("_n") + 1) / 2)), at(F.floor(F.col("_n") / 2) + 1)
+    return ranked.groupBy(*keys).agg(((low + high) / 2).alias(name))
+
+
 def dominant_bucket(df: DataFrame, keys: Sequence[str], value: str, position: Column, width: float) -> DataFrame:
     """The bucket of each group with most rows (ties: seen first by position),
     and the median of its values."""
     bucketed = df.withColumn("bucket", F.floor(F.col(value) / width).cast("bigint")).withColumn("_at", position)
-    stats = bucketed.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first"), F.median(value).alias("median"))
-    best = stats.groupBy(*keys).agg(F.max_by(F.struct("bucket", "n", "median"), F.struct("n", F.negative("first"))).alias("b"))
-    return best.select(*keys, "b.bucket", "b.n", "b.median")
+    stats = bucketed.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first"))
+    best = stats.groupBy(*keys).agg(F.max_by(F.struct("bucket", "n"), F.struct("n", F.negative("first"))).alias("b")).select(*keys, "b.bucket", "b.n")
+    middle = medians(bucketed.join(best.select(*keys, "bucket"), [*keys, "bucket"], "left_semi"), [*keys, "bucket"], value, "median")
+    return best.join(middle, [*keys, "bucket"]).select(*keys, "bucket", "n", "median")
 
 
 BUCKET, WHITE_SHARE, LEAST_SHARE, LEAST_PIXELS = 8, 0.55, 0.08, 3

@@ -327,7 +327,9 @@ def grouping_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_suppkey, median(l_quantity) AS median_quantity, median(l_extendedprice) AS median_price FROM lineitem GROUP BY l_suppkey")
 def medians(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.median("l_quantity").alias("median_quantity"), F.median("l_extendedprice").alias("median_price"))
+    lines = table(spark, d, "lineitem")
+    of = lambda c, name: rollups.medians(lines, ["l_suppkey"], c, name)
+    return of("l_quantity", "median_quantity").join(of("l_extendedprice", "median_price"), "l_suppkey")
 
 
 @query("""
