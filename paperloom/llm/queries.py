@@ -153,8 +153,32 @@ WITH whole AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+#: Strings of 200 bytes are 400 hex digits; equal md5 sums stand for equal strings.
+OP7_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT rid, k, md5(substr(h, 2 * k + 1, 400)) AS m FROM (SELECT rid, h, unnest(range(greatest(0, length(h) // 2 - 199))) AS k FROM d)
+), hits AS (
+  SELECT rid, k FROM windows WHERE m IN (SELECT m FROM windows GROUP BY m HAVING count(*) > 1)
+), runs AS (
+  SELECT rid, min(k) AS a, max(k) + 200 AS b FROM (
+    SELECT rid, k, sum(starts) OVER (PARTITION BY rid ORDER BY k ROWS UNBOUNDED PRECEDING) AS run
+    FROM (SELECT rid, k, CASE WHEN k - lag(k) OVER (PARTITION BY rid ORDER BY k) > 200 THEN 1 ELSE 0 END AS starts FROM hits)
+  ) GROUP BY rid, run
+), listed AS (
+  SELECT rid, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a)::BIGINT AS removed FROM runs GROUP BY rid
+), kept AS (
+  SELECT doc_id, length(h) // 2 AS n, coalesce(removed, 0) AS removed, coalesce(len(a), 0) AS spans,
+         CASE WHEN a IS NULL THEN h ELSE list_aggregate(list_transform(range(len(a) + 1), lambda i: substr(h, 2 * (CASE WHEN i = 0 THEN 0 ELSE b[i] END) + 1, 2 * (CASE WHEN i = len(a) THEN length(h) // 2 ELSE a[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE b[i] END))), 'string_agg', '') END AS rest
+  FROM d LEFT JOIN listed USING (rid)
+)
+SELECT doc_id, n::BIGINT AS n_bytes, removed::BIGINT AS n_removed, spans::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept
+"""
+
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
     "op3_pareto_mix": OP3_SQL,
     "op6_topk_search": OP6_SQL,
+    "op7_suffix_dedup": OP7_SQL,
 }
