@@ -49,7 +49,7 @@ ROWS = 1 << 15  # rows of an Arrow batch of words
 HELD_ROWS = 1 << 20  # codes that a worker sorts by chunk at a time
 LONG = 256  # bytes of the longest word that is folded
 NO_RANK = 2**31 - 1
-_ENTRY = "struct<k:binary,r:int,h:string>"
+_ENTRY = "struct<k:binary,r:int>"
 
 
 def _buckets(entries: list[tuple[bytes, dict]], n: int) -> list[list[dict]]:
@@ -77,17 +77,18 @@ def _find(buckets: Column, key: Column, field: str) -> Column:
 
 
 class Codec:
-    """Expressions over the rank file at a path."""
+    """Expressions over the rank file at a path. Their literals hold no more
+    than they need: plans are printed whole, again and again."""
 
     def __init__(self, path: str):
         self.path, self.ranks = path, read_ranks(path)
-        entries = [(k, {"k": base64.b64encode(k).decode(), "r": r, "h": r.to_bytes(4, "little").hex()}) for k, r in self.ranks.items()]
-        size = max(self.ranks.values()) + 1
-        self.pieces = [b""] * size
+        self.pieces = [b""] * (max(self.ranks.values()) + 1)
         for k, r in self.ranks.items():
             self.pieces[r] = k
-        schema = f"ranks array<array<{_ENTRY}>>, pieces array<string>"
-        self.literal = F.from_json(F.lit(json.dumps({"ranks": _buckets(entries, BUCKETS), "pieces": [k.hex() for k in self.pieces]}, separators=(",", ":"))), schema)
+
+    def _rank_map(self) -> Column:
+        entries = [(k, {"k": base64.b64encode(k).decode(), "r": r}) for k, r in self.ranks.items()]
+        return F.from_json(F.lit(json.dumps(_buckets(entries, BUCKETS), separators=(",", ":"))), f"array<array<{_ENTRY}>>")
 
     @staticmethod
     def _merged(word: Column, ranks: Column) -> Column:
@@ -127,22 +128,18 @@ class Codec:
 
         return _let(word.cast("binary"), fold)
 
-    def _encoded(self, word: Column, literal: Column) -> Column:
-        """Hex of a word's ids, little-endian and 32 bits each."""
-        found = lambda parts: F.transform(parts, lambda p: _find(literal["ranks"], p, "k"))
-
-        out = lambda entries: F.array_join(F.transform(entries, lambda e: e["h"]), "")
-        whole = _find(literal["ranks"], word.cast("binary"), "k")
-        # tokens that are words need no merges
-        return _let(whole, lambda e: F.when(e.isNotNull(), out(F.array(e))).otherwise(_let(found(self._merged(word, literal["ranks"])), out)))
-
     def encode(self, word: Column) -> Column:
-        """Ids of a word, little-endian and 32 bits each."""
-        return F.unhex(_let(self.literal, lambda lit: self._encoded(word, lit)))
+        """Ids of a word, array<int>."""
+        raw = word.cast("binary")
+        of = lambda parts, ranks: F.transform(parts, lambda p: _find(ranks, p, "k")["r"])
+        # tokens that are words need no merges
+        whole = lambda ranks: _let(_find(ranks, raw, "k")["r"], lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(of(self._merged(raw, ranks), ranks)))
+        return _let(self._rank_map(), whole)
 
     def decode(self, ids: Column) -> Column:
         """Bytes of an array of ids; ids outside the vocabulary add none."""
-        return _let(self.literal, lambda lit: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(lit["pieces"], i)), "")))
+        pieces = F.from_json(F.lit(json.dumps([k.hex() for k in self.pieces])), "array<string>")
+        return _let(pieces, lambda lit: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(lit, i)), "")))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> bytes:
@@ -351,13 +348,12 @@ def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((number, chunk))
         rows, chunk, number = rows.take(pa.array(order)), chunk[order], number[order].astype(np.uint32)
         code = rows.column("code").combine_chunks()
-        offsets = np.frombuffer(code.buffers()[1], np.int32)[code.offset : code.offset + len(code) + 1]
-        ids = np.frombuffer(code.buffers()[2], "<u4")
+        offsets, ids = code.offsets.to_numpy(), code.values.to_numpy().view(np.uint32)
         cuts = np.flatnonzero(np.diff(chunk)) + 1
         out = []
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(chunk)]):
             steps = np.diff(number[a:b], prepend=np.uint32(0))
-            out.append((int(chunk[a]), _pack(steps, (np.diff(offsets[a : b + 1]) // 4).astype(np.uint32), ids[offsets[a] // 4 : offsets[b] // 4])))
+            out.append((int(chunk[a]), _pack(steps, np.diff(offsets[a : b + 1]).astype(np.uint32), ids[offsets[a] : offsets[b]])))
         return pa.record_batch({"chunk": pa.array([x[0] for x in out], pa.int64()), "codes": pa.array([x[1] for x in out], pa.binary())})
 
     for b in batches:
