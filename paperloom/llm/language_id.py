@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,10 +136,20 @@ def train(labelled: DataFrame, most: int = MOST_PER_LANGUAGE, epochs: int = EPOC
     idf = np.log((1 + sum(counts.values())) / (1 + df)) + 1
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, most / counts[k]))])
     drawn = labelled.filter((uniform(F.col("doc_id")) < share[F.col("lang")]) & (F.length("text") <= most_chars))
-    sample = drawn.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toPandas()
-    sample = sample.sort_values(["doc_id", "text"], kind="stable")
-    rows = [features(t, idf) for t in sample["text"]]
-    labels = [languages.index(k) for k in sample["lang"]]
+    sent = labelled.sparkSession.sparkContext.broadcast(idf)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [features(t, sent.value) for t in batch["text"].to_pylist()]
+            lists = [pa.array([x[0].astype(np.int32) for x in told], pa.list_(pa.int32())), pa.array([x[1].astype(np.float32) for x in told], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], *lists], ["doc_id", "lang", "at", "x"])
+
+    kind = labelled.schema["doc_id"].dataType.simpleString()
+    sample = drawn.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "lang", "text")
+    sample = sample.mapInArrow(vectors, f"doc_id {kind}, lang string, at array<int>, x array<float>").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")]).combine_chunks()
+    lists = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (sample.column("at").combine_chunks(), sample.column("x").combine_chunks())]
+    rows = [tuple(values[o[i] : o[i + 1]] for o, values in lists) for i in range(sample.num_rows)]
+    labels = [languages.index(k) for k in sample.column("lang").to_pylist()]
     back = [i for i in range(len(rows)) if i % 5 == 4]
     fit = [i for i in range(len(rows)) if i % 5 != 4]
     w = Ftrl(1 << BITS, len(languages)).fit([rows[i] for i in fit], [labels[i] for i in fit], epochs)
