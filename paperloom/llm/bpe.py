@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from .shared import bounded_batches, text_or_empty
+from .shared import bounded_memory, text_or_empty
 
 BUCKETS = 1 << 16
 CHUNK_BYTES = 1 << 25  # text of a chunk, unless one document has more
@@ -425,7 +425,7 @@ def bpe(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", t
     """
     codec = Codec(rank_path)
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_memory(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = to_arrow_type(rows.schema["doc_id"].dataType)
     ranks, pieces = spark.sparkContext.broadcast(codec.ranks), spark.sparkContext.broadcast(codec.pieces)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, text_or_empty
+from .shared import bounded_memory, text_or_empty
 
 FEATURES = 1 << 14
 
@@ -271,7 +271,7 @@ def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     equal rows; other columns are ignored. A page is worked on by itself, so
     memory is bounded by the longest page.
     """
-    bounded_batches(pages.sparkSession)
+    bounded_memory(pages.sparkSession)
     rows = pages.select(id_col, url_col, text_or_empty(html_col).alias("html"))
     sent = pages.sparkSession.sparkContext.broadcast(model or default_model())  # 2**14 weights
 

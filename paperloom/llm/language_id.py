@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .ftrl import Ftrl, softmax, temperature
 from .mixing import uniform
-from .shared import bounded_batches, held_out
+from .shared import bounded_memory, held_out, release
 
 BITS = 16
 SIZES = 3
@@ -125,7 +125,7 @@ def train(labelled: DataFrame, most: int = MOST_PER_LANGUAGE, epochs: int = EPOC
     characters: about `most` of each language, drawn by a hash of the id, the
     least text of each (id, language). A language without texts that short is
     learned from document frequencies alone."""
-    bounded_batches(labelled.sparkSession)
+    bounded_memory(labelled.sparkSession)
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
@@ -154,13 +154,15 @@ def train(labelled: DataFrame, most: int = MOST_PER_LANGUAGE, epochs: int = EPOC
     fit = [i for i in range(len(rows)) if i % 5 != 4]
     w = Ftrl(1 << BITS, len(languages)).fit([rows[i] for i in fit], [labels[i] for i in fit], epochs)
     held = np.array([rows[i][1] @ w[rows[i][0]] for i in back]).reshape(len(back), len(languages))
+    del sample, lists, rows
+    release()
     heat = temperature(held, np.array([labels[i] for i in back], int))
     return Model(languages, np.ascontiguousarray(w * idf[:, None] * SCALE, np.float32), heat)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs plus lang_pred and score (replacing columns of these names)."""
-    bounded_batches(docs.sparkSession)
+    bounded_memory(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**16 rows x languages
     schema = "lang_pred string, score double"
 

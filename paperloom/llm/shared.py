@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
-def bounded_batches(spark: SparkSession, most: str = "4m") -> None:
-    """Batches that travel to Python hold whole texts here, so their bytes are
-    bounded, beside their rows; a session that has set a bound keeps it."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not spark._jsparkSession.sessionState().conf().contains(key):
-        spark.conf.set(key, most)
+#: Settings that bound memory here. Batches that travel to Python hold whole
+#: texts, so their bytes are bounded beside their rows; and the driver keeps the
+#: text of every plan, in which a literal such as a rank map is printed whole.
+BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.maxPlanStringLength": "100000"}
+
+
+def bounded_memory(spark: SparkSession) -> None:
+    """Sets BOUNDS in a session that has no settings of its own for them."""
+    known = spark._jsparkSession.sessionState().conf()
+    for key, most in BOUNDS.items():
+        if not known.contains(key):
+            spark.conf.set(key, most)
+
+
+def release() -> None:
+    """Gives back what collected tables held on the driver."""
+    pa.default_memory_pool().release_unused()
 
 
 class Table:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .shared import Table, bounded_batches, text_or_empty
+from .shared import Table, bounded_memory, text_or_empty
 
 SHINGLE_WORDS = 4
 MOST_BITS = 4
@@ -127,7 +127,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     An empty table gives an empty result; other columns are ignored, whatever
     their names. Texts of any length are hashed in bounded pieces.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_memory(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), _fingerprints(words)(text_or_empty(text_col)).alias("fp"))
     rows = Table(rows, "fingerprints").df
     prints = Table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints").df

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Table, bounded_batches, written
+from .shared import Table, bounded_memory, written
 
 W = 200
 GRAM = 64
@@ -482,7 +482,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     looked at in bounded pieces. An empty table gives an empty result; other
     columns are ignored, whatever their names.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_memory(docs.sparkSession)
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     # rows equal in id and text have equal results, so these two name a row well enough
     rows = docs.select(F.col(id_col).alias("doc_id"), raw.alias("raw"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import Table, bounded_batches
+from .shared import Table, bounded_memory
 
 SCALE = 64
 K = 20
@@ -170,7 +170,7 @@ def topk_search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     quantised component of 2**62 or more, or a score among the best that does
     not fit 64 bits, is an error.
     """
-    bounded_batches(vectors.sparkSession)
+    bounded_memory(vectors.sparkSession)
     x = F.col("v")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     large = F.raise_error(F.lit("a component is too large for exact scores")).cast("long")
