@@ -15,7 +15,7 @@ two questions.
   ids), which favour few symbols, for ordinary letters tell nothing of them.
   Its runs and serial correlation stray further from those of a random run, so
   the probabilities of coming as near to them are p-values too. The three make
-  one p-value, by their weighted product (Good's method, weights 1, 1/4, 1/4).
+  one p-value, by their weighted product (Good's method, weights 1, 1/8, 1/8).
 
 The false-discovery rate over these p-values is held by Benjamini and
 Hochberg's step-up rule in strata of encoding and length, over all documents.
@@ -62,6 +62,7 @@ NUMBER_CONCENTRATION = {"decimal": 0.25, "hex": 0.2, "hex_upper": 0.2}  # the sa
 ALPHA = 0.001  # a run is not random if the battery's p-value is below
 FDR = 0.01
 BINS_PER_DECADE, MOST_BIN = 20, 600
+SIDE = 8  # the p-values of runs and serial correlation weigh 1 / SIDE of that of uniformity
 BLOCK = 128  # matches whose positions are added up together
 LENGTH_EDGES = (24, 32, 40, 56, 80, 128)
 # 3-degree chi-squared quantile at 1 - ALPHA.
@@ -130,12 +131,14 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z > 0, 1 - upper).otherwise(upper)
 
 
-def combined(p: Column, q: Column, r: Column) -> Column:
-    """One p-value of three: the chance that p * (q * r) ** (1/4) is as small,
-    in closed form, if all are uniform."""
+def combined(p: Column, q: Column, r: Column, side: float = SIDE) -> Column:
+    """One p-value of three: the chance that p * (q * r) ** (1 / side) is as
+    small, in closed form, if all are uniform."""
     log = lambda x: F.log(F.greatest(x, F.lit(1e-300)))
-    t = -log(p) - (log(q) + log(r)) / 4
-    return F.least(F.lit(1.0), F.exp(-t) * (16 / 9) - F.exp(-4 * t) * (7 / 9 + t * (4 / 3)))
+    t, k = -log(p) - (log(q) + log(r)) / side, side - 1
+    both = F.exp(-side * t) * (1 + side * t)
+    rest = side**2 * F.exp(-t) * (1 / k**2 - F.exp(-k * t) * (t / k + 1 / k**2))
+    return F.least(F.lit(1.0), both + rest)
 
 
 def _battery(run: Column) -> Column:
