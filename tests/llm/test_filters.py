@@ -74,8 +74,8 @@ def _battery(run, enc):
     for concentration in (ss.LETTER_CONCENTRATION, ss.NUMBER_CONCENTRATION.get(enc, ss.LETTER_CONCENTRATION)):
         far = n * max(k * concentration - 1, 0)
         p = 0.5 * math.erfc(-((chi2 - df - far) / math.sqrt(2 * (df + 2 * far))) / math.sqrt(2))
-        t = -math.log(max(p, 1e-300)) - sum(math.log(max(math.erf(abs(z) / math.sqrt(2)), 1e-300)) for z in (z_runs, z_lag)) / 4
-        out.append(min(1.0, 16 / 9 * math.exp(-t) - math.exp(-4 * t) * (7 / 9 + 4 / 3 * t)))
+        t = -math.log(max(p, 1e-300)) - sum(math.log(max(math.erf(abs(z) / math.sqrt(2)), 1e-300)) for z in (z_runs, z_lag)) / 8
+        out.append(min(1.0, math.exp(-8 * t) * (1 + 8 * t) + 64 * math.exp(-t) * (1 / 49 - math.exp(-7 * t) * (t / 7 + 1 / 49))))
     return max(z_chi, 0) ** 2 + z_runs**2 + z_lag**2, *out
 
 
