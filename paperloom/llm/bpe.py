@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from .shared import bounded_memory, text_or_empty
+from .shared import bounded_memory, release, text_or_empty
 
 BUCKETS = 1 << 16
 CHUNK_BYTES = 1 << 25  # text of a chunk, unless one document has more
@@ -318,6 +318,8 @@ def _split(pattern: str, kind: pa.DataType, ranks: dict[bytes, int], most: int):
                     n, chunk = n + 1, Chunk()
         if chunk.ids:
             yield row()
+        del chunk
+        release()
 
     return of
 
@@ -336,6 +338,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 offsets = np.concatenate([[0], some - begin]).astype(np.int32)
                 word = pa.StringArray.from_buffers(len(some), pa.py_buffer(offsets), pa.py_buffer(letters[begin : int(some[-1])]))
                 yield pa.record_batch({"chunk": pa.array(np.full(len(some), chunk)), "number": pa.array(numbers[at : at + ROWS]), "word": word})
+    release()
 
 
 def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,6 +366,8 @@ def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = []
     if sum(x.num_rows for x in held):
         yield packed()
+    held.clear()
+    release()
 
 
 def _coded(lengths: np.ndarray, long_sizes: bytes, long_codes: bytes, packs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
