@@ -76,7 +76,7 @@ def test_inclusion_is_proportional_to_size_and_decides_the_order(spark):
     assert abs(low - scale) < 1e-9
     rows = [(i, "w " * x, "s") for i, x in enumerate(sizes)] + [(1000 + i, "w " * 30, f"t{i}") for i in range(2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    took = [x for x in pareto_mix(df, weights=(1, 300, 300)).collect() if x["source"] == "s"]
+    took = [x for x in pareto_mix(df, weights=(1, 300, 300), share=0.4).collect() if x["source"] == "s"]
     assert {x["copies"] for x in took} == {0, 1}
     share = lambda low, high: sum(x["copies"] for x in took if low <= x["size"] <= high) / sum(low <= x["size"] <= high for x in took)
     goal = took[0]["target"]
