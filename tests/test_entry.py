@@ -27,11 +27,6 @@ def test_entry_works_without_the_llm_subpackage():
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
 
 
-def test_a_missing_library_is_not_taken_for_a_missing_subpackage():
-    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__"
-    assert b"xxhash" in subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True).stderr
-
-
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
