@@ -2,7 +2,10 @@
 with clashing names, for all operators and stages."""
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 
 import public_tokenizers as P
 import pytest
@@ -89,6 +92,12 @@ def test_one_row_for_each_row_and_none_for_none(docs, labels, name):
         assert all(0 <= r["taken"] <= 2 * r["size"] for r in got) and by[100][0]["size"] == 200_000 and by[201][0]["taken"] == 0
 
 
+def test_a_missing_library_is_not_taken_for_a_missing_subpackage():
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__"
+    assert b"xxhash" in subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True).stderr
+
+
 def test_vectors_and_pages(spark):
     vectors = spark.createDataFrame([(i, [float(i % 3), 1.0], 5, "x") for i in range(0, 100, 10)] + [(20, [9.0, 9.0], 5, "x"), (None, [1.0, 1.0], 5, "x"), (40, None, 5, "x")], "vec_id long, embedding array<float>, rid int, score string")
     got = topk_search(vectors).collect()
