@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import license_scan as ls
 from .bpe import bpe
+from .centroid_clusters import centroid_clusters
 from .exact_dedup import exact_dedup
 from .html_extract import html_extract
 from .language_id import language_id
@@ -13,6 +15,7 @@ from .mixing import pareto_mix
 from .secret_scan import secret_scan
 from .shared import table
 from .simhash_dedup import simhash_dedup
+from .spelling_variants import corpus_words, spelling_variants
 from .suffix_dedup import suffix_dedup
 from .topk_search import topk_search
 from .toxicity import toxicity
@@ -61,6 +64,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(corpus_words(table(spark, sf_dir, "documents")))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ls.license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -72,6 +87,9 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_license_scan": op13_license_scan,
 }
 
 OP1_SQL = """
@@ -176,9 +194,114 @@ WITH d AS (
 SELECT doc_id, n::BIGINT AS n_bytes, removed::BIGINT AS n_removed, spans::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept
 """
 
+#: crc32 bit by bit, lowest first, over the bytes of '<id>:<run>'; near pairs by joins on the words with one place masked or cut.
+OP11_SQL = """
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+), grouped AS (
+  SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run
+), bits AS (
+  SELECT run, n, list_transform(range(4 * length(x)), lambda i: ((('0x' || substr(x, (2 * (i // 8) + 1)::INT, 2))::BIGINT >> (i % 8)) & 1)) AS b FROM grouped
+), hashed AS (
+  SELECT run, n, xor(list_reduce(b, lambda c, v: xor(c >> 1, 3988292384 * (xor(c, v) & 1)), 4294967295::BIGINT), 4294967295) AS h FROM bits
+), words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5
+), places AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words
+), masked AS (
+  SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM places
+), cuts AS (
+  SELECT DISTINCT word, n, a || b AS cut FROM masked
+), near AS (
+  SELECT x.word, x.n, y.word AS other, y.n AS other_n FROM masked x JOIN masked y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION ALL SELECT c.word, c.n, w.word, w.n FROM cuts c JOIN words w ON c.cut = w.word
+  UNION ALL SELECT w.word, w.n, c.word, c.n FROM cuts c JOIN words w ON c.cut = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 5 * w.n THEN b.other END AS form, CASE WHEN b.other_n >= 5 * w.n THEN b.other_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word
+), walk AS (
+  SELECT word, word AS last FROM formed
+  UNION ALL SELECT k.word, f.form FROM walk k JOIN formed f ON f.word = k.last WHERE f.form IS NOT NULL
+), ends AS (
+  SELECT k.word, k.last AS root FROM walk k JOIN formed f ON f.word = k.last WHERE f.form IS NULL
+)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM formed f JOIN ends e ON f.word = e.word
+"""
+
+_ROUND_SQL = """, d{r} AS (
+  SELECT s.rid, s.vec_id, s.v, c.k, list_sum(list_transform(list_zip(s.v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+  FROM quantised s CROSS JOIN c{r} c
+), a{r} AS (
+  SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(k, (d, k)) AS k, min(d) AS d FROM d{r} GROUP BY rid
+)"""
+_MEANS_SQL = """, m{r} AS (
+  SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(v) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY k, i
+), c{next} AS (
+  SELECT c.k, coalesce(g.c, c.c) AS c FROM c{r} c
+  LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM m{r} GROUP BY k) g ON c.k = g.k
+)"""
+OP12_SQL = (
+    """
+WITH quantised AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c FROM (SELECT sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM quantised ORDER BY h, v LIMIT 16)
+)"""
+    + "".join(_ROUND_SQL.format(r=r) + _MEANS_SQL.format(r=r, next=r + 1) for r in range(3))
+    + _ROUND_SQL.format(r=3)
+    + """
+SELECT a.vec_id, a.k::INT AS cluster, a.d AS distance, sum(a.d) OVER (PARTITION BY a.k)::BIGINT AS cluster_inertia, sum(a.d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a3 a JOIN c3 c ON a.k = c.k
+"""
+)
+
+
+def _license_sql() -> str:
+    """All blocks against all templates, without filters."""
+    text = "VALUES " + ", ".join(f"('{label}', {sorted(set(words.split()))!r}, {ls.needed(len(set(words.split())), ls.LEAST_SHARE)})" for label, words in ls.TEMPLATES)
+    phrases = "VALUES " + ", ".join(f"('{label}', {words.split()!r})" for label, words in ls.PHRASES)
+    half = ls.BLOCK_WORDS // 2
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), templates(label, t, need) AS ({text}), phrases(label, p) AS ({phrases}),
+starts AS (
+  SELECT rid, w, unnest(range(len(w))) AS i FROM d
+), places AS (
+  SELECT a.rid, a.i, p.label FROM starts a JOIN phrases p ON a.w[a.i + 1] = p.p[1] AND list_slice(a.w, a.i + 1, a.i + len(p.p)) = p.p
+), base AS (
+  SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY rid
+), blocks AS (
+  SELECT rid, list_slice(w, (i + 1)::BIGINT, (i + {ls.BLOCK_WORDS})::BIGINT) AS b FROM (SELECT rid, w, unnest(range(0, greatest(1, len(w) - {half}), {half})) AS i FROM d)
+), held AS (
+  SELECT b.rid, t.label, len(list_intersect(t.t, b.b)) AS held, t.need, len(t.t) AS size FROM blocks b CROSS JOIN templates t
+), found AS (
+  SELECT rid, list(DISTINCT label) AS labels, max(held::DOUBLE / size) AS share FROM held WHERE held >= need GROUP BY rid
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n_base, b.first_word::BIGINT AS first_word, b.last_word::BIGINT AS last_word,
+       array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ',') AS labels,
+       CASE WHEN b.n_base > 0 THEN 1.0 ELSE coalesce(f.share, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN base b ON d.rid = b.rid LEFT JOIN found f ON d.rid = f.rid
+"""
+
+
+OP13_SQL = _license_sql()
+
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
     "op3_pareto_mix": OP3_SQL,
     "op6_topk_search": OP6_SQL,
     "op7_suffix_dedup": OP7_SQL,
+    "op11_spelling_variants": OP11_SQL,
+    "op12_centroid_clusters": OP12_SQL,
+    "op13_license_scan": OP13_SQL,
 }

@@ -82,6 +82,11 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case, and no other letters."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def held_out(column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5, is 0 (null ids count as empty text)."""
     digits = F.coalesce(F.col(column).cast("string"), F.lit(""))
