@@ -22,12 +22,13 @@ def member_counts(df: DataFrame, array: str) -> DataFrame:
     return df.select(F.explode(array).alias("member")).groupBy("member").agg(F.count(F.lit(1)).alias("n"))
 
 
-def order_statistic(df: DataFrame, keys: Sequence[str], value: str, share: float) -> DataFrame:
-    """sorted[min(n - 1, floor(n * share))] of each group, exactly.
+def order_statistic(df: DataFrame, keys: Sequence[str], value: str, share: float, weight: Column | None = None) -> DataFrame:
+    """sorted[min(n - 1, floor(n * share))] of each group, exactly. weight: how
+    often a row counts.
 
     Counts by value come first (they combine before the shuffle), so a group
     costs one row for each of its distinct values."""
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("c"))
     group = Window.partitionBy(*keys)
     upto = F.sum("c").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     ranked = counted.withColumn("n", F.sum("c").over(group)).withColumn("upto", upto)
