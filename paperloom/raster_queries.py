@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import objects, paints
 from .operators import pixels as px
 from .plans import rendered
 from .queries import query
@@ -190,3 +191,109 @@ SELECT v.s_suppkey, flat, threshold, CASE WHEN flat THEN 48 * 48 ELSE coalesce(n
 def field_repairs(spark: SparkSession, d: str) -> DataFrame:
     _views(spark, d, "supplier")
     return rendered.field_repairs(_fields(spark, d), spark.sql(_FIELDS), ["s_suppkey"])
+
+
+#: Objects of a document: images 0 to 49, forms from 50 on; forms refer to forms and images, in cycles too.
+_OCCURRENCES = f"""SELECT {_PAGE}, CAST(l_partkey % 50 AS BIGINT) AS image, CAST(l_quantity AS DOUBLE) AS x0, CAST(l_linenumber AS DOUBLE) AS y0,
+  CAST(l_quantity AS DOUBLE) + l_partkey % 11 * 4 AS x1, CAST(l_linenumber AS DOUBLE) + 10 AS y1 FROM lineitem"""
+_AUTHORISED = f"SELECT {_ORDER_PAGE}, CAST(0 AS DOUBLE) AS x0, CAST(0 AS DOUBLE) AS y0, CAST(40 + o_custkey % 60 AS DOUBLE) AS x1, CAST(20 AS DOUBLE) AS y1 FROM orders"
+_REFERENCES = """SELECT CAST(floor(l_orderkey / 5) AS BIGINT) AS doc, CAST(50 + l_partkey % 9 AS BIGINT) AS object,
+  CAST(CASE WHEN l_suppkey % 3 = 0 THEN l_partkey % 50 ELSE 50 + (l_partkey + l_linenumber) % 9 END AS BIGINT) AS target FROM lineitem"""
+_APPEARANCES = "SELECT DISTINCT CAST(floor(o_orderkey / 5) AS BIGINT) AS doc, CAST(50 + o_custkey % 9 AS BIGINT) AS object FROM orders WHERE o_orderkey % 10 = 1"
+_MASKS = "SELECT CAST(floor(l_orderkey / 5) AS BIGINT) AS doc, CAST(l_partkey % 50 AS BIGINT) AS image FROM lineitem WHERE l_linenumber = 4"
+
+
+@query(f"""WITH RECURSIVE occurrences AS ({_OCCURRENCES}), regions AS ({_AUTHORISED}), refs AS ({_REFERENCES}), reached AS (
+  SELECT * FROM ({_APPEARANCES}) UNION SELECT r.doc, r.target FROM refs r JOIN reached t ON r.doc = t.doc AND r.object = t.object
+), loose AS (
+  SELECT doc, image FROM occurrences o WHERE x0 >= x1 OR y0 >= y1
+    OR NOT EXISTS (SELECT 1 FROM regions r WHERE r.doc = o.doc AND r.page = o.page AND r.x0 <= o.x0 AND r.y0 <= o.y0 AND r.x1 >= o.x1 AND r.y1 >= o.y1)
+)
+SELECT doc, image FROM occurrences EXCEPT SELECT doc, image FROM loose EXCEPT SELECT doc, object FROM reached EXCEPT SELECT doc, image FROM ({_MASKS})""")
+def removable_images(spark: SparkSession, d: str) -> DataFrame:
+    _views(spark, d, "lineitem", "orders")
+    return objects.removable_images(*[spark.sql(q) for q in (_OCCURRENCES, _AUTHORISED, _MASKS, _REFERENCES, _APPEARANCES)])
+
+
+#: Instructions of an order's page: six groups, in which a position may be implicit, relative, clipped or under a saved matrix.
+_KINDS = ("q", "cm", "BT", "Tm", "Tr", "Tj", "Td", "TJ", "ET", "Q")
+_K = "(o_orderkey + o_custkey + b * 5)"
+_OPS = {
+    "q": (f"{_K} % 4 = 0", ()),
+    "cm": (f"{_K} % 3 = 0", ("1 + b % 2", "0", "0", "1", f"{_K} % 7", "b * 10")),
+    "BT": ("true", ()),
+    "Tm": (f"{_K} % 5 <> 1", ("1", f"{_K} % 2", "0", "1", f"{_K} % 90", "100 + b * 60")),
+    "Tr": (f"{_K} % 17 = 0", (f"{_K} % 8",)),
+    "Tj": ("true", ()),
+    "Td": (f"{_K} % 4 <> 3", ("20", f"0 - {_K} % 13")),
+    "TJ": (f"{_K} % 2 = 0", ()),
+    "ET": (f"{_K} % 23 <> 0", ()),
+    "Q": (f"{_K} % 4 = 0", ()),
+}
+BLOCKS, HEIGHT = 6, 842.0
+_ROWS = " UNION ALL ".join(
+    f"SELECT {_ORDER_PAGE}, CAST(b * 10 + {i} AS BIGINT) AS seq, '{op}' AS op, {{open}}{', '.join(f'CAST({a} AS DOUBLE)' for a in args) or 'CAST(0 AS DOUBLE)'}{{close}} AS args FROM {{blocks}} WHERE {when}" for i, (op, (when, args)) in enumerate(_OPS.items())
+)
+_SPANS = f"""SELECT {_ORDER_PAGE}, ox, oy, ox AS x0, oy - 8 AS y0, ox + 30 + o_orderkey % 20 AS x1, oy + 2 AS y1 FROM (
+  SELECT *, CAST({_K} % 90 AS DOUBLE) + {_K} % 3 * 0.3 AS ox, CAST({HEIGHT} - 100 - b * 60 AS DOUBLE) AS oy FROM {{blocks}}
+)"""
+_MARGIN = f"SELECT {_ORDER_PAGE}, CAST(0 AS DOUBLE) AS x0, CAST(300 AS DOUBLE) AS y0, CAST(70 + o_custkey % 80 AS DOUBLE) AS x1, CAST(842 AS DOUBLE) AS y1 FROM orders"
+_BLOCKS_SQL = f"(SELECT o_orderkey, o_custkey, unnest(range({BLOCKS}))::INT AS b FROM orders)"
+_BLOCKS_SPARK = f"(SELECT o_orderkey, o_custkey, explode(sequence(0, {BLOCKS - 1})) AS b FROM orders)"
+
+
+def _times_sql(m: str, n: str) -> str:
+    at = lambda x, i: f"{x}[{i}]"
+    cells = [f"{at(m, i)} * {at(n, j)} + {at(m, i + 1)} * {at(n, j + 2)}" for i in (1, 3) for j in (1, 2)]
+    cells += [f"{at(m, 5)} * {at(n, j)} + {at(m, 6)} * {at(n, j + 2)} + {at(n, j + 4)}" for j in (1, 2)]
+    return f"[{', '.join(cells)}]"
+
+
+_FOLD = f"""
+WITH RECURSIVE listed AS (
+  SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY seq) AS i FROM ({_ROWS.format(blocks=_BLOCKS_SQL, open='[', close=']')})
+), one AS (SELECT [1, 0, 0, 1, 0, 0]::DOUBLE[] AS m), walk AS (
+  SELECT DISTINCT doc, page, 0::BIGINT AS i, 0::BIGINT AS seq, '' AS op, m AS ctm, []::DOUBLE[][] AS stack, NULL::DOUBLE[] AS text, NULL::DOUBLE[] AS line, 0 AS grp, false AS open, NULL::DOUBLE[] AS place FROM listed, one
+  UNION ALL
+  SELECT l.doc, l.page, l.i, l.seq, l.op,
+    CASE l.op WHEN 'cm' THEN {_times_sql('l.args', 'w.ctm')} WHEN 'Q' THEN coalesce(w.stack[-1], one.m) ELSE w.ctm END,
+    CASE l.op WHEN 'q' THEN list_append(w.stack, w.ctm) WHEN 'Q' THEN w.stack[:-2] ELSE w.stack END,
+    CASE WHEN l.op = 'BT' THEN one.m WHEN NOT w.open THEN w.text WHEN l.op = 'Tm' THEN l.args WHEN l.op = 'Td' THEN {_times_sql('[1, 0, 0, 1, l.args[1], l.args[2]]', 'w.line')} WHEN l.op IN ('Tj', 'TJ') THEN NULL ELSE w.text END,
+    CASE WHEN l.op = 'BT' THEN one.m WHEN NOT w.open THEN w.line WHEN l.op = 'Tm' THEN l.args WHEN l.op = 'Td' THEN {_times_sql('[1, 0, 0, 1, l.args[1], l.args[2]]', 'w.line')} ELSE w.line END,
+    w.grp + (l.op = 'BT')::INT, CASE l.op WHEN 'BT' THEN true WHEN 'ET' THEN false ELSE w.open END,
+    CASE WHEN w.open AND l.op IN ('Tj', 'TJ') AND w.text IS NOT NULL THEN {_times_sql('w.text', 'w.ctm')}[5:6] END
+  FROM walk w JOIN listed l ON l.doc = w.doc AND l.page = w.page AND l.i = w.i + 1, one
+), closed AS (
+  SELECT w.doc, w.page, w.grp, bool_or(w.op = 'Tr' AND l.args[1] >= 4) AS clips FROM walk w JOIN listed l ON l.doc = w.doc AND l.page = w.page AND l.i = w.i
+  GROUP BY w.doc, w.page, w.grp HAVING bool_or(w.op = 'ET')
+), paints AS (
+  SELECT w.doc, w.page, w.grp, w.seq, place[1] AS x, {HEIGHT}::DOUBLE - place[2] AS y, clips FROM walk w JOIN closed c ON c.doc = w.doc AND c.page = w.page AND c.grp = w.grp WHERE op IN ('Tj', 'TJ')
+), spans AS ({_duck(_SPANS.format(blocks=_BLOCKS_SQL))}), margin AS ({_MARGIN}), inside AS (
+  SELECT * FROM spans s WHERE EXISTS (SELECT 1 FROM margin r WHERE r.doc = s.doc AND r.page = s.page AND r.x0 <= s.x0 AND r.y0 <= s.y0 AND r.x1 >= s.x1 AND r.y1 >= s.y1)
+), good AS (
+  SELECT DISTINCT p.doc, p.page, p.seq FROM paints p JOIN inside s ON s.doc = p.doc AND s.page = p.page AND abs(p.x - s.ox) < 0.8::DOUBLE AND abs(p.y - s.oy) < 0.8::DOUBLE WHERE NOT clips
+), whole AS (
+  SELECT p.doc, p.page, p.grp FROM paints p LEFT JOIN good g ON g.doc = p.doc AND g.page = p.page AND g.seq = p.seq GROUP BY p.doc, p.page, p.grp HAVING bool_and(g.seq IS NOT NULL)
+), removed AS (
+  SELECT p.doc, p.page, p.seq, p.x, p.y FROM paints p JOIN whole w ON w.doc = p.doc AND w.page = p.page AND w.grp = p.grp
+)"""
+
+
+def _page_content(spark: SparkSession, d: str) -> list[DataFrame]:
+    _views(spark, d, "orders")
+    rows = _ROWS.format(blocks=_BLOCKS_SPARK, open="array(", close=")")
+    return [spark.sql(rows), spark.sql(_SPANS.format(blocks=_BLOCKS_SPARK)), spark.sql(_MARGIN), spark.sql(f"SELECT {_ORDER_PAGE}, CAST({HEIGHT} AS DOUBLE) AS height FROM orders")]
+
+
+@query(f"{_FOLD} SELECT doc, page, seq FROM removed")
+def removed_paints(spark: SparkSession, d: str) -> DataFrame:
+    return paints.removed_paints(*_page_content(spark, d))
+
+
+@query(f"""{_FOLD}
+SELECT s.doc, s.page, count(*) AS n_left FROM spans s
+WHERE EXISTS (SELECT 1 FROM margin r WHERE r.doc = s.doc AND r.page = s.page AND r.x0 < s.x1 AND s.x0 < r.x1 AND r.y0 < s.y1 AND s.y0 < r.y1)
+  AND NOT EXISTS (SELECT 1 FROM removed g WHERE g.doc = s.doc AND g.page = s.page AND abs(s.ox - g.x) < 0.8::DOUBLE AND abs(s.oy - g.y) < 0.8::DOUBLE)
+GROUP BY s.doc, s.page""")
+def declined_pages(spark: SparkSession, d: str) -> DataFrame:
+    return paints.declined_pages(*_page_content(spark, d))
