@@ -13,7 +13,8 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -53,13 +54,80 @@ _WORD = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
 
 
+class Node:
+    """An open element: what it adds to the names of its ancestors. value is a
+    model's sum of weights of all names on the way to it."""
+
+    __slots__ = ("tag", "parent", "new", "value")
+
+    def __init__(self, tag: str, parent: Node | None, new: tuple[str, ...]):
+        self.tag, self.parent, self.new, self.value = tag, parent, new, None
+
+    def up(self) -> Iterator[Node]:
+        node: Node | None = self
+        while node is not None:
+            yield node
+            node = node.parent
+
+
 class Block:
-    """A leaf block: its text, how much of it is linked, and its ancestors."""
+    """A leaf block: its text, how much of it is linked, and its element."""
+
+    __slots__ = ("text", "linked", "node")
 
-    __slots__ = ("text", "linked", "path")
+    def __init__(self, text: str, linked: int, node: Node | None):
+        self.text, self.linked, self.node = text, linked, node
 
-    def __init__(self, text: str, linked: int, path: tuple[str, ...]):
-        self.text, self.linked, self.path = text, linked, path
+
+class _Open:
+    """The open elements of a page. Where the last one of a tag and the last
+    block lie is kept, so no tag looks through the others."""
+
+    def __init__(self):
+        self.nodes: list[Node] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.names: Counter = Counter()
+        self.all_names: list[tuple[str, ...]] = []
+
+    def last(self, tags: Iterable[str]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=-1)
+
+    def push(self, tag: str, attrs: str) -> None:
+        names = _names(_element(tag, attrs))
+        node = Node(tag, self.nodes[-1] if self.nodes else None, tuple(n for n in names if not self.names[n]))
+        self.names.update(names)
+        self.at[tag].append(len(self.nodes))
+        if tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+        self.all_names.append(names)
+
+    def close(self, at: int) -> None:
+        """Closes the elements from a place on."""
+        while len(self.nodes) > at:
+            node = self.nodes.pop()
+            self.at[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+            self.names.subtract(self.all_names.pop())
+
+    def end(self, tag: str) -> None:
+        """An end tag closes its last element, if no block is open within an
+        element that is none; one without its element is passed over."""
+        at = self.last((tag,))
+        if at >= 0 and (tag in BLOCK or at > (self.blocks[-1] if self.blocks else -1)):
+            self.close(at)
+
+    def begin(self, tag: str) -> None:
+        """What ends because a block starts."""
+        if tag == "body" and self.at["head"]:  # a head may be left open
+            self.close(self.at["head"][0])
+        if tag in P_ENDERS and self.blocks and self.nodes[self.blocks[-1]].tag == "p":
+            self.close(self.blocks[-1])
+        sibling = self.last(SIBLINGS.get(tag, ()))
+        if sibling > self.last(SCOPES):
+            self.close(sibling)
 
 
 @lru_cache(65536)
@@ -69,26 +137,28 @@ def _element(tag: str, attrs: str) -> str:
     return " ".join([tag, *sorted(words)])
 
 
+@lru_cache(65536)
+def _names(key: str) -> tuple[str, ...]:
+    tag, *words = key.split(" ")
+    return (f"in:{tag}", *(f"word:{w}" for w in words))
+
+
 def blocks(page: str) -> list[Block]:
-    stack: list[tuple[str, str]] = []
+    """The leaf blocks of a page, in time in proportion to its length."""
+    opened = _Open()
     out: list[Block] = []
     parts: list[str] = []
-    linked, links = 0, 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = _BLANK.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, linked, tuple(k for _, k in stack)))
+                out.append(Block(text, linked, opened.nodes[-1] if opened.nodes else None))
             parts.clear()
         linked = 0
 
-    def close(at: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[at:])
-        del stack[at:]
-
     at_char, endless = 0, set()
     while m := _TOKEN.match(page, at_char):
         at_char, tag = m.end(), m["tag"]
@@ -96,7 +166,7 @@ def blocks(page: str) -> list[Block]:
             piece = m[0]
             if piece[0] != "<" or piece == "<":
                 parts.append(piece)
-                if links:
+                if opened.at["a"]:
                     linked += len(piece)
             elif m["drop"] and m["drop"].lower() in BLOCK:
                 flush()
@@ -115,32 +185,14 @@ def blocks(page: str) -> list[Block]:
             else:
                 parts.append(" ") if tag == "br" else None
             continue
+        if tag in BLOCK:
+            flush()
         if m["end"]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if tag in BLOCK:
-                flush()
-            if at is not None and (tag in BLOCK or not any(t in BLOCK for t, _ in stack[at + 1 :])):
-                close(at)
+            opened.end(tag)
             continue
         if tag in BLOCK:
-            flush()
-            if tag == "body":  # a head may be left open
-                close(next((i for i, (t, _) in enumerate(stack) if t == "head"), len(stack)))
-            if tag in P_ENDERS:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in SIBLINGS.get(tag, ()):
-                    close(i)
-                    break
-                if stack[i][0] in SCOPES:
-                    break
-        stack.append((tag, _element(tag, m["attrs"])))
-        links += tag == "a"
+            opened.begin(tag)
+        opened.push(tag, m["attrs"])
     flush()
     return out
 
@@ -150,16 +202,11 @@ def _number(name: str) -> int:
     return zlib.crc32(name.encode()) % FEATURES
 
 
-@lru_cache(1 << 16)
-def path_features(path: tuple[str, ...]) -> tuple[int, ...]:
-    names = set()
-    for depth, key in enumerate(reversed(path)):
-        tag, *words = key.split(" ")
-        names.add(f"in:{tag}")
-        names.update(f"word:{w}" for w in words)
-        if depth == 0:
-            names.add(f"own:{tag}")
-    return tuple(sorted(map(_number, names)))
+def path_features(node: Node | None) -> list[int]:
+    if node is None:
+        return []
+    names = {n for above in node.up() for n in above.new}
+    return sorted(map(_number, [*names, f"own:{node.tag}"]))
 
 
 def text_features(block: Block) -> tuple[int, ...]:
@@ -177,15 +224,21 @@ class Model:
 
     def __init__(self, weights: np.ndarray, step: np.ndarray, start: np.ndarray):
         self.weights, self.step, self.start = weights, step, start
-        self.paths: dict[tuple[str, ...], float] = {}
+
+    def _value(self, node: Node | None) -> float:
+        """The weights of all names on the way to an element; each is added once."""
+        way = []
+        while node is not None and node.value is None:
+            way.append(node)
+            node = node.parent
+        value = node.value if node is not None else 0.0
+        for node in reversed(way):
+            value = node.value = value + sum(self.weights[_number(n)] for n in node.new)
+        return value
 
     def unary(self, b: Block) -> float:
-        w = self.paths.get(b.path)
-        if w is None:
-            if len(self.paths) > 50_000:
-                self.paths.clear()
-            w = self.paths[b.path] = float(self.weights[list(path_features(b.path))].sum())
-        return w + sum(self.weights[i] for i in text_features(b))
+        own = self.weights[_number(f"own:{b.node.tag}")] if b.node is not None else 0.0
+        return self._value(b.node) + own + sum(self.weights[i] for i in text_features(b))
 
     def viterbi(self, page: Sequence[Block]) -> list[int]:
         if not page:
@@ -220,7 +273,7 @@ def train(pages: Sequence[tuple[Sequence[Block], Sequence[int]]], rounds: int =
         live[i, : len(found)], y[i, : len(found)] = True, labels
         for j, b in enumerate(found):
             starts.append(len(flat))
-            flat += [*path_features(b.path), *text_features(b)]
+            flat += [*path_features(b.node), *text_features(b)]
             where.append((i, j))
     flat, starts, where = np.array(flat), np.array(starts), np.array(where)
     owner = np.repeat(np.arange(len(starts)), np.diff([*starts, len(flat)]))
@@ -268,8 +321,9 @@ def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Character references are decoded, white space inside a block becomes one
     space, blocks are joined by a line feed. Cut-off pages are read as far as
     they go, and plain text without markup is one block. Repeated rows get
-    equal rows; other columns are ignored. A page is worked on by itself, so
-    memory is bounded by the longest page.
+    equal rows; other columns are ignored, whatever their names; an empty table
+    gives an empty result. A page is worked on by itself, in time and memory in
+    proportion to its length, however deep its elements are nested.
     """
     bounded_memory(pages.sparkSession)
     rows = pages.select(id_col, url_col, text_or_empty(html_col).alias("html"))

@@ -247,6 +247,38 @@ def test_long_tokens_take_time_in_proportion():
     assert tx.restore("id" + "*" * 40 + "ot", model) == tx.restore("id" + "*" * 4000 + "ot", model)
 
 
+def test_large_alphabets_need_little_time_and_memory():
+    import tracemalloc
+
+    r = random.Random(3)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    words = collections.Counter("".join(r.choice(letters) for _ in range(r.randint(2, 4))) for _ in range(4000))
+    model = tx.CharModel(words)
+    half = "".join(r.choice(letters) for _ in range(2500))
+    strange = "".join(chr(0x9000 + i) for i in range(600))
+    word = max(words, key=len)
+    tracemalloc.start()
+    assert tx.restore(half + "*" + half, model).startswith(half) and tx.restore("a*b", model) == "ab"
+    assert tx.restore(strange + "*" + strange, model) == strange * 2
+    assert tx.restore(f"{word}*{word[0]}", model)
+    tx.restore("a" + "*!" * 5000 + "b", model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+
+
+def test_repeated_units_are_decoded_as_plainly():
+    """What is looked up is what would be computed: the same word without room to remember."""
+    model = tx.CharModel(collections.Counter(["some", "words", "idiot", "dim"]))
+    tokens = ["id" + "*!" * 40 + "t", "s*m*" * 20 + "x", "w" + "*1" * 30]
+    plain = [tx.restore(t, model) for t in tokens]
+    kept, tx.KEPT_BYTES = tx.KEPT_BYTES, 0
+    try:
+        assert [tx.restore(t, model) for t in tokens] == plain
+    finally:
+        tx.KEPT_BYTES = kept
+
+
 def test_toxicity(spark):
     rows, marks = _toxic()
     more = [(900, None), (901, ""), (902, rows[4][1].replace("idiot", "1d10t").replace("moron", "m.o.r.o.n").replace("clown", "c l o w n")), (None, "moron idiot"), (0, rows[1][1])]
@@ -285,6 +317,36 @@ def test_pages_that_are_cut_off_or_broken():
     assert hx.blocks("<ul><li>a<li>b</ul>")[1].text == "b" and len(hx.blocks("a < b & c")) == 1
 
 
+def test_deep_nesting_takes_time_and_memory_in_proportion():
+    import tracemalloc
+
+    def steps(page):
+        """Elements that were closed or asked for, and bytes at the peak."""
+        tracemalloc.start()
+        found = hx.blocks(page)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return len(found), peak
+
+    for unit in ("<div>a", "<div class=w{}>a", "<b>x", "<ul><li>a"):
+        (n1, p1), (n2, p2) = (steps("".join(unit.format(i) for i in range(n))) for n in (5_000, 40_000))
+        assert n2 >= n1 and p2 < 12 * p1 + 4e6, unit
+    model = hx.default_model()
+    for page in ("<div>" * 100_000 + "deep text", "<div>" * 50_000 + "</b>" * 50_000 + "x", "<b><div>" + "<i>" * 50_000 + "</b>" * 50_000 + "x", "<p>a<span>" * 50_000, "<li>a" * 50_000):
+        began = time.process_time()
+        model.text(page)
+        assert time.process_time() - began < 20
+    assert [b.text for b in hx.blocks("<b><div><i>x</b>y</i>z")] == ["xyz"]
+
+
+def test_sums_over_ancestors_are_those_of_their_names():
+    r = np.random.default_rng(4)
+    model = hx.Model(r.normal(size=hx.FEATURES), r.normal(size=(2, 2)), r.normal(size=2))
+    page = "<div class='a b'><div class='b c'><p id=a>one</p></div><section class=c>two<p>three</section></div>four"
+    for b in hx.blocks(page):
+        assert math.isclose(model.unary(b), model.weights[hx.path_features(b.node)].sum() + sum(model.weights[i] for i in hx.text_features(b)), abs_tol=1e-9)
+
+
 def test_field_is_right_on_pages_it_has_not_seen():
     model = hx.train(labelled_pages(200))
     right = total = 0
