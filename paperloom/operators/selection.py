@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .numbering import numbered
+
 LEAST_CONFIDENCE = 0.82
 BUDGET = 8
 
@@ -101,10 +103,12 @@ def review_pages(pages: DataFrame, issues: DataFrame, budget: int = BUDGET) -> D
 
 def first_paths(files: DataFrame, limit: int = 0) -> DataFrame:
     """(nth, path, ...): files in the order of their paths' parts, the first
-    `limit` of them (0: all, which is one sort of the whole). The limit comes
-    after whatever filters files went through."""
+    `limit` of them (0: all). The limit comes after whatever filters files went
+    through."""
     order = F.split(F.col("path"), "/")
-    ordered = files.orderBy(order).limit(limit) if limit else files
+    if not limit:
+        return numbered(files, [order], "nth").select("nth", *files.columns)
+    ordered = files.orderBy(order).limit(limit)
     return ordered.select(F.row_number().over(Window.orderBy(order)).cast("long").alias("nth"), "*")
 
 

@@ -82,7 +82,7 @@ _ACADEMIC = rf"""{_WITH}, noted AS (
   SELECT * FROM noted
   WHERE trim(text) <> '' AND x0 < x1 AND y0 < y1 AND NOT vertical
     AND NOT (list_contains(header_signatures, sig) AND y1 <= greatest(header_bottom + 12, height * 0.20::DOUBLE))
-    AND NOT ((n = '' OR contains(n, 'acme') OR {_LABELS} OR starts_with(n, 'page ') OR ((contains(n, 'module') OR contains(n, 'foundation') OR contains(n, 'allen career institute')) AND length(n) < 80))
+    AND NOT ((n = '' OR contains(n, 'acme') OR {_LABELS} OR starts_with(n, 'page ') OR ((contains(n, 'module') OR contains(n, 'foundation')) AND length(n) < 80))
              AND y0 <= greatest(header_bottom + 20, height * 0.16::DOUBLE))
     AND NOT (y1 <= height * 0.16::DOUBLE AND regexp_matches(n, '{content.COURSE}'))
     AND NOT coalesce(y0 >= footer_top AND (list_contains(footer_signatures, sig) OR regexp_matches(n, '{content.PAGE_NUMBER}')), false)

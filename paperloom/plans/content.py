@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions.text import norm, repeat_signature
@@ -24,7 +25,7 @@ PAGE = ["doc", "page"]
 BOX = ["x0", "y0", "x1", "y1"]
 
 # Boilerplate of old publications, and the names of their courses.
-BOILERPLATE, BOILERPLATE_CHARS = ("module", "foundation", "allen career institute"), 80
+BOILERPLATE, BOILERPLATE_CHARS = ("module", "foundation"), 80
 COURSE = r"\bncert\s+(?:basics|course)\s*:?\s*class\s*\d+\b"
 PAGE_NUMBER = r"^(?:\[?\d+\]?|page\s+\d+)$"
 # Parts of a page's height or width.
@@ -158,9 +159,9 @@ def _padded(by: float) -> list[Column]:
 
 def term_hits(words: DataFrame, pages: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Words (doc, page, hit, x0, y0, x1, y1) in the upper third that hold one of
-    the terms; hit numbers them."""
+    the terms; hit numbers those of a page, by box and text."""
     held = words.filter(_any(F.lower("text"), [t.lower() for t in terms])).join(pages.select(*PAGE, "height"), PAGE)
-    return held.filter(F.col("y0") <= F.col("height") * MARK_ZONE).select(*PAGE, F.monotonically_increasing_id().alias("hit"), *BOX)
+    return held.filter(F.col("y0") <= F.col("height") * MARK_ZONE).select(*PAGE, F.row_number().over(Window.partitionBy(*PAGE).orderBy(*BOX, "text")).alias("hit"), *BOX)
 
 
 def expanded_hits(hits: DataFrame, blocks: DataFrame, drawings: DataFrame, images: DataFrame, pages: DataFrame, terms: Sequence[str], logo: dict[str, float] = LOGO) -> DataFrame:
