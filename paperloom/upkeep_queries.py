@@ -12,6 +12,7 @@ from .queries import query
 from .sources import shared
 from .sources.ledger import Ledger
 from .sources.tables import table
+from .streaming import lives
 
 _USES = "CAST(floor(l_orderkey / 5) AS BIGINT) AS doc, l_orderkey % 5 + 1 AS page, CAST(l_partkey % 30 AS BIGINT) AS object"
 _CHANGED = "(doc + object) % 6 = 0"
@@ -110,3 +111,52 @@ def publication_order(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("doc_id") % 3 == 0, ".PDF").when(F.col("doc_id") % 3 == 1, ".json").otherwise(".md")
     artifacts = table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), "doc_id", kind).alias("path"))
     return numbering.publication_order(artifacts).select("number", "doc_id")
+
+
+_STATUS = "CASE event_type WHEN 'click' THEN 'running' WHEN 'view' THEN 'analyzed' WHEN 'signup' THEN 'pending' WHEN 'error' THEN 'failed' ELSE 'completed' END"
+SILENCE_MS, RETRIES = 43_200_000, 2
+_LIVES_SQL = f"""
+WITH RECURSIVE told AS (
+  SELECT user_id AS job, epoch_us(ts) // 1000 AS t, {_STATUS} AS status, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i
+  FROM events WHERE epoch_us(ts) // 1000 < (SELECT max(epoch_us(ts) // 1000) FROM events)
+), seen AS (
+  SELECT *, lag(status) OVER (PARTITION BY job ORDER BY i) IN ('running', 'analyzed') AND t - lag(t) OVER (PARTITION BY job ORDER BY i) > {SILENCE_MS} AS gap,
+         lag(t) OVER (PARTITION BY job ORDER BY i) + {SILENCE_MS} AS silent, i = max(i) OVER (PARTITION BY job) AS final FROM told
+), walk AS (
+  SELECT job, 0::BIGINT AS i, NULL::BIGINT AS began, 0 AS attempts, 0 AS retried, '' AS status, 0::BIGINT AS t, NULL::BIGINT AS cut, 0 AS cut_attempts, NULL::BIGINT AS cut_began, false AS over FROM (SELECT DISTINCT job FROM told)
+  UNION ALL
+  SELECT s.job, s.i, CASE WHEN x.fresh THEN s.t ELSE w.began END, CASE WHEN x.fresh THEN 0 ELSE w.attempts END + (s.status = 'running')::INT,
+         CASE WHEN x.fresh THEN 0 ELSE w.retried END + (s.status = 'failed')::INT, s.status, s.t,
+         CASE WHEN s.gap AND NOT w.over THEN s.silent END, w.attempts, w.began,
+         s.status = 'completed' OR s.status = 'failed' AND CASE WHEN x.fresh THEN 0 ELSE w.retried END >= {RETRIES}
+  FROM walk w JOIN seen s ON s.job = w.job AND s.i = w.i + 1, LATERAL (SELECT w.over OR w.i = 0 OR coalesce(s.gap, false) AS fresh) x
+)
+SELECT job, began, t AS ended, status, attempts FROM walk WHERE over
+UNION ALL SELECT job, cut_began, cut, 'interrupted', cut_attempts FROM walk WHERE cut IS NOT NULL
+UNION ALL SELECT w.job, w.began, w.t + {SILENCE_MS}, 'interrupted', w.attempts FROM walk w JOIN seen s ON s.job = w.job AND s.i = w.i
+WHERE s.final AND NOT w.over AND w.status IN ('running', 'analyzed') AND w.t + {SILENCE_MS} < (SELECT max(epoch_us(ts) // 1000) FROM events)
+"""
+
+
+def _job_events(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("sequence"), F.expr(_STATUS).alias("status"))
+
+
+@query(_LIVES_SQL)
+def job_lives(spark: SparkSession, d: str) -> DataFrame:
+    return lives.lives(_job_events(table(spark, d, "events")), SILENCE_MS, RETRIES)
+
+
+@query(_LIVES_SQL)
+def job_lives_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The same events as a stream, watched with timers until its end."""
+    kept = spark.conf.get(lives.STORE)
+    path = f"{shared.folder(spark)}/lives-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")  # a pattern: the table may be one file
+    spark.conf.set(lives.STORE, lives.ROCKS)
+    try:
+        told = lives.watched(_job_events(stream), SILENCE_MS, RETRIES, "0 seconds")
+        told.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}.checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(lives.STORE, kept)
+    return spark.read.schema(lives.LIVES).parquet(path)
