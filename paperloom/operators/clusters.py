@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .folds import sorted_fold
+
 
 def gap_clusters(df: DataFrame, keys: Sequence[str], at: str, gap: Column, tie: str | None = None) -> DataFrame:
     """Adds cluster, from 0: a row starts one if it lies further than `gap`
@@ -38,6 +40,30 @@ def mean_linkage(values: Column, tolerance: float) -> Column:
     return F.aggregate(F.array_sort(F.filter(values, lambda v: v.isNotNull())), start, step, finish)
 
 
+def mean_linkage_rows(df: DataFrame, keys: Sequence[str], value: str, tolerance: float) -> DataFrame:
+    """The clusters of mean_linkage for groups of any size: (keys, cluster, lo,
+    hi, n). Values are sorted into partitions, and a cluster leaves as soon as
+    the next one begins. Nulls are left out."""
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        lo = hi = total = n = None
+        cluster = 0
+        for (v,) in rows:
+            if n and abs(v - total / n) <= tolerance:
+                hi, total, n = v, total + v, n + 1
+            else:
+                if n:
+                    yield cluster, lo, hi, n
+                    cluster += 1
+                lo = hi = total = v
+                n = 1
+        if n:
+            yield cluster, lo, hi, n
+
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    return sorted_fold(rows, keys, ["_v"], ["_v"], fold, "cluster long, lo double, hi double, n long")
+
+
 def repeated_positions(marks: DataFrame, pages: DataFrame, tolerance: float = 4.0) -> DataFrame:
     """marks: (doc, page, y[, strength]); pages: (doc, sampled, threshold).
     Medians of mean-linkage clusters that lie within the tolerance of marks on

@@ -2,38 +2,50 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .folds import sorted_fold
+
 _BOX = ("x0", "y0", "x1", "y1")
+#: Free outputs from which on distances are taken all at once.
+MANY = 24
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one page. For each token, sources in order, each to the nearest
-    output that is left; nearest by distance of the upper left corners, the
-    first of equals."""
-    free: dict[str, list[list[float]]] = {}
-    worst, checks = None, 0
-    ordered = pdf.sort_values(["is_source", "y0", "x0", "y1", "x1"], kind="stable")
-    for token, source, *box in ordered[["token", "is_source", *_BOX]].itertuples(index=False):
-        left = free.setdefault(token, [])
+def _greedy(rows: Iterator[tuple]) -> Iterable[tuple]:
+    """Rows of one token of a page, outputs first: (is_source, x0, y0, x1, y1).
+    Sources in order, each to the nearest output that is left; nearest by
+    distance of the upper left corners, the first of equals."""
+    free: list[tuple] = []
+    corners, worst, checks = None, None, 0
+    for source, *box in rows:
         if not source:
-            left.append(box)
-        elif left:
-            got = left.pop(min(range(len(left)), key=lambda k: abs(left[k][0] - box[0]) + abs(left[k][1] - box[1])))
-            shift = max(abs(a - b) for a, b in zip(got, box))
-            worst, checks = shift if worst is None else max(worst, shift), checks + 1
-    head = pdf.iloc[0]
-    return pd.DataFrame({"doc": [head["doc"]], "page": [head["page"]], "worst": [worst], "checks": [checks]})
+            free.append(tuple(box))
+            continue
+        if checks == len(free):
+            break
+        if len(free) <= MANY:
+            k = min((i for i, f in enumerate(free) if f is not None), key=lambda i: abs(free[i][0] - box[0]) + abs(free[i][1] - box[1]))
+        else:
+            if corners is None:
+                corners = np.array(free)[:, :2]
+            k = int((np.abs(corners[:, 0] - box[0]) + np.abs(corners[:, 1] - box[1])).argmin())
+            corners[k] = np.inf
+        shift = max(abs(a - b) for a, b in zip(free[k], box))
+        free[k] = None
+        worst, checks = shift if worst is None else max(worst, shift), checks + 1
+    return [(worst, checks)] if checks else []
 
 
 def position_shifts(before: DataFrame, after: DataFrame, plans: DataFrame | None = None) -> DataFrame:
     """before and after: (doc, page, token, box) -> (doc, page, shift, checks):
     the largest shift of a source word against its nearest unused output.
 
-    A group is one page. Tokens that occur once on both sides, by far the most,
-    need no matching and stay in SQL."""
+    Tokens that occur once on both sides, by far the most, need no matching and
+    stay in SQL; the others are matched token by token, in one pass."""
     if plans is not None:
         moved = F.when(F.col("crop").isNotNull(), F.struct(*[(F.col(f"box.{c}") * F.col("crop.scale") + F.col(f"crop.d{c[0]}")).alias(c) for c in _BOX])).otherwise(F.col("box"))
         before = before.join(plans.select("doc", "page", "crop"), ["doc", "page"]).withColumn("box", moved)
@@ -44,6 +56,8 @@ def position_shifts(before: DataFrame, after: DataFrame, plans: DataFrame | None
     single = both.filter("a = 1 AND b = 1").select(*keys, F.greatest(*[F.abs(F.col(f"box_a.{c}") - F.col(f"box_b.{c}")) for c in _BOX]).alias("worst"), F.lit(1).cast("long").alias("checks"))
     several = both.filter("a > 1 OR b > 1").select(*keys)
     side = lambda df, source: df.join(several, keys, "left_semi").select(*keys, *[F.col(f"box.{c}").alias(c) for c in _BOX], F.lit(source).alias("is_source"))
-    matched = side(before, True).unionByName(side(after, False)).groupBy("doc", "page").applyInPandas(_greedy, "doc string, page long, worst double, checks long")
-    found = single.select(F.col("doc").cast("string").alias("doc"), F.col("page").cast("long").alias("page"), "worst", "checks").unionByName(matched)
+    both_sides = side(before, True).unionByName(side(after, False))
+    matched = sorted_fold(both_sides, keys, ["is_source", "y0", "x0", "y1", "x1"], ["is_source", *_BOX], _greedy, "worst double, checks long")
+    told = single.drop("token").unionByName(matched.drop("token"))
+    found = told.select(F.col("doc").cast("string").alias("doc"), F.col("page").cast("long").alias("page"), "worst", "checks")
     return found.groupBy("doc", "page").agg(F.max("worst").alias("shift"), F.sum("checks").alias("checks"))

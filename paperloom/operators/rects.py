@@ -1,9 +1,13 @@
-"""Greedy merges of near rectangles: sequential, so a page is a group."""
+"""Greedy merges of near rectangles: sequential, so a page is folded in one pass."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .folds import sorted_fold
 
 _BOX = ["x0", "y0", "x1", "y1"]
 PAD = 5.0
@@ -17,41 +21,34 @@ def _join(a: list[float], b: list[float]) -> list[float]:
     return [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])]
 
 
-def merge_first(rects: list[list[float]], pad: float = PAD) -> list[list[float]]:
-    """In order of y0 and x0, each joins the first group near it."""
-    out: list[list[float]] = []
-    for r in sorted(rects, key=lambda r: (r[1], r[0])):
-        at = next((i for i, e in enumerate(out) if _near(e, r, pad)), None)
-        if at is None:
-            out.append(r)
+def merged(rects: Iterable[tuple], absorb: bool = False, pad: float = PAD) -> list[list[float]]:
+    """Groups of rectangles in order of y0 and x0. Each joins the first group
+    near it; or, with absorb, takes in all groups near it as it was, and stands
+    behind the others. As tops only rise, a group that ends above one is near no
+    later one: only open groups are looked at."""
+    opened: dict[int, list[float]] = {}
+    closed: dict[int, list[float]] = {}
+    for n, r in enumerate(rects):
+        r = list(r)
+        for k in [k for k, e in opened.items() if e[3] + pad <= r[1]]:
+            closed[k] = opened.pop(k)
+        near = (k for k, e in opened.items() if _near(e, r, pad))
+        if absorb:
+            for k in list(near):
+                r = _join(r, opened.pop(k))
+            opened[n] = r
         else:
-            out[at] = _join(out[at], r)
-    return out
-
-
-def merge_all(rects: list[list[float]], pad: float = PAD) -> list[list[float]]:
-    """In order of y0 and x0, each absorbs all groups near it as it was."""
-    out: list[list[float]] = []
-    for r in sorted(rects, key=lambda r: (r[1], r[0])):
-        close = [e for e in out if _near(e, r, pad)]
-        out = [e for e in out if not any(e is k for k in close)]
-        for e in close:
-            r = _join(r, e)
-        out.append(r)
-    return out
+            k = next(near, n)
+            opened[k] = _join(opened[k], r) if k in opened else r
+    return [g for _, g in sorted((closed | opened).items())]
 
 
 def merged_rects(rects: DataFrame, absorb: bool = False, pad: float = PAD) -> DataFrame:
     """rects: (doc string, page long, x0, y0, x1, y1) -> groups, numbered in order.
     Not a transitive closure: what a group has grown to decides what joins it."""
-    merge = merge_all if absorb else merge_first
 
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = merge(pdf[_BOX].sort_values(_BOX).to_numpy(float).tolist(), pad)
-        found = pd.DataFrame(out, columns=_BOX)
-        found.insert(0, "doc", pdf["doc"].iloc[0])
-        found.insert(1, "page", pdf["page"].iloc[0])
-        found.insert(2, "nth", range(len(out)))
-        return found
+    def fold(rows: Iterator[tuple]) -> Iterable[tuple]:
+        return ((n, *group) for n, group in enumerate(merged(rows, absorb, pad)))
 
-    return rects.select("doc", "page", *_BOX).groupBy("doc", "page").applyInPandas(of, "doc string, page long, nth long, x0 double, y0 double, x1 double, y1 double")
+    doubles = rects.select("doc", "page", *[F.col(c).cast("double").alias(c) for c in _BOX])
+    return sorted_fold(doubles, ["doc", "page"], ["y0", "x0", "x1", "y1"], _BOX, fold, "nth long, x0 double, y0 double, x1 double, y1 double")

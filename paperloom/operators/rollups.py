@@ -66,7 +66,9 @@ def local_background(pixels: DataFrame, keys: Sequence[str], position: str) -> D
     """pixels: (keys, position, r, g, b) -> (keys, r, g, b), 0 to 1, the colour a
     region stands on. White if most pixels are nearly so; else the medians by
     channel of the coarse colour with most pixels (ties: seen first); else, if
-    that is a small share, the medians of all."""
+    that is a small share, the medians of all. Channels are whole numbers from 0
+    to 255, and a median keeps a count for each level, so buffers are bounded and
+    combine before the shuffle."""
     c, rgb = F.col, ("r", "g", "b")
     bucket = [F.floor(c(x) / BUCKET).alias(f"_{x}") for x in rgb]
     medians = [F.median(x).alias(x) for x in rgb]

@@ -1,4 +1,4 @@
-"""Audit of an output against its source and plan: one query for each code."""
+"""Audit of an output against its source and plan."""
 
 from __future__ import annotations
 
@@ -18,6 +18,16 @@ DESIGNED = ("designed_page_preserve", "designed_page_logo_only")
 ISSUE = ("doc", "page", "code", "severity")
 
 
+Rule = tuple[Column, str, Column | str]
+
+
+def _issues(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """All issues of a row in one pass; a condition that is null is none."""
+    level = lambda x: F.lit(x) if isinstance(x, str) else x
+    each = [F.when(k, F.struct(F.lit(code).alias("code"), level(severity).alias("severity"))) for k, code, severity in rules]
+    return rows.select("doc", "page", F.inline(F.array_compact(F.array(*each))))
+
+
 def _issue(rows: DataFrame, condition: Column, code: str, severity: Column | str) -> DataFrame:
     level = F.lit(severity) if isinstance(severity, str) else severity
     return rows.filter(condition).select("doc", "page", F.lit(code).alias("code"), level.alias("severity"))
@@ -51,6 +61,10 @@ def body_words(words: DataFrame, plans: DataFrame, terms: list[str], output: boo
 
 def geometry_issues(plans: DataFrame) -> DataFrame:
     """Planned regions that meet protected content, and crops that cut it."""
+    return _issues(plans, geometry_rules())
+
+
+def geometry_rules() -> list[Rule]:
     c = F.col
     protected = F.concat(c("protected_text_rects"), c("protected_visual_rects"))
     crop = c("crop").isNotNull()
@@ -61,15 +75,14 @@ def geometry_issues(plans: DataFrame) -> DataFrame:
     wanted = c("strategy") == "rebuild_crop"
     finite = reduce(lambda a, b: a & b, [~F.isnan(c(f"crop.{x}")) & (F.abs(c(f"crop.{x}")) < float("inf")) for x in ("scale", "dx", "dy")])
     clipped = F.exists(protected, lambda r: ~g.contains(c("crop.clip"), r))
-    found = [
-        (meets(c("header_rect")), "HEADER_BODY_COLLISION_PLAN"),
-        (meets(c("footer_rect")), "FOOTER_BODY_COLLISION_PLAN"),
-        (hit, "CLEANUP_BODY_COLLISION_PLAN"),
-        (wanted & ~crop, "CROP_MAPPING_MISSING"),
-        (wanted & crop & ~finite, "CROP_MAPPING_INVALID"),
-        (wanted & crop & finite & clipped, "CROP_CONTENT_CLIPPED"),
+    return [
+        (meets(c("header_rect")), "HEADER_BODY_COLLISION_PLAN", "fatal"),
+        (meets(c("footer_rect")), "FOOTER_BODY_COLLISION_PLAN", "fatal"),
+        (hit, "CLEANUP_BODY_COLLISION_PLAN", "fatal"),
+        (wanted & ~crop, "CROP_MAPPING_MISSING", "fatal"),
+        (wanted & crop & ~finite, "CROP_MAPPING_INVALID", "fatal"),
+        (wanted & crop & finite & clipped, "CROP_CONTENT_CLIPPED", "fatal"),
     ]
-    return reduce(DataFrame.unionByName, [_issue(plans, F.coalesce(k, F.lit(False)), code, "fatal") for k, code in found])
 
 
 def audit(plans: DataFrame, source_words: DataFrame, output_words: DataFrame, output_pages: DataFrame, facts: DataFrame, bands: DataFrame, terms: list[str], side_terms: list[str]) -> DataFrame:
@@ -112,7 +125,7 @@ def audit(plans: DataFrame, source_words: DataFrame, output_words: DataFrame, ou
         (c("logo_error").isNotNull(), "RASTER_LOGO_CHECK_FAILED", "error"),
         (c("position_error").isNotNull(), "BODY_POSITION_CHECK_FAILED", "error"),
     ]
-    found = [geometry_issues(plans), *[_issue(pages, yes(k), code, level) for k, code, level in simple]]
+    found = [_issues(pages, [*geometry_rules(), *simple])]
 
     before, after = body_words(source_words, plans, terms), body_words(output_words, plans, terms, output=True)
     kept = multiset_retention(before, after, ["doc", "page"])

@@ -126,9 +126,7 @@ WITH RECURSIVE ordered AS (
 SELECT user_id, cluster, min(value) AS lo, max(value) AS hi, count(*) AS n FROM walk GROUP BY user_id, cluster
 """)
 def mean_linkage_clusters(spark: SparkSession, d: str) -> DataFrame:
-    of_user = table(spark, d, "events").groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    found = of_user.select("user_id", F.posexplode(clusters.mean_linkage(F.col("v"), 4.0)).alias("cluster", "c"))
-    return found.select("user_id", F.col("cluster").cast("long"), "c.lo", "c.hi", "c.n")
+    return clusters.mean_linkage_rows(table(spark, d, "events"), ["user_id"], "value", 4.0)
 
 
 @query("""

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from paperloom.functions import geometry as g
@@ -40,8 +42,9 @@ def test_mean_linkage_compares_with_the_running_mean(spark):
 
 def test_merges_depend_on_how_groups_grow():
     boxes = [[0, 0, 10, 10], [30, 0, 40, 10], [12, 2, 28, 8]]
-    assert rects.merge_first(boxes) == [[0, 0, 28, 10], [30, 0, 40, 10]]
-    assert rects.merge_all(boxes) == [[0, 0, 40, 10]]
+    boxes = sorted(boxes, key=lambda r: (r[1], r[0]))
+    assert rects.merged(boxes) == [[0, 0, 28, 10], [30, 0, 40, 10]]
+    assert rects.merged(boxes, absorb=True) == [[0, 0, 40, 10]]
 
 
 def test_merge_in_spark_is_independent_of_partitions(spark):
@@ -155,6 +158,49 @@ def test_audit_report(spark):
     assert sorted((r["doc"], r["code"]) for r in audit.document_issues(docs).collect()) == [("b", "PAGE_COUNT_CHANGED"), ("c", "OUTPUT_OPEN_FAILED")]
 
 
+def test_merges_look_at_every_group_that_can_be_near():
+    """The sweep gives what comparing with all groups gives."""
+    r = random.Random(12)
+    near = lambda a, b: max(a[0] - 5, b[0]) < min(a[2] + 5, b[2]) and max(a[1] - 5, b[1]) < min(a[3] + 5, b[3])
+    join = lambda a, b: [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])]
+    for _ in range(40):
+        boxes = sorted(([x, y, x + r.randint(0, 30), y + r.randint(0, 20)] for x, y in ((r.randint(0, 200), r.randint(0, 300)) for _ in range(60))), key=lambda b: (b[1], b[0], b[2], b[3]))
+        first, every = [], []
+        for b in boxes:
+            at = next((i for i, e in enumerate(first) if near(e, b)), None)
+            if at is None:
+                first.append(b)
+            else:
+                first[at] = join(first[at], b)
+            close, grown = [e for e in every if near(e, b)], b
+            for e in close:
+                grown = join(grown, e)
+            every = [*[e for e in every if e not in close], grown]
+        assert rects.merged(boxes) == first and rects.merged(boxes, absorb=True) == every
+
+
+def test_matches_of_frequent_tokens_are_the_nearest_left():
+    r = random.Random(13)
+    box = lambda: (float(r.randint(0, 40)), float(r.randint(0, 40)), 50.0, 50.0)
+    for n, m in ((5, 9), (40, 40), (100, 30), (30, 100), (3, 0), (0, 3)):
+        outputs, sources = sorted((box() for _ in range(m)), key=lambda b: (b[1], b[0])), sorted((box() for _ in range(n)), key=lambda b: (b[1], b[0]))
+        left, worst = list(outputs), []
+        for s in sources:
+            if left:
+                got = left.pop(min(range(len(left)), key=lambda k: abs(left[k][0] - s[0]) + abs(left[k][1] - s[1])))
+                worst.append(max(abs(a - b) for a, b in zip(got, s)))
+        told = list(matching._greedy(iter([(False, *o) for o in outputs] + [(True, *s) for s in sources])))
+        assert told == ([(max(worst), len(worst))] if worst else [])
+
+
+def test_clusters_of_rows_are_those_of_arrays(spark):
+    r = random.Random(14)
+    rows = [(k, r.choice([None, round(r.uniform(0, 100), 1)])) for k in (1, 2, 3) for _ in range(80)] + [(4, None)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(5)
+    want = df.groupBy("k").agg(F.collect_list("v").alias("v")).select("k", F.posexplode(clusters.mean_linkage(F.col("v"), 4.0)).alias("cluster", "c")).select("k", F.col("cluster").cast("long"), "c.lo", "c.hi", "c.n")
+    assert sorted(map(tuple, clusters.mean_linkage_rows(df, ["k"], "v", 4.0).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_greedy_match_takes_each_output_once(spark):
     box = lambda x: (x, 0.0, x + 1, 1.0)
     schema = f"doc string, page long, token string, box {g.RECT}"
