@@ -5,13 +5,15 @@ the adjacent pair of the lowest rank, leftmost first, until no pair has a rank.
 Ranks are a literal: an array of buckets by crc32, so a look-up costs the same
 at any vocabulary size.
 
-Each distinct word of the corpus is folded once, whatever its frequency:
+Each distinct word of 64 partitions of the corpus is folded once, whatever its
+frequency:
 
 1. An Arrow function splits texts once and packs documents into chunks of a
    bounded number of bytes: a chunk is its distinct words, and its documents as
    numbers of words, compressed. Chunks are all that is kept of the texts.
-2. (chunk, number, word) rows meet by word - a word has one row a chunk, however
-   often it occurs - and the first of each word folds it for the others.
+2. (chunk, number, word) rows meet by word and group of partitions - a word has
+   one row a chunk, however often it occurs - and the first of each folds it for
+   the others.
 3. The codes go back to their chunks, where documents become ids by array
    look-ups, and ids become the pieces of bytes that they stand for.
 
@@ -226,7 +228,7 @@ class Chunk:
         self.ids.append(doc_id)
         self.sizes.append(len(words))
         self.symbols.extend(map(self.index.__getitem__, words))
-        self.bytes += len(text)
+        self.bytes += len(text) if text.isascii() else len(text.encode())
 
     def packed(self, kind: pa.DataType, ranks: dict[bytes, int]) -> bytes:
         """ids, number of words by document, letters and lengths of the distinct
@@ -257,6 +259,9 @@ class _Numbers(dict):
         return n
 
 
+#: Partitions of the texts, as a power of two, within which a word is folded once.
+SPAN_BITS = 6
+
 _CHUNKS = "chunk long, payload binary"
 
 
@@ -437,7 +442,8 @@ def bpe(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", t
     # both uses below read the same exchange, so texts are split once
     chunks = rows.mapInArrow(lambda batches: _split(pattern, kind, ranks.value, chunk_bytes)(batches), _CHUNKS).repartition("chunk")
     words = chunks.mapInArrow(_words, "chunk long, number int, word string")
-    first = Window.partitionBy("word").orderBy("chunk")
+    # chunks are numbered by partition: a word meets itself within SPAN of them, so no window grows with the corpus
+    first = Window.partitionBy("word", F.shiftright("chunk", 32 + SPAN_BITS)).orderBy("chunk")
     folded = words.withColumn("nth", F.row_number().over(first)).withColumn("folded", F.when(F.col("nth") == 1, codec.encode(F.col("word"))))
     codes = folded.select("chunk", "number", F.first("folded").over(first).alias("code")).mapInArrow(_by_chunk, "chunk long, codes binary")
     join = lambda left, right: _joined(kind, pieces.value, 1 << 22)(left, right)
