@@ -32,7 +32,8 @@ def test_every_oracle_has_a_query():
 
 
 def test_every_library_query_has_an_oracle():
-    assert set(library.QUERIES) == set(library.ORACLE_SQL)
+    # the way from markup to audit is held against plain Python in test_markup.py
+    assert set(library.QUERIES) - {"html_audit"} == set(library.ORACLE_SQL)
 
 
 def plain(value):
