@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import inventory, memo, numbering
+from .functions import geometry, rules, text
+from .operators import inventory, memo, numbering, state
+from .plans import classify
 from .queries import query
 from .sources import shared
 from .sources.ledger import Ledger
@@ -160,3 +162,64 @@ def job_lives_streamed(spark: SparkSession, d: str) -> DataFrame:
     finally:
         spark.conf.set(lives.STORE, kept)
     return spark.read.schema(lives.LIVES).parquet(path)
+
+
+_SPAN = "array(named_struct('text', l_linestatus || ' ', 'size', CAST(l_quantity AS DOUBLE)), named_struct('text', CAST(l_suppkey AS STRING), 'size', CAST(l_linenumber * 7 AS DOUBLE)))"
+_DX, _DY = "CAST(l_partkey % 5 AS DOUBLE) / 10", "CASE WHEN l_partkey % 2 = 0 THEN CAST(-1 AS DOUBLE) ELSE CAST(l_suppkey % 13 AS DOUBLE) / 10 END"
+
+
+@query(f"""
+SELECT l_orderkey, l_linenumber, l_partkey, trim(l_linestatus || '  ' || l_suppkey) AS block_text, trim(l_linestatus || ' ' || l_suppkey) AS line_text,
+       greatest(l_quantity::DOUBLE, (l_linenumber * 7)::DOUBLE) AS size, abs({_DX}) < 0.25::DOUBLE AND abs(abs({_DY}) - 1) < 0.25::DOUBLE AS vertical,
+       least(1::DOUBLE, (l_quantity * l_linenumber)::DOUBLE / greatest((l_partkey % 100)::DOUBLE, 1)) AS coverage,
+       round_even((l_partkey * 5 + 2.5::DOUBLE), 0) AS rounded
+FROM lineitem
+""")
+def span_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts and sizes of spans, directions, shares of a page, rounded numbers."""
+    rows = table(spark, d, "lineitem").selectExpr("*", f"{_SPAN} AS spans", f"{_DX} AS dx", f"{_DY} AS dy")
+    share = geometry.coverage((F.col("l_quantity") * F.col("l_linenumber")).cast("double"), (F.col("l_partkey") % 100).cast("double"))
+    return rows.select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        text.spans_text(F.col("spans")).alias("block_text"),
+        text.line_text(F.col("spans")).alias("line_text"),
+        text.max_span_size(F.col("spans")).alias("size"),
+        text.is_vertical(F.col("dx"), F.col("dy")).alias("vertical"),
+        share.alias("coverage"),
+        text.half_even(F.col("l_partkey") * 5 + F.lit(2.5)).alias("rounded"),
+    )
+
+
+ROOT = "/library/Class 8/physics"
+
+
+@query("SELECT doc_id, 'Class 8|physics|' || replace(source, '/', '|') || '|' || doc_id || '.pdf' AS parts, '8' AS class_name FROM documents")
+def rooted_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths below a folder that is itself a subject of a class."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), "doc_id", F.lit(".pdf")).alias("path"))
+    parts = docs.select("doc_id", classify.context_parts(F.col("path"), ROOT).alias("parts"))
+    return parts.select("doc_id", F.array_join("parts", "|").alias("parts"), classify.infer_class(F.col("parts")).alias("class_name"))
+
+
+_KINDS = "CASE doc_id % 4 WHEN 0 THEN 'dpp' WHEN 1 THEN 'test' WHEN 2 THEN 'ncert' ELSE 'normal' END"
+
+
+@query(f"""
+WITH k AS (SELECT doc_id, {_KINDS} AS kind, text FROM documents), n AS (SELECT doc_id, kind, trim(regexp_replace(lower(coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN ' DPP 7 of NCERT: this test contains' ELSE '' END), '[^a-z0-9]+', ' ', 'g')) AS t FROM k)
+SELECT doc_id, CASE {' '.join(f"WHEN kind = '{k}' AND contains(t, '{phrase}') THEN {v}::DOUBLE" for k, phrase, v in rules.TYPE_EVIDENCE)} ELSE {rules.BASE_CONFIDENCE}::DOUBLE END AS confidence FROM n
+""")
+def type_confidences(spark: SparkSession, d: str) -> DataFrame:
+    """How sure a document's type is, by what its first page says."""
+    more = F.when(F.col("doc_id") % 3 == 0, " DPP 7 of NCERT: this test contains").otherwise("")
+    docs = table(spark, d, "documents").select("doc_id", F.expr(_KINDS).alias("kind"), F.concat(F.coalesce("text", F.lit("")), more).alias("first"))
+    return docs.select("doc_id", rules.type_confidence(F.col("kind"), F.col("first")).alias("confidence"))
+
+
+@query("SELECT arg_max('/in/' || (o_custkey % 3), (o_orderdate, o_orderkey)) AS input_root FROM orders")
+def journal_root(spark: SparkSession, d: str) -> DataFrame:
+    """The input of the last run; another one than expected is an error."""
+    runs = table(spark, d, "orders").select(F.concat(F.lit("/in/"), (F.col("o_custkey") % 3).cast("string")).alias("input_root"), F.struct("o_orderdate", "o_orderkey").alias("started_at"))
+    last = runs.agg(F.max_by("input_root", "started_at").alias("root")).first()["root"]
+    return state.same_root(runs, last)
