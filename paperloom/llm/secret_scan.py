@@ -141,10 +141,10 @@ def combined(p: Column, q: Column, r: Column, side: float = SIDE) -> Column:
     return F.least(F.lit(1.0), both + rest)
 
 
-def _battery(run: Column) -> Column:
+def _battery(run: Column, letters: bool = True) -> Column:
     """struct(enc, size, bin, tested_bin, random) of a run; null where no
-    alphabet covers it. bin is of the p-value against letters, tested_bin of the
-    one that the step-up rule takes."""
+    alphabet covers it. bin is of the p-value against letters, which may be left
+    out, tested_bin of the one that the step-up rule takes."""
     enc = reduce(lambda rest, e: F.when(run.rlike(e[1]), F.lit(e[0])).otherwise(rest), reversed(ENCODINGS), F.lit(None).cast("string"))
     alphabet = reduce(lambda rest, e: F.when(run.rlike(e[1]), F.lit(e[2])).otherwise(rest), reversed(ENCODINGS), F.lit(None).cast("string"))
     first = F.struct(run.alias("t"), enc.alias("enc"), alphabet.alias("alphabet"))
@@ -171,16 +171,16 @@ def _battery(run: Column) -> Column:
 
         within = lambda z: 2 * normal_cdf(F.abs(z)) - 1
 
-        def place(concentration: float) -> Column:
+        def place(concentration: Column) -> Column:
             far = n * F.greatest(x["k"] * concentration - 1, F.lit(0.0))
             p = normal_cdf((x["chi2"] - (df + far)) / F.sqrt(2 * (df + 2 * far)))
             p = combined(p, within(x["zr"]), within(x["zs"]))
             return F.least(F.lit(MOST_BIN), F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * BINS_PER_DECADE)).cast("int")
 
-        letters = place(LETTER_CONCENTRATION)
-        tested = reduce(lambda rest, e: F.when(x["enc"] == e[0], place(e[1])).otherwise(rest), NUMBER_CONCENTRATION.items(), letters)
+        ordinary = reduce(lambda rest, e: F.when(x["enc"] == e[0], e[1]).otherwise(rest), NUMBER_CONCENTRATION.items(), F.lit(LETTER_CONCENTRATION))
+        bins = [place(F.lit(LETTER_CONCENTRATION)).alias("bin")] if letters else []
         size = reduce(lambda rest, i: F.when(n < LENGTH_EDGES[i], F.lit(i)).otherwise(rest), reversed(range(len(LENGTH_EDGES))), F.lit(len(LENGTH_EDGES)))
-        return F.struct(x["enc"].alias("enc"), size.alias("size"), letters.alias("bin"), tested.alias("tested_bin"), (total <= BATTERY_LIMIT).alias("random"))
+        return F.struct(x["enc"].alias("enc"), size.alias("size"), *bins, place(ordinary).alias("tested_bin"), (total <= BATTERY_LIMIT).alias("random"))
 
     out = first
     for f in (index, stats, verdict):  # one-element arrays bind each step's values once
@@ -216,7 +216,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     base = _base(text)
-    runs = F.transform(_matches(text, CANDIDATE), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), _battery(x["m"]).alias("b")))
+    runs = F.transform(_matches(text, CANDIDATE), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), _battery(x["m"], letters=False).alias("b")))
     seen = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *[c.alias(k) for k, c in base], runs.alias("runs"))
     seen = seen.select("rid", "doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k, _ in base], _spans([(k, F.col(k)) for k, _ in base]).alias("base"), F.filter("runs", lambda x: x["b"]["enc"].isNotNull() & x["b"]["random"]).alias("runs"), F.transform("runs", lambda x: x["b"]).alias("tested"))
     seen = Table(seen, "secrets").df
