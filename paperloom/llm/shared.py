@@ -34,11 +34,15 @@ BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.maxPlan
 
 
 def bounded_memory(spark: SparkSession) -> None:
-    """Sets BOUNDS in a session that has no settings of its own for them."""
+    """Sets BOUNDS in a session that has no settings of its own for them, and
+    has the driver collect its garbage: what finished queries leave - plans with
+    their literals, broadcasts, and on executors the files of their shuffles - is
+    cleaned up only once the driver has found that nothing holds it."""
     known = spark._jsparkSession.sessionState().conf()
     for key, most in BOUNDS.items():
         if not known.contains(key):
             spark.conf.set(key, most)
+    spark.sparkContext._jvm.System.gc()
 
 
 def release() -> None:
