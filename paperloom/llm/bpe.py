@@ -441,9 +441,9 @@ def bpe(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", t
     ranks, pieces = spark.sparkContext.broadcast(codec.ranks), spark.sparkContext.broadcast(codec.pieces)
     # both uses below read the same exchange, so texts are split once
     chunks = rows.mapInArrow(lambda batches: _split(pattern, kind, ranks.value, chunk_bytes)(batches), _CHUNKS).repartition("chunk")
-    words = chunks.mapInArrow(_words, "chunk long, number int, word string")
+    words = chunks.mapInArrow(_words, "chunk long, number int, word string").withColumn("span", F.shiftright("chunk", 32 + SPAN_BITS))
     # chunks are numbered by partition: a word meets itself within SPAN of them, so no window grows with the corpus
-    first = Window.partitionBy("word", F.shiftright("chunk", 32 + SPAN_BITS)).orderBy("chunk")
+    first = Window.partitionBy("word", "span").orderBy("chunk")
     folded = words.withColumn("nth", F.row_number().over(first)).withColumn("folded", F.when(F.col("nth") == 1, codec.encode(F.col("word"))))
     codes = folded.select("chunk", "number", F.first("folded").over(first).alias("code")).mapInArrow(_by_chunk, "chunk long, codes binary")
     join = lambda left, right: _joined(kind, pieces.value, 1 << 22)(left, right)
