@@ -201,3 +201,20 @@ def field_repairs(rows: DataFrame, regions: DataFrame, keys: Sequence[str]) -> D
     inside = lambda n: c(n).cast("long") - 2 * FLAT_INSET
     repaired = F.when(c("flat"), inside("px_width") * inside("px_height")).otherwise(F.coalesce("painted", F.lit(0).cast("long")))
     return verdicts.join(painted, list(keys), "left").select(*keys, "flat", "threshold", repaired.alias("repaired"))
+
+
+def rendered_facts(body: DataFrame, regions: DataFrame, logos: DataFrame) -> DataFrame:
+    """body: of body_changes; regions: of region_changes; logos: (doc, page,
+    residual, template) of logo_residual. What the audit asks of pictures: (doc,
+    page, render_size_ok, body_pixels, body_change, region_change, logo_left,
+    logo_template), the worst region and logo of each page. Of pictures that
+    differ in size, or that have nothing to compare, that alone is told."""
+    c = F.col
+    told = c("code").isNull() | (c("code") == "BODY_RENDER_CHANGED")
+    size_ok = F.coalesce(c("code") != "RENDER_SIZE_MISMATCH", F.lit(True))
+    pages = body.select(*PAGE, size_ok.alias("render_size_ok"), F.when(size_ok, c("compared")).alias("body_pixels"), F.when(told, c("ratio")).alias("body_change"))
+    worst = regions.groupBy(*PAGE).agg(F.max("ratio").alias("region_change"))
+    share = c("residual") / F.greatest("template", F.lit(1))
+    logo = logos.groupBy(*PAGE).agg(F.max_by(F.struct("residual", "template"), F.struct(share, "template")).alias("logo"))
+    out = pages.join(worst, PAGE, "left").join(logo, PAGE, "left")
+    return out.select(*pages.columns, "region_change", c("logo.residual").alias("logo_left"), c("logo.template").alias("logo_template"))

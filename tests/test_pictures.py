@@ -98,6 +98,14 @@ def test_a_repaired_logo_leaves_nothing_and_a_kept_one_does(spark, repair):
         assert rendered.logo_residual(rows, regions.withColumn(column, F.lit(value)), ["region"]).first()["template"] == 0
 
 
+def test_pictures_give_the_facts_that_the_audit_asks_for(spark):
+    body = spark.createDataFrame([(1, 1, 100, 1, 0.01, "BODY_RENDER_CHANGED"), (1, 2, 0, 0, 1.0, "NO_BODY_REGION_VERIFIED"), (1, 3, 90, 0, 1.0, "RENDER_SIZE_MISMATCH"), (1, 4, 90, 0, 0.0, None)], "doc long, page long, compared long, changed long, ratio double, code string")
+    regions = spark.createDataFrame([(1, 1, 1, 0.5), (1, 1, 2, 0.1), (1, 4, 1, 0.0)], "doc long, page long, region int, ratio double")
+    logos = spark.createDataFrame([(1, 1, 3, 100), (1, 1, 30, 60), (1, 4, 0, 0)], "doc long, page long, residual long, template long")
+    got = {r["page"]: tuple(r)[2:] for r in rendered.rendered_facts(body, regions, logos).collect()}
+    assert got == {1: (True, 100, 0.01, 0.5, 30, 60), 2: (True, 0, None, None, None, None), 3: (False, None, None, None, None, None), 4: (True, 90, 0.0, 0.0, 0, 0)}
+
+
 def test_fields_are_flat_or_have_a_threshold_of_their_noise(spark):
     flat, noise = [[0x3C5028] * 64 for _ in range(64)], random.Random(3)
     drawn = [row[:] for row in flat]
