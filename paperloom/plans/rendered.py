@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pixels as px
 from ..operators.rollups import order_statistic
+from ..sources.shared import Written
 
 PAGE = ["doc", "page"]
 # Tolerances of a channel, and shares of changed pixels.
@@ -43,27 +44,36 @@ def excluded_runs(rects: DataFrame, sizes: DataFrame, zoom: float) -> DataFrame:
     return px.union_runs(inside, PAGE)
 
 
-def changed_pixels(rows: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
-    """rows: (doc, page, y, before, after). (doc, page, y, x) of pixels that differ."""
+def compared_rows(rows: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
+    """rows: (doc, page, y, before, after). (doc, page, y, before, after, xs):
+    how wide both rows are (-1: missing), and the columns that differ. Pixels are
+    read once, here; what follows reads this small table, which is written."""
     b, a = F.col("before"), F.col("after")
-    return rows.select(*PAGE, "y", F.explode(px.columns_where(b, lambda x: px.delta(F.get(b, x), F.get(a, x)) > tolerance)).alias("x"))
+    wide = lambda c: F.coalesce(F.size(c), F.lit(-1))
+    differ = px.columns_where(b, lambda x: px.delta(F.get(b, x), F.get(a, x)) > tolerance)
+    return Written(rows.select(*PAGE, "y", differ.alias("xs"), wide(b).alias("before"), wide(a).alias("after")), "compared").df
+
 
+def changed_pixels(compared: DataFrame) -> DataFrame:
+    """(doc, page, y, x) of pixels that differ."""
+    return compared.select(*PAGE, "y", F.explode("xs").alias("x"))
 
-def picture_sizes(rows: DataFrame) -> DataFrame:
+
+def picture_sizes(compared: DataFrame) -> DataFrame:
     """(doc, page, columns, rows, same): same is false where the two pictures
     have different sizes, a missing row included."""
-    wide = lambda c: F.coalesce(F.size(c), F.lit(-1))
-    return rows.groupBy(*PAGE).agg(F.max(F.greatest(wide("before"), wide("after"))).alias("columns"), (F.max("y") + 1).alias("rows"), F.bool_and(wide("before") == wide("after")).alias("same"))
+    return compared.groupBy(*PAGE).agg(F.max(F.greatest("before", "after")).alias("columns"), (F.max("y") + 1).alias("rows"), F.bool_and(F.col("before") == F.col("after")).alias("same"))
 
 
 def body_changes(rows: DataFrame, rects: DataFrame, zoom: float, tolerance: int = TOLERANCE, most: float = MOST_BODY_CHANGE) -> DataFrame:
     """(doc, page, compared, changed, ratio, code): pixels outside all
     rectangles, how many of them changed, and the error that follows, if any.
     Pictures of different sizes, or with nothing to compare, have ratio 1."""
-    sizes = picture_sizes(rows)
+    seen = compared_rows(rows, tolerance)
+    sizes = picture_sizes(seen)
     runs = excluded_runs(rects, sizes, zoom)
     covered = runs.groupBy(*PAGE).agg(F.sum(F.col("b") - F.col("a") + 1).alias("covered"))
-    changed = px.not_covered(changed_pixels(rows, tolerance), runs, PAGE).groupBy(*PAGE).agg(F.count(F.lit(1)).alias("changed"))
+    changed = px.not_covered(changed_pixels(seen), runs, PAGE).groupBy(*PAGE).agg(F.count(F.lit(1)).alias("changed"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     found = sizes.join(covered, PAGE, "left").join(changed, PAGE, "left").select(*PAGE, "same", (F.col("columns").cast("long") * F.col("rows") - zero(F.col("covered"))).alias("compared"), zero(F.col("changed")).alias("changed"))
     fine = F.col("same") & (F.col("compared") > 0)
@@ -77,14 +87,15 @@ def region_changes(rows: DataFrame, rects: DataFrame, regions: DataFrame, zoom:
     page, region, checked, changed, ratio, code) of those that hold a pixel
     outside all rectangles; each is judged by itself, so that a small one is not
     diluted by its page. Pages whose pictures differ in size are left out."""
-    sizes = picture_sizes(rows).filter("same").drop("same")
+    seen = compared_rows(rows, tolerance)
+    sizes = picture_sizes(seen).filter("same").drop("same")
     runs = excluded_runs(rects, sizes, zoom)
     c = F.col
     edge = {k: v for k, v in _box(zoom, 0).items()}
     boxes = regions.join(sizes, PAGE).select(*PAGE, "region", F.greatest(edge["xa"], F.lit(0)).alias("xa"), F.greatest(edge["ya"], F.lit(0)).alias("ya"), F.least(edge["xb"], c("columns")).alias("xe"), F.least(edge["yb"], c("rows")).alias("ye")).filter("xa < xe AND ya < ye")
     met = boxes.join(runs, PAGE).filter((c("y") >= c("ya")) & (c("y") < c("ye")) & (c("a") < c("xe")) & (c("b") >= c("xa")))
     covered = met.groupBy(*PAGE, "region").agg(F.sum(F.least(c("b") + 1, c("xe")) - F.greatest("a", "xa")).alias("covered"))
-    open_ = px.not_covered(changed_pixels(rows, tolerance), runs, PAGE).join(boxes, PAGE)
+    open_ = px.not_covered(changed_pixels(seen), runs, PAGE).join(boxes, PAGE)
     changed = open_.filter((c("y") >= c("ya")) & (c("y") < c("ye")) & (c("x") >= c("xa")) & (c("x") < c("xe"))).groupBy(*PAGE, "region").agg(F.count(F.lit(1)).alias("changed"))
     area = (c("xe") - c("xa")).cast("long") * (c("ye") - c("ya"))
     found = boxes.join(covered, [*PAGE, "region"], "left").join(changed, [*PAGE, "region"], "left").select(*PAGE, "region", (area - F.coalesce("covered", F.lit(0))).alias("checked"), F.coalesce("changed", F.lit(0)).alias("changed"))
