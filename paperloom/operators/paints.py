@@ -13,7 +13,9 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .joins import dealt
 from .regions import overlaps
 
 # Instructions that paint text, those of them that move to a line of their own, and the rendering modes that clip.
@@ -89,37 +91,40 @@ def text_paints(instructions: DataFrame) -> DataFrame:
     return rows.repartition("doc", "page").sortWithinPartitions("doc", "page", "seq").mapInPandas(_folded, PAINTS)
 
 
-def removed_paints(instructions: DataFrame, spans: DataFrame, regions: DataFrame, pages: DataFrame) -> DataFrame:
-    """spans: (doc, page, ox, oy, x0, y0, x1, y1), painted texts with their
-    origin; regions: (doc, page, x0, y0, x1, y1); pages: (doc, page, height).
-
-    (doc, page, seq) of paints to remove: each paint of their group says where
-    it is and starts a span that lies inside a region, and the group does not
-    clip. Pages count from the top, instructions from the bottom."""
+def _removed(instructions: DataFrame, spans: DataFrame, regions: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc, page, seq, x, y), y from the top. Instructions are folded once."""
     c = F.col
-    s, r = spans.alias("s"), regions.alias("r")
+    s, r = spans.alias("s"), dealt(regions.alias("r"))
     same = (c("s.doc") == c("r.doc")) & (c("s.page") == c("r.page"))
     inside = (c("r.x0") <= c("s.x0")) & (c("r.y0") <= c("s.y0")) & (c("r.x1") >= c("s.x1")) & (c("r.y1") >= c("s.y1"))
     # a cell of NEAR: what is that near lies in the same or a neighbouring one
     cell = lambda v: F.floor(v / NEAR)
     origins = s.join(r, same & inside, "left_semi").select("doc", "page", c("ox").alias("sx"), c("oy").alias("sy"), F.explode(F.sequence(cell(c("ox")) - 1, cell(c("ox")) + 1)).alias("cell"))
-    paints = text_paints(instructions).join(pages.select("doc", "page", "height"), ["doc", "page"]).withColumns({"y": c("height") - c("y"), "cell": cell(c("x"))})
-    p, o = paints.alias("p"), origins.alias("o")
+    paints = text_paints(instructions).join(dealt(pages.select("doc", "page", "height")), ["doc", "page"]).withColumns({"y": c("height") - c("y"), "cell": cell(c("x"))})
+    p, o = paints.alias("p"), dealt(origins.alias("o"))
     near = (c("p.doc") == c("o.doc")) & (c("p.page") == c("o.page")) & (c("p.cell") == c("o.cell")) & (F.abs(c("p.x") - c("o.sx")) < NEAR) & (F.abs(c("p.y") - c("o.sy")) < NEAR)
-    good = p.join(o, near & c("p.explicit") & ~c("p.clip"), "left_semi").withColumn("good", F.lit(True)).select("doc", "page", "seq", "good")
-    told = paints.select("doc", "page", "grp", "seq").join(good, ["doc", "page", "seq"], "left")
-    whole = told.groupBy("doc", "page", "grp").agg(F.bool_and(c("good").isNotNull()).alias("all")).filter("all")
-    return told.join(whole, ["doc", "page", "grp"], "left_semi").select("doc", "page", "seq")
+    met = p.join(o, near & c("p.explicit") & ~c("p.clip"), "left").select("p.doc", "p.page", "p.grp", "p.seq", "p.x", "p.y", c("o.sx").isNotNull().alias("good"))
+    told = met.groupBy("doc", "page", "grp", "seq", "x", "y").agg(F.bool_or("good").alias("good"))
+    group = Window.partitionBy("doc", "page", "grp")
+    return told.withColumn("all", F.bool_and("good").over(group)).filter("all").select("doc", "page", "seq", "x", "y")
+
+
+def removed_paints(instructions: DataFrame, spans: DataFrame, regions: DataFrame, pages: DataFrame) -> DataFrame:
+    """spans: (doc, page, ox, oy, x0, y0, x1, y1), painted texts with their
+    origin; regions: (doc, page, x0, y0, x1, y1); pages: (doc, page, height).
+
+    (doc, page, seq) of paints to remove: each paint of their group says where
+    it is and starts a span that lies inside a region, and the group does not
+    clip. Pages count from the top, instructions from the bottom."""
+    return _removed(instructions, spans, regions, pages).select("doc", "page", "seq")
 
 
 def declined_pages(instructions: DataFrame, spans: DataFrame, regions: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc, page, n_left): pages on which spans that meet a region stay, because
     no removed paint starts them; they need another way of removal."""
     c = F.col
-    removed = removed_paints(instructions, spans, regions, pages)
-    gone = text_paints(instructions).join(removed, ["doc", "page", "seq"], "left_semi").join(pages.select("doc", "page", "height"), ["doc", "page"])
-    gone = gone.select("doc", "page", c("x").alias("gx"), (c("height") - c("y")).alias("gy"))
-    s, r, g = spans.alias("s"), regions.alias("r"), gone.alias("g")
+    gone = _removed(instructions, spans, regions, pages).select("doc", "page", c("x").alias("gx"), c("y").alias("gy"))
+    s, r, g = spans.alias("s"), dealt(regions.alias("r")), dealt(gone.alias("g"))
     same = (c("s.doc") == c("r.doc")) & (c("s.page") == c("r.page"))
     met = s.join(r, same & overlaps("s", "r"), "left_semi").alias("s")
     at = (c("s.doc") == c("g.doc")) & (c("s.page") == c("g.page")) & (F.abs(c("s.ox") - c("g.gx")) < NEAR) & (F.abs(c("s.oy") - c("g.gy")) < NEAR)

@@ -164,3 +164,25 @@ def test_text_is_removed_by_whole_groups_only(spark):
     part = spark.createDataFrame([(1, 1, 45.0, 130.0, 70.0, 150.0)], regions.schema)
     assert paints.removed_paints(df, spans, part, pages).count() == 0
     assert [tuple(r) for r in paints.declined_pages(df, spans, part, pages).collect()] == [(1, 1, 1)]
+
+
+def broadcasts(df) -> int:
+    """Joins whose one side would be a hash table on the driver."""
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def stored(df, folder):
+    """df as a table of known, small size."""
+    df.write.parquet(str(folder))
+    return df.sparkSession.read.parquet(str(folder))
+
+
+def test_paints_and_pages_are_dealt_not_broadcast(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1, 0, "BT", []), (1, 1, 1, "Tj", []), (1, 1, 2, "ET", [])], "doc long, page long, seq long, op string, args array<double>")
+    spans = spark.createDataFrame([(1, 1, 0.0, 842.0, 0.0, 830.0, 30.0, 842.0)], "doc long, page long, ox double, oy double, x0 double, y0 double, x1 double, y1 double")
+    regions = spark.createDataFrame([(1, 1, 0.0, 800.0, 100.0, 842.0)], "doc long, page long, x0 double, y0 double, x1 double, y1 double")
+    pages = spark.createDataFrame([(1, 1, 842.0)], "doc long, page long, height double")
+    df, spans, regions, pages = [stored(t, tmp_path / str(i)) for i, t in enumerate((df, spans, regions, pages))]
+    assert broadcasts(paints.removed_paints(df, spans, regions, pages)) == broadcasts(paints.declined_pages(df, spans, regions, pages)) == 0
+    assert [tuple(r) for r in paints.removed_paints(df, spans, regions, pages).collect()] == [(1, 1, 1)]
+    assert paints.declined_pages(df, spans, regions, pages).count() == 0
