@@ -186,3 +186,15 @@ def test_paints_and_pages_are_dealt_not_broadcast(spark, tmp_path):
     assert broadcasts(paints.removed_paints(df, spans, regions, pages)) == broadcasts(paints.declined_pages(df, spans, regions, pages)) == 0
     assert [tuple(r) for r in paints.removed_paints(df, spans, regions, pages).collect()] == [(1, 1, 1)]
     assert paints.declined_pages(df, spans, regions, pages).count() == 0
+
+
+def test_pictures_are_dealt_not_broadcast(spark, tmp_path):
+    rows = stored(spark.range(6).selectExpr("1L AS doc", "1L AS page", "CAST(id AS INT) AS y", "array_repeat(1, 6) AS before", "array_repeat(CAST(id * 99 AS INT), 6) AS after", "array_repeat(1, 6) AS pixels", "array_repeat(true, 6) AS ink"), tmp_path / "rows")
+    rects = stored(spark.range(1).selectExpr("1L AS doc", "1L AS page", "0.0D AS x0", "0.0D AS y0", "2.0D AS x1", "2.0D AS y1"), tmp_path / "rects")
+    fields = stored(spark.range(1).selectExpr("1L AS doc", "60 AS r", "80 AS g", "40 AS b", "6 AS px_width", "6 AS px_height", "30.0D AS width", "30.0D AS height", "false AS emblem", "false AS moved"), tmp_path / "fields")
+    logo = rendered.logo_residual(rows, fields, ["doc"])
+    for found in (rendered.body_changes(rows, rects, 1.0), rendered.region_changes(rows, rects, rects.withColumns({"region": F.lit(1), "x1": F.lit(6.0)}), 1.0), rendered.field_repairs(rows.select("doc", "y", "pixels"), fields, ["doc"]), logo):
+        assert broadcasts(found) == 0
+        assert found.count() == 1
+    # a blur is not evaluated value by value, once for each of its neighbours
+    assert "lambda" not in logo._jdf.queryExecution().executedPlan().toString()
