@@ -68,6 +68,18 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows(got.select(*columns).collect()) == rows(want)
 
 
+def test_position_shift_equals_its_sql_where_turns_are_repeated(spark, tmp_path):
+    import duckdb
+
+    turns = [(1, 0, "a b a c"), (1, 1, "b a x a"), (1, 1, "a a q b"), (1, 0, "a b a c"), (1, 2, "a")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = db.execute(f"SELECT doc, page, shift, checks FROM ({library.ORACLE_SQL['position_shift']})").fetchall()
+    got = library.QUERIES["position_shift"](spark, str(tmp_path)).select("doc", "page", "shift", "checks")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="driver tables are not here")
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
