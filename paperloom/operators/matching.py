@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .folds import sorted_fold
 
@@ -61,3 +62,27 @@ def position_shifts(before: DataFrame, after: DataFrame, plans: DataFrame | None
     told = single.drop("token").unionByName(matched.drop("token"))
     found = told.select(F.col("doc").cast("string").alias("doc"), F.col("page").cast("long").alias("page"), "worst", "checks")
     return found.groupBy("doc", "page").agg(F.max("worst").alias("shift"), F.sum("checks").alias("checks"))
+
+
+def page_matches(words: DataFrame) -> DataFrame:
+    """words: (doc, page, token, is_source, x0, y0, x1, y1), both sides. (doc,
+    page, retention, shift, checks) of each page: multiset_retention (null
+    without source words) and position_shifts (null, and 0 checks, without
+    matches).
+
+    Words that lie together by page stay there: only tokens that a page has
+    several times on a side, and on both, are dealt once more."""
+    c, page, keys = F.col, ["doc", "page"], ["doc", "page", "token"]
+    at = lambda source: [F.max(F.when(c("is_source") == source, c(x))).alias(f"{x}_{source}") for x in _BOX]
+    counts = F.count_if("is_source"), F.count_if(~c("is_source"))
+    counted = words.groupBy(*keys).agg(counts[0].alias("a"), counts[1].alias("b"), *at(True), *at(False))
+    single = (c("a") == 1) & (c("b") == 1)
+    worst = F.greatest(*[F.abs(c(f"{x}_True") - c(f"{x}_False")) for x in _BOX])
+    kept, total = F.sum(F.least("a", "b")), F.sum("a")
+    told = counted.groupBy(*page).agg(F.when(total > 0, kept.cast("double") / total).alias("retention"), F.max(F.when(single, worst)).alias("_shift"), F.count_if(single).alias("_checks"))
+    token = Window.partitionBy(*keys)
+    several = words.withColumns({"a": counts[0].over(token), "b": counts[1].over(token)}).filter("a > 0 AND b > 0 AND (a > 1 OR b > 1)")
+    matched = sorted_fold(several, keys, ["is_source", "y0", "x0", "y1", "x1"], ["is_source", *_BOX], _greedy, "worst double, checks long")
+    others = matched.groupBy(*page).agg(F.max("worst").alias("_worst"), F.sum("checks").alias("_more"))
+    shift, checks = F.greatest("_shift", "_worst"), c("_checks") + F.coalesce("_more", F.lit(0))
+    return told.join(others, page, "left").select(*page, "retention", shift.alias("shift"), checks.alias("checks"))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators.matching import position_shifts
-from ..operators.rollups import multiset_retention
+from ..operators.joins import dealt
+from ..operators.matching import page_matches
 
 # The audit's default limits.
 MIN_RETENTION, MAX_SHIFT, SIZE_TOLERANCE, SIDE_WIDTH = 0.985, 2.5, 0.5, 68.0
@@ -21,11 +21,10 @@ ISSUE = ("doc", "page", "code", "severity")
 Rule = tuple[Column, str, Column | str]
 
 
-def _issues(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    """All issues of a row in one pass; a condition that is null is none."""
+def _listed(rules: list[Rule]) -> Column:
+    """All issues of a row, as an array; a condition that is null is none."""
     level = lambda x: F.lit(x) if isinstance(x, str) else x
-    each = [F.when(k, F.struct(F.lit(code).alias("code"), level(severity).alias("severity"))) for k, code, severity in rules]
-    return rows.select("doc", "page", F.inline(F.array_compact(F.array(*each))))
+    return F.array_compact(F.array(*[F.when(k, F.struct(F.lit(code).alias("code"), level(severity).alias("severity"))) for k, code, severity in rules]))
 
 
 def _issue(rows: DataFrame, condition: Column, code: str, severity: Column | str) -> DataFrame:
@@ -59,9 +58,28 @@ def body_words(words: DataFrame, plans: DataFrame, terms: list[str], output: boo
     return out.filter(~F.col("token").isin(*terms)) if terms else out
 
 
+def body_matches(source_words: DataFrame, output_words: DataFrame, plans: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc, page, retention, shift, checks) of the body words of each planned
+    page that has any, see page_matches and body_words.
+
+    Words of both sides are dealt by page once, together with what their plans
+    exclude, and counted where they are."""
+    c, box = F.col, ("x0", "y0", "x1", "y1")
+    side = lambda words, source: words.select("doc", "page", *box, "text", F.lit(source).alias("is_source"))
+    crop = c("crop").isNotNull()
+    regions = plans.select("doc", "page", excluded_regions().alias("regions"), F.when(crop, excluded_regions(True)).alias("moved"), F.when(crop, F.struct("crop.scale", "crop.dx", "crop.dy")).alias("crop"))
+    rows = side(source_words, True).unionByName(side(output_words, False)).join(dealt(regions), ["doc", "page"])
+    out = F.when(c("is_source") | ~crop, c("regions")).otherwise(c("moved"))
+    body = rows.filter(~g.any_intersects(g.rect(*map(c, box)), out))
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-z0-9]+"), F.lit(0))
+    places = [F.when(c("is_source") & crop, c(x) * c("crop.scale") + c(f"crop.d{x[0]}")).otherwise(c(x)).alias(x) for x in box]
+    found = body.select("doc", "page", "is_source", *places, F.explode(tokens).alias("token"))
+    return page_matches(found.filter(~c("token").isin(*terms)) if terms else found)
+
+
 def geometry_issues(plans: DataFrame) -> DataFrame:
     """Planned regions that meet protected content, and crops that cut it."""
-    return _issues(plans, geometry_rules())
+    return plans.select("doc", "page", F.inline(_listed(geometry_rules())))
 
 
 def geometry_rules() -> list[Rule]:
@@ -97,25 +115,21 @@ def audit(plans: DataFrame, source_words: DataFrame, output_words: DataFrame, ou
     footer_confidence).
     """
     c = F.col
-    pages = plans.join(facts.drop("text_ok"), ["doc", "page"], "left").join(output_pages.withColumnsRenamed({"width": "out_width", "height": "out_height"}), ["doc", "page"], "left").join(bands.select("doc", c("footer_top").alias("band_footer"), c("footer_confidence").alias("band_confidence")), "doc", "left")
     yes = lambda x: F.coalesce(x, F.lit(False))
     designed = c("page_strategy").isin(*DESIGNED)
-    protected = F.concat(c("protected_text_rects"), c("protected_visual_rects"))
-    reaches = F.exists(protected, lambda r: r["y1"] > c("band_footer"))
-    no_footer = c("band_footer").isNotNull() & (c("band_confidence") >= 0.65) & (c("page_type") != "blank") & ~designed & c("footer_rect").isNull()
-    resized = (F.abs(c("width") - c("out_width")) > SIZE_TOLERANCE) | (F.abs(c("height") - c("out_height")) > SIZE_TOLERANCE)
     checked = yes(c("ocr_checked"))
-    simple = [
+    planned = [
+        *geometry_rules(),
+        (~F.coalesce(c("text_ok"), F.lit(True)), "TEXT_EXTRACTION_FAILED", "error"),
+        (designed & (c("header_rect").isNotNull() | (c("header_template") != "none")), "GENERIC_HEADER_ON_DESIGNED_PAGE", "fatal"),
+    ]
+    reported = [
         (yes(c("unsafe_image_cleanup")), "UNSAFE_SHARED_IMAGE_CLEANUP", "error"),
         (checked & c("ocr_error").isNotNull(), "RASTER_OCR_UNAVAILABLE", "error"),
         (checked & yes(c("ocr_unsafe")), "RASTER_BRAND_UNSAFE_GEOMETRY", "error"),
         (checked & c("output_ocr_error").isNotNull(), "RASTER_OCR_UNAVAILABLE", "error"),
         (checked & c("output_ocr_error").isNull() & yes(c("output_ocr_hits") > 0), "RASTER_LEGACY_TEXT_REMAINS", "error"),
-        (~F.coalesce(c("text_ok"), F.lit(True)), "TEXT_EXTRACTION_FAILED", "error"),
         (c("source_text_error").isNotNull(), "TEXT_EXTRACTION_FAILED", "error"),
-        (designed & (c("header_rect").isNotNull() | (c("header_template") != "none")), "GENERIC_HEADER_ON_DESIGNED_PAGE", "fatal"),
-        (yes(no_footer), "REPEATED_FOOTER_NOT_REPLACED", F.when(reaches, "warning").otherwise("error")),
-        (yes(resized), "PAGE_SIZE_CHANGED", "fatal"),
         (c("render_size_ok") == F.lit(False), "RENDER_SIZE_MISMATCH", "fatal"),
         (c("body_pixels") == 0, "NO_BODY_REGION_VERIFIED", "error"),
         (c("body_change") > MAX_BODY_CHANGE, "BODY_RENDER_CHANGED", "error"),
@@ -125,23 +139,34 @@ def audit(plans: DataFrame, source_words: DataFrame, output_words: DataFrame, ou
         (c("logo_error").isNotNull(), "RASTER_LOGO_CHECK_FAILED", "error"),
         (c("position_error").isNotNull(), "BODY_POSITION_CHECK_FAILED", "error"),
     ]
-    found = [_issues(pages, [*geometry_rules(), *simple])]
-
-    before, after = body_words(source_words, plans, terms), body_words(output_words, plans, terms, output=True)
-    kept = multiset_retention(before, after, ["doc", "page"])
-    found.append(_issue(kept, c("retention") < MIN_RETENTION, "BODY_TEXT_LOSS", "error"))
-    wordless = plans.join(kept, ["doc", "page"], "left_anti")
-    found.append(_issue(wordless, c("page_type") != "blank", "BODY_TEXT_UNAVAILABLE", "info"))
+    # what one table tells alone is told before it is dealt: a page is a few flags in the joins, not its plan
+    protected = F.concat(c("protected_text_rects"), c("protected_visual_rects"))
+    bare = (c("page_type") != "blank") & ~designed & c("footer_rect").isNull()
+    pages = plans.select("doc", "page", "width", "height", "page_type", bare.alias("bare"), F.array_max(F.transform(protected, lambda r: r["y1"])).alias("lowest"), _listed(planned).alias("planned"))
+    pages = pages.join(bands.select("doc", c("footer_top").alias("band_footer"), c("footer_confidence").alias("band_confidence")), "doc", "left")
+    # the large ones first: what follows finds pages where they are
+    pages = dealt(pages).join(dealt(facts.select("doc", "page", _listed(reported).alias("reported"))), ["doc", "page"], "left")
+    pages = pages.join(dealt(output_pages.select("doc", "page", c("width").alias("out_width"), c("height").alias("out_height"))), ["doc", "page"], "left")
+    pages = pages.join(dealt(body_matches(source_words, output_words, plans, terms)), ["doc", "page"], "left")
+    no_footer = c("bare") & c("band_footer").isNotNull() & (c("band_confidence") >= 0.65)
+    resized = (F.abs(c("width") - c("out_width")) > SIZE_TOLERANCE) | (F.abs(c("height") - c("out_height")) > SIZE_TOLERANCE)
+    joined = [
+        (yes(no_footer), "REPEATED_FOOTER_NOT_REPLACED", F.when(c("lowest") > c("band_footer"), "warning").otherwise("error")),
+        (yes(resized), "PAGE_SIZE_CHANGED", "fatal"),
+        (c("retention") < MIN_RETENTION, "BODY_TEXT_LOSS", "error"),
+        (c("retention").isNull() & (c("page_type") != "blank"), "BODY_TEXT_UNAVAILABLE", "info"),
+        (c("shift") > MAX_SHIFT, "BODY_POSITION_SHIFT", "error"),
+    ]
+    none = F.array().cast("array<struct<code:string,severity:string>>")
+    found = [pages.select("doc", "page", F.inline(F.concat("planned", F.coalesce("reported", none), _listed(joined))))]
     if terms:
         has_term = F.exists(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.contains(F.lower("text"), t))
         remains = output_words.filter(has_term).select("doc", "page").distinct()
         found.append(_issue(remains, F.lit(True), "LEGACY_TEXT_REMAINS", "error"))
     if side_terms:
-        sides = output_words.join(output_pages, ["doc", "page"]).filter((c("x1") <= SIDE_WIDTH) | (c("x0") >= c("width") - SIDE_WIDTH))
         has_side = F.exists(F.array(*[F.lit(t.lower()) for t in side_terms]), lambda t: F.contains(F.lower("text"), t))
-        found.append(_issue(sides.filter(has_side).select("doc", "page").distinct(), F.lit(True), "VERTICAL_LEGACY_TEXT_REMAINS", "warning"))
-    shifts = position_shifts(before, after, plans)
-    found.append(_issue(shifts, c("shift") > MAX_SHIFT, "BODY_POSITION_SHIFT", "error"))
+        sides = output_words.filter(has_side).select("doc", "page", "x0", "x1").join(output_pages.select("doc", "page", "width"), ["doc", "page"]).filter((c("x1") <= SIDE_WIDTH) | (c("x0") >= c("width") - SIDE_WIDTH))
+        found.append(_issue(sides.select("doc", "page").distinct(), F.lit(True), "VERTICAL_LEGACY_TEXT_REMAINS", "warning"))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -160,7 +185,7 @@ def report(pages: DataFrame, issues: DataFrame, kept: DataFrame, shifts: DataFra
     any), issue counts and pages by strategy."""
     bad = issues.groupBy("doc").agg(F.bool_or(F.col("severity").isin("error", "fatal")).alias("bad"), F.count(F.lit(1)).alias("issues"))
     means = kept.groupBy("doc").agg(F.avg("retention").alias("average_retention"), F.count(F.lit(1)).alias("retention_pages"))
-    by = pages.groupBy("doc", "page_strategy").agg(F.count(F.lit(1)).alias("n")).groupBy("doc").agg(F.sum("n").alias("pages"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("page_strategy", "n")))).alias("strategies"))
+    by = pages.select("doc", "page_strategy").repartition("doc").groupBy("doc", "page_strategy").agg(F.count(F.lit(1)).alias("n")).groupBy("doc").agg(F.sum("n").alias("pages"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("page_strategy", "n")))).alias("strategies"))
     out = by.join(bad, "doc", "left").join(means, "doc", "left")
     none = pages.select("doc").limit(0)
     moved = shifts.groupBy("doc").agg(F.max("shift").alias("max_shift"), F.sum("checks").alias("shift_checks")) if shifts is not None else none.withColumns({"max_shift": F.lit(None).cast("double"), "shift_checks": F.lit(None).cast("long")})

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import geometry as g
 from paperloom.operators import clusters, matching, rects, regions, selection, state
+from paperloom.operators.rollups import multiset_retention
 from paperloom.plans import audit, bands, page_plan
 
 KIND = f"struct<clip:{g.RECT},scale:double,dx:double,dy:double>"
@@ -210,6 +211,22 @@ def test_greedy_match_takes_each_output_once(spark):
     assert (r["shift"], r["checks"]) == (8.0, 3)
 
 
+def test_page_matches_deal_words_by_page_alone(spark):
+    """Retention and shifts of random pages are those of the single measures,
+    and a plan sends its words over one exchange."""
+    r = random.Random(15)
+    rows = [("d%d" % r.randint(0, 1), r.randint(1, 3), r.choice("abcdefghijkl"), r.random() < 0.5, *[float(r.randint(0, 90)) for _ in range(4)]) for _ in range(120)] + [("e", 1, "a", False, 0.0, 0.0, 1.0, 1.0), ("f", 1, "a", True, 0.0, 0.0, 1.0, 1.0)]
+    words = spark.createDataFrame(rows, "doc string, page long, token string, is_source boolean, x0 double, y0 double, x1 double, y1 double")
+    side = lambda source: words.filter(F.col("is_source") == source).select("doc", "page", "token", g.rect(*map(F.col, ("x0", "y0", "x1", "y1"))).alias("box"))
+    kept = {(x["doc"], x["page"]): x["retention"] for x in multiset_retention(side(True), side(False), ["doc", "page"]).collect()}
+    shifts = {(x["doc"], x["page"]): (x["shift"], x["checks"]) for x in matching.position_shifts(side(True), side(False)).collect()}
+    got = {(x["doc"], x["page"]): x for x in matching.page_matches(words).collect()}
+    assert {k: x["retention"] for k, x in got.items() if x["retention"] is not None} == kept and got["e", 1]["retention"] is None
+    assert {k: (x["shift"], x["checks"]) for k, x in got.items() if x["checks"]} == shifts and got["f", 1]["shift"] is None
+    plan = audit.body_matches(*[words.withColumn("text", F.col("token"))] * 2, plans(spark, page()).withColumn("crop", F.lit(None).cast(KIND)), ["acme"])._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning" in line and "token" in line for line in plan.splitlines()) <= 1
+
+
 def test_image_regions(spark):
     occ = spark.createDataFrame([("d", 1, "x", 1.0, 1.0, 2.0, 2.0), ("d", 2, "x", 1.0, 1.0, 2.0, 2.0), ("d", 1, "y", 1.0, 1.0, 2.0, 2.0)], "doc string, page int, image string, x0 double, y0 double, x1 double, y1 double")
     reg = spark.createDataFrame([("d", 1, 0.0, 0.0, 5.0, 5.0)], "doc string, page int, x0 double, y0 double, x1 double, y1 double")
