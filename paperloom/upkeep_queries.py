@@ -26,9 +26,10 @@ def _memo(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     images = uses.select("doc", "object").distinct()
     first = images.withColumn("state", F.concat_ws("-", "doc", "object"))
     second = images.withColumn("state", F.when(F.expr(_CHANGED), F.concat_ws("-", "doc", "object", F.lit("x"))).otherwise(F.concat_ws("-", "doc", "object")))
-    decode = lambda df: df.withColumn("digest", F.sha2("state", 256))
-    none = spark.createDataFrame([], "doc long, object long, state string, digest string")
-    no_pages = spark.createDataFrame([], "doc long, page long, signature string, digests array<string>")
+    # digests travel as their bytes, half of what their digits are; both sort alike
+    decode = lambda df: df.withColumn("digest", F.unhex(F.sha2("state", 256)))
+    none = spark.createDataFrame([], "doc long, object long, state string, digest binary")
+    no_pages = spark.createDataFrame([], "doc long, page long, signature string, digests array<binary>")
     digests = memo.refreshed_digests(images, first, none, decode)
     pages = memo.refreshed_pages(uses, first, no_pages, digests)
     again = memo.refreshed_digests(images, second, digests.drop("decoded"), decode)
@@ -41,7 +42,7 @@ SELECT doc, page, NOT bool_or(changed) AS reused, array_to_string(list_sort(list
 FROM told GROUP BY doc, page
 """)
 def memo_pages(spark: SparkSession, d: str) -> DataFrame:
-    return _memo(spark, d)[0].select("doc", "page", "reused", F.array_join("digests", ",").alias("digests"))
+    return _memo(spark, d)[0].select("doc", "page", "reused", F.array_join(F.transform("digests", lambda x: F.lower(F.hex(x))), ",").alias("digests"))
 
 
 @query(f"SELECT DISTINCT doc, object, {_CHANGED} AS decoded FROM (SELECT {_USES} FROM lineitem)")

@@ -198,6 +198,9 @@ def test_every_image_is_decoded_once_and_a_change_reaches_all_its_pages(spark):
     told = {r["page"]: (r["reused"], r["digests"]) for r in memo.refreshed_pages(uses, states(o10="t"), pages, again).collect()}
     assert decoded[1] == [10]
     assert told == {1: (False, ["10:t", "11:s"]), 2: (False, ["10:t"]), 3: (True, ["12:s"]), 4: (True, [])}
+    # all tables of a refresh are dealt once
+    plan = memo.refreshed_pages(uses, states(o10="t"), pages.localCheckpoint(), again.localCheckpoint())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
     order = memo.page_signatures(uses.orderBy(F.rand(1)), states()).collect()
     assert {tuple(r) for r in order} == {tuple(r) for r in memo.page_signatures(uses, states()).collect()}
 
