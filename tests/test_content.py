@@ -32,6 +32,37 @@ def test_content_is_what_no_header_or_footer_is(spark):
     assert tuple(content.bounds(left).first())[2:] == (82.0, 825.0)
 
 
+def _exchanges(df) -> int:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    return plan.count("Exchange hashpartitioning(doc")
+
+
+def _dealt_once(spark, of) -> int:
+    """Exchanges of a plan whose tables are all too large to be broadcast."""
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        return _exchanges(of())
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_protected_text_deals_its_lines_once(spark):
+    pages, facts, found = tables(spark)
+    lines, out = spark.createDataFrame([line("a", 82.0)], LINE), spark.createDataFrame([("d", 2, 0.0, 0.0, 1.0, 1.0)], "doc string, page long, x0 double, y0 double, x1 double, y1 double")
+    # pages by document and by page, facts, bands, excluded rectangles, lines
+    assert _dealt_once(spark, lambda: content.protected_text(content.academic_lines(lines, pages, facts, found, ["Acme"]), out)) == 6
+
+
+def test_protected_visual_deals_its_elements_once(spark):
+    pages, facts, found = tables(spark)
+    drawings, images = spark.createDataFrame([("d", 2, 1.0, 1.0, 9.0, 9.0, 1.0)], DRAWING), spark.createDataFrame([("d", 2, "x", 1.0, 1.0, 9.0, 9.0)], IMAGE)
+    out = drawings.drop("stroke")
+    # as above; drawings and images are one table
+    assert _dealt_once(spark, lambda: content.protected_visual(drawings, images, pages, facts, found, out, {})) == 6
+
+
 def test_wide_rules_know_strips_at_the_bottom(spark):
     pages, _, _ = tables(spark)
     rows = [("d", 1, 20.0, 46.0, 570.0, 46.0, 1.0), ("d", 1, 20.0, 60.0, 200.0, 60.0, 1.0), ("d", 1, 0.0, 2.0, 595.0, 3.0, 1.0), ("d", 1, 20.0, 790.0, 570.0, 820.0, 1.0), ("d", 1, 20.0, 812.0, 570.0, 813.0, 1.0), ("d", 1, 0.0, 700.0, 300.0, 740.0, 1.0)]
