@@ -2,8 +2,8 @@
 
 A word (a match of the splitting pattern) is an array of bytes; a fold merges
 the adjacent pair of the lowest rank, leftmost first, until no pair has a rank.
-Ranks are a literal: an array of buckets by crc32, so a look-up costs the same
-at any vocabulary size.
+Ranks are a scalar subquery: an array of buckets by crc32, so a look-up costs
+the same at any vocabulary size.
 
 Each distinct word of 64 partitions of the corpus is folded once, whatever its
 frequency:
@@ -38,7 +38,7 @@ import pyarrow as pa
 import regex
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
@@ -51,13 +51,15 @@ ROWS = 1 << 15  # rows of an Arrow batch of words
 HELD_ROWS = 1 << 20  # codes that a worker sorts by chunk at a time
 LONG = 256  # bytes of the longest word that is folded
 NO_RANK = 2**31 - 1
-_ENTRY = "struct<k:binary,r:int>"
+_RANKS = "struct<k:array<array<binary>>,r:array<array<int>>>"  # keys and ranks by bucket
 
 
-def _buckets(entries: list[tuple[bytes, dict]], n: int) -> list[list[dict]]:
-    out: list[list[dict]] = [[] for _ in range(n)]
-    for key, entry in entries:
-        out[zlib.crc32(key) % n].append(entry)
+def _buckets(ranks: dict[bytes, int], n: int) -> dict[str, list[list]]:
+    out: dict[str, list[list]] = {"k": [[] for _ in range(n)], "r": [[] for _ in range(n)]}
+    for key, rank in ranks.items():
+        at = zlib.crc32(key) % n
+        out["k"][at].append(base64.b64encode(key).decode())
+        out["r"][at].append(rank)
     return out
 
 
@@ -72,15 +74,16 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _find(buckets: Column, key: Column, field: str) -> Column:
-    """The entry of a key in a bucketed literal, or null."""
-    bucket = F.get(buckets, F.pmod(F.crc32(key.cast("binary")), F.lit(BUCKETS)).cast("int"))
-    return F.get(F.filter(bucket, lambda e: e[field] == key), 0)
+def _find(ranks: Column, key: Column) -> Column:
+    """The rank of a key, or null."""
+    bucket = F.pmod(F.crc32(key.cast("binary")), F.lit(BUCKETS)).cast("int")
+    return F.get(F.get(ranks["r"], bucket), (F.array_position(F.get(ranks["k"], bucket), key) - 1).cast("int"))
 
 
 class Codec:
-    """Expressions over the rank file at a path. Their literals hold no more
-    than they need: plans are printed whole, again and again."""
+    """Expressions over the rank file at a path. Plans are printed whole, again
+    and again, so literals hold no more than they need; and the rank map, which
+    every query of the corpus has, is no literal but the value of a subquery."""
 
     def __init__(self, path: str):
         self.path, self.ranks = path, read_ranks(path)
@@ -88,16 +91,19 @@ class Codec:
         for k, r in self.ranks.items():
             self.pieces[r] = k
 
-    def _rank_map(self) -> Column:
-        entries = [(k, {"k": base64.b64encode(k).decode(), "r": r}) for k, r in self.ranks.items()]
-        return F.from_json(F.lit(json.dumps(_buckets(entries, BUCKETS), separators=(",", ":"))), f"array<array<{_ENTRY}>>")
+    def rank_map(self) -> Column:
+        """A column of its own for encode: higher-order functions take no subquery, until projections are collapsed."""
+        listed = json.dumps(_buckets(self.ranks, BUCKETS), separators=(",", ":"))
+        # from an RDD: what is known of a local row would be folded back into a literal
+        row = SparkSession.active().createDataFrame(SparkSession.active().sparkContext.parallelize([(listed,)], 1), "listed string")
+        return row.select(F.from_json("listed", _RANKS).alias("ranks")).scalar()
 
     @staticmethod
     def _merged(word: Column, ranks: Column) -> Column:
         """The parts of a word after all merges, array<binary>."""
 
         def rank(part: Column) -> Column:
-            return F.coalesce(_find(ranks, part, "k")["r"], F.lit(NO_RANK))
+            return F.coalesce(_find(ranks, part), F.lit(NO_RANK))
 
         def start(raw: Column) -> Column:
             n = F.octet_length(raw)
@@ -130,13 +136,13 @@ class Codec:
 
         return _let(word.cast("binary"), fold)
 
-    def encode(self, word: Column) -> Column:
-        """Ids of a word, array<int>."""
+    def encode(self, word: Column, ranks: Column) -> Column:
+        """Ids of a word, array<int>; ranks: a column of rank_map."""
         raw = word.cast("binary")
-        of = lambda parts, ranks: F.transform(parts, lambda p: _find(ranks, p, "k")["r"])
+        of = lambda parts, ranks: F.transform(parts, lambda p: _find(ranks, p))
         # tokens that are words need no merges
-        whole = lambda ranks: _let(_find(ranks, raw, "k")["r"], lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(of(self._merged(raw, ranks), ranks)))
-        return _let(self._rank_map(), whole)
+        whole = lambda ranks: _let(_find(ranks, raw), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(of(self._merged(raw, ranks), ranks)))
+        return _let(ranks, whole)
 
     def decode(self, ids: Column) -> Column:
         """Bytes of an array of ids; ids outside the vocabulary add none."""
@@ -444,7 +450,8 @@ def bpe(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", t
     words = chunks.mapInArrow(_words, "chunk long, number int, word string").withColumn("span", F.shiftright("chunk", 32 + SPAN_BITS))
     # chunks are numbered by partition: a word meets itself within SPAN of them, so no window grows with the corpus
     first = Window.partitionBy("word", "span").orderBy("chunk")
-    folded = words.withColumn("nth", F.row_number().over(first)).withColumn("folded", F.when(F.col("nth") == 1, codec.encode(F.col("word"))))
+    numbered = words.withColumn("nth", F.row_number().over(first)).withColumn("ranks", codec.rank_map())
+    folded = numbered.withColumn("folded", F.when(F.col("nth") == 1, codec.encode(F.col("word"), F.col("ranks"))))
     codes = folded.select("chunk", "number", F.first("folded").over(first).alias("code")).mapInArrow(_by_chunk, "chunk long, codes binary")
     join = lambda left, right: _joined(kind, pieces.value, 1 << 22)(left, right)
     schema = rows.select("doc_id").schema.add("n_tokens", "long").add("ids", "binary").add("decoded", "binary")

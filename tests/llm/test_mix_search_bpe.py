@@ -180,3 +180,15 @@ def test_bpe_of_long_words_and_texts(spark):
     for row in got:
         ids = _encoding().encode_ordinary(texts[row["doc_id"]])
         assert bytes(row["ids"]) == struct.pack(f"<{len(ids)}I", *ids) and bytes(row["decoded"]) == texts[row["doc_id"]].encode()
+
+
+def test_bpe_plan_holds_no_rank_map(spark):
+    key = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(1 << 30))
+    try:
+        found = bpe(spark.createDataFrame([(1, "Grüße, world")], "doc_id long, text string"), RANKS, P.PATTERN)
+        assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+        assert [r["decoded"].decode() for r in found.collect()] == ["Grüße, world"]
+    finally:
+        spark.conf.set(key, before)
