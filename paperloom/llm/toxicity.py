@@ -8,7 +8,7 @@ restores the likeliest word; every other token has one path through its
 lattice and is only lower-cased. Restored words are scored by a sparse logistic
 regression over words, word beginnings and inner 5-grams.
 
-Both models are fitted on a bounded sample of labelled rows.
+Both models are fitted on all labelled rows, shard by shard.
 """
 
 from __future__ import annotations
@@ -24,16 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ftrl import Ftrl
-from .mixing import uniform
 from .shared import Table, bounded_memory, held_out
 
-MOST_PER_CLASS = 2000  # bound of the sample that the models are fitted on
+MOST_PER_CLASS = 2000  # half the rows of a shard that weights are fitted on at once
+FRACTION = 1 << 30  # parts of 1 that weights are summed in
 MOST_FEATURES = 4096
 EPOCHS = 12
-MOST_CHARS = 1 << 16  # characters of the longest text that the models are fitted on
 MOST_CACHED = 300_000  # tokens whose features a worker remembers
 MOST_TOKEN = 64  # characters of the longest token that it remembers
-MOST_LISTED = 20_000  # tokens whose features, as strings, are remembered in training
+MOST_LISTED = 50_000  # tokens whose features, as strings, are remembered in training
+MOST_COUNTED = 200_000  # keys that a worker counts before it sends counts on
 ROWS_A_FRAME = 20_000  # rows that training sends on at once
 MOST_STARS = 40  # of a run that are decoded
 KEPT_BYTES = 8 << 20  # of scores that the decoding of one token looks up
@@ -459,13 +459,10 @@ def features_of(text: str, chars: CharModel, known: dict[str, list[str]]) -> set
     return found
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], names: list[str], chars: CharModel, prior: float = 0.0) -> Model:
-    """prior is added to the bias. train() passes the log ratio of the
-    classes' sampled shares, which turns odds of the sample into odds of the labels."""
-    w = Ftrl(len(names) + 2, 2, alpha=0.3, l1=0.3, l2=1.0).fit(rows, labels, EPOCHS) if rows else np.zeros((len(names) + 2, 2))
-    one = w[:, 1] - w[:, 0]
-    kept = [i for i in range(len(names)) if one[i] != 0]
-    return Model(chars, {names[i]: k for k, i in enumerate(kept)}, one[kept], float(one[-1] + prior), float(one[-2]))
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], features: int) -> np.ndarray:
+    """Weights of the features, of the length and of the bias."""
+    w = Ftrl(features + 2, 2, alpha=0.3, l1=0.3, l2=1.0).fit(rows, labels, EPOCHS)
+    return w[:, 1] - w[:, 0]
 
 
 def _each(f, kinds: str):
@@ -486,50 +483,89 @@ def _each(f, kinds: str):
     return of, kinds
 
 
-def train(rows: DataFrame, marks: DataFrame, most: int = MOST_PER_CLASS, most_chars: int = MOST_CHARS) -> Model:
+def _counted(add, kinds: str):
+    """add(row, counters) counts what a row has by keys; the counts of many rows
+    are sent on together, for mapInPandas."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, counters = [k.split()[0] for k in kinds.split(", ")], (Counter(), Counter())
+
+        def told() -> Iterator[pd.DataFrame]:
+            for kind, counter in enumerate(counters):
+                if counter:
+                    yield pd.DataFrame({names[0]: list(counter), names[1]: kind, names[2]: list(counter.values())})
+                    counter.clear()
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                add(row, counters)
+                if len(counters[0]) + len(counters[1]) >= MOST_COUNTED:
+                    yield from told()
+        yield from told()
+
+    return of, kinds
+
+
+def train(rows: DataFrame, marks: DataFrame, most: int = MOST_PER_CLASS) -> Model:
     """rows: (doc_id, text); marks: (doc_id, toxic), toxic 0 or 1.
 
-    Fitted on whole texts of at most most_chars characters: about `most` ids of
-    each class, drawn by a hash of the id, and the least text of each (id,
-    class). A class of at most `most` is taken whole; null ids take no part.
-    Texts stay on executors: what comes to the driver are the weights of the
-    sample's grams, its strongest features and, for each text, the places and
-    values of those it has."""
+    Learned from every different (doc_id, toxic, text), whole texts of any
+    length; null ids take no part. Grams and features are counted over all of
+    them. Weights are fitted on all of them too: rows are dealt by a hash of the
+    id into shards of about 2 * most, each is fitted where it lies, and weights
+    are averaged by rows. Up to 2 * most rows are one shard. What comes to the
+    driver are the weights of the grams, the strongest features and one weight
+    for each."""
     ids = marks.filter(F.col("doc_id").isNotNull()).distinct()
     counts = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
         bias = 4.0 if counts.get(1) else -4.0
         return Model(CharModel(Counter()), {}, np.zeros(0), bias, 0.0)
-    share = {y: min(1.0, most / counts[y]) for y in (0, 1)}
-    drawn = ids.filter(uniform(F.col("doc_id")) < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
-    drawn = F.broadcast(drawn)  # about 2 * most ids
-    sample = rows.filter(F.length("text") <= most_chars).join(drawn, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    table = Table(sample, "labelled")
-    sample, context = table.df, rows.sparkSession.sparkContext
-    totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    table = Table(rows.join(ids, "doc_id").select("doc_id", "toxic", "text").distinct(), "labelled")
+    known_rows, context = table.df, rows.sparkSession.sparkContext
+    totals = {r["toxic"]: r["n"] for r in known_rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = max(1, totals.get(1, 0)), max(1, totals.get(0, 0))
 
-    words = sample.mapInPandas(*_each(lambda r: [(w,) for w in clean_words(r.text)], "word string")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    weights = words.mapInPandas(*_each(lambda r: [(g, word_weight(r.n)) for g in grams(r.word)], "gram string, weight long")).groupBy("gram").agg(F.sum("weight").alias("weight"))
+    def weigh(r, counters) -> None:
+        weight, counter = word_weight(r.n), counters[0]
+        for g in grams(r.word):
+            counter[g] += weight
+
+    words = known_rows.mapInPandas(*_counted(lambda r, c: c[0].update(clean_words(r.text)), "word string, kind int, n long")).groupBy("word").agg(F.sum("n").alias("n"))
+    weights = words.mapInPandas(*_counted(weigh, "gram string, kind int, weight long")).groupBy("gram").agg(F.sum("weight").alias("weight"))
     chars = CharModel.of_weights({r["gram"]: r["weight"] for r in weights.collect()})
 
     model, known = context.broadcast(chars), {}
-    found = sample.mapInPandas(*_each(lambda r: [(f, int(r.toxic)) for f in sorted(features_of(r.text, model.value, known))], "feature string, toxic int"))
-    seen = found.groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).filter("a >= 3")
+    found = known_rows.mapInPandas(*_counted(lambda r, c: c[r.toxic].update(features_of(r.text, model.value, known)), "feature string, toxic int, n long"))
+    seen = found.groupBy("feature").agg(F.sum(F.col("toxic") * F.col("n")).alias("a"), F.sum((1 - F.col("toxic")) * F.col("n")).alias("b")).filter("a >= 3")
     a, b = F.col("a") / n1, F.col("b") / n0
     p = (F.col("a") + F.col("b") + 1) / (n1 + n0 + 2)
     strong = seen.withColumn("strength", (a - b) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))).filter("strength > 3")
     names = [r["feature"] for r in strong.orderBy(F.desc("strength"), "feature").limit(MOST_FEATURES).collect()]
 
-    blank = context.broadcast(Model(chars, {f: i for i, f in enumerate(names)}, np.zeros(len(names)), 0.0, 0.0))
+    size = len(names)
+    blank = context.broadcast(Model(chars, {f: i for i, f in enumerate(names)}, np.zeros(size), 0.0, 0.0))
+    n_shards = math.ceil(sum(totals.values()) / (2 * most))
 
     def placed(r) -> list[tuple]:
         at, x = blank.value.vector(r.text)
-        return [(r.doc_id, int(r.toxic), at.tolist(), x.tolist())]
+        return [(r.shard, r.doc_id, int(r.toxic), r.nth, at.tolist(), x.tolist())]
+
+    def fitted(shard: pd.DataFrame) -> pd.DataFrame:
+        shard = shard.sort_values(["doc_id", "toxic", "nth"])
+        w = fit([(np.array(at, np.int64), np.array(x)) for at, x in zip(shard["at"], shard["x"])], shard["toxic"].tolist(), size)
+        # whole numbers, so that sums do not depend on their order
+        return pd.DataFrame({"place": np.arange(size + 2), "sum": np.round(w * FRACTION).astype(np.int64) * len(shard)})
 
-    vectors = sample.mapInPandas(*_each(placed, "doc_id long, toxic int, at array<long>, x array<double>")).orderBy("doc_id", "toxic").collect()
+    dealt = known_rows.withColumns({"shard": F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)), "nth": F.xxhash64("text")})
+    vectors = dealt.mapInPandas(*_each(placed, "shard long, doc_id long, toxic int, nth long, at array<long>, x array<double>"))
+    sums = vectors.groupBy("shard").applyInPandas(fitted, "place int, sum long").groupBy("place").agg(F.sum("sum").alias("sum")).collect()
     table.drop()
-    return fit([(np.array(r["at"], np.int64), np.array(r["x"])) for r in vectors], [r["toxic"] for r in vectors], names, chars, math.log(share[0] / share[1]))
+    w = np.zeros(size + 2)
+    for r in sums:
+        w[r["place"]] = r["sum"] / FRACTION / sum(totals.values())
+    kept = [i for i in range(size) if w[i] != 0]
+    return Model(chars, {names[i]: k for k, i in enumerate(kept)}, w[kept], float(w[-1]), float(w[-2]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST_PER_CLASS) -> DataFrame:
@@ -546,7 +582,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & ~held_out())
     bounded_memory(docs.sparkSession)
     model = train(rows, marks, most)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES weights and the trigrams of the sample
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES weights and the trigrams of the labelled texts
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

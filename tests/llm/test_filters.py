@@ -402,3 +402,23 @@ def test_sampling_of_a_class_does_not_move_the_decision(spark):
     logit = lambda m, t: math.log(m.score(t) / (1 - m.score(t)))
     assert all(abs(logit(whole, t) - logit(part, t)) < 0.6 for t in texts)
     assert sum(whole.score(t) >= 0.5 for _, t, y in rows if not y) == sum(part.score(t) >= 0.5 for _, t, y in rows if not y)
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Also from texts of over 65,536 characters, from both of two texts of one
+    id, and from what only a few rows of a large class say."""
+    r = random.Random(6)
+    rows = []
+    for i in range(400):
+        bad = i % 4 == 0
+        words = [r.choice(("tree", "house", "river", "stone")) for _ in range(8)]
+        told = " ".join(words + (["darn"] if bad else []))
+        rows.append((i, told, int(bad)))
+    rows += [(1000 + i, "drat " + "tree house river " * 4000, 1) for i in range(20)]
+    rows += [(4 * i, "zounds tree house", 1) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    learned = tx.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), 40)
+    assert {"w:darn", "w:drat", "w:zounds"} <= set(learned.index)
+    assert all(learned.score(f"tree {w} house") > learned.score("tree house") for w in ("darn", "drat", "zounds"))
+    again = tx.train(docs.select("doc_id", "text").repartition(7), docs.select("doc_id", "toxic"), 40)
+    assert again.score("tree darn house") == learned.score("tree darn house")
