@@ -19,20 +19,24 @@ class Ftrl:
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
     def weights(self, at: np.ndarray | slice) -> np.ndarray:
-        z, n = self.z[at], self.n[at]
+        return self._shrunk(self.z[at], np.sqrt(self.n[at]))
+
+    def _shrunk(self, z: np.ndarray, root: np.ndarray) -> np.ndarray:
         shrunk = np.sign(z) * np.maximum(np.abs(z) - self.l1, 0)
-        return -shrunk / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
+        return -shrunk / ((self.beta + root) / self.alpha + self.l2)
 
     def learn(self, row: Row, label: int, weight: float = 1.0) -> None:
         at, x = row
-        w = self.weights(at)
+        z, n = self.z[at], self.n[at]
+        root = np.sqrt(n)
+        w = self._shrunk(z, root)
         p = softmax(x @ w)
         p[label] -= 1
         g = weight * x[:, None] * p
-        n = self.n[at]
-        sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha
-        self.z[at] += g - sigma * w
-        self.n[at] = n + g * g
+        more = n + g * g
+        sigma = (np.sqrt(more) - root) / self.alpha
+        self.z[at] = z + (g - sigma * w)
+        self.n[at] = more
 
     def fit(self, rows: Sequence[Row], labels: Sequence[int], epochs: int, seed: int = 0) -> np.ndarray:
         order = np.random.default_rng(seed)

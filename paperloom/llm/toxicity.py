@@ -35,6 +35,7 @@ MOST_TOKEN = 64  # characters of the longest token that it remembers
 MOST_LISTED = 50_000  # tokens whose features, as strings, are remembered in training
 MOST_COUNTED = 200_000  # keys that a worker counts before it sends counts on
 ROWS_A_FRAME = 20_000  # rows that training sends on at once
+CELLS = 1 << 25  # bits, 4 MB, that tell which ids may be labelled
 MOST_STARS = 40  # of a run that are decoded
 KEPT_BYTES = 8 << 20  # of scores that the decoding of one token looks up
 
@@ -43,10 +44,12 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 SKIP_COST, DROP_COST, LEET_COST, ANY_COST, DOUBLE_COST = 0.7, 6.0, 0.3, 1.5, 0.5
 
 _SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
+_IN_SPACED = re.compile(r" \S \S ")  # every such run has this; it is found sooner
 _SYMBOL = re.compile(r"[^\w\s]")
 _RUN = re.compile(r"([^\W\d_])\1{2,}", re.I)
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]")
+_LOWER = np.array([ord(chr(i).lower()[0]) for i in range(0x1F000)], np.uint32)  # no letter after these has cases
 _OPEN, _CLOSE = "\"'([{<¿¡*_#%&.,;:~`^=/\\-", ".,;:?\"')]}>#%&*~`^=/\\_-"
 _END = "\0"
 
@@ -233,11 +236,12 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     least 1e-6, that cost 1.6 themselves), so no best path takes more than 36
     letters from a run."""
     out, i, stars = [], 0, 0
+    token = "".join(map(str.lower, token))  # a letter may become two characters
     while i < len(token):
-        c = token[i].lower()
+        c = token[i]
         if _LETTER.match(c):
             j = i
-            while j < len(token) and token[j].lower() == c:
+            while j < len(token) and token[j] == c:
                 j += 1
             if j - i >= 3:  # once or twice
                 out += [[(c, 0.0)], [("", 0.0), (c, DOUBLE_COST)]]
@@ -368,20 +372,32 @@ def core_of(token: str) -> str:
     return token.rstrip(_CLOSE).lstrip(_OPEN)
 
 
-def restore(token: str, model: CharModel) -> str:
-    """The word that a token stands for; empty without letters."""
-    core = core_of(token)
-    if not _LETTER.search(core):
-        return ""
-    if _OTHER.search(core) or _RUN.search(core):
-        return viterbi(lattice(core), model)
-    return core.lower()
+def has_runs(text: str) -> bool:
+    """Whether a letter may be repeated three times in a row, in either case."""
+    low = _LOWER[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), len(_LOWER) - 1)]
+    same = low[1:] == low[:-1]
+    return any(_LETTER.match(text, i) for i in np.flatnonzero(same[1:] & same[:-1]).tolist())
+
+
+def _plain(core: str, runs: bool) -> bool:
+    """Letters only, none of them three times in a row."""
+    return (core.isalpha() or (core != "" and not _OTHER.search(core))) and not (runs and _RUN.search(core))
+
+
+def restore(token: str, model: CharModel, runs: bool = True) -> str:
+    """The word that a token stands for; empty without letters. runs: false if
+    the token is known to have no letter three times in a row."""
+    core = token if token.isalpha() else core_of(token)
+    if _plain(core, runs):
+        return core.lower()
+    return viterbi(lattice(core), model) if _LETTER.search(core) else ""
 
 
 def spaced(text: str) -> Iterator[str]:
     """Words spelt out with spaces between their letters."""
-    for m in _SPACED.finditer(text):
-        yield m[0].replace(" ", "")
+    if _IN_SPACED.search(text):
+        for m in _SPACED.finditer(text):
+            yield m[0].replace(" ", "")
 
 
 def word_features(word: str) -> list[str]:
@@ -396,35 +412,56 @@ def word_features(word: str) -> list[str]:
 class Model:
     def __init__(self, chars: CharModel, index: dict[str, int], weights: np.ndarray, bias: float, by_length: float):
         self.chars, self.index, self.weights, self.bias, self.by_length = chars, index, weights, bias, by_length
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}  # tokens with features
+        self.idle: set[str] = set()  # tokens without any
+        # by kind, as in word_features: whole words, beginnings, inner 5-grams
+        self.words, self.begins, self.inner = ({f[2:]: i for f, i in index.items() if f.startswith(k)} for k in ("w:", "p:", "g:"))
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}}
-
-    def known(self, token: str) -> tuple[int, ...]:
+        return self.__dict__ | {"cache": {}, "idle": set()}
+
+    def found(self, word: str) -> tuple[int, ...]:
+        """The numbers of the word_features that the model knows, in their order."""
+        n, begins, inner = len(word), self.begins, self.inner
+        out = [self.words[word]] if word in self.words else []
+        if n > 4:
+            if word[:4] in begins:
+                out.append(begins[word[:4]])
+            if n > 5 and word[:5] in begins:
+                out.append(begins[word[:5]])
+            if n > 6 and word[:6] in begins:
+                out.append(begins[word[:6]])
+            out += [inner[g] for i in range(n - 4) if (g := word[i : i + 5]) in inner]
+        return tuple(out)
+
+    def known(self, token: str, runs: bool = True) -> tuple[int, ...]:
         found = self.cache.get(token)
-        if found is None:
-            if len(self.cache) >= MOST_CACHED:
+        if found is None and token not in self.idle:
+            if len(self.cache) + len(self.idle) >= MOST_CACHED:
                 self.cache.clear()
-            index = self.index
-            found = tuple(index[f] for f in word_features(restore(token, self.chars)) if f in index)
+                self.idle.clear()
+            found = self.found(restore(token, self.chars, runs))
             if len(token) <= MOST_TOKEN:
-                self.cache[token] = found
-        return found
-
-    def counts(self, text: str) -> tuple[Counter, int]:
+                if found:
+                    self.cache[token] = found
+                else:
+                    self.idle.add(token)
+        return found or ()
+
+    def counts(self, text: str) -> tuple[dict[int, int], int]:
+        """How often each feature is there, in the order of their numbers."""
         tokens = text.split()
         hits: Counter = Counter()
-        known, cache = self.known, self.cache.get
-        for t in tokens:
-            found = cache(t)
-            if found is None:
-                found = known(t)
-            if found:
-                hits.update(found)
+        rest, runs = set(tokens) - self.idle, has_runs(text)
+        live = [(t, found) for t in rest if (found := self.known(t, runs))]
+        if live:
+            times = Counter(tokens) if len(live) > 8 else {t: tokens.count(t) for t, _ in live}
+            for t, found in live:
+                for i in found:
+                    hits[i] += times[t]
         for t in spaced(text):
-            hits.update(known(t))
-        return hits, len(tokens)
+            hits.update(self.known(t))
+        return dict(sorted(hits.items())), len(tokens)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         hits, n = self.counts(text)
@@ -441,16 +478,17 @@ class Model:
 
 def clean_words(text: str) -> set[str]:
     """The tokens of a text that need no decoding, in lower case."""
-    cores = (core_of(t) for t in set(text.split()))
-    return {c.lower() for c in cores if c and not _OTHER.search(c) and not _RUN.search(c)}
+    runs = has_runs(text)
+    return {c.lower() for t in set(text.split()) if _plain(c := t if t.isalpha() else core_of(t), runs)}
 
 
 def features_of(text: str, chars: CharModel, known: dict[str, list[str]]) -> set[str]:
     found: set[str] = set()
-    for token in {*text.split(), *spaced(text)}:
+    apart, runs = set(spaced(text)), has_runs(text)
+    for token in {*text.split(), *apart}:
         names = known.get(token)
         if names is None:
-            names = word_features(restore(token, chars))
+            names = word_features(restore(token, chars, runs or token in apart))
             if len(token) <= MOST_TOKEN:
                 if len(known) >= MOST_LISTED:
                     known.clear()
@@ -506,6 +544,19 @@ def _counted(add, kinds: str):
     return of, kinds
 
 
+def _may_have(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is one of ids (not null), and few others: a bit for
+    each of CELLS hashes is set by the ids. What it leaves out, no join has to
+    send; 4 MB at most are broadcast, however many ids there are."""
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)) + 1
+    bits = ids.select(F.bitmap_bucket_number(cell).alias("_bucket"), F.bitmap_bit_position(cell).alias("_bit"))
+    bits = bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    placed = rows.withColumns({"_bucket": F.bitmap_bucket_number(cell), "_bit": F.bitmap_bit_position(cell)})
+    byte = F.conv(F.hex(F.expr("substring(_bits, CAST(_bit DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.pow(F.lit(2), F.col("_bit") % 8).cast("int")) != 0
+    return placed.join(F.broadcast(bits), "_bucket").filter(is_set).select(*rows.columns)
+
+
 def train(rows: DataFrame, marks: DataFrame, most: int = MOST_PER_CLASS) -> Model:
     """rows: (doc_id, text); marks: (doc_id, toxic), toxic 0 or 1.
 
@@ -521,7 +572,7 @@ def train(rows: DataFrame, marks: DataFrame, most: int = MOST_PER_CLASS) -> Mode
     if not counts.get(0) or not counts.get(1):
         bias = 4.0 if counts.get(1) else -4.0
         return Model(CharModel(Counter()), {}, np.zeros(0), bias, 0.0)
-    table = Table(rows.join(ids, "doc_id").select("doc_id", "toxic", "text").distinct(), "labelled")
+    table = Table(_may_have(rows, ids).join(ids, "doc_id").select("doc_id", "toxic", "text").distinct(), "labelled")
     known_rows, context = table.df, rows.sparkSession.sparkContext
     totals = {r["toxic"]: r["n"] for r in known_rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = max(1, totals.get(1, 0)), max(1, totals.get(0, 0))

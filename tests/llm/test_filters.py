@@ -404,6 +404,33 @@ def test_sampling_of_a_class_does_not_move_the_decision(spark):
     assert sum(whole.score(t) >= 0.5 for _, t, y in rows if not y) == sum(part.score(t) >= 0.5 for _, t, y in rows if not y)
 
 
+def test_toxicity_sends_texts_of_labelled_rows_only(spark):
+    """What meets the labels has all labelled rows and hardly any other."""
+    docs = spark.range(-20_000, 20_000).selectExpr("id * 7919 AS doc_id", "'x' AS text").union(spark.createDataFrame([(None, "y")], "doc_id long, text string"))
+    ids = spark.range(-500, 500).selectExpr("id * 7919 * 13 AS doc_id")
+    met = [r["doc_id"] for r in tx._may_have(docs, ids).collect()]
+    assert {r["doc_id"] for r in ids.collect()} <= set(met) and len(met) == len(set(met)) <= 1100
+    assert tx._may_have(docs, ids.limit(0)).count() == 0
+
+
+def test_plain_tokens_are_told_as_the_general_rules_tell_them():
+    r = random.Random(8)
+    letters = "abcABCéßжİ文ªⅣ²1٣_-.*!?' "
+    tokens = {"".join(r.choice(letters) for _ in range(r.randint(0, 7))) for _ in range(4000)} | {"", "aaa", "aaA", "ab", "xaaax", "i d i o t", " a b c", "a b c d", "a b c d ef"}
+    model = tx.CharModel(collections.Counter({"abc": 2, "cab": 1}))
+    words = {"aaabca": 1, "abc": 1, "caba": 1}
+    known = tx.Model(model, {f: i for i, f in enumerate(dict.fromkeys(f for w in words for f in tx.word_features(w)))}, np.zeros(0), 0.0, 0.0)
+    for t in tokens:
+        core = tx.core_of(t)
+        odd = bool(re.search(r"[\W\d_]", core) or tx._RUN.search(core))
+        word = "" if not tx._LETTER.search(core) else tx.viterbi(tx.lattice(core), model) if odd else core.lower()
+        assert tx.restore(t, model) == tx.restore(t, model, tx.has_runs(t)) == word
+        assert tx.clean_words(t) == {c.lower() for c in map(tx.core_of, t.split()) if c and not re.search(r"[\W\d_]", c) and not tx._RUN.search(c)}
+        assert list(tx.spaced(t)) == [m[0].replace(" ", "") for m in tx._SPACED.finditer(t)]
+        assert not tx._RUN.search(core) or tx.has_runs(t)
+        assert known.found(word) == tuple(known.index[f] for f in tx.word_features(word) if f in known.index)
+
+
 def test_toxicity_learns_from_every_labelled_row(spark):
     """Also from texts of over 65,536 characters, from both of two texts of one
     id, and from what only a few rows of a large class say."""
