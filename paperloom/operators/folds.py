@@ -13,6 +13,8 @@ from operator import itemgetter
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..sources.tables import distrust_unions
+
 #: Rows that a fold sends on at once.
 ROWS = 10_000
 
@@ -20,6 +22,7 @@ ROWS = 10_000
 def sorted_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], fold: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
     """fold gets the rows of one key in order, as tuples of `values`, and gives
     the rest of its result rows; schema: the keys, then those."""
+    distrust_unions(df.sparkSession)
     n, columns = len(keys), [*keys, *values]
     names = [*keys, *[part.split()[0] for part in schema.split(", ")]]
     types = {k: t for k, t in df.select(*keys).dtypes}
