@@ -188,6 +188,24 @@ def test_paints_and_pages_are_dealt_not_broadcast(spark, tmp_path):
     assert paints.declined_pages(df, spans, regions, pages).count() == 0
 
 
+def test_a_page_is_dealt_once_for_its_paints(spark, tmp_path):
+    at = lambda page, rows: [(1, page, i, op, args and [float(a) for a in args]) for i, (op, args) in enumerate(rows)]
+    paint = lambda x, y: [("BT", None), ("Tm", [1, 0, 0, 1, x, y]), ("Tj", None), ("ET", None)]
+    # page 2 has no height, page 3 two; page 4 a region that is not closed above, and a span without an origin
+    df = spark.createDataFrame([r for page in (1, 2, 3, 4) for r in at(page, paint(50, 700) + paint(50.9, 700) + paint(50.7, 699.3))], "doc long, page long, seq long, op string, args array<double>")
+    nan = float("nan")
+    spans = [(1, page, 50.0, 142.0, 50.0, 134.0, 90.0, 144.0) for page in (1, 1, 2, 3, 4)] + [(1, 4, None, 142.0, 50.0, 134.0, 90.0, 144.0), (1, 4, 50.0, 142.0, None, 134.0, 90.0, 144.0)]
+    spans = spark.createDataFrame(spans, "doc int, page long, ox double, oy double, x0 double, y0 double, x1 double, y1 double")
+    regions = spark.createDataFrame([(1, page, 40.0, 100.0, nan if page == 4 else 110.0, 300.0) for page in (1, 2, 3, 4)], "doc long, page long, x0 double, y0 double, x1 double, y1 double")
+    pages = spark.createDataFrame([(1, 1, 842.0), (1, 1, 842.0), (1, 3, 842.0), (1, 3, 800.0), (1, 4, 842.0)], "doc long, page long, height double")
+    removed, declined = paints.removed_paints(df, spans, regions, pages), paints.declined_pages(df, spans, regions, pages)
+    assert sorted(map(tuple, removed.collect())) == [(1, page, seq) for page in (1, 4) for seq in (2, 10)]
+    assert sorted(map(tuple, declined.collect())) == [(1, 2, 1), (1, 3, 1), (1, 4, 1)]
+    assert declined.dtypes == [("doc", "int"), ("page", "bigint"), ("n_left", "bigint")]
+    for found in (removed, declined):
+        assert found._jdf.queryExecution().executedPlan().initialPlan().toString().count("Exchange ") == 1
+
+
 def test_pictures_are_dealt_not_broadcast(spark, tmp_path):
     rows = stored(spark.range(6).selectExpr("1L AS doc", "1L AS page", "CAST(id AS INT) AS y", "array_repeat(1, 6) AS before", "array_repeat(CAST(id * 99 AS INT), 6) AS after", "array_repeat(1, 6) AS pixels", "array_repeat(true, 6) AS ink"), tmp_path / "rows")
     rects = stored(spark.range(1).selectExpr("1L AS doc", "1L AS page", "0.0D AS x0", "0.0D AS y0", "2.0D AS x1", "2.0D AS y1"), tmp_path / "rects")
