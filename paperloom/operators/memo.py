@@ -29,6 +29,11 @@ def _signature() -> Column:
     return F.sha2(F.array_join(F.array_sort(F.collect_set(F.when(F.col("used"), part))), ""), 256)
 
 
+def _bytes(signature: Column) -> Column:
+    """The bytes of a digest, half of what its digits are; null of what is none."""
+    return F.when(signature.rlike("^[0-9a-f]{64}$"), F.unhex(signature))
+
+
 def page_signatures(uses: DataFrame, states: DataFrame) -> DataFrame:
     """uses: (doc, page, object); states: (doc, object, state), one a name.
     (doc, page, signature): a digest of the set of (object, state) that a page
@@ -62,14 +67,14 @@ def refreshed_pages(uses: DataFrame, states: DataFrame, memo: DataFrame, digests
 
     All four tables are dealt by document once; nothing is shuffled after that."""
     c, object = F.col, Window.partitionBy("doc", "object")
-    old = memo.filter("doc IS NOT NULL AND page IS NOT NULL").select("doc", "page", F.struct("signature", "digests").alias("old"))
+    old = memo.filter("doc IS NOT NULL AND page IS NOT NULL").select("doc", "page", F.struct(_bytes(F.col("signature")).alias("signature"), "digests").alias("old"))
     rows = _together(uses.select("doc", "page", "object", F.lit(True).alias("used")), _named(states, "state"), _named(digests, "digest"), old)
     told = rows.withColumns({"state": F.max("state").over(object), "digest": F.max("digest").over(object)}).filter("used OR old IS NOT NULL")
     pages = told.groupBy("doc", "page").agg(
         F.max("used").alias("used"), F.collect_set("old").alias("old"), F.array_sort(F.collect_set(F.when(c("used"), c("digest")))).alias("anew"),
         _signature().alias("signature"),
     ).filter("used")
-    same = F.filter("old", lambda o: o["signature"] == c("signature"))
+    same = F.filter("old", lambda o: o["signature"] == _bytes(c("signature")))
     found = pages.withColumn("same", same)
     reused = F.size("same") > 0
     return found.select("doc", "page", "signature", F.when(reused, c("same")[0]["digests"]).otherwise(c("anew")).alias("digests"), reused.alias("reused"))

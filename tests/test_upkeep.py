@@ -223,3 +223,18 @@ def test_hits_keep_their_numbers(spark):
     pages = spark.createDataFrame([(1, p, 595.0, 842.0) for p in (1, 2)], "doc int, page int, width double, height double")
     told = [{tuple(r) for r in content.term_hits(w, pages, ["acme"]).collect()} for w in (words, words.repartition(5), words.orderBy(F.rand(2)))]
     assert told[0] == told[1] == told[2] and len(told[0]) == 40
+
+
+def test_remembered_signatures_travel_as_bytes(spark):
+    uses = spark.createDataFrame([(1, page, page) for page in (1, 2, 3, 4)], "doc int, page int, object int")
+    states = spark.createDataFrame([(1, page, "s") for page in (1, 2, 3, 4)], "doc int, object int, state string")
+    digests = spark.createDataFrame([(1, page, "new") for page in (1, 2, 3, 4)], "doc int, object int, digest string")
+    known = memo.page_signatures(uses, states)
+    # page 1 as it was; page 2 with no digest, page 3 with none at all, page 4 with another's
+    signature = F.expr("CASE page WHEN 1 THEN signature WHEN 2 THEN 'none' WHEN 4 THEN sha2('x', 256) END")
+    old = known.select("doc", "page", signature.alias("signature"), F.array(F.lit("old")).alias("digests"))
+    found = memo.refreshed_pages(uses, states, old, digests)
+    assert sorted((r["page"], r["reused"], r["digests"]) for r in found.collect()) == [(1, True, ["old"]), *[(page, False, ["new"]) for page in (2, 3, 4)]]
+    assert sorted((r["page"], r["signature"]) for r in found.collect()) == sorted((r["page"], r["signature"]) for r in known.collect())
+    dealt = found._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
+    assert "unhex(" in dealt
